@@ -90,3 +90,24 @@ def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataF
     )
     on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
     return left.join(renamed, on).drop(*[f"_k_{k}" for k in keys])
+
+
+def exact_percentiles(df: DataFrame, value: str, ps: dict[str, float], by=(), cells=256) -> DataFrame:
+    """Percentiles with linear interpolation, `n` and `max`, per group. The built-in exact
+    percentile gathers every distinct value of a group in one task; this finds the two
+    neighbouring order statistics from running counts instead."""
+    by = list(by)
+    per = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
+    c = cumulate(per, by, value, ["n"], cells)
+
+    def element(k: Column) -> Column:
+        return F.max(F.when((F.col("n_before") <= k) & (k < F.col("n_before") + F.col("n")), F.col(value)))
+
+    aggs = []
+    for name, p in ps.items():
+        h = F.lit(float(p)) * (F.col("n_all") - 1)
+        aggs += [element(F.floor(h)).alias(f"_lo_{name}"), element(F.ceil(h)).alias(f"_hi_{name}"),
+                 F.first(h - F.floor(h)).alias(f"_f_{name}")]
+    out = c.groupBy(*by).agg(F.first("n_all").alias("n"), F.max(value).alias("max"), *aggs)
+    return out.select(*by, "n", "max", *[
+        (F.col(f"_lo_{x}") + (F.col(f"_hi_{x}") - F.col(f"_lo_{x}")) * F.col(f"_f_{x}")).alias(x) for x in ps])

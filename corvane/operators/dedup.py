@@ -1,11 +1,10 @@
 """Exact and near duplicates, leakage control, funnels."""
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.ranking import exact_percentiles
 from ..functions.text import char_ngrams, squeezed
 from .joins import union_refs
 
@@ -86,7 +85,8 @@ def funnel_counts(df: DataFrame, status: str, family: str) -> DataFrame:
 
 
 def similarity_percentiles(df: DataFrame, col: str, ps=(0.5, 0.9, 0.99)) -> DataFrame:
-    return df.agg(*[F.percentile(col, F.lit(p)).alias(f"p{round(p * 100)}") for p in ps])
+    names = {f"p{round(p * 100)}": p for p in ps}
+    return exact_percentiles(df, col, names).select(*names)
 
 
 # --- n-gram near duplicates ------------------------------------------------------------

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from ..functions.ranking import exact_percentiles
 from ..functions.vectors import cosine
 
 BROADCAST_BYTES = 64 << 20   # largest reference side sent whole to every task
@@ -273,10 +274,14 @@ def concat_vectors(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def quantile_map(a: DataFrame, b: DataFrame, score: str, quantiles: list[float]) -> DataFrame:
     """The straight line through matching quantiles of two score tables: a ~ slope * b + shift."""
-    q = F.array(*[F.lit(x) for x in quantiles])
-    qa = a.agg(F.percentile(score, q).alias("qa")).scalar()
-    qb = b.agg(F.percentile(score, q).alias("qb")).select(F.explode(F.arrays_zip(qa.alias("a"), F.col("qb").alias("b"))).alias("p"))
-    return qb.agg(F.regr_slope("p.a", "p.b").alias("slope"), F.regr_intercept("p.a", "p.b").alias("shift"))
+    names = {f"q{i}": q for i, q in enumerate(quantiles)}
+
+    def points(df, out):
+        row = exact_percentiles(df, score, names)
+        return row.select(F.posexplode(F.array(*names)).alias("i", out))
+
+    return points(a, "qa").join(points(b, "qb"), "i").agg(
+        F.regr_slope("qa", "qb").alias("slope"), F.regr_intercept("qa", "qb").alias("shift"))
 
 
 def vector_drift(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -285,11 +290,12 @@ def vector_drift(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def drift_summary(drift: DataFrame) -> DataFrame:
-    return drift.agg(
-        F.count("*").alias("n"), F.avg("cos").alias("mean"), F.min("cos").alias("lo"),
-        F.percentile("cos", F.lit(0.01)).alias("p01"), F.percentile("cos", F.lit(0.05)).alias("p05"),
-        F.percentile("cos", F.lit(0.5)).alias("median"),
+    ps = exact_percentiles(drift, "cos", {"p01": 0.01, "p05": 0.05, "median": 0.5})
+    rest = drift.agg(
+        F.avg("cos").alias("mean"), F.min("cos").alias("lo"),
         F.count_if(F.col("cos") < 0.999).alias("below_999"), F.count_if(F.col("cos") < 0.9995).alias("below_9995"))
+    return rest.withColumn("_p", ps.select(F.struct("n", "p01", "p05", "median")).scalar()).select(
+        "mean", "lo", "below_999", "below_9995", "_p.*")
 
 
 def drift_worst(drift: DataFrame, n: int = 5) -> DataFrame:
