@@ -73,6 +73,19 @@ def char_ngrams(s: Column, n: int) -> Column:
     return F.when(F.length(s) < n, F.array(s)).otherwise(F.array_distinct(grams))
 
 
+def packed_ngrams(s: Column, n: int) -> Column:
+    """char_ngrams with each gram of up to three characters packed into one long, 21 bits a
+    character: exact, and cheaper to sort, join and intersect than strings."""
+
+    def pack(g):
+        code = F.lit(0).cast("bigint")
+        for i in range(n):
+            code = code * (1 << 21) + F.ascii(F.substring(g, i + 1, 1))
+        return code
+
+    return F.transform(char_ngrams(s, n), pack) if n <= 3 else char_ngrams(s, n)
+
+
 def squeezed(s: Column) -> Column:
     """Compatibility form, lower case, without white space: what n-grams are cut from."""
     return F.regexp_replace(F.lower(nfkc(s)), r"\s+", "")

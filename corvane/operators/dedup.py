@@ -5,7 +5,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.ranking import exact_percentiles
-from ..functions.text import char_ngrams, squeezed
+from ..functions.text import packed_ngrams, squeezed
 from .joins import union_refs
 
 
@@ -92,18 +92,8 @@ def similarity_percentiles(df: DataFrame, col: str, ps=(0.5, 0.9, 0.99)) -> Data
 # --- n-gram near duplicates ------------------------------------------------------------
 
 def gram_sets(df: DataFrame, row_id: str, text: str, n: int) -> DataFrame:
-    """(id, grams). Grams of up to three characters are packed into one long, 21 bits
-    a character, which is exact and cheaper to sort, join and intersect than strings."""
-    grams = char_ngrams(squeezed(F.col(text)), n)
-    if n <= 3:
-        def pack(g):
-            code = F.lit(0).cast("bigint")
-            for i in range(n):
-                code = code * (1 << 21) + F.ascii(F.substring(g, i + 1, 1))
-            return code
-
-        grams = F.transform(grams, pack)
-    return df.select(F.col(row_id).alias("id"), grams.alias("grams"))
+    """(id, grams) of each text."""
+    return df.select(F.col(row_id).alias("id"), packed_ngrams(squeezed(F.col(text)), n).alias("grams"))
 
 
 SHARED = 16  # grams two prefixes must share; more grams are sent, far fewer pairs are compared
