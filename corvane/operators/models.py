@@ -1,9 +1,17 @@
-"""Scoring with small heads, blending of scores."""
+"""Scoring with small heads, blending of scores, and fitting heads as Spark jobs."""
 
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
-from ..functions.vectors import softmax
+from ..functions.once import once
+from ..functions.vectors import cosine, dot, pair_features, softmax
 
 
 def softmax_t(df: DataFrame, z: str, temperature: float) -> DataFrame:
@@ -28,3 +36,310 @@ def zscore_blend(df: DataFrame, a: str, b: str, w: float) -> DataFrame:
     za = (F.col(a) - F.col("_f.ma")) / F.col("_f.sa")
     zb = (F.col(b) - F.col("_f.mb")) / F.col("_f.sb")
     return out.withColumn("zblend", blend(za, zb, w)).drop("_f")
+
+
+# --- scoring with given weights --------------------------------------------------------------
+
+@dataclass(frozen=True)
+class Head:
+    """A linear head (w1, b1), or with w2 and b2 one with a hidden ReLU layer."""
+
+    w1: np.ndarray
+    b1: np.ndarray
+    w2: np.ndarray | None = None
+    b2: np.ndarray | None = None
+
+    def logits(self, x: np.ndarray) -> np.ndarray:
+        h = x @ self.w1 + self.b1
+        return h if self.w2 is None else np.maximum(h, 0) @ self.w2 + self.b2
+
+
+def head_udf(head: Head):
+    """Column function: vector -> logits. The weights are loaded once per task."""
+
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for v in batches:
+            x = np.stack(v.to_numpy()).astype(np.float64) if len(v) else np.zeros((0, len(head.w1)))
+            yield pd.Series(list(head.logits(x)))
+
+    return score
+
+
+def mlp_score(df: DataFrame, head: Head, vec: str = "vec", out: str = "z") -> DataFrame:
+    return df.withColumn(out, head_udf(head)(F.col(vec)))
+
+
+def ovr_score(df: DataFrame, head: Head, tools: list[str], untrained: set[str], theta: float = 0.3, k: int = 5) -> DataFrame:
+    """Adds `tools`: the top k names by sigmoid score from theta up; untrained ones score 0."""
+    probs = F.transform(head_udf(head)(F.col("vec")), lambda z: 1 / (1 + F.exp(-z)))
+    rows = once(df, _p=probs)
+    names = F.array(*[F.lit(t) for t in tools])
+    trained = F.array(*[F.lit(t not in untrained) for t in tools])
+    scored = F.transform("_p", lambda p, i: F.struct((-F.when(F.get(trained, i), p).otherwise(0.0)).alias("s"), i.alias("i")))
+    top = F.filter(F.slice(F.array_sort(scored), 1, k), lambda x: -x["s"] >= theta)
+    return rows.withColumn("tools", F.transform(top, lambda x: F.get(names, x["i"]))).drop("_p")
+
+
+def pair_score(df: DataFrame, u: str, v: str, blocks: str, weights: list[float], bias: float) -> DataFrame:
+    """Adds `score`: the logistic of a weighted sum of pair features."""
+    f = pair_features(F.col(u), F.col(v), blocks)
+    return df.withColumn("score", 1 / (1 + F.exp(-(dot(f, F.array(*[F.lit(float(w)) for w in weights])) + bias))))
+
+
+def pair_variant_scan(df: DataFrame, us: dict[str, Column], vs: dict[str, Column], positive: Column) -> DataFrame:
+    """AUC of the cosine for every combination of a left and a right variant."""
+    from .metrics import auc
+
+    combos = F.array(*[
+        F.struct(F.lit(a).alias("u"), F.lit(b).alias("v"), cosine(ua, vb).alias("s"))
+        for a, ua in us.items() for b, vb in vs.items()])
+    rows = df.select(positive.alias("y"), F.explode(combos).alias("c")).select("y", "c.u", "c.v", "c.s")
+    return auc(rows, "s", F.col("y"), ["u", "v"])
+
+
+# --- training ----------------------------------------------------------------------------------
+
+@dataclass(frozen=True)
+class Recipe:
+    """How one head is fitted. width 0 is a linear head. loss is softmax (one gold label) or
+    sigmoid (any number). Rows of the held-out fold are left out of the fit."""
+
+    name: str
+    seed: int = 0
+    width: int = 512
+    loss: str = "softmax"
+    smoothing: float = 0.0
+    sens_penalty: float = 0.0
+    sensitive: tuple = ()
+    dropout: float = 0.0
+    l2: float = 1e-3
+    lr: float = 1e-3
+    held_out: int | None = None
+
+
+def _init(r: Recipe, d: int, k: int) -> Head:
+    rng = np.random.default_rng(r.seed)
+
+    def glorot(a, b):
+        lim = np.sqrt(6 / (a + b))
+        return rng.uniform(-lim, lim, (a, b))
+
+    if r.width == 0:
+        return Head(np.zeros((d, k)), np.zeros(k))
+    return Head(glorot(d, r.width), np.zeros(r.width), glorot(r.width, k), np.zeros(k))
+
+
+def _parts(h: Head) -> list[np.ndarray]:
+    return [p for p in (h.w1, h.b1, h.w2, h.b2) if p is not None]
+
+
+def gradient(r: Recipe, h: Head, x: np.ndarray, t: np.ndarray, w: np.ndarray, rng=None) -> np.ndarray:
+    """Summed gradient of the loss over rows with targets t (one column per label) and weights
+    w (per row and label), flattened. Ends with the loss and the row weight."""
+    k = t.shape[1]
+    hid = x
+    if h.w2 is not None:
+        pre = x @ h.w1 + h.b1
+        hid = np.maximum(pre, 0)
+        if r.dropout and rng is not None:
+            keep = (rng.random(hid.shape) >= r.dropout) / (1 - r.dropout)
+            hid = hid * keep
+    z = hid @ (h.w1 if h.w2 is None else h.w2) + (h.b1 if h.w2 is None else h.b2)
+    if r.loss == "softmax":
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        soft = (1 - r.smoothing) * t + r.smoothing / k
+        loss = -(w * soft * np.log(p + 1e-12)).sum()
+        dz = w * (p - soft)
+        if r.sens_penalty:
+            bad = np.zeros_like(t)
+            bad[:, list(r.sensitive)] = 1
+            bad *= 1 - t
+            mass = (p * bad).sum(1, keepdims=True)
+            loss += r.sens_penalty * (w[:, :1] * mass).sum()
+            dz += w * r.sens_penalty * p * (bad - mass)
+    else:
+        p = 1 / (1 + np.exp(-z))
+        loss = -(w * (t * np.log(p + 1e-12) + (1 - t) * np.log(1 - p + 1e-12))).sum()
+        dz = w * (p - t)
+    if h.w2 is None:
+        grads = [x.T @ dz, dz.sum(0)]
+    else:
+        dh = dz @ h.w2.T
+        if r.dropout and rng is not None:
+            dh = dh * keep
+        dh = dh * (pre > 0)
+        grads = [x.T @ dh, dh.sum(0), hid.T @ dz, dz.sum(0)]
+    return np.concatenate([g.ravel() for g in grads] + [[loss, w[:, 0].sum() if r.loss == "softmax" else len(x)]])
+
+
+def _batch(b: pa.RecordBatch):
+    def matrix(name):
+        return np.asarray(b.column(name).flatten(), dtype=np.float64).reshape(b.num_rows, -1)
+
+    return b.column("id").to_numpy(), matrix("vec"), matrix("target"), matrix("weight"), b.column("fold").to_numpy()
+
+
+def train_grid(df: DataFrame, recipes: list[Recipe], epochs: int, fan_in: int = 16) -> list[Head]:
+    """Fits all heads of a grid together with Adam on full passes.
+
+    `df` has id, vec, target (array), weight (array), fold. Each pass every task sums the
+    gradients of every head over its rows, the sums are added up in a tree, and only the total
+    reaches the driver. A pass over the data serves the whole grid, and no task holds more
+    than its own rows.
+    """
+    spark = df.sparkSession
+    data = df.select("id", "vec", "target", "weight", F.coalesce("fold", F.lit(-1)).cast("int").alias("fold")).persist()
+    try:
+        d, k = data.agg(F.max(F.size("vec")), F.max(F.size("target"))).first()
+        heads = [_init(r, d, k) for r in recipes]
+        sizes = [sum(p.size for p in _parts(h)) + 2 for h in heads]
+        m = [np.zeros(s - 2) for s in sizes]
+        v = [np.zeros(s - 2) for s in sizes]
+        for epoch in range(1, epochs + 1):
+            shared = spark.sparkContext.broadcast(heads)
+
+            def sums(batches, shared=shared, epoch=epoch):
+                from pyspark import TaskContext
+
+                total = None
+                for b in batches:
+                    if not b.num_rows:
+                        continue
+                    ids, x, t, w, fold = _batch(b)
+                    each = []
+                    for r, h in zip(recipes, shared.value):
+                        use = slice(None) if r.held_out is None else fold != r.held_out
+                        rng = np.random.default_rng([r.seed, epoch, int(ids[0]) & 0x7FFFFFFF])
+                        each.append(gradient(r, h, x[use], t[use], w[use], rng))
+                    flat = np.concatenate(each)
+                    total = flat if total is None else total + flat
+                if total is not None:
+                    yield pa.RecordBatch.from_pydict(
+                        {"slot": pa.array([TaskContext.get().partitionId() % fan_in], pa.int32()), "g": [total.tobytes()]})
+
+            def add(table):
+                out = sum(np.frombuffer(g) for g in table["g"].to_pylist())
+                return pa.table({"slot": table["slot"].slice(0, 1), "g": pa.array([out.tobytes()], pa.binary())})
+
+            part = data.mapInArrow(sums, "slot int, g binary")
+            rows = part.groupBy("slot").applyInArrow(add, "slot int, g binary").collect()
+            total = sum(np.frombuffer(r["g"]) for r in sorted(rows, key=lambda r: r["slot"]))
+            shared.destroy()
+            at = 0
+            for i, r in enumerate(recipes):
+                piece = total[at:at + sizes[i]]
+                at += sizes[i]
+                n = max(piece[-1], 1.0)
+                heads[i], m[i], v[i] = adam_step(r, heads[i], piece[:-2] / n, m[i], v[i], epoch, n)
+        return heads
+    finally:
+        data.unpersist()
+
+
+def adam_step(r: Recipe, h: Head, g: np.ndarray, m, v, step: int, n: float):
+    """One Adam step; weights (not biases) carry the penalty l2/2 * |w|^2 / n."""
+    parts, out, at = _parts(h), [], 0
+    m, v = m.copy(), v.copy()
+    for j, p in enumerate(parts):
+        s = slice(at, at + p.size)
+        at += p.size
+        gp = g[s] + (r.l2 / n * p.ravel() if j % 2 == 0 else 0)
+        m[s] = 0.9 * m[s] + 0.1 * gp
+        v[s] = 0.999 * v[s] + 0.001 * gp * gp
+        upd = (m[s] / (1 - 0.9 ** step)) / (np.sqrt(v[s] / (1 - 0.999 ** step)) + 1e-8)
+        out.append(p - r.lr * upd.reshape(p.shape))
+    return Head(*out), m, v
+
+
+def held_out_logits(df: DataFrame, recipes: list[Recipe], heads: list[Head]) -> DataFrame:
+    """(recipe, seed, fold, id, z): the logits of each row under every head that left out its fold."""
+    by_fold: dict = {}
+    for r, h in zip(recipes, heads):
+        by_fold.setdefault(r.held_out, []).append((r.name, r.seed, h))
+    shared = df.sparkSession.sparkContext.broadcast(by_fold)
+
+    def score(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids, x, _, _, fold = _batch(b)
+            for f, members in shared.value.items():
+                use = fold == f
+                if not use.any():
+                    continue
+                for name, seed, h in members:
+                    z = h.logits(x[use])
+                    yield pa.RecordBatch.from_pydict({
+                        "recipe": [name] * len(z), "seed": pa.array([seed] * len(z), pa.int32()),
+                        "fold": pa.array([f] * len(z), pa.int32()), "id": ids[use], "z": list(z)})
+
+    cols = df.select("id", "vec", "target", "weight", F.col("fold").cast("int").alias("fold"))
+    return cols.mapInArrow(score, "recipe string, seed int, fold int, id bigint, z array<double>")
+
+
+def one_hot(label: Column, k: int) -> Column:
+    return F.array(*[(label == i).cast("double") for i in range(k)])
+
+
+def training_rows(df: DataFrame, k: int) -> DataFrame:
+    """Columns the trainer needs from (id, vec, label, fold), each row with weight 1."""
+    return df.select("id", "vec", "fold", "label", one_hot(F.col("label"), k).alias("target"),
+                     F.array_repeat(F.lit(1.0), k).alias("weight"))
+
+
+def fold_grid(recipes: list[Recipe], folds: int) -> list[Recipe]:
+    return [replace(r, held_out=f) for r in recipes for f in range(folds)]
+
+
+def fit_grid(df: DataFrame, recipes: list[Recipe], folds: int, epochs: int) -> DataFrame:
+    """All recipes x folds fitted together; the held-out logits of every row."""
+    grid = fold_grid(recipes, folds)
+    return held_out_logits(df, grid, train_grid(df, grid, epochs))
+
+
+def oof_table(logits: DataFrame, gold: DataFrame, temperature: float = 1.0) -> DataFrame:
+    """Pooled out-of-fold predictions: (recipe, seed, fold, id, label, pred, conf)."""
+    return softmax_t(logits.join(gold.select("id", "label"), "id"), "z", temperature).select(
+        "recipe", "seed", "fold", "id", "label", "pred", "conf")
+
+
+def train_logreg(df: DataFrame, c: float = 20.0, iterations: int = 50):
+    """Multinomial logistic regression on (vec, label); c weighs the data against the penalty."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    n = df.count()
+    rows = df.withColumn("features", array_to_vector(F.col("vec").cast("array<double>")))
+    fit = LogisticRegression(featuresCol="features", labelCol="label", regParam=1 / (c * n), maxIter=iterations,
+                             standardization=False, family="multinomial").fit(rows)
+    return Head(fit.coefficientMatrix.toArray().T, fit.interceptVector.toArray())
+
+
+NO_POSITIVES_BIAS = -20.0
+
+
+def train_ovr_balanced(df: DataFrame, tools: list[str], epochs: int, lr: float = 0.05) -> Head:
+    """One logistic per tool on (id, vec, gold: array of names), the two classes of each tool
+    weighing the same; a tool no row needs gets a bias that keeps it silent."""
+    hot = F.array(*[F.array_contains("gold", t).cast("double") for t in tools])
+    rows = df.withColumn("target", hot)
+    counts = rows.agg(F.count("*").alias("n"), *[F.sum(F.col("target")[i]).alias(f"p{i}") for i in range(len(tools))]).first()
+    n = counts["n"]
+    pos = [counts[f"p{i}"] for i in range(len(tools))]
+    up = [n / (2 * p) if p else 0.0 for p in pos]
+    down = [n / (2 * (n - p)) if n > p else 0.0 for p in pos]
+    weight = F.array(*[F.when(F.col("target")[i] == 1, up[i]).otherwise(down[i] if pos[i] else 0.0) for i in range(len(tools))])
+    rows = rows.withColumn("weight", weight).withColumn("fold", F.lit(None).cast("int"))
+    head, = train_grid(rows, [Recipe("ovr", width=0, loss="sigmoid", lr=lr)], epochs)
+    return Head(head.w1, np.where(np.array(pos) > 0, head.b1, NO_POSITIVES_BIAS))
+
+
+def cv_auc(df: DataFrame, recipes: list[Recipe], folds: int, epochs: int) -> DataFrame:
+    """AUC of a binary head per recipe, seed and held-out fold. `df` has one target column."""
+    from .metrics import auc
+
+    z = fit_grid(df, recipes, folds, epochs).select("recipe", "seed", "fold", "id", F.col("z")[0].alias("s"))
+    gold = df.select("id", (F.col("target")[0] == 1).alias("y"))
+    return auc(z.join(gold, "id"), "s", F.col("y"), ["recipe", "seed", "fold"])

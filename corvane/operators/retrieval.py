@@ -7,6 +7,7 @@ then happen inside the row, and only the final counts are aggregated across rows
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from ..functions.once import once
 from ..functions.rules import grid_column, ratio
@@ -17,13 +18,14 @@ K1, B = 1.2, 0.75
 
 
 def numbered(catalogue: DataFrame, name: str, limit: int = CATALOGUE_LIMIT) -> DataFrame:
-    """Adds `pos`, the candidate's place by name. The catalogue's size is checked first."""
-    from ..functions.ranking import ordinal
-
-    n = catalogue.select(name).limit(limit + 1).count()
-    if n > limit:
+    """The catalogue (name, text) as a small local table with `pos`, the place by name. It is
+    read once, with a check of its size, since it goes into every task."""
+    rows = catalogue.select(name, "text").limit(limit + 1).collect()
+    if len(rows) > limit:
         raise ValueError(f"catalogue has more than {limit} candidates")
-    return ordinal(catalogue, [], name, out="pos").withColumn("pos", (F.col("pos") - 1).cast("int"))
+    rows = sorted(rows, key=lambda r: r[name])
+    schema = catalogue.select(name, "text").schema.add("pos", IntegerType())
+    return catalogue.sparkSession.createDataFrame([(*r, i) for i, r in enumerate(rows)], schema)
 
 
 def _term_counts(df: DataFrame, key: str) -> DataFrame:

@@ -148,7 +148,7 @@ def sql_prf(sel, by=""):
     using = f"USING ({key}id, pos)"
     return f"""SELECT {key}n, tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, round(hit1,9) AS hit1, round(empty,9) AS empty, round(CASE WHEN 2*tp+fp+fn>0 THEN 2*tp/(2*tp+fp+fn) ELSE 0 END,9) AS f1 FROM (
  SELECT {key}count(*) AS n, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, avg(h::INT) AS hit1, avg((ns=0)::INT) AS empty FROM (
- SELECT {key}id, count_if(k<=5 AND gold) AS tp, count_if(k<=5 AND NOT gold) AS fp, count_if(gold AND (k IS NULL OR k>5)) AS fn, coalesce(bool_or(k=1 AND gold),false) AS h, count_if(k<=5) AS ns FROM {sel} GROUP BY ALL) GROUP BY ALL)"""
+ SELECT {key}id, count_if(k<=5 AND gold) AS tp, count_if(k<=5 AND NOT gold) AS fp, count_if(gold AND (k IS NULL OR k>5)) AS fn, coalesce(bool_or(k=1 AND gold),false) AS h, count(*) FILTER (k<=5) AS ns FROM {sel} GROUP BY ALL) GROUP BY ALL)"""
 
 
 @query("r10_micro_prf", f"WITH {FUSED}, al AS (SELECT sg.id, sg.lang, sg.gold, fz.k FROM sg LEFT JOIN fz ON fz.id=sg.id AND fz.pos=sg.pos) {sql_prf('al', 'lang')}")
