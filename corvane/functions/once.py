@@ -14,3 +14,8 @@ def once(df: DataFrame, **cols: Column) -> DataFrame:
     made = F.explode(F.array(F.struct(*[c.alias(n) for n, c in cols.items()])))
     keep = [c for c in df.columns if c not in cols]
     return df.select(*keep, made.alias("_once")).select(*keep, "_once.*")
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, for use inside expressions with lambdas."""
+    return F.transform(F.array(value), body)[0]

@@ -3,6 +3,8 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .once import let
+
 
 def _double(x: Column) -> Column:
     return x.cast("double")
@@ -22,8 +24,7 @@ def cosine(u: Column, v: Column) -> Column:
 
 
 def l2_normalize(v: Column) -> Column:
-    n = norm(v)
-    return F.transform(v, lambda x: _double(x) / n)
+    return let(norm(v), lambda n: F.transform(v, lambda x: _double(x) / n))
 
 
 def truncate_renorm(v: Column, d: int) -> Column:
@@ -42,7 +43,15 @@ def pair_features(u: Column, v: Column, blocks: str = "full") -> Column:
 def softmax(z: Column, temperature=1.0) -> Column:
     """Softmax of z/T, shifted by the maximum."""
     t = temperature if isinstance(temperature, Column) else F.lit(float(temperature))
-    top = F.array_max(z)
-    e = F.transform(z, lambda x: F.exp((x - top) / t))
-    total = F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(e, lambda x: x / total)
+
+    def total(e):
+        return F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x)
+
+    def shifted(b):
+        return F.transform(b["z"], lambda x: F.exp((x - b["top"]) / b["t"]))
+
+    def scaled(e):
+        return let(total(e), lambda s: F.transform(e, lambda x: x / s))
+
+    zs = let(z, lambda v: F.struct(v.alias("z"), F.array_max(v).alias("top"), t.alias("t")))
+    return let(let(zs, shifted), scaled)

@@ -11,14 +11,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.once import let
 from ..functions.ranking import cumulate
 from ..functions.rules import count_if, grid_column, needed_conf, ratio, share
-from ..functions.vectors import softmax
 
 
 def reached(value: Column, thresholds: list[float]) -> Column:
     """How many of the sorted thresholds the value is at or above."""
-    return F.size(F.filter(F.array(*[F.lit(float(t)) for t in thresholds]), lambda t: value >= t))
+    cuts = F.array(*[F.lit(float(t)) for t in thresholds])
+    return let(value, lambda v: F.size(F.filter(cuts, lambda t: v >= t)))
 
 
 def grid_points(**axes) -> list[dict]:
@@ -114,7 +115,13 @@ def temperature_pass(df: DataFrame, z: str, y: Column, lo: Column, hi: Column, s
     width = (F.col("_hi") - F.col("_lo")) / steps
     rows = with_range.select(z, "_y", "_lo", "_hi", F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("_i")).withColumn(
         "_t", F.col("_lo") + width * F.col("_i"))
-    nll = -F.log(F.element_at(softmax(F.col(z), F.col("_t")), F.col("_y") + 1) + 1e-12)
+    def likelihood(v):
+        top = let(F.array_max(v), lambda m: F.struct(
+            F.exp((F.element_at(v, F.col("_y") + 1) - m) / F.col("_t")).alias("y"),
+            F.aggregate(v, F.lit(0.0), lambda acc, x: acc + F.exp((x - m) / F.col("_t"))).alias("all")))
+        return let(top, lambda e: e["y"] / e["all"])
+
+    nll = -F.log(likelihood(F.col(z)) + 1e-12)
     per = rows.groupBy("_i").agg(F.avg(nll).alias("nll"), F.first("_t").alias("t"), F.first(width).alias("w"))
     best = F.min_by(F.struct("t", "w", "nll"), F.struct(F.round("nll", 12), "_i"))
     return per.agg(best.alias("b")).select(

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_unit
+from ..functions.once import let
 from ..functions.ranking import cumulate, exact_percentiles
 from ..functions.rules import accept, count_if, ratio, share, to_bands
 
@@ -96,7 +97,8 @@ POISSON1_CDF = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9
 
 def poisson_weight(u: Column) -> Column:
     """How often a row is drawn, from a uniform number: the inverse of the Poisson(1) distribution."""
-    return F.size(F.filter(F.array(*[F.lit(c) for c in POISSON1_CDF]), lambda c: c <= u))
+    cdf = F.array(*[F.lit(c) for c in POISSON1_CDF])
+    return let(u, lambda x: F.size(F.filter(cdf, lambda c: c <= x)))
 
 
 def replicates(df: DataFrame, key: str, b: int, seed: str, keep: list[str]) -> DataFrame:

@@ -5,15 +5,19 @@ arrays with one entry per candidate, in catalogue order; selecting, ranking and
 then happen inside the row, and only the final counts are aggregated across rows.
 """
 
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType
 
-from ..functions.once import once
+from ..functions.once import let, once
 from ..functions.rules import grid_column, ratio
 from ..functions.text import packed_ngrams, tokens
 
-CATALOGUE_LIMIT = 5000
+CATALOGUE_LIMIT = 1000
 K1, B = 1.2, 0.75
 
 
@@ -32,57 +36,131 @@ def _term_counts(df: DataFrame, key: str) -> DataFrame:
     return df.select(key, F.explode(tokens(F.col("text"))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def postings(cat: DataFrame) -> DataFrame:
-    """term -> candidates holding it, with the term's Okapi weight there and its share of the
-    candidate's term-count vector."""
-    tf = _term_counts(cat, "pos")
-    length = tf.groupBy("pos").agg(F.sum("tf").alias("dl"), F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
-    facts = length.agg(F.struct(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).alias("f")).scalar()
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    t = tf.join(length, "pos").join(df, "term").withColumn("_f", facts)
-    idf = F.log((F.col("_f.n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("_f.avgdl")))
-    return t.select("term", F.struct("pos", weight.alias("w"), (F.col("tf") / F.col("norm")).alias("u")).alias("p")).groupBy("term").agg(
-        F.collect_list("p").alias("ps"))
+@dataclass(frozen=True)
+class Postings:
+    """For each entry of a vocabulary, in id order: the candidates holding it and its values there."""
+
+    start: np.ndarray   # entry -> first place in pos
+    pos: np.ndarray
+    vals: np.ndarray    # one column per value
+    n_cand: int
+
+    def scores(self, rows: np.ndarray, entries: np.ndarray, weights: np.ndarray, n_rows: int) -> np.ndarray:
+        """Sums of weight * value over (row, entry) pairs: an array (column, row, candidate)."""
+        out = np.zeros((self.vals.shape[1], n_rows, self.n_cand))
+        step = 256
+        for lo in range(0, n_rows, step):
+            a, b = np.searchsorted(rows, [lo, lo + step])
+            used, at = np.unique(entries[a:b], return_inverse=True)
+            x = np.zeros((min(step, n_rows - lo), len(used)))
+            np.add.at(x, (rows[a:b] - lo, at), weights[a:b])
+            counts = self.start[used + 1] - self.start[used]
+            flat = np.repeat(self.start[used] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
+            for c in range(len(out)):
+                m = np.zeros((len(used), self.n_cand))
+                m[np.repeat(np.arange(len(used)), counts), self.pos[flat]] = self.vals[flat, c]
+                out[c, lo:lo + step] = x @ m
+        return out
+
+
+def _postings(entry: np.ndarray, pos: np.ndarray, vals: np.ndarray, size: int, n_cand: int) -> Postings:
+    order = np.argsort(entry, kind="stable")
+    return Postings(np.searchsorted(entry[order], np.arange(size + 1)), pos[order], vals[order], n_cand)
+
+
+def term_postings(cat: DataFrame) -> tuple[DataFrame, Postings]:
+    """The catalogue's terms (term, entry), and its postings with each term's Okapi weight and
+    its share of the candidate's term-count vector."""
+    tf = _term_counts(cat, "pos").toPandas().sort_values(["term", "pos"])
+    vocab, entry = np.unique(tf["term"].to_numpy(dtype=object), return_inverse=True)
+    pos, n = tf["pos"].to_numpy(), cat.count()
+    count = tf["tf"].to_numpy(dtype=float)
+    dl = np.bincount(pos, count, n)
+    df = np.bincount(entry)
+    idf = np.log((n - df + 0.5) / (df + 0.5) + 1)[entry]
+    filled = np.bincount(pos, minlength=n) > 0
+    weight = idf * count * (K1 + 1) / (count + K1 * (1 - B + B * dl[pos] / dl[filled].mean()))
+    unit = count / np.sqrt(np.bincount(pos, count ** 2, n))[pos]
+    terms = cat.sparkSession.createDataFrame([(t, i) for i, t in enumerate(vocab)], "term string, entry int")
+    return terms, _postings(entry, pos, np.stack([weight, unit], 1), len(vocab), n)
+
+
+def _ragged(s: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and values of a column of arrays."""
+    sizes = s.map(len).to_numpy()
+    return np.repeat(np.arange(len(s)), sizes), (np.concatenate(s.to_list()) if len(s) else np.zeros(0))
 
 
 def lexical_scores(tasks: DataFrame, cat: DataFrame) -> DataFrame:
-    """(id, pos, bm25, cos) for every task and candidate that share a term: Okapi weights of
-    the distinct shared terms, and the cosine of the term-count vectors."""
-    counts = _term_counts(tasks, "id")
-    hit = counts.join(F.broadcast(postings(cat)), "term", "left")
-    norm = hit.groupBy("id").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
-    per = hit.select("id", "tf", F.explode("ps").alias("p")).groupBy("id", F.col("p.pos").alias("pos")).agg(
-        F.sum("p.w").alias("bm25"), F.sum(F.col("tf") * F.col("p.u")).alias("d"))
-    return per.join(norm, "id").select("id", "pos", "bm25", (F.col("d") / F.col("norm")).alias("cos"))
+    """(id, bm25, cos), arrays over the catalogue: Okapi weights of the distinct shared terms,
+    and the cosine of the term-count vectors.
+
+    A task's terms are counted and matched to the catalogue's vocabulary by Spark; the sums
+    over candidates are a small sparse product per batch of tasks.
+    """
+    terms, post = term_postings(cat)
+    shared = tasks.sparkSession.sparkContext.broadcast(post)
+    hit = _term_counts(tasks, "id").join(F.broadcast(terms), "term", "left")
+    known = F.col("entry").isNotNull()
+    per = hit.groupBy("id").agg(
+        F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"),
+        F.collect_list(F.when(known, F.struct("entry", "tf"))).alias("hits"))
+
+    @F.pandas_udf("bm25 array<double>, cos array<double>")
+    def score(entries: pd.Series, tfs: pd.Series, norm: pd.Series) -> pd.DataFrame:
+        rows, entry = _ragged(entries)
+        _, tf = _ragged(tfs)
+        entry = entry.astype(int)
+        bm = shared.value.scores(rows, entry, np.ones(len(rows)), len(norm))[0]
+        dots = shared.value.scores(rows, entry, tf.astype(float), len(norm))[1]
+        return pd.DataFrame({"bm25": list(bm), "cos": list(dots / norm.to_numpy()[:, None])})
+
+    scored = per.select("id", score(F.col("hits.entry"), F.col("hits.tf"), F.col("norm")).alias("s"))
+    return scored.select("id", "s.*")
+
+
+def overlap_scores(df: DataFrame, cat: DataFrame, text: str, n: int = 2, out: str = "bigram") -> DataFrame:
+    """Adds the Jaccard overlap of character n-grams with every candidate, as an array."""
+    grams = cat.select("pos", F.explode(packed_ngrams(F.lower("text"), n)).alias("g")).toPandas()
+    vocab, entry = np.unique(grams["g"].to_numpy(), return_inverse=True)
+    pos = grams["pos"].to_numpy()
+    n_cand = int(pos.max()) + 1 if len(pos) else 0
+    sizes = np.bincount(pos, minlength=n_cand)
+    shared = df.sparkSession.sparkContext.broadcast((vocab, _postings(entry, pos, np.ones((len(pos), 1)), len(vocab), n_cand), sizes))
+
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def score(g: pd.Series) -> pd.Series:
+        vocab, post, sizes = shared.value
+        rows, code = _ragged(g)
+        at = np.minimum(np.searchsorted(vocab, code), len(vocab) - 1)
+        keep = vocab[at] == code
+        inter = post.scores(rows[keep], at[keep], np.ones(keep.sum()), len(g))[0]
+        union = g.map(len).to_numpy()[:, None] + sizes[None, :] - inter
+        return pd.Series(list(inter / np.maximum(union, 1)))
+
+    return df.withColumn(out, score(packed_ngrams(F.lower(text), n)))
+
+
+def long_form(df: DataFrame, scores: list[str]) -> DataFrame:
+    """Score arrays as rows (id, pos, ...)."""
+    zipped = F.arrays_zip(*[F.col(c).alias(c) for c in scores])
+    return df.select("id", F.posexplode(zipped).alias("pos", "z")).select("id", "pos", "z.*")
 
 
 def signals(tasks: DataFrame, cat: DataFrame, key) -> DataFrame:
     """One row per task: arrays bm25 (over the row's greatest), bigram (Jaccard of character
     pairs) and cos, and the positions of the gold candidates, those whose text the task holds.
     `key` turns text into the form compared for containment."""
-    lex = lexical_scores(tasks, cat).groupBy("id").agg(
-        F.map_from_entries(F.collect_list(F.struct("pos", F.struct("bm25", "cos")))).alias("m"), F.max("bm25").alias("top"))
-    # The grams and keys are made below the join so that they are made once per task.
-    made = tasks.withColumn("_g", packed_ngrams(F.lower("text"), 2)).withColumn("_key", key(F.col("text"))).drop("text")
-    entry = F.struct("pos", packed_ngrams(F.lower("text"), 2).alias("g"), key(F.col("text")).alias("key"))
-    whole = cat.agg(F.array_sort(F.collect_list(entry)).alias("c")).scalar()
-    rows = made.join(lex, "id", "left").withColumn("_c", whole)
-
-    def lexical(field, c):
-        return F.coalesce(F.try_element_at(F.col("m"), c["pos"])[field], F.lit(0.0))
-
-    def overlap(c):
-        inter = F.size(F.array_intersect(F.col("_g"), c["g"]))
-        return inter / F.greatest(F.lit(1), F.size("_g") + F.size(c["g"]) - inter)
-
-    scored = once(
-        rows,
-        bm25=F.transform("_c", lambda c: lexical("bm25", c) / F.coalesce(F.col("top"), F.lit(1.0))),
-        bigram=F.transform("_c", overlap),
-        cos=F.transform("_c", lambda c: lexical("cos", c)),
-        gold=F.transform(F.filter("_c", lambda c: F.col("_key").contains(c["key"])), lambda c: c["pos"]))
-    return scored.select(*[c for c in made.columns if not c.startswith("_")], "bm25", "bigram", "cos", "gold")
+    n = cat.count()
+    zeros = F.array_repeat(F.lit(0.0), n)
+    keys = [r["k"] for r in cat.select("pos", key(F.col("text")).alias("k")).orderBy("pos").collect()]
+    gold = F.filter(F.transform(F.array(*[F.lit(k) for k in keys]), lambda k, i: F.when(F.col("_key").contains(k), i)), lambda i: i.isNotNull())
+    local = once(tasks, _key=key(F.col("text")))
+    local = overlap_scores(local, cat, "text").withColumn("gold", gold).drop("text", "_key")
+    rows = local.join(lexical_scores(tasks, cat), "id", "left")
+    bm, cos = F.coalesce("bm25", zeros), F.coalesce("cos", zeros)
+    scaled = let(bm, lambda b: let(F.array_max(b), lambda m: F.transform(b, lambda x: F.when(m > 0, x / m).otherwise(0.0))))
+    return once(rows, bm25=scaled, cos=cos)
 
 
 # --- inside a row ------------------------------------------------------------------------------

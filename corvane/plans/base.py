@@ -29,6 +29,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A table that arrives in fewer pieces than there are cores, dealt out by key before costly
+    work on its rows. A large table has more pieces than cores and is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 # --- SQL twins of the helpers ------------------------------------------------------------
 
 def sql_hint(expr: str) -> str:
@@ -74,7 +81,7 @@ def sql_sens(p="pred"):
 
 def items(spark, sf) -> DataFrame:
     """documents with their key."""
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents"), "doc_id")
     return d.select(F.col("doc_id").alias("id"), "text", "lang", F.col("source").alias("fam"),
                     norm_key_plain(F.col("text")).alias("key"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_int, hash_unit
+from ..functions.once import once
 from ..functions.rules import accept, is_correct, is_sensitive, to_bands
 from ..functions.text import char_ngrams, jaccard, tokens
 from ..functions.vectors import softmax
@@ -38,7 +39,7 @@ def fold_logits(spark, sf) -> DataFrame:
         "bump", F.when(hash_unit("g-", F.col("seed"), "-", F.col("id")) < 0.8, 2.0).otherwise(0.0))
     z = [3 * hash_unit("z-", F.col("recipe"), "-", F.col("seed"), "-", F.col("id"), f"-{lab}")
          + F.when(F.col("label") == lab, F.col("bump")).otherwise(0.0) for lab in LABELS]
-    return e.withColumn("z", F.array(*z)).drop("bump")
+    return once(e, z=F.array(*z)).drop("bump")
 
 
 FL = f"""fl AS (SELECT recipe, seed, vec_id AS id, label, list_transform(range(10), lambda l: 3*{sql_hunit("'z-'||recipe||'-'||seed||'-'||vec_id||'-'||l")}
@@ -48,10 +49,10 @@ FL = f"""fl AS (SELECT recipe, seed, vec_id AS id, label, list_transform(range(1
 
 def scored(spark, sf) -> DataFrame:
     """Predictions from the logits at a fixed temperature."""
-    p = fold_logits(spark, sf).withColumn("probs", softmax(F.col("z"), T_FIX))
+    p = once(fold_logits(spark, sf), probs=softmax(F.col("z"), T_FIX))
     ranked = F.transform(F.slice(F.sort_array(F.transform("probs", lambda x, i: F.struct(x.alias("x"), (-i).alias("i"))), asc=False), 1, 3),
                          lambda e: -e["i"])
-    p = p.withColumn("top3", ranked).withColumn("conf", F.array_max("probs")).withColumn("pred", F.col("top3")[0])
+    p = once(p, top3=ranked).withColumn("conf", F.array_max("probs")).withColumn("pred", F.col("top3")[0])
     return p.withColumn("ok", is_correct(F.col("label"), F.col("pred"), META)).withColumn("sens", is_sensitive(F.col("pred"), META))
 
 
@@ -75,10 +76,10 @@ def pairs(spark, sf) -> DataFrame:
         F.struct((F.col("from_conv") - 1).alias("conv_id"), F.lit(False).alias("related"))))
     p = later.select("*", both.alias("b")).select("turn", "message", "b.*").join(first.drop("first_turn"), "conv_id")
     a, b = F.array_distinct(tokens(F.col("task"))), F.array_distinct(tokens(F.col("message")))
-    p = p.withColumn("ta", a).withColumn("tb", b).withColumn("shared", F.size(F.array_intersect("ta", "tb")))
+    p = once(p, ta=a, tb=b).withColumn("shared", F.size(F.array_intersect("ta", "tb")))
     ga, gb = char_ngrams(F.lower("task"), 2), char_ngrams(F.lower("message"), 2)
     lang = table(spark, sf, "documents").select(F.col("doc_id").alias("conv_id"), "lang")
-    return p.withColumn("ga", ga).withColumn("gb", gb).join(lang, "conv_id").select(
+    return once(p, ga=ga, gb=gb).join(lang, "conv_id").select(
         F.concat_ws("-", "conv_id", "turn", F.when(F.col("related"), "r").otherwise("u")).alias("id"), "conv_id", "lang", "task", "message",
         "related", "user_turns", F.size(tokens(F.col("message"))).alias("words"),
         (F.col("shared") * 0.25).alias("bm25"), (F.col("shared") / F.sqrt(F.size("ta") * F.size("tb"))).alias("cos"),

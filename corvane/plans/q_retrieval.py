@@ -8,12 +8,12 @@ from ..functions.text import norm_key_plain
 from ..operators import calibrate as C
 from ..operators import retrieval as R
 from ..operators import vectors as V
-from .base import query, sql_key, table
+from .base import query, spread, sql_key, table
 from .q_vectors import E_SQL, SIM, emb
 
 
 def tasks(spark, sf):
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang", "text")
+    return spread(table(spark, sf, "documents"), "doc_id").select(F.col("doc_id").alias("id"), "lang", "text")
 
 
 def catalogue(spark, sf):
@@ -50,7 +50,8 @@ SIG = f"""{LEX}, {BIG}, mx AS (SELECT id, max(bm25) AS top FROM lex GROUP BY id)
 
 @query("r1_bm25", f"WITH {LEX} SELECT id, pos, round(bm25,9) AS bm25, round(cos,9) AS cos FROM lex")
 def r1(spark, sf):
-    return R.lexical_scores(tasks(spark, sf), catalogue(spark, sf)).select("id", "pos", *r9("bm25", "cos"))
+    long = R.long_form(R.lexical_scores(tasks(spark, sf), catalogue(spark, sf)), ["bm25", "cos"])
+    return long.filter("bm25 > 0").select("id", "pos", *r9("bm25", "cos"))
 
 
 @query("r2_bigram_overlap", f"WITH {SIG} SELECT id, round(max(bigram),9) AS best, round(sum(bigram),6) AS total, count_if(gold)::INT AS n_gold FROM sg GROUP BY id")

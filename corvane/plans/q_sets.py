@@ -10,7 +10,7 @@ from ..operators import labels as L
 from ..operators import splits as X
 from ..operators import text as O
 from .base import (CAND, ITEMS, LABELS, META, PREDS, RUN2, RUNS, candidates_and_refs, items, judge_log, preds, query,
-                   runs, second_run, sql_hint, sql_hunit, sql_judge, sql_ok, table)
+                   runs, second_run, spread, sql_hint, sql_hunit, sql_judge, sql_ok, table)
 from .q_text import PRE, SQL_TOOLS, SUF, tools
 
 # --- joins ---------------------------------------------------------------------------------
@@ -156,7 +156,7 @@ SQL_NGRAM = """g AS (SELECT id, unnest(list_distinct(list_transform(range(1,grea
 
 
 def ngram_near(spark, sf):
-    d = table(spark, sf, "documents").withColumnRenamed("doc_id", "id").select("id", "text")
+    d = spread(table(spark, sf, "documents"), "doc_id").withColumnRenamed("doc_id", "id").select("id", "text")
     lab = table(spark, sf, "labels").select(F.col("doc_id").alias("id"))
     return D.near_dup_ngram(d.join(lab, "id", "left_anti"), d.join(lab, "id"), "id", "text", 0.6)
 

@@ -4,13 +4,14 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.hashing import in_train_half
+from ..functions.once import once
 from ..functions.rules import is_correct
 from ..operators import text as O
-from .base import META, PREDS, items, preds, query, sql_hint, sql_hunit, sql_key, sql_ok, table
+from .base import META, PREDS, items, preds, query, spread, sql_hint, sql_hunit, sql_key, sql_ok, table
 
 
 def docs(spark, sf):
-    return table(spark, sf, "documents").withColumnRenamed("doc_id", "id")
+    return spread(table(spark, sf, "documents"), "doc_id").withColumnRenamed("doc_id", "id")
 
 
 @query("p1_norm_key_nfkc", r"SELECT doc_id AS id, md5(regexp_replace(lower(text),'[^\p{L}\p{N}]+','','g')) AS key_md5 FROM documents")
@@ -207,7 +208,7 @@ def sql_grams(s, n):
 @query("p21_char_ngrams", f"""SELECT id, len(g)::INT AS n_grams, md5(array_to_string(list_sort(g),'')) AS grams_md5 FROM
  (SELECT doc_id AS id, {sql_grams('s', 3)} AS g FROM (SELECT doc_id, {SQL_SQUEEZED} AS s FROM documents))""")
 def p21(spark, sf):
-    g = docs(spark, sf).select("id", T.char_ngrams(T.squeezed(F.col("text")), 3).alias("g"))
+    g = once(docs(spark, sf).select("id", T.squeezed(F.col("text")).alias("s")), g=T.char_ngrams(F.col("s"), 3))
     return g.select("id", F.size("g").alias("n_grams"), F.md5(F.array_join(F.array_sort("g"), "")).alias("grams_md5"))
 
 
