@@ -265,23 +265,36 @@ def ndcg_mrr_at(df: DataFrame, rank: str, k: int = 10, by=()) -> DataFrame:
         F.avg(F.when(r <= k, 1 / r).otherwise(0.0)).alias("mrr"))
 
 
-def prune_hopeless(df: DataFrame, base: float, wl: float, wb: float, thr: float) -> DataFrame:
-    """Keeps only the candidates that reach thr under the loosest weights of a sweep, so that a
-    sweep does not score the others again and again. Exact: the dropped ones are never selected."""
-    idx = F.transform("bm25", lambda b, i: F.struct(i.alias("i"), b.alias("b"), F.get(F.col("bigram"), i).alias("g"), F.get(F.col("cos"), i).alias("c")))
-    live = F.filter(idx, lambda x: F.greatest(wl * x["b"], wb * x["g"], x["c"] - base) >= thr)
-    return once(df, live=live).drop("bm25", "bigram", "cos")
-
-
 def baseline_sweep(df: DataFrame, grid: list[dict], thr=0.15, k=5) -> DataFrame:
-    """F1 and hits at each (wl, wb, base)."""
-    loose = [max(p["wl"] for p in grid), max(p["wb"] for p in grid), min(p["base"] for p in grid)]
-    rows = prune_hopeless(df, loose[2], loose[0], loose[1], thr).withColumn("p", F.explode(grid_column(grid)))
+    """Pooled counts and F1 of fuse_max_select at each (wl, wb, base).
 
-    def value(x):
-        return F.greatest(F.col("p.wl") * x["b"], F.col("p.wb") * x["g"], F.greatest(F.lit(0.0), x["c"] - F.col("p.base")))
-
-    scored = F.transform("live", lambda x: F.struct((-value(x)).alias("s"), x["i"].alias("i")))
-    kept = F.slice(F.array_sort(F.filter(scored, lambda x: -x["s"] >= thr)), 1, k)
-    rows = once(rows, selected=F.transform(kept, lambda x: x["i"]))
-    return micro_prf(rows.select("gold", "selected", "p.wl", "p.wb", "p.base"), by=["wl", "wb", "base"])
+    Nothing is sorted: of each batch only the number of candidates over the threshold and the
+    places of the gold ones are needed, and a task sends one row of counts per batch and point.
+    """
+    points = np.array([[p["wl"], p["wb"], p["base"]] for p in grid])
+
+    def count(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            bm, bi, cos = (np.stack(pdf[c].to_numpy()) for c in ("bm25", "bigram", "cos"))
+            row, g = _ragged(pdf["gold"])
+            g = g.astype(int)
+            cand = np.arange(bm.shape[1])
+            out = np.zeros((len(points), 5))
+            for i, (wl, wb, base) in enumerate(points):
+                sc = np.maximum(np.maximum(wl * bm, wb * bi), np.maximum(0.0, cos - base))
+                chosen = np.minimum((sc >= thr).sum(1), k)
+                own = sc[row, g]
+                ahead = (sc[row] > own[:, None]) | ((sc[row] == own[:, None]) & (cand[None, :] < g[:, None]))
+                place = ahead.sum(1)
+                tp = ((own >= thr) & (place < k)).sum()
+                out[i] = tp, chosen.sum() - tp, len(g) - tp, ((own >= thr) & (place == 0)).sum(), (chosen == 0).sum()
+            yield pd.DataFrame({"wl": points[:, 0], "wb": points[:, 1], "base": points[:, 2], "n": len(pdf),
+                                **{c: out[:, j].astype(int) for j, c in enumerate(("tp", "fp", "fn", "hit", "none"))}})
+
+    counts = df.select("bm25", "bigram", "cos", "gold").mapInPandas(
+        count, "wl double, wb double, base double, n bigint, tp bigint, fp bigint, fn bigint, hit bigint, none bigint")
+    total = counts.groupBy("wl", "wb", "base").agg(*[F.sum(c).alias(c) for c in ("n", "tp", "fp", "fn", "hit", "none")])
+    return total.withColumn("hit1", F.col("hit") / F.col("n")).withColumn("empty", F.col("none") / F.col("n")).withColumn(
+        "f1", ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))).drop("hit", "none")
