@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.once import once
 from ..functions.ranking import exact_percentiles
 from ..functions.text import packed_ngrams, squeezed
 from .joins import union_refs
@@ -123,28 +124,27 @@ def near_dup_ngram(q: DataFrame, ref: DataFrame, row_id: str, text: str, t: floa
         .groupBy("q_rep", "r_rep").agg(F.count("*").alias("c"), F.first(least).alias("least"))
         .filter("c >= least").select("q_rep", "r_rep")
     )
-    sized = (
+    both = (
         cand.join(q_sets.select(F.col("rep").alias("q_rep"), F.col("grams").alias("qg")), "q_rep")
         .join(r_sets.select(F.col("rep").alias("r_rep"), F.col("grams").alias("rg")), "r_rep")
-        .withColumn("inter", F.size(F.array_intersect("qg", "rg")))
-        .withColumn("jac", F.col("inter") / (F.size("qg") + F.size("rg") - F.col("inter")))
-        .filter(F.col("jac") > t)
-        .select("q_rep", "r_rep", "jac")
+        .select("q_rep", "r_rep", F.size("qg").alias("qn"), F.size("rg").alias("rn"), "qg", "rg")
     )
-    r_first = r_members.groupBy("rep").agg(F.min("id").alias("r_id"))
+    sized = once(both, inter=F.size(F.array_intersect("qg", "rg"))).withColumn(
+        "jac", F.col("inter") / (F.col("qn") + F.col("rn") - F.col("inter"))).filter(F.col("jac") > t)
     best = (
-        sized.join(r_first.withColumnRenamed("rep", "r_rep"), "r_rep")
-        .groupBy("q_rep").agg(F.max(F.struct("jac", (-F.col("r_id")).alias("neg"))).alias("b"))
-        .select("q_rep", F.col("b.jac").alias("max_jac"), (-F.col("b.neg")).alias("nn_jac"))
+        sized.groupBy("q_rep").agg(F.max(F.struct("jac", (-F.col("r_rep")).alias("neg"))).alias("b"))
+        .select(F.col("q_rep").alias("rep"), F.col("b.jac").alias("max_jac"), (-F.col("b.neg")).alias("nn_jac"))
     )
-    return q_members.join(best, q_members["rep"] == best["q_rep"]).select("id", "max_jac", "nn_jac")
+    return best.join(q_sets.select("rep", "sign"), "rep").join(q_members, "sign").select("id", "max_jac", "nn_jac")
 
 
 def _collapse(sets: DataFrame):
-    """Representatives of equal gram sets, and every row's representative (the set's hash)."""
-    keyed = sets.withColumn("rep", F.sha2(F.array_join(F.array_sort("grams"), ","), 256))
-    reps = keyed.groupBy("rep").agg(F.first("grams").alias("grams"))
-    return reps, keyed.select("id", "rep")
+    """(sign, rep, grams), one per set of equal gram sets: its hash, the least row id that has
+    it, and the grams; and (id, sign) of every row."""
+    keyed = once(sets, grams=F.array_sort("grams"))
+    keyed = keyed.withColumn("sign", F.sha2(F.array_join("grams", ","), 256))
+    reps = keyed.groupBy("sign").agg(F.min("id").alias("rep"), F.first("grams").alias("grams"))
+    return reps, keyed.select("id", "sign")
 
 
 def _prefix(sets: DataFrame, freq: DataFrame, t: float) -> DataFrame:
