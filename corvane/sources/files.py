@@ -25,32 +25,31 @@ def read_jsonl_lenient(spark: SparkSession, paths, schema: str):
     return good, bad
 
 
-def scan_with_provenance(spark: SparkSession, paths, schema: str, tag_pattern: str) -> DataFrame:
-    """Line JSON with `tag` cut from the file path and `line_no`, the 0-based line in its file.
+def numbered_lines(reader, paths) -> DataFrame:
+    """(file, line_no, value): text lines with their 0-based number in their file.
 
     A long file is read as several splits; a line's number is its place in its split plus
     the lines of the file's earlier splits, so no task sees more than one split.
     """
-    lines = spark.read.text(paths).select(
+    lines = reader.text(paths).select(
         "value",
-        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("_at"),
         F.monotonically_increasing_id().alias("_seq"),
     )
-    per_split = lines.groupBy("_file", "_at").agg(F.count("*").alias("_n"))
-    before = W.partitionBy("_file").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
+    per_split = lines.groupBy("file", "_at").agg(F.count("*").alias("_n"))
+    before = W.partitionBy("file").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
     starts = per_split.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    place = F.row_number().over(W.partitionBy("_file", "_at").orderBy("_seq")) - 1
-    return (
-        lines.withColumn("_place", place)
-        .join(starts, ["_file", "_at"])
-        .select(
-            F.regexp_extract("_file", tag_pattern, 1).alias("tag"),
-            (F.col("_start") + F.col("_place")).alias("line_no"),
-            F.from_json("value", schema).alias("r"),
-        )
-        .select("tag", "line_no", "r.*")
-    )
+    place = F.row_number().over(W.partitionBy("file", "_at").orderBy("_seq")) - 1
+    return lines.withColumn("_place", place).join(starts, ["file", "_at"]).select(
+        "file", (F.col("_start") + F.col("_place")).alias("line_no"), "value")
+
+
+def scan_with_provenance(spark: SparkSession, paths, schema: str, tag_pattern: str) -> DataFrame:
+    """Line JSON with `tag` cut from the file path and `line_no`."""
+    return numbered_lines(spark.read, paths).select(
+        F.regexp_extract("file", tag_pattern, 1).alias("tag"), "line_no", F.from_json("value", schema).alias("r")
+    ).select("tag", "line_no", "r.*")
 
 
 def read_vectors(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:

@@ -1,135 +1,106 @@
 """Keyed vector files: `<name>.keys` (one key per line) beside `<name>.f32` (little-endian floats)."""
 
+import os
+
 import numpy as np
 import pandas as pd
-from pyarrow import fs
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-
-
-def _open(path: str):
-    """The file system a path lives on, and the path inside it."""
-    if "://" not in path and not path.startswith("file:"):
-        return fs.LocalFileSystem(), path
-    return fs.FileSystem.from_uri(path)
-
-
-class _Rows(InputPartition):
-    def __init__(self, stem, first, count, key_at):
-        self.stem, self.first, self.count, self.key_at = stem, first, count, key_at
-
-
-class KeyedF32Reader(DataSourceReader):
-    """Each partition is a range of rows: a byte range of the .f32 file and the byte
-    where its keys start in the .keys file."""
-
-    def __init__(self, options):
-        self.path = options["path"]
-        self.dim = int(options["dim"])
-        self.rows = int(options.get("rowsPerPartition", 262144))
-
-    def partitions(self):
-        store, root = _open(self.path)
-        sizes = {i.path: i.size for i in store.get_file_info(fs.FileSelector(root))}
-        parts = []
-        for path in sorted(sizes):
-            if not path.endswith(".f32"):
-                continue
-            stem = path[:-4]
-            n = sizes[path] // (4 * self.dim)
-            at, row = 0, 0
-            with store.open_input_stream(stem + ".keys") as stream:
-                for line in _lines(stream):
-                    if row % self.rows == 0:
-                        parts.append(_Rows(stem, row, min(self.rows, n - row), at))
-                    at += line
-                    row += 1
-            if row != n:
-                raise ValueError(f"{stem}: {row} keys for {n} vectors")
-        return parts
-
-    def read(self, part):
-        import pyarrow as pa
-
-        store, _ = _open(self.path)
-        with store.open_input_file(part.stem + ".f32") as f:
-            f.seek(part.first * 4 * self.dim)
-            flat = np.frombuffer(f.read(part.count * self.dim * 4), "<f4")
-        keys = []
-        with store.open_input_file(part.stem + ".keys") as f:
-            f.seek(part.key_at)
-            rest = b""
-            while len(keys) < part.count:
-                lines = (rest + f.read(1 << 20)).split(b"\n")
-                rest = lines.pop()
-                keys.extend(k.decode() for k in lines)
-        keys = keys[:part.count]
-        step = 8192
-        for i in range(0, part.count, step):
-            block = flat[i * self.dim:(i + step) * self.dim]
-            offsets = np.arange(0, len(block) + 1, self.dim, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[i:i + step]),
-                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(block))],
-                names=["key", "vec"],
-            )
-
-
-def _lines(stream):
-    """Byte length of each line of a stream, read in pieces."""
-    open_len = 0
-    while piece := stream.read(1 << 20):
-        ends = np.flatnonzero(np.frombuffer(piece, np.uint8) == 10)
-        last = -1
-        for e in ends:
-            yield open_len + int(e) - last
-            open_len, last = 0, int(e)
-        open_len += len(piece) - 1 - last
-
-
-class KeyedF32Source(DataSource):
-    @classmethod
-    def name(cls):
-        return "keyed_f32"
-
-    def schema(self):
-        return "key string, vec array<float>"
-
-    def reader(self, schema):
-        return KeyedF32Reader(self.options)
-
-
-def read_keyed_f32(spark, path: str, dim: int, rows_per_partition: int = 262144) -> DataFrame:
-    spark.dataSource.register(KeyedF32Source)
-    return (
-        spark.read.format("keyed_f32").option("dim", dim)
-        .option("rowsPerPartition", rows_per_partition).load(path)
-    )
+
+from .files import numbered_lines
+
+
+def _plain(path: str) -> str | None:
+    """The path on a mounted folder, or None for one behind another file system."""
+    if path.startswith("file:"):
+        return "/" + path[5:].lstrip("/")
+    return None if "://" in path else path
+
+
+def _open(path: str, mode: str):
+    local = _plain(path)
+    if local is not None:
+        return open(local, mode)
+    from pyarrow import fs
+
+    store, inner = fs.FileSystem.from_uri(path)
+    return store.open_input_file(inner) if mode == "rb" else store.open_output_stream(inner)
+
+
+def _move(src: str, dst: str) -> None:
+    local = _plain(src)
+    if local is not None:
+        os.replace(local, _plain(dst))
+        return
+    from pyarrow import fs
+
+    store, inner = fs.FileSystem.from_uri(src)
+    store.move(inner, fs.FileSystem.from_uri(dst)[1])
+
+
+def read_keyed_f32(spark: SparkSession, path: str, dim: int, rows_per_range: int = 262144) -> DataFrame:
+    """(key, vec). The vectors are read as byte ranges of the .f32 files, the keys as numbered
+    lines of the .keys files; the two meet on (file, row number). A file with more vectors than
+    keys, or fewer, is an error."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.f32").load(path).select(
+        F.col("path").alias("file"), (F.col("length") / (4 * dim)).cast("bigint").alias("n"))
+    ranges = files.filter("n > 0").select("file", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(rows_per_range))).alias("first"))
+
+    def load(batches):
+        for b in batches:
+            for file, n, first in zip(*(b.column(c).to_pylist() for c in ("file", "n", "first"))):
+                count = min(rows_per_range, n - first)
+                with _open(file, "rb") as f:
+                    f.seek(first * 4 * dim)
+                    flat = np.frombuffer(f.read(count * 4 * dim), "<f4")
+                for i in range(0, count, 8192):
+                    block = flat[i * dim:(i + 8192) * dim]
+                    rows = len(block) // dim
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([file[:-4]] * rows), pa.array(np.arange(first + i, first + i + rows)),
+                         pa.ListArray.from_arrays(pa.array(np.arange(0, len(block) + 1, dim, dtype=np.int32)), pa.array(block))],
+                        names=["stem", "row_no", "vec"])
+
+    vecs = ranges.repartition("file", "first").mapInArrow(load, "stem string, row_no bigint, vec array<float>")
+    lines = numbered_lines(spark.read.option("pathGlobFilter", "*.keys"), path)
+    keys = lines.select(F.regexp_replace("file", r"\.keys$", "").alias("stem"), F.col("line_no").alias("row_no"), F.col("value").alias("key"))
+    # listings name local files as file:/x or file:///x
+    def same(df):
+        return df.withColumn("stem", F.regexp_replace("stem", "^file:/+", "/"))
+
+    joined = same(vecs).join(same(keys), ["stem", "row_no"], "full")
+    both = F.col("key").isNotNull() & F.col("vec").isNotNull()
+    complain = F.raise_error(F.concat(F.lit("keys and vectors differ in number: "), F.col("stem")))
+    return joined.select(F.when(both, F.col("key")).otherwise(complain).alias("key"), "vec")
 
 
 def write_keyed_f32(df: DataFrame, path: str, key: str, vec: str) -> int:
     """One pair of files per partition in a shared folder. A file is renamed into place when
     complete and named by its partition, so a repeated task overwrites its own output."""
-    store, root = _open(path)
-    store.create_dir(root, recursive=True)
+    local = _plain(path)
+    if local is not None:
+        os.makedirs(local, exist_ok=True)
+    else:
+        from pyarrow import fs
+
+        store, inner = fs.FileSystem.from_uri(path)
+        store.create_dir(inner, recursive=True)
 
     def write(batches):
         from pyspark import TaskContext
 
         ctx = TaskContext.get()
-        store, root = _open(path)
-        stem = f"{root}/part-{ctx.partitionId():06d}"
-        tmp = f"{root}/_tmp-{ctx.taskAttemptId()}"
+        stem, tmp = f"{path}/part-{ctx.partitionId():06d}", f"{path}/_tmp-{ctx.taskAttemptId()}"
         n = 0
-        with store.open_output_stream(tmp + ".k") as keys, store.open_output_stream(tmp + ".v") as vals:
+        with _open(tmp + ".k", "wb") as keys, _open(tmp + ".v", "wb") as vals:
             for pdf in batches:
                 keys.write("".join(f"{k}\n" for k in pdf["k"]).encode())
                 if len(pdf):
                     vals.write(np.stack(pdf["v"].to_numpy()).astype("<f4").tobytes())
                 n += len(pdf)
-        store.move(tmp + ".k", stem + ".keys")
-        store.move(tmp + ".v", stem + ".f32")
+        _move(tmp + ".k", stem + ".keys")
+        _move(tmp + ".v", stem + ".f32")
         yield pd.DataFrame({"n": [n]})
 
     chosen = df.select(F.col(key).cast("string").alias("k"), F.col(vec).alias("v"))

@@ -48,7 +48,7 @@ def test_keyed_vector_files_in_row_ranges(spark):
     df, x = vecs(spark, 50)
     path = scratch_path(spark, "kv")
     assert write_keyed_f32(df, path, "id", "vec") == 50
-    got = {int(r["key"]): r["vec"] for r in read_keyed_f32(spark, path, 8, rows_per_partition=3).collect()}
+    got = {int(r["key"]): r["vec"] for r in read_keyed_f32(spark, path, 8, rows_per_range=3).collect()}
     assert len(got) == 50 and all(np.array_equal(np.float32(got[i]), x[i]) for i in range(50))
 
 
