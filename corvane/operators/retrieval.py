@@ -18,6 +18,7 @@ from ..functions.rules import grid_column, ratio
 from ..functions.text import packed_ngrams, tokens
 
 CATALOGUE_LIMIT = 1000
+POSTING_LIMIT = 2_000_000
 K1, B = 1.2, 0.75
 
 
@@ -71,7 +72,9 @@ def _postings(entry: np.ndarray, pos: np.ndarray, vals: np.ndarray, size: int, n
 def term_postings(cat: DataFrame) -> tuple[DataFrame, Postings]:
     """The catalogue's terms (term, entry), and its postings with each term's Okapi weight and
     its share of the candidate's term-count vector."""
-    tf = _term_counts(cat, "pos").toPandas().sort_values(["term", "pos"])
+    tf = _term_counts(cat, "pos").limit(POSTING_LIMIT + 1).toPandas().sort_values(["term", "pos"])
+    if len(tf) > POSTING_LIMIT:
+        raise ValueError(f"catalogue texts give more than {POSTING_LIMIT} postings")
     vocab, entry = np.unique(tf["term"].to_numpy(dtype=object), return_inverse=True)
     pos, n = tf["pos"].to_numpy(), cat.count()
     count = tf["tf"].to_numpy(dtype=float)
@@ -121,7 +124,9 @@ def lexical_scores(tasks: DataFrame, cat: DataFrame) -> DataFrame:
 
 def overlap_scores(df: DataFrame, cat: DataFrame, text: str, n: int = 2, out: str = "bigram") -> DataFrame:
     """Adds the Jaccard overlap of character n-grams with every candidate, as an array."""
-    grams = cat.select("pos", F.explode(packed_ngrams(F.lower("text"), n)).alias("g")).toPandas()
+    grams = cat.select("pos", F.explode(packed_ngrams(F.lower("text"), n)).alias("g")).limit(POSTING_LIMIT + 1).toPandas()
+    if len(grams) > POSTING_LIMIT:
+        raise ValueError(f"catalogue texts give more than {POSTING_LIMIT} postings")
     vocab, entry = np.unique(grams["g"].to_numpy(), return_inverse=True)
     pos = grams["pos"].to_numpy()
     n_cand = int(pos.max()) + 1 if len(pos) else 0
