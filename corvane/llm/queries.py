@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
 from .common import LOWER, UPPER, table
 from .exact_dedup import exact_groups
+from .packing import pack
+from .token_cache import count_tokens
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -28,3 +32,15 @@ def op10(spark, sf):
     rows = exact_groups(table(spark, sf, "documents"))
     return rows.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept",
                        F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+@query("op4_token_counts")
+def op4(spark, sf):
+    counts = count_tokens(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"),
+                          scratch_path(spark, "token-cache"))
+    return counts.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
+@query("op7_packing")
+def op7(spark, sf):
+    return pack(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json")).withColumnRenamed("id", "doc_id")
