@@ -9,11 +9,15 @@
 The local rows are written once with a key of their own; the later stages carry lists of those
 keys, never document ids, so what a group holds is bounded by the number of partitions. Answers
 go back along the keys: a join on unique keys, with no hot side.
+
+Contents travel packed. Packing is one-to-one, so different contents never compare as equal; equal
+ones compare as equal as long as all workers run the same library, as Spark's workers do.
 """
 
 from __future__ import annotations
 
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,13 +37,13 @@ def lower_az(text: str | None) -> bytes:
 def _local(digest, max_bytes):
     def run(batches):
         base, made = TaskContext.get().partitionId() << 40, 0
-        groups = Combiner(digest, max_bytes)
+        groups, packed = Combiner(digest, max_bytes), zstandard.ZstdCompressor(level=3).compress
 
         def flush():
             nonlocal made
             rows = list(groups.take())
             for i in range(0, len(rows), 2000):
-                part = [(d, b, sorted(ids, key=lambda x: (x is None, -(x or 0)))) for d, b, ids in rows[i:i + 2000]]
+                part = [(d, packed(b), sorted(ids, key=lambda x: (x is None, -(x or 0)))) for d, b, ids in rows[i:i + 2000]]
                 keys = list(range(base + made, base + made + len(part)))
                 made += len(part)
                 yield pa.RecordBatch.from_arrays([
