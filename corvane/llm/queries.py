@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
+from . import bpe
 from .common import LOWER, UPPER, table
 from .exact_dedup import exact_groups
 from .packing import pack
@@ -41,6 +42,14 @@ def op4(spark, sf):
     return counts.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+@query("op6_byte_bpe")
+def op6(spark, sf):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    rows = bpe.decode(bpe.encode(table(spark, sf, "documents"), path), path)
+    return rows.select(F.col("id").alias("doc_id"), bpe.token_count(F.col("ids")).alias("n_tokens"),
+                       F.sha2("ids", 256).alias("ids_sha256"), F.sha2("body", 256).alias("decoded_sha256"))
+
+
 @query("op7_packing")
 def op7(spark, sf):
     return pack(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json")).withColumnRenamed("id", "doc_id")
