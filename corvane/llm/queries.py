@@ -9,6 +9,7 @@ from ..session import scratch_path
 from . import bpe
 from .common import LOWER, UPPER, table
 from .exact_dedup import exact_groups
+from .ngram_join import ngram_components
 from .packing import pack
 from .token_cache import count_tokens
 
@@ -26,6 +27,12 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op9_ngram_jaccard")
+def op9(spark, sf):
+    rows = ngram_components(table(spark, sf, "documents"), n=3, num=90, den=100)
+    return rows.select(F.col("id").alias("doc_id"), F.col("n_grams").alias("n_shingles"), "component_id")
+
+
 @query("op10_exact_dedup", f"""WITH t AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS norm FROM documents)
  SELECT doc_id, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
   row_number() OVER (PARTITION BY norm ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(norm) AS text_sha256 FROM t""")
