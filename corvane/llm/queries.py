@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import bpe
+from . import bpe, licenses, secrets
 from .common import LOWER, UPPER, table
 from .exact_dedup import exact_groups
 from .ngram_join import ngram_components
 from .packing import pack
+from .sql import licenses_sql, secrets_sql
 from .token_cache import count_tokens
 
 QUERIES: dict = {}
@@ -42,6 +43,19 @@ def op10(spark, sf):
                        F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+@query("op1_license_scans", licenses_sql())
+def op1(spark, sf):
+    return licenses.scan(table(spark, sf, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query("op5_secret_scans", secrets_sql())
+def op5(spark, sf):
+    rows = secrets.scan(table(spark, sf, "documents"))
+    counts = [secrets.count_kind("base", k).alias(f"n_{secrets.KINDS[k]}") for k in range(3)]
+    return rows.select(F.col("id").alias("doc_id"), *counts, F.sha2(secrets.span_text("base"), 256).alias("base_sha256"),
+                       secrets.span_text("spans").alias("spans"), "n_example", "n_live")
+
+
 @query("op4_token_counts")
 def op4(spark, sf):
     counts = count_tokens(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"),
