@@ -43,7 +43,7 @@ def spaced(text: Column) -> Column:
     matches as they are; the Kelvin sign, the only one that becomes an ASCII letter, is put aside
     first. (A capital I with a dot becomes i and a combining dot: not an ASCII word either.)
     """
-    low = F.lower(F.translate(text, "K", "å")) if False else F.lower(F.replace(text, F.lit("K"), F.lit("å")))
+    low = F.lower(F.replace(text, F.lit("\u212a"), F.lit("\u00e5")))
     words = F.trim(F.regexp_replace(low, DELIMITERS, "  "))
     return F.when(words == "", F.lit("")).otherwise(F.concat(F.lit(" "), words, F.lit(" ")))
 

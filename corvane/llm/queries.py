@@ -13,6 +13,7 @@ from .ngram_join import ngram_components
 from .packing import pack
 from .sql import licenses_sql, secrets_sql
 from .token_cache import count_tokens
+from .vector_index import near_duplicates
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -28,6 +29,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op8_embedding_near_dup")
+def op8(spark, sf):
+    return near_duplicates(table(spark, sf, "embeddings"), cosine=0.9).withColumnRenamed("id", "vec_id")
+
+
 @query("op9_ngram_jaccard")
 def op9(spark, sf):
     rows = ngram_components(table(spark, sf, "documents"), n=3, num=90, den=100)
