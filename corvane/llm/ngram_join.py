@@ -6,6 +6,7 @@ segments that fall into them; a pair's overlap is counted fragment by fragment a
 
 Which pairs to count:
 * Equal sets meet by digest and are one set from then on within a partition.
+* No pair's sets are fetched unless the pair's parity signatures allow the overlap it needs.
 * Sets with Jaccard >= t share one of their rarest |x| - ceil(t|x|) + 1 n-grams. The sets of such an
   n-gram form a bucket, and every set of it is first compared to one pivot (its least), so a bucket
   gives as many pairs as it has sets. Sizes and positions rule most of them out beforehand.
@@ -20,10 +21,10 @@ Hot buckets are dealt over salts, each with a pivot of its own, and the pivots m
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -32,15 +33,23 @@ from pyspark.sql import functions as F
 from .common import Combiner, columns, pieces, stored
 from .components import components
 
-SETS = "key long, digest binary, n long, min_id long, ids array<long>, body binary, counts array<long>"
+SETS = "key long, digest binary, n long, min_id long, ids array<long>, body binary, sig array<long>, counts array<long>"
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)
 BLOCK = 4096  # sets of a bucket that are compared at once
 HOT = 8192  # n-grams counted in a bucket from which it is dealt over salts
 
 
-@lru_cache(maxsize=500_000)
-def word_hash(word: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+class WordHashes(dict):
+    """word -> 64-bit hash, forgotten when it holds too many."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+HASHES = WordHashes()
 
 
 def ngrams(text: str, n: int) -> np.ndarray:
@@ -49,7 +58,7 @@ def ngrams(text: str, n: int) -> np.ndarray:
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(word_hash, words), np.uint64, len(words))
+    h = np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
     k = min(n, len(words))
     out = np.full(len(words) - k + 1, k, np.uint64)
     for i in range(k):
@@ -58,14 +67,22 @@ def ngrams(text: str, n: int) -> np.ndarray:
     return np.unique(out)
 
 
+def signature(grams: np.ndarray) -> list[int]:
+    """Parities of 1,024 groups of n-grams. Two sets differ in at least as many n-grams as their
+    signatures differ in bits, which rules a pair out without its sets."""
+    odd = np.bincount(((grams >> np.uint64(20)) & np.uint64(1023)).astype(np.int64), minlength=1024) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def _sets(n: int, bits: int, max_bytes: int):
     schema = pa.schema([("key", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), ("min_id", pa.int64()),
-                        ("ids", pa.list_(pa.int64())), ("body", pa.binary()), ("counts", pa.list_(pa.int64()))])
+                        ("ids", pa.list_(pa.int64())), ("body", pa.binary()), ("sig", pa.list_(pa.int64())),
+                        ("counts", pa.list_(pa.int64()))])
 
     def run(batches):
         base, made, counts = TaskContext.get().partitionId() << 40, 0, np.zeros(1 << bits, np.int64)
-        pack = zstandard.ZstdCompressor(level=6).compress
-        groups, bodies, held = Combiner(lambda b: b, max_bytes), {}, 0
+        pack = zstandard.ZstdCompressor(level=3).compress
+        groups, bodies, held, seen = Combiner(lambda b: b, max_bytes), {}, 0, []
 
         def flush():
             nonlocal made, bodies, held
@@ -78,7 +95,7 @@ def _sets(n: int, bits: int, max_bytes: int):
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([
                     keys, [d for d, _, _ in part], [bodies[d][0] for d, _, _ in part],
                     [min(k) if k else None for k in known], [ids for _, _, ids in part],
-                    [bodies[d][1] for d, _, _ in part], [None] * len(part)], schema)], schema=schema)
+                    [bodies[d][1] for d, _, _ in part], [bodies[d][2] for d, _, _ in part], [None] * len(part)], schema)], schema=schema)
             bodies, held = {}, 0
 
         for b in pieces(batches, 4 << 20):
@@ -87,14 +104,17 @@ def _sets(n: int, bits: int, max_bytes: int):
                 d = hashlib.sha256(grams.tobytes()).digest()
                 full = groups.add(row_id, d)
                 if d not in bodies:
-                    bodies[d] = (len(grams), pack(text.encode("utf-8", "surrogatepass")))
+                    bodies[d] = (len(grams), pack(text.encode("utf-8", "surrogatepass")), signature(grams))
                     held += len(bodies[d][1])
-                    np.add.at(counts, (grams >> np.uint64(64 - bits)).astype(np.int64), 1)
+                    seen.append(grams >> np.uint64(64 - bits))
                 if full or held > max_bytes:
                     yield from flush()
+            if seen:
+                counts += np.bincount(np.concatenate(seen).astype(np.int64), minlength=len(counts))
+                seen.clear()
         yield from flush()
         yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(
-            [None, None, None, None, None, None, counts], schema)], schema=schema)
+            [None, None, None, None, None, None, None, counts], schema)], schema=schema)
 
     return run
 
@@ -300,8 +320,17 @@ def ngram_components(df: DataFrame, row_id: str = "doc_id", text: str = "text",
     heads = tops.join(tops.groupBy("gram").agg(F.min("p").alias("top")), "gram").filter("p.key != top.key").filter(
         _may_link(F.col("p.n"), F.col("p.pos"), F.col("top.n"), F.col("top.pos"), num, den)).select(
         F.col("top.key").alias("pivot"), F.col("p.key").alias("key"))
-    star_pairs = stored(stars.union(heads).distinct().select(F.col("pivot").alias("a"), F.col("key").alias("b")), "ngram-pairs")
     sizes = full.select("key", "n")
+    marks = full.select("key", "n", "sig")
+
+    def plausible(pairs):
+        both = pairs.join(marks.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), "a").join(
+            marks.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b")
+        differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, v: acc + v)
+        least = F.ceil((F.col("na") + F.col("nb")) * num / (num + den) - 1e-9)
+        return both.filter(differ <= F.col("na") + F.col("nb") - 2 * least).select("a", "b")
+
+    star_pairs = stored(plausible(stars.union(heads).distinct().select(F.col("pivot").alias("a"), F.col("key").alias("b"))), "ngram-pairs")
 
     def linked(hits):
         both = hits.join(sizes.select(F.col("key").alias("a"), F.col("n").alias("na")), "a").join(
@@ -326,7 +355,7 @@ def ngram_components(df: DataFrame, row_id: str = "doc_id", text: str = "text",
                          "pos", "root", "pivot", F.coalesce("hits", F.lit(-1)).alias("hits"), "pivot_n")
     rest = dealt.repartition("gram", "lo", "hi").sortWithinPartitions("gram", "lo", "hi").mapInArrow(_across(num, den), "a long, b long")
     known = star_pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = stored(rest.distinct().join(known, ["a", "b"], "left_anti"), "ngram-rest")
+    rest = stored(plausible(rest.distinct().join(known, ["a", "b"], "left_anti")), "ngram-rest")
     more = linked(overlaps(rest, full, order, n, fragments))
     final = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
