@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import bpe, licenses, secrets
+from . import bpe, licenses, secrets, toxicity
 from .common import LOWER, UPPER, table
 from .exact_dedup import exact_groups
 from .ngram_join import ngram_components
@@ -62,6 +62,15 @@ def op5(spark, sf):
                        secrets.span_text("spans").alias("spans"), "n_example", "n_live")
 
 
+@query("op3_toxicity")
+def op3(spark, sf):
+    docs = table(spark, sf, "documents")
+    model = toxicity.train(docs, table(spark, sf, "labels"))
+    rows = docs.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"),
+                       toxicity.score_column(spark, model, F.col("text")).alias("score"))
+    return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 @query("op4_token_counts")
 def op4(spark, sf):
     counts = count_tokens(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"),
