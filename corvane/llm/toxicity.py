@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import columns, pieces, stored
+from .ngram_join import ngrams
 
 TOXIC, CLEAN = 3000, 7000  # labelled documents learnt from, at most
 FEATURES = 20_000  # words and beginnings kept, at most
@@ -30,8 +31,9 @@ LETTERS = 28  # a-z, any other letter, and 0 for a break
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i",
         "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
 JOINTS = ".-_*~/\\ "
-EDGE = ".,;:!?\"'()[]{}<>«»„“”…"
+EDGE = ".,;:!?\"'()[]{}<>«»„“”…*#&%_~"
 DISGUISED = re.compile(r"([^\W\d_])\1\1|[^\W\d_][0-9@$!|+(€£]+|[0-9@$|+(€£!]+[^\W\d_]|(?:[^\W_][.\-_*~/\\]){2,}[^\W_]")
+SURE = 4.5  # log odds from which one word may be enough
 KNOWN = 300_000  # tokens a worker remembers
 
 
@@ -144,12 +146,12 @@ def tokens(text: str) -> list[str]:
 class Model:
     lm: np.ndarray
     weights: dict = field(default_factory=dict)  # feature -> log odds
-    coef: tuple = (-20.0, 0.0)
+    coef: tuple = (-20.0, 0.0, 0.0, 0.0)
     known: dict = field(default_factory=dict)
 
     def readings(self, token: str) -> list[str]:
         spaced = " " in token
-        token = token if spaced else token.strip(EDGE)
+        token = token if spaced else token.lstrip(EDGE).rstrip(EDGE + "$|")
         if spaced or (len(token) < 40 and DISGUISED.search(token)):
             return [w for text in restore(token, self.lm) for w in text.split()]
         return [token]
@@ -163,31 +165,33 @@ class Model:
                 out.update("^" + w[:k] for k in (4, 5, 6) if len(w) >= k)
         return out
 
-    def of_text(self, text: str) -> set[str]:
-        out: set[str] = set()
+    def of_text(self, text: str) -> set[frozenset]:
+        """The features of each distinct token."""
+        out = set()
         for t in set(tokens(text)):
             f = self.known.get(t)
             if f is None:
                 if len(self.known) > KNOWN // 4:
                     self.known.clear()
                 f = self.known[t] = frozenset(self.features(t))
-            out |= f
+            out.add(f)
         return out
 
-    def evidence(self, text: str) -> float:
-        """The strongest weight among the text's features."""
-        best = 0.0
+    def evidence(self, text: str) -> tuple[float, float, float]:
+        """The two strongest weights among the text's distinct tokens, and what the first is over `SURE`."""
+        first = second = 0.0
         for t in set(tokens(text)):
             w = self.known.get(t)
             if w is None:
                 if len(self.known) > KNOWN:
                     self.known.clear()
                 w = self.known[t] = max((self.weights.get(f, 0.0) for f in self.features(t)), default=0.0)
-            best = max(best, w)
-        return best
+            if w > second:
+                first, second = max(first, w), min(first, w)
+        return first, second, max(0.0, first - SURE)
 
     def score(self, text: str) -> float:
-        z = self.coef[0] + self.coef[1] * self.evidence(text)
+        z = self.coef[0] + float(np.dot(self.coef[1:], self.evidence(text)))
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
@@ -209,6 +213,15 @@ def _odds(t, c, n_t, n_c, prior=2.0):
     return np.log((t + prior * p) / (c + prior * (1 - p))) - np.log(max(p, 1e-9) / max(1 - p, 1e-9))
 
 
+def _looks(batches):
+    """Two least hashes of a text's word triples. Near copies share them, other texts don't, so that copies of
+    one document are not taken for evidence from many."""
+    for b in batches:
+        sets = [ngrams(t, 3) for t in b.column(0).to_pylist()]
+        least = [[int((g * np.uint64(k)).view(np.int64).min()) if len(g) else 0 for g in sets] for k in (1, 0x9E3779B97F4A7C15)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, least)], names=["text", "y", "m1", "m2"])
+
+
 def _tally(model):
     def run(batches):
         m, seen = model.value, {}
@@ -222,7 +235,7 @@ def _tally(model):
 
         for b in pieces(batches, 1 << 20):
             for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for f in m.of_text(text):
+                for f in frozenset().union(*m.of_text(text)):
                     v = seen.setdefault(f, [0, 0])
                     v[0 if y else 1] += 1
             if len(seen) > 400_000:
@@ -234,7 +247,7 @@ def _tally(model):
 
 
 def _judged(model, counts, n_t, n_c):
-    """(label, strongest weight) of training documents, each without its own count."""
+    """(label, two strongest weights) of training documents, each without its own count."""
 
     def run(batches):
         m, table = model.value, counts.value
@@ -242,11 +255,12 @@ def _judged(model, counts, n_t, n_c):
         for b in pieces(batches, 1 << 20):
             rows = []
             for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                w = [_odds(t - y, c - (1 - y), n_t - y, n_c - (1 - y)) for f in m.of_text(text) if f in table for t, c in (table[f],)
-                     if t - y >= 2]
-                rows.append((int(y), float(max([0.0, *w]))))
-            y, a = zip(*rows)
-            yield pa.RecordBatch.from_arrays([pa.array(y, pa.int64()), pa.array(a)], names=["y", "a"])
+                w = [max((_odds(t - y, c - (1 - y), n_t - y, n_c - (1 - y)) for f in fs if f in table for t, c in (table[f],)
+                          if t - y >= 2), default=0.0) for fs in m.of_text(text)]
+                top = sorted([0.0, 0.0, *w])[-2:]
+                rows.append((int(y), float(top[1]), float(top[0])))
+            y, a, s = zip(*rows)
+            yield pa.RecordBatch.from_arrays([pa.array(y, pa.int64()), pa.array(a), pa.array(s)], names=["y", "a", "s"])
 
     return run
 
@@ -261,7 +275,9 @@ def train(df: DataFrame, labels: DataFrame, row_id: str = "doc_id", text: str =
     known = known.groupBy(F.col(f"`{row_id}`").cast("long").alias("id")).agg(F.max((F.col(f"`{label}`") > 0).cast("int")).alias("y"))
     first = [known.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(n) for y, n in ((1, TOXIC), (0, CLEAN))]
     chosen = F.broadcast(first[0].unionByName(first[1]))  # TOXIC + CLEAN rows at most
-    sample = stored(docs.join(chosen, "id").select("text", "y").repartition(24), "toxic-sample")
+    looks = docs.join(chosen, "id").select("text", "y").mapInArrow(_looks, "text string, y int, m1 long, m2 long")
+    apart = looks.dropDuplicates(["y", "m1"]).dropDuplicates(["y", "m2"])
+    sample = stored(apart.select("text", "y").repartition(24), "toxic-sample")
     sizes = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n_t, n_c = sizes.get(1, 0), sizes.get(0, 0)
     if not n_t or not n_c:
@@ -272,8 +288,9 @@ def train(df: DataFrame, labels: DataFrame, row_id: str = "doc_id", text: str =
     odds = F.log((F.col("t") + 1) / (n_t + 1)) - F.log((F.col("c") + 1) / (n_c + 1))
     best = tally.filter(odds > 1).orderBy((odds * F.sqrt("t")).desc(), "feature").limit(FEATURES).toArrow().to_pylist()
     table = {r["feature"]: (r["t"], r["c"]) for r in best}
-    judged = sample.mapInArrow(_judged(shared, spark.sparkContext.broadcast(table), n_t, n_c), "y long, a double").toArrow()
-    c = logistic(judged.column("a").to_numpy()[:, None], judged.column("y").to_numpy())
+    judged = sample.mapInArrow(_judged(shared, spark.sparkContext.broadcast(table), n_t, n_c), "y long, a double, s double").toArrow()
+    y, a, s = (judged.column(n).to_numpy() for n in ("y", "a", "s"))
+    c = logistic(np.column_stack([a, s, np.maximum(0, a - SURE)]), y)
     weights = {f: float(_odds(t, n, n_t, n_c)) for f, (t, n) in table.items() if t >= 3}
     return Model(model.lm, weights, tuple(float(v) for v in c))
 
