@@ -27,15 +27,16 @@ LETTERS = 64  # bytes from which a word is long
 BURST = 2_000_000  # state rows of one recursive query over long words
 
 SHORT = """WITH RECURSIVE state AS (
- SELECT word, pos, tok, lead(tok) OVER (PARTITION BY word ORDER BY pos) AS nxt, 0 AS step FROM start
+ SELECT word, pos, tok, lead(pos) OVER w AS npos, lead(tok) OVER w AS nxt, 0 AS step FROM start
+ WINDOW w AS (PARTITION BY word ORDER BY pos)
  UNION ALL (
- WITH best AS (SELECT word, min(rank::BIGINT * 65536 + pos) AS b FROM state JOIN merges ON tok = l AND nxt = r GROUP BY word),
- cut AS (SELECT s.word, s.pos, s.step + 1 AS step, CASE WHEN s.pos = b % 65536 THEN (b // 65536)::INT ELSE s.tok END AS tok,
-   lag(s.pos) OVER (PARTITION BY s.word ORDER BY s.pos) AS before, b % 65536 AS place FROM state s JOIN best USING (word))
- SELECT word, pos, tok, lead(tok) OVER (PARTITION BY word ORDER BY pos) AS nxt, step FROM cut
- WHERE before IS NULL OR before <> place))
-SELECT word, list(tok ORDER BY pos) AS ids FROM (SELECT *, max(step) OVER (PARTITION BY word) AS last FROM state)
-WHERE step = last GROUP BY word"""
+ WITH best AS (SELECT word, min(rank::BIGINT * 65536 + pos * 256 + npos) AS b FROM state JOIN merges ON tok = l AND nxt = r GROUP BY word),
+ pair AS (SELECT word, (b // 65536)::INT AS made, b // 256 % 256 AS one, b % 256 AS two FROM best),
+ gone AS (SELECT p.*, s.npos, s.nxt FROM state s JOIN pair p ON s.word = p.word AND s.pos = p.two)
+ SELECT s.word, s.pos, CASE WHEN s.pos = one THEN made ELSE s.tok END AS tok, CASE WHEN s.pos = one THEN g.npos ELSE s.npos END AS npos,
+  CASE WHEN s.pos = one THEN g.nxt WHEN s.npos = one THEN made ELSE s.nxt END AS nxt, s.step + 1 AS step
+ FROM state s JOIN gone g USING (word) WHERE s.pos <> two))
+SELECT word, tok FROM state SEMI JOIN (SELECT word, max(step) AS step FROM state GROUP BY word) USING (word, step) ORDER BY word, pos"""
 
 LONG = """WITH RECURSIVE state AS (
  SELECT word, pos, tok, 0 AS step FROM start
@@ -94,18 +95,21 @@ class Codec:
         self.table("start", word=np.repeat(np.arange(len(tokens), dtype=np.int32), sizes), tok=np.concatenate(tokens),
                    pos=(np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32))
 
-    def contract(self, words: list[bytes]) -> list[np.ndarray]:
-        """The ids of each word; a word that is itself a token is that token."""
-        out: list = [np.array([self.ranks[w]], np.int32) if w in self.ranks else None for w in words]
+    def contract(self, words: list[bytes]) -> list[bytes]:
+        """The packed ids of each word; a word that is itself a token is that token."""
+        out: list = [np.uint32(self.ranks[w]).tobytes() if w in self.ranks else None for w in words]
         todo = [i for i, w in enumerate(words) if out[i] is None and len(w) < LETTERS]
         for at in range(0, len(todo), 50_000):
             part = todo[at:at + 50_000]
             self.start([self.letter[np.frombuffer(words[i], np.uint8)] for i in part])
-            for word, ids in self.con.execute(SHORT).fetchall():
-                out[part[word]] = ids
+            found = self.con.execute(SHORT).fetchnumpy()
+            word, flat = found["word"], found["tok"].astype("<u4").tobytes()
+            first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+            for w, i, j in zip(word[first].tolist(), (first * 4).tolist(), [*(first[1:] * 4).tolist(), len(flat)]):
+                out[part[w]] = flat[i:j]
         for i, w in enumerate(words):
             if out[i] is None:
-                out[i] = self.contract_long(self.letter[np.frombuffer(w, np.uint8)])
+                out[i] = np.asarray(self.contract_long(self.letter[np.frombuffer(w, np.uint8)]), "<u4").tobytes()
         return out
 
     def contract_long(self, ids: np.ndarray) -> np.ndarray:
@@ -122,8 +126,7 @@ class Codec:
         if len(self.known) + len(new) > WORDS:
             self.known = {}
             new = list({w for ws in split for w in ws})
-        for w, ids in zip(new, self.contract([w.encode() for w in new])):
-            self.known[w] = np.asarray(ids, "<u4").tobytes()
+        self.known.update(zip(new, self.contract([w.encode() for w in new])))
         get = self.known.__getitem__
         return [b"".join(map(get, ws)) for ws in split]
 
