@@ -11,6 +11,7 @@ from .common import LOWER, UPPER, table
 from .exact_dedup import exact_groups
 from .ngram_join import ngram_components
 from .packing import pack
+from .suffixes import repeated_passages
 from .sql import licenses_sql, secrets_sql
 from .token_cache import count_tokens
 from .vector_index import near_duplicates
@@ -62,6 +63,11 @@ def op5(spark, sf):
                        secrets.span_text("spans").alias("spans"), "n_example", "n_live")
 
 
+@query("op2_suffix_array_dedup")
+def op2(spark, sf):
+    return repeated_passages(table(spark, sf, "documents"), least=50).withColumnRenamed("id", "doc_id")
+
+
 @query("op3_toxicity")
 def op3(spark, sf):
     docs = table(spark, sf, "documents")
