@@ -69,14 +69,14 @@ def top_confusions(df: DataFrame, n: int, sensitive_only: bool = False) -> DataF
     return wrong.groupBy("label", "pred").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label", "pred").limit(n)
 
 
-def auc(df: DataFrame, score: str, positive: Column, by=(), weight: Column | None = None, span=None) -> DataFrame:
+def auc(df: DataFrame, score: str, positive: Column, by=(), weight: Column | None = None) -> DataFrame:
     """Mann-Whitney AUC per group, tied scores counting half; groups with one class only are
     left out. Rows are first counted per distinct score, so ties cost nothing and the
     running sums see each score once."""
     w = F.lit(1) if weight is None else weight
     per = df.groupBy(*by, score).agg(
         F.sum(F.when(positive, w).otherwise(0)).alias("pos"), F.sum(F.when(positive, 0).otherwise(w)).alias("neg"))
-    c = cumulate(per, by, score, ["pos", "neg"], span=span)
+    c = cumulate(per, by, score, ["pos", "neg"])
     won = F.col("pos") * (F.col("neg_before") + F.col("neg") / 2)
     return c.groupBy(*by).agg(
         F.first("pos_all").alias("n_pos"), F.first("neg_all").alias("n_neg"), F.sum(won).alias("_w")
@@ -90,9 +90,10 @@ def latency_percentiles(df: DataFrame, ms: str, slices: dict[str, Column]) -> Da
 
 
 # --- bootstrap -----------------------------------------------------------------------------
-# Running probabilities of a Poisson(1) variable, P(X <= k).
+# Running probabilities of a Poisson(1) variable, P(X <= k), as far as 32-bit draws tell them apart.
 POISSON1_CDF = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,
-                0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253]
+                0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253,
+                0.999998874797402, 0.9999998885745217, 0.9999999899522336, 0.9999999991683892, 0.9999999999364022]
 
 
 def poisson_weight(u: Column) -> Column:

@@ -305,7 +305,7 @@ def oof_table(logits: DataFrame, gold: DataFrame, temperature: float = 1.0) -> D
         "recipe", "seed", "fold", "id", "label", "pred", "conf")
 
 
-def train_logreg(df: DataFrame, c: float = 20.0, iterations: int = 50):
+def train_logreg(df: DataFrame, c: float = 20.0, iterations: int = 500):
     """Multinomial logistic regression on (vec, label); c weighs the data against the penalty."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector

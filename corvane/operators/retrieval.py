@@ -1,34 +1,33 @@
 """Scoring a catalogue of candidates for every task, fusing signals, ranking metrics.
 
-The catalogue is small (its size is checked) and the tasks are many. A task's scores are
-arrays with one entry per candidate, in catalogue order; selecting, ranking and counting hits
-then happen inside the row, and only the final counts are aggregated across rows.
+Tasks are many, and each has a score for every candidate: arrays with one entry per candidate, in
+catalogue order. All signals of a task come from one kernel over Arrow batches, cut so that a piece
+holds at most `CELLS` scores whatever the catalogue's size; nothing is shuffled. Selecting,
+ranking and counting hits happen inside the row, and only the final counts are aggregated across
+rows. The catalogue itself and its postings go to every task.
 """
 
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType
+from pyspark.sql.types import IntegerType
 
 from ..functions.once import let, once
 from ..functions.rules import grid_column, ratio
 from ..functions.text import packed_ngrams, tokens
 
-CATALOGUE_LIMIT = 1000
-POSTING_LIMIT = 2_000_000
+CELLS = 1 << 21  # scores of one kind held at once
 K1, B = 1.2, 0.75
 
 
-def numbered(catalogue: DataFrame, name: str, limit: int = CATALOGUE_LIMIT) -> DataFrame:
-    """The catalogue (name, text) as a small local table with `pos`, the place by name. It is
-    read once, with a check of its size, since it goes into every task."""
-    rows = catalogue.select(name, "text").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"catalogue has more than {limit} candidates")
-    rows = sorted(rows, key=lambda r: r[name])
+def numbered(catalogue: DataFrame, name: str) -> DataFrame:
+    """The catalogue (name, text) as a local table with `pos`, the place by name; read once."""
+    rows = sorted(catalogue.select(name, "text").collect(), key=lambda r: r[name])
     schema = catalogue.select(name, "text").schema.add("pos", IntegerType())
     return catalogue.sparkSession.createDataFrame([(*r, i) for i, r in enumerate(rows)], schema)
 
@@ -46,21 +45,24 @@ class Postings:
     vals: np.ndarray    # one column per value
     n_cand: int
 
-    def scores(self, rows: np.ndarray, entries: np.ndarray, weights: np.ndarray, n_rows: int) -> np.ndarray:
-        """Sums of weight * value over (row, entry) pairs: an array (column, row, candidate)."""
-        out = np.zeros((self.vals.shape[1], n_rows, self.n_cand))
+    def scores(self, rows: np.ndarray, entries: np.ndarray, weights: np.ndarray, n_rows: int, column: int) -> np.ndarray:
+        """Sums of weight * value over (row, entry) pairs, rows in order: a matrix (row, candidate)."""
+        out = np.zeros((n_rows, self.n_cand))
         step = 256
         for lo in range(0, n_rows, step):
             a, b = np.searchsorted(rows, [lo, lo + step])
             used, at = np.unique(entries[a:b], return_inverse=True)
-            x = np.zeros((min(step, n_rows - lo), len(used)))
-            np.add.at(x, (rows[a:b] - lo, at), weights[a:b])
-            counts = self.start[used + 1] - self.start[used]
-            flat = np.repeat(self.start[used] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
-            for c in range(len(out)):
-                m = np.zeros((len(used), self.n_cand))
-                m[np.repeat(np.arange(len(used)), counts), self.pos[flat]] = self.vals[flat, c]
-                out[c, lo:lo + step] = x @ m
+            wide = max(1, CELLS // max(1, self.n_cand))
+            for u in range(0, len(used), wide):
+                part = used[u:u + wide]
+                mine = (at >= u) & (at < u + wide)
+                x = np.zeros((min(step, n_rows - lo), len(part)))
+                np.add.at(x, (rows[a:b][mine] - lo, at[mine] - u), weights[a:b][mine])
+                counts = self.start[part + 1] - self.start[part]
+                flat = np.repeat(self.start[part] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
+                m = np.zeros((len(part), self.n_cand))
+                m[np.repeat(np.arange(len(part)), counts), self.pos[flat]] = self.vals[flat, column]
+                out[lo:lo + step] += x @ m
         return out
 
 
@@ -69,81 +71,109 @@ def _postings(entry: np.ndarray, pos: np.ndarray, vals: np.ndarray, size: int, n
     return Postings(np.searchsorted(entry[order], np.arange(size + 1)), pos[order], vals[order], n_cand)
 
 
-def term_postings(cat: DataFrame) -> tuple[DataFrame, Postings]:
-    """The catalogue's terms (term, entry), and its postings with each term's Okapi weight and
-    its share of the candidate's term-count vector."""
-    tf = _term_counts(cat, "pos").limit(POSTING_LIMIT + 1).toPandas().sort_values(["term", "pos"])
-    if len(tf) > POSTING_LIMIT:
-        raise ValueError(f"catalogue texts give more than {POSTING_LIMIT} postings")
+def term_postings(cat: DataFrame, n: int) -> tuple[pa.Array, Postings]:
+    """The catalogue's terms in order, and its postings with each term's Okapi weight and its share
+    of the candidate's term-count vector."""
+    tf = _term_counts(cat, "pos").toPandas().sort_values(["term", "pos"])
     vocab, entry = np.unique(tf["term"].to_numpy(dtype=object), return_inverse=True)
-    pos, n = tf["pos"].to_numpy(), cat.count()
+    pos = tf["pos"].to_numpy().astype(int)
     count = tf["tf"].to_numpy(dtype=float)
     dl = np.bincount(pos, count, n)
     df = np.bincount(entry)
     idf = np.log((n - df + 0.5) / (df + 0.5) + 1)[entry]
     filled = np.bincount(pos, minlength=n) > 0
-    weight = idf * count * (K1 + 1) / (count + K1 * (1 - B + B * dl[pos] / dl[filled].mean()))
+    mean = dl[filled].mean() if filled.any() else 1.0
+    weight = idf * count * (K1 + 1) / (count + K1 * (1 - B + B * dl[pos] / mean))
     unit = count / np.sqrt(np.bincount(pos, count ** 2, n))[pos]
-    terms = cat.sparkSession.createDataFrame([(t, i) for i, t in enumerate(vocab)], "term string, entry int")
-    return terms, _postings(entry, pos, np.stack([weight, unit], 1), len(vocab), n)
+    return pa.array(vocab.tolist(), pa.string()), _postings(entry, pos, np.stack([weight, unit], 1), len(vocab), n)
 
 
-def _ragged(s: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+def gram_postings(cat: DataFrame, n: int, size: int) -> tuple[np.ndarray, Postings, np.ndarray]:
+    """The catalogue's character n-grams in order, its postings, and the number of each candidate's grams."""
+    grams = cat.select("pos", F.explode(packed_ngrams(F.lower("text"), size)).alias("g")).toPandas()
+    vocab, entry = np.unique(grams["g"].to_numpy(), return_inverse=True)
+    pos = grams["pos"].to_numpy().astype(int)
+    return vocab, _postings(entry, pos, np.ones((len(pos), 1)), len(vocab), n), np.bincount(pos, minlength=n)
+
+
+def _ragged(column: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
     """Row numbers and values of a column of arrays."""
-    sizes = s.map(len).to_numpy()
-    return np.repeat(np.arange(len(s)), sizes), (np.concatenate(s.to_list()) if len(s) else np.zeros(0))
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(column)), sizes), column.flatten()
+
+
+def _lexical(column, terms: pa.Array, post: Postings) -> tuple[np.ndarray, np.ndarray]:
+    rows, flat = _ragged(column)
+    coded = flat.dictionary_encode()
+    width = max(1, len(coded.dictionary))
+    pairs, tf = np.unique(rows * width + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+    row, code = pairs // width, pairs % width
+    norm = np.sqrt(np.bincount(row, tf.astype(float) ** 2, len(column)))
+    entry = pc.fill_null(pc.index_in(coded.dictionary, value_set=terms), -1).to_numpy(zero_copy_only=False)[code] if len(code) else code
+    known = entry >= 0
+    row, entry, tf = row[known], entry[known], tf[known].astype(float)
+    bm = post.scores(row, entry, np.ones(len(row)), len(column), 0)
+    dots = post.scores(row, entry, tf, len(column), 1)
+    return bm, dots / np.where(norm > 0, norm, 1)[:, None]
+
+
+def _overlap(column, vocab: np.ndarray, post: Postings, sizes: np.ndarray) -> np.ndarray:
+    rows, flat = _ragged(column)
+    code = flat.to_numpy(zero_copy_only=False)
+    if not len(vocab):
+        return np.zeros((len(column), len(sizes)))
+    at = np.minimum(np.searchsorted(vocab, code), len(vocab) - 1)
+    keep = vocab[at] == code
+    inter = post.scores(rows[keep], at[keep], np.ones(keep.sum()), len(column), 0)
+    union = np.bincount(rows, minlength=len(column))[:, None] + sizes[None, :] - inter
+    return inter / np.maximum(union, 1)
+
+
+def _holding(column, keys: list[str]) -> list[list[int]]:
+    """For each text the positions of the keys that it contains, all found in one pass over it."""
+    import ahocorasick
+
+    at: dict[str, list[int]] = {}
+    for i, k in enumerate(keys):
+        at.setdefault(k, []).append(i)
+    always = at.pop("", [])
+    find = ahocorasick.Automaton()
+    for k, where in at.items():
+        find.add_word(k, where)
+    if at:
+        find.make_automaton()
+    hits = ({i for _, where in (find.iter(t) if at and t else ()) for i in where} for t in column.to_pylist())
+    return [sorted(h.union(always)) for h in hits]
+
+
+def _matrix(m: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * m.shape[1], pa.int32()), pa.array(m.ravel()))
+
+
+def _score_rows(df: DataFrame, inputs: dict, outputs: dict, fn, n_cand: int) -> DataFrame:
+    """df without the input columns and with the output columns, fn(inputs of a piece) -> arrays. Pieces hold
+    at most CELLS scores of a kind."""
+    keep = [c for c in df.columns if c not in inputs and c not in outputs]
+    schema = df.select(*keep, *[F.lit(None).cast(t).alias(c) for c, t in outputs.items()]).schema
+    rows, given, names = max(1, CELLS // max(1, n_cand)), len(inputs), [*keep, *outputs]
+
+    def run(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, rows):
+                part = b.slice(lo, rows).columns
+                yield pa.RecordBatch.from_arrays([*part[given:], *fn(*part[:given])], names=names)
+
+    return df.select(*[c.alias(n) for n, c in inputs.items()], *keep).mapInArrow(run, schema)
 
 
 def lexical_scores(tasks: DataFrame, cat: DataFrame) -> DataFrame:
     """(id, bm25, cos), arrays over the catalogue: Okapi weights of the distinct shared terms,
-    and the cosine of the term-count vectors.
-
-    A task's terms are counted and matched to the catalogue's vocabulary by Spark; the sums
-    over candidates are a small sparse product per batch of tasks.
-    """
-    terms, post = term_postings(cat)
-    shared = tasks.sparkSession.sparkContext.broadcast(post)
-    hit = _term_counts(tasks, "id").join(F.broadcast(terms), "term", "left")
-    known = F.col("entry").isNotNull()
-    per = hit.groupBy("id").agg(
-        F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"),
-        F.collect_list(F.when(known, F.struct("entry", "tf"))).alias("hits"))
-
-    @F.pandas_udf("bm25 array<double>, cos array<double>")
-    def score(entries: pd.Series, tfs: pd.Series, norm: pd.Series) -> pd.DataFrame:
-        rows, entry = _ragged(entries)
-        _, tf = _ragged(tfs)
-        entry = entry.astype(int)
-        bm = shared.value.scores(rows, entry, np.ones(len(rows)), len(norm))[0]
-        dots = shared.value.scores(rows, entry, tf.astype(float), len(norm))[1]
-        return pd.DataFrame({"bm25": list(bm), "cos": list(dots / norm.to_numpy()[:, None])})
-
-    scored = per.select("id", score(F.col("hits.entry"), F.col("hits.tf"), F.col("norm")).alias("s"))
-    return scored.select("id", "s.*")
-
-
-def overlap_scores(df: DataFrame, cat: DataFrame, text: str, n: int = 2, out: str = "bigram") -> DataFrame:
-    """Adds the Jaccard overlap of character n-grams with every candidate, as an array."""
-    grams = cat.select("pos", F.explode(packed_ngrams(F.lower("text"), n)).alias("g")).limit(POSTING_LIMIT + 1).toPandas()
-    if len(grams) > POSTING_LIMIT:
-        raise ValueError(f"catalogue texts give more than {POSTING_LIMIT} postings")
-    vocab, entry = np.unique(grams["g"].to_numpy(), return_inverse=True)
-    pos = grams["pos"].to_numpy()
-    n_cand = int(pos.max()) + 1 if len(pos) else 0
-    sizes = np.bincount(pos, minlength=n_cand)
-    shared = df.sparkSession.sparkContext.broadcast((vocab, _postings(entry, pos, np.ones((len(pos), 1)), len(vocab), n_cand), sizes))
-
-    @F.pandas_udf(ArrayType(DoubleType()))
-    def score(g: pd.Series) -> pd.Series:
-        vocab, post, sizes = shared.value
-        rows, code = _ragged(g)
-        at = np.minimum(np.searchsorted(vocab, code), len(vocab) - 1)
-        keep = vocab[at] == code
-        inter = post.scores(rows[keep], at[keep], np.ones(keep.sum()), len(g))[0]
-        union = g.map(len).to_numpy()[:, None] + sizes[None, :] - inter
-        return pd.Series(list(inter / np.maximum(union, 1)))
-
-    return df.withColumn(out, score(packed_ngrams(F.lower(text), n)))
+    and the cosine of the term-count vectors. A task without terms has zeros."""
+    n = cat.count()
+    shared = tasks.sparkSession.sparkContext.broadcast(term_postings(cat, n))
+    arrays = {"bm25": "array<double>", "cos": "array<double>"}
+    return _score_rows(tasks.select("id", "text"), {"_terms": tokens(F.col("text"))}, arrays,
+                       lambda t: [_matrix(m) for m in _lexical(t, *shared.value)], n).drop("text")
 
 
 def long_form(df: DataFrame, scores: list[str]) -> DataFrame:
@@ -157,15 +187,20 @@ def signals(tasks: DataFrame, cat: DataFrame, key) -> DataFrame:
     pairs) and cos, and the positions of the gold candidates, those whose text the task holds.
     `key` turns text into the form compared for containment."""
     n = cat.count()
-    zeros = F.array_repeat(F.lit(0.0), n)
     keys = [r["k"] for r in cat.select("pos", key(F.col("text")).alias("k")).orderBy("pos").collect()]
-    gold = F.filter(F.transform(F.array(*[F.lit(k) for k in keys]), lambda k, i: F.when(F.col("_key").contains(k), i)), lambda i: i.isNotNull())
-    local = once(tasks, _key=key(F.col("text")))
-    local = overlap_scores(local, cat, "text").withColumn("gold", gold).drop("text", "_key")
-    rows = local.join(lexical_scores(tasks, cat), "id", "left")
-    bm, cos = F.coalesce("bm25", zeros), F.coalesce("cos", zeros)
-    scaled = let(bm, lambda b: let(F.array_max(b), lambda m: F.transform(b, lambda x: F.when(m > 0, x / m).otherwise(0.0))))
-    return once(rows, bm25=scaled, cos=cos)
+    shared = tasks.sparkSession.sparkContext.broadcast((term_postings(cat, n), gram_postings(cat, n, 2), keys))
+
+    def score(terms, grams, text_key):
+        lexical, overlap, known = shared.value
+        bm, cos = _lexical(terms, *lexical)
+        top = bm.max(axis=1, initial=0.0)[:, None]
+        bm = np.divide(bm, top, out=np.zeros_like(bm), where=top > 0)
+        gold = pa.array(_holding(text_key, known), pa.list_(pa.int32()))
+        return [_matrix(bm), _matrix(_overlap(grams, *overlap)), gold, _matrix(cos)]
+
+    inputs = {"_terms": tokens(F.col("text")), "_grams": packed_ngrams(F.lower("text"), 2), "_key": key(F.col("text"))}
+    arrays = {"bm25": "array<double>", "bigram": "array<double>", "gold": "array<int>", "cos": "array<double>"}
+    return _score_rows(tasks, inputs, arrays, score, n).drop("text")
 
 
 # --- inside a row ------------------------------------------------------------------------------
@@ -279,12 +314,10 @@ def baseline_sweep(df: DataFrame, grid: list[dict], thr=0.15, k=5) -> DataFrame:
     points = np.array([[p["wl"], p["wb"], p["base"]] for p in grid])
 
     def count(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
+        for pdf in (whole.iloc[i:i + 512] for whole in batches for i in range(0, len(whole), 512)):
             bm, bi, cos = (np.stack(pdf[c].to_numpy()) for c in ("bm25", "bigram", "cos"))
-            row, g = _ragged(pdf["gold"])
-            g = g.astype(int)
+            row, g = _ragged(pa.array(pdf["gold"], pa.list_(pa.int64())))
+            g = g.to_numpy(zero_copy_only=False)
             cand = np.arange(bm.shape[1])
             out = np.zeros((len(points), 5))
             for i, (wl, wb, base) in enumerate(points):

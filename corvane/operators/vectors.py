@@ -20,6 +20,7 @@ BROADCAST_BYTES = 64 << 20   # largest reference side sent whole to every task
 BLOCK_ROWS = 4096            # rows per block when both sides are large
 CELLS = 1 << 22              # largest similarity matrix held at once, in entries
 TIE = 1e-12
+DIGITS = 12                  # similarities equal to so many digits are ties
 
 
 def unit_rows(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -28,13 +29,19 @@ def unit_rows(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     if len(arr) == 0:
         return np.zeros((0, 1))
     m = np.asarray(arr.flatten(), dtype=np.float64).reshape(len(arr), -1)
-    return m / np.linalg.norm(m, axis=1, keepdims=True)
+    return over_norm(m)
+
+
+def over_norm(m: np.ndarray) -> np.ndarray:
+    """Rows over their lengths; a zero row stays zero, so it is similar to nothing."""
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(n > 0, n, 1)
 
 
 def _side(t) -> tuple[pd.DataFrame, np.ndarray]:
-    """Columns other than the vector, and the vectors, in id order."""
+    """Columns other than the vector, and the vectors, in id order. Rows without a vector are left out."""
     t = pa.table(t) if not isinstance(t, pa.Table) else t
-    t = t.sort_by("id")
+    t = t.filter(t["vec"].is_valid()).sort_by("id")
     return t.drop_columns(["vec"]).to_pandas(), unit_rows(t["vec"])
 
 
@@ -95,35 +102,41 @@ def block_apply(q: DataFrame, ref: DataFrame, fn, schema: str, broadcast_bytes=N
     return left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInArrow(meet, out)
 
 
-def _mask(qx, rx, s, skip_self, skip_same, mask_at):
+def _ignored(qx, rx, s, skip_self, skip_same, mask_at) -> np.ndarray:
+    out = np.zeros(s.shape, bool)
     if skip_self:
-        s[qx["id"].to_numpy()[:, None] == rx["id"].to_numpy()[None, :]] = -1.0
+        out |= qx["id"].to_numpy()[:, None] == rx["id"].to_numpy()[None, :]
     if skip_same:
-        s[qx[skip_same].to_numpy()[:, None] == rx[skip_same].to_numpy()[None, :]] = -1.0
+        out |= qx[skip_same].to_numpy()[:, None] == rx[skip_same].to_numpy()[None, :]
     if mask_at is not None:
-        s[s >= mask_at] = -1.0
-    return s
+        out |= s >= mask_at
+    return out
 
 
 def nearest(q: DataFrame, ref: DataFrame, skip_self=False, skip_same=None, mask_at=None, **sizes) -> DataFrame:
-    """(id, max_cos, nn): the greatest similarity and the least id that reaches it.
+    """(id, max_cos, nn): the greatest similarity and the least id that reaches it to `DIGITS` digits. The
+    answer does not depend on how the references are cut into blocks.
 
     skip_self ignores the query's own id, skip_same ignores references with an equal value in
-    the named column (a fold), mask_at treats similarities from that value up as matches of
-    the text with itself and sets them to -1.
+    the named column (a fold), mask_at ignores similarities from that value up as matches of
+    the text with itself. Without a reference left both are null. A zero vector has similarity 0 with
+    all; rows without a vector are left out.
     """
     cols = ["id", "vec"] + ([skip_same] if skip_same else [])
 
     def fn(qx, rx, s):
-        s = _mask(qx, rx, s, skip_self, skip_same, mask_at)
-        top = s.max(axis=1)
-        at = (s >= top[:, None] - TIE).argmax(axis=1)
-        return pd.DataFrame({"id": qx["id"], "sim": top, "nn": rx["id"].to_numpy()[at]})
+        s[_ignored(qx, rx, s, skip_self, skip_same, mask_at)] = -np.inf
+        level = np.round(s, DIGITS)
+        best = level.max(axis=1)
+        at = (level == best[:, None]).argmax(axis=1)
+        some = np.isfinite(best)
+        return pd.DataFrame({"id": qx["id"], "sim": s.max(axis=1), "level": best, "nn": rx["id"].to_numpy()[at]})[
+            ["id", "sim", "level", "nn"]].assign(ok=some)
 
-    parts = block_apply(q.select(cols), ref.select(cols), fn, "id bigint, sim double, nn bigint", **sizes)
-    best = F.max(F.struct(F.round("sim", 10).alias("r"), (-F.col("nn")).alias("neg"), "sim"))
-    return parts.groupBy("id").agg(best.alias("b")).select(
-        "id", F.col("b.sim").alias("max_cos"), (-F.col("b.neg")).alias("nn"))
+    parts = block_apply(q.select(cols), ref.select(cols), fn, "id bigint, sim double, level double, nn bigint, ok boolean", **sizes)
+    best = F.max(F.when(F.col("ok"), F.struct("level", (-F.col("nn")).alias("neg"))))
+    return parts.groupBy("id").agg(best.alias("b"), F.max(F.when(F.col("ok"), F.col("sim"))).alias("max_cos")).select(
+        "id", "max_cos", (-F.col("b.neg")).alias("nn"))
 
 
 def pair_similarity(q: DataFrame, ref: DataFrame, skip_self=False, **sizes) -> DataFrame:
@@ -147,7 +160,7 @@ def max_sim_per_label(q: DataFrame, anchors: DataFrame, skip_self=False, mask_at
     """(id, label, sim): the greatest similarity to any anchor of each label."""
 
     def fn(qx, rx, s):
-        s = _mask(qx, rx, s, skip_self, None, mask_at)
+        s[_ignored(qx, rx, s, skip_self, None, mask_at)] = -1.0
         labels = rx["label"].to_numpy()
         order = np.argsort(labels, kind="stable")
         names, starts = np.unique(labels[order], return_index=True)
@@ -211,30 +224,28 @@ def centroids(df: DataFrame) -> DataFrame:
     return means.groupBy("label").agg(arr.alias("vec"))
 
 
-def catalogue_matrix(catalogue: DataFrame, key: str, limit: int = 10000) -> tuple[list, np.ndarray]:
-    """Names and vectors of a catalogue in key order. Refuses one too large to be sent to tasks."""
-    t = catalogue.select(key, "vec").limit(limit + 1).toArrow().sort_by(key)
-    if t.num_rows > limit:
-        raise ValueError(f"catalogue has more than {limit} entries; use block_apply")
+def catalogue_matrix(catalogue: DataFrame, key: str) -> tuple[list, np.ndarray]:
+    """Names and vectors of a catalogue in key order: the weights that go to every task."""
+    t = catalogue.select(key, "vec").toArrow().sort_by(key)
     vals = np.asarray(t["vec"].combine_chunks().flatten(), dtype=np.float64)
     return t[key].to_pylist(), vals.reshape(t.num_rows, -1)
 
 
 def cosines_to(matrix: np.ndarray):
     """A column function: the cosines of a vector to every row of the matrix, as an array."""
-    unit = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+    unit = over_norm(matrix)
 
     @F.pandas_udf(ArrayType(DoubleType()))
     def score(v: pd.Series) -> pd.Series:
         m = np.stack(v.to_numpy()).astype(np.float64) if len(v) else np.zeros((0, unit.shape[1]))
-        return pd.Series(list((m / np.linalg.norm(m, axis=1, keepdims=True)) @ unit.T))
+        return pd.Series(list(over_norm(m) @ unit.T))
 
     return score
 
 
-def candidate_join(tasks: DataFrame, catalogue: DataFrame, key: str, limit: int = 10000) -> tuple[DataFrame, list]:
+def candidate_join(tasks: DataFrame, catalogue: DataFrame, key: str) -> tuple[DataFrame, list]:
     """Adds `cos`, one similarity per catalogue entry in key order; also gives that order."""
-    names, matrix = catalogue_matrix(catalogue, key, limit)
+    names, matrix = catalogue_matrix(catalogue, key)
     return tasks.withColumn("cos", cosines_to(matrix)("vec")), names
 
 

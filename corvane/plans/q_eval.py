@@ -483,7 +483,7 @@ def e9(spark, sf):
     return s.select("slice", "n", *[F.round(c, 6).alias(c) for c in ("p50", "p95", "p99", "max")])
 
 
-BOOT = 200
+BOOT = 2000
 SQL_CDF = "[" + ",".join(f"{c!r}" for c in M.POISSON1_CDF) + "]::DOUBLE[]"
 
 
@@ -493,10 +493,10 @@ def sql_w(seed, key="id"):
 
 
 @query("e10_bootstrap_mean_ci", f"""WITH {PREDS}, {RUN2}, d AS (SELECT id, a.ok::INT-b.ok::INT AS d FROM preds a JOIN run2 b USING (id)), w AS (SELECT rep, d, {sql_w('b7')} AS w FROM d, (SELECT unnest(range({BOOT})) AS rep)),
- m AS (SELECT rep, sum(w*d)/sum(w) AS m FROM w GROUP BY rep), s AS (SELECT list_sort(list(m)) AS s FROM m) SELECT len(s)::INT AS replicates, round(s[6],9) AS lo, round(s[196],9) AS hi FROM s""")
+ m AS (SELECT rep, sum(w*d)/sum(w) AS m FROM w GROUP BY rep), s AS (SELECT list_sort(list(m)) AS s FROM m) SELECT len(s)::INT AS replicates, round(s[51],9) AS lo, round(s[1951],9) AS hi FROM s""")
 def e10(spark, sf):
     d = preds(spark, sf).select("id", F.col("ok").alias("a")).join(second_run(spark, sf).select("id", F.col("ok").alias("b")), "id")
-    return M.bootstrap_mean_ci(d, "id", F.col("a").cast("int") - F.col("b").cast("int"), BOOT, "b7", 5, 195).select("replicates", *r9("lo", "hi"))
+    return M.bootstrap_mean_ci(d, "id", F.col("a").cast("int") - F.col("b").cast("int"), BOOT, "b7", 50, 1950).select("replicates", *r9("lo", "hi"))
 
 
 SQL_BAL = "(sum(CASE WHEN related AND {0}>={1} THEN w ELSE 0 END)/sum(CASE WHEN related THEN w ELSE 0 END)+sum(CASE WHEN NOT related AND {0}<{1} THEN w ELSE 0 END)/sum(CASE WHEN related THEN 0 ELSE w END))/2"
@@ -506,10 +506,10 @@ SQL_BAL = "(sum(CASE WHEN related AND {0}>={1} THEN w ELSE 0 END)/sum(CASE WHEN
  ua AS {sql_auc('l', 's', 'rep, m', 'w')}, ad AS (SELECT rep, sum(CASE WHEN m='a' THEN auc ELSE -auc END) AS v FROM ua GROUP BY rep),
  bd AS (SELECT rep, {SQL_BAL.format('jac', '0.45')}-{SQL_BAL.format('cos', '0.25')} AS v FROM w WHERE w>0 GROUP BY rep),
  s AS (SELECT 'auc' AS metric, list_sort(list(v)) AS s FROM ad UNION ALL SELECT 'balanced', list_sort(list(v)) FROM bd)
- SELECT metric, len(s)::INT AS replicates, round(s[6],9) AS lo, round(s[196],9) AS hi FROM s""")
+ SELECT metric, len(s)::INT AS replicates, round(s[51],9) AS lo, round(s[1951],9) AS hi FROM s""")
 def e11(spark, sf):
     p = pairs(spark, sf)
-    auc = M.bootstrap_auc_diff_ci(p, "id", "jac", "cos", "related", BOOT, "b9", 5, 195)
+    auc = M.bootstrap_auc_diff_ci(p, "id", "jac", "cos", "related", BOOT, "b9", 50, 1950)
     w, y = F.col("w"), F.col("related")
 
     def balanced(score, cut):
@@ -517,7 +517,7 @@ def e11(spark, sf):
             return F.sum(F.when(c, w).otherwise(0))
         return (tot(y & (F.col(score) >= cut)) / tot(y) + tot(~y & (F.col(score) < cut)) / tot(~y)) / 2
 
-    bal = M.bootstrap_ci(p, "id", ["jac", "cos", "related"], balanced("jac", 0.45) - balanced("cos", 0.25), BOOT, "b9", 5, 195)
+    bal = M.bootstrap_ci(p, "id", ["jac", "cos", "related"], balanced("jac", 0.45) - balanced("cos", 0.25), BOOT, "b9", 50, 1950)
     both = auc.withColumn("metric", F.lit("auc")).unionByName(bal.withColumn("metric", F.lit("balanced")))
     return both.select("metric", "replicates", *r9("lo", "hi"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -29,11 +30,13 @@ def local_session(cpus: str = "*", partitions: int = 8, app: str = "corvane") ->
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can read: the cluster's checkpoint folder if the
-    session names one, else (tests on one machine) a fresh temporary folder."""
+    """The folder every executor can read: the one the cluster names in spark.checkpoint.dir. Only a
+    session whose executors live in this process may go without; it gets a fresh temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if "dir" not in _LOCAL:
         _LOCAL["dir"] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return _LOCAL["dir"]
