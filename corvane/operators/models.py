@@ -134,16 +134,32 @@ def _parts(h: Head) -> list[np.ndarray]:
     return [p for p in (h.w1, h.b1, h.w2, h.b2) if p is not None]
 
 
-def gradient(r: Recipe, h: Head, x: np.ndarray, t: np.ndarray, w: np.ndarray, rng=None) -> np.ndarray:
+def dropout_mask(r: Recipe, epoch: int, ids: np.ndarray, width: int) -> np.ndarray | None:
+    """Which hidden units of which rows stay, scaled: a hash of (seed, epoch, row id, unit), so it does not
+    depend on how rows fall into batches and tasks."""
+    if not r.dropout:
+        return None
+    with np.errstate(over="ignore"):
+        x = np.asarray(ids).astype(np.int64).astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
+        x = x ^ (np.arange(width, dtype=np.uint64)[None, :] * np.uint64(0xC2B2AE3D27D4EB4F))
+        x = x + np.uint64((r.seed * 1_000_003 + epoch) & 0xFFFFFFFFFFFF) * np.uint64(0x165667B19E3779F9)
+        for _ in range(2):
+            x = (x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+        x = x ^ (x >> np.uint64(32))
+    u = (x >> np.uint64(11)).astype(np.float64) / 2 ** 53
+    return (u >= r.dropout) / (1 - r.dropout)
+
+
+def gradient(r: Recipe, h: Head, x: np.ndarray, t: np.ndarray, w: np.ndarray, keep=None) -> np.ndarray:
     """Summed gradient of the loss over rows with targets t (one column per label) and weights
-    w (per row and label), flattened. Ends with the loss and the row weight."""
+    w (per row and label), flattened; `keep` scales the hidden units. Ends with the loss and the
+    row weight."""
     k = t.shape[1]
     hid = x
     if h.w2 is not None:
         pre = x @ h.w1 + h.b1
         hid = np.maximum(pre, 0)
-        if r.dropout and rng is not None:
-            keep = (rng.random(hid.shape) >= r.dropout) / (1 - r.dropout)
+        if keep is not None:
             hid = hid * keep
     z = hid @ (h.w1 if h.w2 is None else h.w2) + (h.b1 if h.w2 is None else h.b2)
     if r.loss == "softmax":
@@ -167,7 +183,7 @@ def gradient(r: Recipe, h: Head, x: np.ndarray, t: np.ndarray, w: np.ndarray, rn
         grads = [x.T @ dz, dz.sum(0)]
     else:
         dh = dz @ h.w2.T
-        if r.dropout and rng is not None:
+        if keep is not None:
             dh = dh * keep
         dh = dh * (pre > 0)
         grads = [x.T @ dh, dh.sum(0), hid.T @ dz, dz.sum(0)]
@@ -181,18 +197,22 @@ def _batch(b: pa.RecordBatch):
     return b.column("id").to_numpy(), matrix("vec"), matrix("target"), matrix("weight"), b.column("fold").to_numpy()
 
 
+CHUNK = 1 << 16
+
+
 def train_grid(df: DataFrame, recipes: list[Recipe], epochs: int, fan_in: int = 16) -> list[Head]:
     """Fits all heads of a grid together with Adam on full passes.
 
     `df` has id, vec, target (array), weight (array), fold. Each pass every task sums the
-    gradients of every head over its rows, the sums are added up in a tree, and only the total
-    reaches the driver. A pass over the data serves the whole grid, and no task holds more
-    than its own rows.
+    gradients of every head over its rows in chunks of `CHUNK` numbers; a chunk's parts are added up
+    in a tree of fixed fan-in, and only the total reaches the driver. A pass over the data serves the
+    whole grid, and no task holds more than its own rows and sums, or fan_in chunks.
     """
     spark = df.sparkSession
     data = df.select("id", "vec", "target", "weight", F.coalesce("fold", F.lit(-1)).cast("int").alias("fold")).persist()
     try:
         d, k = data.agg(F.max(F.size("vec")), F.max(F.size("target"))).first()
+        tasks = data.rdd.getNumPartitions()
         heads = [_init(r, d, k) for r in recipes]
         sizes = [sum(p.size for p in _parts(h)) + 2 for h in heads]
         m = [np.zeros(s - 2) for s in sizes]
@@ -211,21 +231,28 @@ def train_grid(df: DataFrame, recipes: list[Recipe], epochs: int, fan_in: int =
                     each = []
                     for r, h in zip(recipes, shared.value):
                         use = slice(None) if r.held_out is None else fold != r.held_out
-                        rng = np.random.default_rng([r.seed, epoch, int(ids[0]) & 0x7FFFFFFF])
-                        each.append(gradient(r, h, x[use], t[use], w[use], rng))
+                        keep = dropout_mask(r, epoch, ids[use], r.width) if h.w2 is not None else None
+                        each.append(gradient(r, h, x[use], t[use], w[use], keep))
                     flat = np.concatenate(each)
                     total = flat if total is None else total + flat
                 if total is not None:
-                    yield pa.RecordBatch.from_pydict(
-                        {"slot": pa.array([TaskContext.get().partitionId() % fan_in], pa.int32()), "g": [total.tobytes()]})
+                    chunks = [total[i:i + CHUNK].tobytes() for i in range(0, len(total), CHUNK)]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(range(len(chunks)), pa.int32()), pa.array([TaskContext.get().partitionId()] * len(chunks), pa.int32()),
+                        pa.array(chunks, pa.binary())], names=["chunk", "slot", "g"])
 
             def add(table):
+                table = table.sort_by("slot")
                 out = sum(np.frombuffer(g) for g in table["g"].to_pylist())
-                return pa.table({"slot": table["slot"].slice(0, 1), "g": pa.array([out.tobytes()], pa.binary())})
-
-            part = data.mapInArrow(sums, "slot int, g binary")
-            rows = part.groupBy("slot").applyInArrow(add, "slot int, g binary").collect()
-            total = sum(np.frombuffer(r["g"]) for r in sorted(rows, key=lambda r: r["slot"]))
+                return pa.table({"chunk": table["chunk"].slice(0, 1), "slot": table["slot"].slice(0, 1), "g": pa.array([out.tobytes()], pa.binary())})
+
+            part, slots = data.mapInArrow(sums, "chunk int, slot int, g binary"), tasks
+            while slots > 1:
+                slots = -(-slots // fan_in)
+                part = part.withColumn("slot", F.floor(F.col("slot") / fan_in).cast("int")).groupBy("chunk", "slot").applyInArrow(
+                    add, "chunk int, slot int, g binary")
+            rows = sorted(part.collect(), key=lambda r: r["chunk"])
+            total = np.concatenate([np.frombuffer(r["g"]) for r in rows]) if rows else np.zeros(sum(sizes))
             shared.destroy()
             at = 0
             for i, r in enumerate(recipes):

@@ -76,3 +76,18 @@ def test_signals_need_no_shuffle(spark):
     cat = R.numbered(spark.createDataFrame([("x", "a b")], "item_id string, text string"), "item_id")
     plan = R.signals(docs, cat, norm_key_plain)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_the_fit_does_not_depend_on_partitions_or_batches(spark, monkeypatch):
+    from corvane.operators import models as M
+
+    rng = np.random.default_rng(0)
+    rows = [(i, rng.normal(size=6).tolist(), int(i % 3), 0) for i in range(240)]
+    df = M.training_rows(spark.createDataFrame(rows, "id long, vec array<double>, label int, fold int"), 3)
+    recipe = M.Recipe("r", width=8, lr=0.05, dropout=0.3)
+    monkeypatch.setattr(M, "CHUNK", 7)
+    one, four, many = (M.train_grid(df.repartition(n, "id"), [recipe], 3, fan_in=3)[0] for n in (1, 4, 11))
+    for other in (four, many):  # eleven parts are more than fan-in squared
+        assert all(np.allclose(a, b, atol=1e-12) for a, b in zip(M._parts(one), M._parts(other)))
+    mask = M.dropout_mask(M.Recipe("r", width=64, dropout=0.3), 1, np.arange(4000), 64)
+    assert abs((mask > 0).mean() - 0.7) < 0.01 and set(np.unique(mask)) == {0, 1 / 0.7}
