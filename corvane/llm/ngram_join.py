@@ -262,8 +262,9 @@ def overlaps(pairs: DataFrame, sets: DataFrame, order, n: int, fragments: int) -
 
 
 def _across(num: int, den: int):
-    """Pairs of a block pair (gram, lo, hi, block, key, n, pos, root, pivot, hits) that lie in different
-    components and that sizes, positions and distances to the pivot don't rule out."""
+    """Pairs of a block pair (gram, lo, hi, block, key, n, pos, root, pivot, hits, pivot_n, signature) that lie
+    in different components and that sizes, positions, signatures and distances to the pivot don't
+    rule out."""
 
     def run(batches):
         for x in runs(batches, 3):
@@ -277,13 +278,16 @@ def _across(num: int, den: int):
                 ok &= np.minimum(n1 - p[..., 6], n2 - q[..., 6]) * (num + den) >= (n1 + n2) * num
                 if lo == hi:
                     ok &= p[..., 4] < q[..., 4]
-                a, b = np.nonzero(ok)
-                if len(a):
-                    a, b = left[i + a], right[b]
+                first, second = np.nonzero(ok)
+                for j in range(0, len(first), 100_000):
+                    a, b = left[i + first[j:j + 100_000]], right[second[j:j + 100_000]]
+                    n = a[:, 5] + b[:, 5]
+                    near = np.bitwise_count((a[:, 11:] ^ b[:, 11:]).view(np.uint64)).sum(1) <= n - 2 * needed(n, num, num + den)
                     far = [np.where(z[:, 9] < 0, np.nan, 1 - z[:, 9] / np.maximum(1, z[:, 5] + z[:, 10] - z[:, 9])) for z in (a, b)]
-                    near = ~((a[:, 8] == b[:, 8]) & (np.abs(far[0] - far[1]) > 1 - num / den + 1e-9))
+                    near &= ~((a[:, 8] == b[:, 8]) & (np.abs(far[0] - far[1]) > 1 - num / den + 1e-9))
                     a, b = a[near, 4], b[near, 4]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                    if len(a):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     return run
 
@@ -348,14 +352,16 @@ def ngram_components(df: DataFrame, row_id: str = "doc_id", text: str = "text",
     open_ = marked.groupBy("gram").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("rows")).filter(
         "r1 != r2 and rows > 2")
     left = marked.join(open_.select("gram", F.ceil(F.col("rows") / BLOCK).cast("long").alias("blocks")), "gram").join(
-        star_hits.select(F.col("a").alias("pivot"), F.col("b").alias("key"), "hits"), ["pivot", "key"], "left")
+        star_hits.select(F.col("a").alias("pivot"), F.col("b").alias("key"), "hits"), ["pivot", "key"], "left").join(
+        marks.select("key", "sig"), "key")
     block = F.pmod(F.xxhash64("key"), F.col("blocks"))
     dealt = left.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("gram", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "key", "n",
-                         "pos", "root", "pivot", F.coalesce("hits", F.lit(-1)).alias("hits"), "pivot_n")
+                         "pos", "root", "pivot", F.coalesce("hits", F.lit(-1)).alias("hits"), "pivot_n",
+                         *[F.col("sig")[i].alias(f"s{i}") for i in range(16)])
     rest = dealt.repartition("gram", "lo", "hi").sortWithinPartitions("gram", "lo", "hi").mapInArrow(_across(num, den), "a long, b long")
     known = star_pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = stored(plausible(rest.distinct().join(known, ["a", "b"], "left_anti")), "ngram-rest")
+    rest = stored(rest.distinct().join(known, ["a", "b"], "left_anti"), "ngram-rest")
     more = linked(overlaps(rest, full, order, n, fragments))
     final = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
