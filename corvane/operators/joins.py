@@ -6,17 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def union_refs(refs: list[tuple[str, DataFrame]], key: str) -> DataFrame:
-    """key -> tag of the last listed reference set that holds it."""
-    tagged = [
-        df.select(key, F.struct(F.lit(i).alias("prio"), F.lit(tag).alias("tag")).alias("t"))
-        for i, (tag, df) in enumerate(refs)
-    ]
-    allrefs = reduce(DataFrame.unionByName, tagged)
-    return allrefs.groupBy(key).agg(F.max("t")["tag"].alias("ref_tag"))
-
-
-def anti_join_attributed(df: DataFrame, refs: list[tuple[str, DataFrame]], key: str) -> DataFrame:
+def union_refs(refs, key: str) -> DataFrame:
+    """key -> tag of the last listed reference set that holds it. refs: (tag, rows) pairs, the later
+    overriding the earlier, or one table (key, prio, tag) read in one pass."""
+    if isinstance(refs, DataFrame):
+        tagged = refs.select(key, F.struct("prio", "tag").alias("t"))
+    else:
+        tagged = reduce(DataFrame.unionByName, [
+            df.select(key, F.struct(F.lit(i).alias("prio"), F.lit(tag).alias("tag")).alias("t"))
+            for i, (tag, df) in enumerate(refs)])
+    return tagged.groupBy(key).agg(F.max("t")["tag"].alias("ref_tag"))
+
+
+def anti_join_attributed(df: DataFrame, refs, key: str) -> DataFrame:
     """Adds `ref_tag`: null for rows to keep, else the reference set to blame."""
     return df.join(union_refs(refs, key), key, "left")
 

@@ -89,18 +89,20 @@ def items(spark, sf) -> DataFrame:
 ITEMS = f"items AS (SELECT doc_id AS id, text, lang, source AS fam, {sql_key('text')} AS key FROM documents)"
 
 
+def keyed(df: DataFrame) -> DataFrame:
+    """The key as its md5: what is shuffled and compared is short however long the text is."""
+    return df.withColumn("key", F.md5("key"))
+
+
 def candidates_and_refs(spark, sf):
     """Unlabelled documents are candidates; labelled ones are the sets a candidate must not
-    repeat: 'low' (quality 0) and then 'toxic', the later overriding the earlier, and 'good'."""
-    it = items(spark, sf)
+    repeat, 'good', 'low' (quality 0) and 'toxic', the later overriding the earlier, as one table."""
+    it = keyed(items(spark, sf))
     lab = table(spark, sf, "labels").select(F.col("doc_id").alias("id"), "quality", "toxic")
     cand = it.join(lab.select("id"), "id", "left_anti")
-    ref = it.join(lab, "id")
-    return cand, [
-        ("good", ref.filter("quality = 1 and toxic = 0")),
-        ("low", ref.filter("quality = 0")),
-        ("toxic", ref.filter("toxic = 1")),
-    ]
+    prio = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).otherwise(0)
+    tag = F.element_at(F.array(F.lit("good"), F.lit("low"), F.lit("toxic")), F.col("prio") + 1)
+    return cand, it.join(lab, "id").select("key", prio.alias("prio")).withColumn("tag", tag)
 
 
 CAND = ITEMS + """, cand AS (SELECT * FROM items WHERE id NOT IN (SELECT doc_id FROM labels)),

@@ -9,8 +9,8 @@ from ..operators import joins as J
 from ..operators import labels as L
 from ..operators import splits as X
 from ..operators import text as O
-from .base import (CAND, ITEMS, LABELS, META, PREDS, RUN2, RUNS, candidates_and_refs, items, judge_log, preds, query,
-                   runs, second_run, spread, sql_hint, sql_hunit, sql_judge, sql_ok, table)
+from .base import (CAND, ITEMS, LABELS, META, PREDS, RUN2, RUNS, candidates_and_refs, items, judge_log, keyed, preds,
+                   query, runs, second_run, spread, sql_hint, sql_hunit, sql_judge, sql_ok, table)
 from .q_text import PRE, SQL_TOOLS, SUF, tools
 
 # --- joins ---------------------------------------------------------------------------------
@@ -96,16 +96,16 @@ def j13(spark, sf):
 
 @query("d1_exact_dedup", f"WITH {ITEMS} SELECT min(id) AS id, arg_min(lang,id) AS lang, md5(key) AS key_md5 FROM items GROUP BY key")
 def d1(spark, sf):
-    return D.exact_dedup(items(spark, sf), ["key"], ["id"]).select("id", "lang", F.md5("key").alias("key_md5"))
+    return D.exact_dedup(keyed(items(spark, sf)).select("id", "lang", "key"), ["key"], ["id"]).withColumnRenamed("key", "key_md5")
 
 
 @query("d2_pair_dedup", f"""WITH {ITEMS}, f AS (SELECT lang, fam, min(id) AS id FROM items GROUP BY ALL),
  p AS (SELECT i.id, i.fam||'/'||i.lang AS lk, i.key AS rk FROM items i), h AS (SELECT i.key FROM items i JOIN labels l ON i.id=l.doc_id WHERE toxic=1)
  SELECT min(id) AS id FROM p WHERE rk NOT IN (SELECT key FROM h) AND lk NOT IN (SELECT key FROM h) GROUP BY lk, rk""")
 def d2(spark, sf):
-    it = items(spark, sf)
+    it = keyed(items(spark, sf))
     toxic = table(spark, sf, "labels").filter("toxic = 1").select(F.col("doc_id").alias("id"))
-    pairs = it.select("id", F.concat_ws("/", "fam", "lang").alias("lk"), F.col("key").alias("rk"))
+    pairs = it.select("id", F.md5(F.concat_ws("/", "fam", "lang")).alias("lk"), F.col("key").alias("rk"))
     return D.pair_dedup(pairs, "lk", "rk", "id", it.join(toxic, "id").select("key")).select("id")
 
 
@@ -141,7 +141,7 @@ def d10(spark, sf):
 
 @query("d12_already_judged_filter", f"WITH {CAND} SELECT id FROM cand WHERE key NOT IN (SELECT i.key FROM items i JOIN labels l ON i.id=l.doc_id)")
 def d12(spark, sf):
-    it = items(spark, sf)
+    it = keyed(items(spark, sf)).select("id", "key")
     judged = it.join(table(spark, sf, "labels").select(F.col("doc_id").alias("id")), "id")
     return D.already_judged_filter(it, judged, "id", "key").select("id")
 
