@@ -207,6 +207,19 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50
     return c
 
 
+def rising(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """A logistic fit without negative coefficients: a column that would get one is left out."""
+    use = list(range(x.shape[1]))
+    while True:
+        c = logistic(x[:, use], y)
+        bad = [j for j, v in zip(use, c[1:]) if v < 0]
+        if not bad:
+            out = np.zeros(x.shape[1] + 1)
+            out[[0, *(j + 1 for j in use)]] = c
+            return out
+        use = [j for j in use if j not in bad]
+
+
 def _odds(t, c, n_t, n_c, prior=2.0):
     """Log odds of a feature's documents against all, drawn towards none by `prior` documents of the usual mix."""
     p = n_t / max(1, n_t + n_c)
@@ -290,7 +303,7 @@ def train(df: DataFrame, labels: DataFrame, row_id: str = "doc_id", text: str =
     table = {r["feature"]: (r["t"], r["c"]) for r in best}
     judged = sample.mapInArrow(_judged(shared, spark.sparkContext.broadcast(table), n_t, n_c), "y long, a double, s double").toArrow()
     y, a, s = (judged.column(n).to_numpy() for n in ("y", "a", "s"))
-    c = logistic(np.column_stack([a, s, np.maximum(0, a - SURE)]), y)
+    c = rising(np.column_stack([a, s, np.maximum(0, a - SURE)]), y)
     weights = {f: float(_odds(t, n, n_t, n_c)) for f, (t, n) in table.items() if t >= 3}
     return Model(model.lm, weights, tuple(float(v) for v in c))
 
