@@ -65,6 +65,7 @@ def select_best(df: DataFrame, constraints: Column, order: list[Column], by=())
     return ok.withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k")
 
 
+# The thresholds over which the acceptance rule is defined.
 LOCKED_TAU = (0.5, 0.6, 0.7, 0.8, 0.85, 0.9, 0.93, 0.95, 0.97, 0.98, 0.99)
 LOCKED_TAU_S = (0.95, 0.97, 0.98, 0.99)
 
@@ -198,9 +199,15 @@ def calibrate_grant(df: DataFrame, ts: list[float], gs: list[float], target: flo
 
 
 def eligibility_gates(df: DataFrame, limits: dict[str, int], cov: str, primary: str, members: str) -> DataFrame:
-    """Candidates within every false-exposure limit, scored by coverage + primary accuracy."""
+    """Candidates within every false-exposure limit are eligible; `score` is coverage + primary
+    accuracy, and the eligible candidate of the greatest score is `chosen`, on ties the one with fewer
+    members (names joined by commas), then the first by name. Scores equal to twelve digits tie."""
     ok = reduce(lambda a, b: a & b, [F.col(c) <= v for c, v in limits.items()])
-    return df.withColumn("eligible", ok).withColumn("score", F.col(cov) + F.col(primary))
+    scored = df.withColumn("eligible", ok).withColumn("score", F.col(cov) + F.col(primary))
+    order = [F.round("score", 12).desc(), F.size(F.split(members, ",")).asc(), F.col(members).asc()]
+    best = select_best(scored, F.col("eligible"), order).select(F.col(members).alias("_best"))
+    return scored.join(F.broadcast(best), F.col(members) == F.col("_best"), "left").withColumn(
+        "chosen", F.col("_best").isNotNull()).drop("_best")
 
 
 def closest_miss(sweep: DataFrame, by: list[str], sel: float = 0.976, prec: float = 0.997) -> DataFrame:

@@ -149,6 +149,7 @@ def j8(spark, sf):
     return c.groupBy("tau", "tau_s", "accepted", "ok", "sens").agg(F.sum("n").alias("n"))
 
 
+# The grid over which this rule is defined.
 TAUS70 = [i / 100 for i in range(30, 100)]
 T70 = "t70 AS (SELECT i/100 AS tau, 0::DOUBLE AS tau_s FROM (SELECT unnest(range(30,100)) AS i))"
 
@@ -258,7 +259,8 @@ def c11(spark, sf):
 @query("c14_eligibility_gates", f"""WITH {SC}, s AS (SELECT *, id IN (SELECT doc_id FROM labels) AS part, conf>=CASE WHEN sens THEN 0.7::DOUBLE ELSE 0.5::DOUBLE END AS a FROM scored),
  m AS (SELECT recipe||':'||seed AS members, count_if(a)/count(*) AS cov, count_if(a AND ok)/count(*) AS primary_acc, count_if(a AND sens AND NOT ok AND part)::BIGINT AS fe_a,
  count_if(a AND sens AND NOT ok AND NOT part)::BIGINT AS fe_b, count_if(a AND sens AND NOT ok AND label<5)::BIGINT AS fe_c FROM s GROUP BY 1)
- SELECT members, fe_a, fe_b, fe_c, fe_a<=3 AND fe_b<=4 AND fe_c<=4 AS eligible, round(cov+primary_acc,9) AS score FROM m""")
+ SELECT members, fe_a, fe_b, fe_c, eligible, round(cov+primary_acc,9) AS score,
+ eligible AND row_number() OVER (ORDER BY eligible DESC, round(cov+primary_acc,12) DESC, members)=1 AS chosen FROM (SELECT *, fe_a<=3 AND fe_b<=4 AND fe_c<=4 AS eligible FROM m)""")
 def c14(spark, sf):
     a = accept(F.col("conf"), F.col("sens"), 0.5, 0.7)
     lab = table(spark, sf, "labels").select(F.col("doc_id").alias("id"), F.lit(True).alias("part"))
@@ -268,7 +270,7 @@ def c14(spark, sf):
         F.avg(a.cast("double")).alias("cov"), F.avg((a & F.col("ok")).cast("double")).alias("primary_acc"),
         F.count_if(fe & F.col("part")).alias("fe_a"), F.count_if(fe & ~F.col("part")).alias("fe_b"), F.count_if(fe & (F.col("label") < 5)).alias("fe_c"))
     g = C.eligibility_gates(m, {"fe_a": 3, "fe_b": 4, "fe_c": 4}, "cov", "primary_acc", "members")
-    return g.select("members", "fe_a", "fe_b", "fe_c", "eligible", *r9("score"))
+    return g.select("members", "fe_a", "fe_b", "fe_c", "eligible", *r9("score"), "chosen")
 
 
 @query("c15_closest_miss", f"""WITH {SC}, {LG}, s AS {sql_sweep('scored', by='recipe')},
@@ -341,6 +343,7 @@ def x2b(spark, sf):
     return X.choose_rescue(cascade(spark, sf), "00", prec=0.75, slack=0.05).select("rule", "rescued")
 
 
+# The grid over which this rule is defined.
 VETO = C.grid_points(tau=(0.87, 0.9, 0.93, 0.96), veto=(0, 1), ovr=(0, 0.9, 0.95, 0.97, 0.99))
 
 
@@ -391,6 +394,7 @@ def x7(spark, sf):
     return preds(spark, sf).groupBy(to_bands(F.col("conf"), 0.9, 0.6).alias("band"), "ok").agg(F.count("*").alias("n"))
 
 
+# The grid over which this rule is defined.
 KNN = [{"c": c, "agree": a} for c in (0.25, 0.3, 0.35, 0.4) for a in (0, 1)]
 
 
