@@ -29,11 +29,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts equal but for the case of A-Z, null ones being empty, the row with the greatest id; one row
     where rows of a group share it. Rows without an id stay behind those with one."""
-    kept = exact_groups(docs).filter("kept").select(F.col("id").alias("__kept_id"), F.lower(F.hex("digest")).alias("__kept_digest"))
+    none = F.lit(-(1 << 63))  # stands for a null id in the join; a group's kept id is null only if all its ids are
+    kept = exact_groups(docs).filter("kept").select(F.coalesce("id", none).alias("__id"), F.lower(F.hex("digest")).alias("__digest"))
     digest = F.sha2(F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER), 256)
-    met = docs.withColumn("__digest", digest).join(
-        kept, F.col("doc_id").eqNullSafe(F.col("__kept_id")) & (F.col("__digest") == F.col("__kept_digest")))
-    return met.dropDuplicates(["__digest"]).drop("__digest", "__kept_digest", "__kept_id")
+    met = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), none)).withColumn("__digest", digest).join(kept, ["__id", "__digest"])
+    return met.dropDuplicates(["__id", "__digest"]).select(docs.columns)  # falls on the join's partitions, so the texts move once
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
