@@ -1,14 +1,13 @@
-"""Operator 2, passages that repeat across documents, by a sparse suffix array.
+"""Operator 2, passages that repeat across documents, by anchored windows.
 
-Suffixes are kept only where a word k-gram is the least of its window by hash (minimisers): such a
-place depends on the words around it alone, so two copies of a passage of window + k - 1 words keep
-a suffix at the same place in it. Kept suffixes whose k-gram occurs in two different texts are
-sorted over the whole corpus; neighbours share the longest beginnings, and each match is extended
-word by word to the right and to the left.
+Anchors are word k-grams that are the least of their window by hash (minimisers): each depends on the
+words around it alone, so two copies of a passage of window + k - 1 words have the same one. Windows
+of `least` words are hashed only where all anchors they must have stand in two different texts; a
+window is a repeat when its own hash does, whatever stands beside it and whichever text it meets.
 
-Sorting is a range partition over (k-gram, following words, text, place), so even a k-gram on a
-third of all documents is spread over tasks; the rows at the ends of partitions are compared once
-more. Equal texts are one text, whose copies repeat as a whole.
+Both counts are least and greatest text by hash, aggregated in each partition first, so a window on a
+third of all documents is one row per partition. Equal texts are one text, whose copies repeat as a
+whole.
 """
 
 from __future__ import annotations
@@ -26,7 +25,7 @@ from .common import Combiner, columns, pieces, stored
 from .ngram_join import HASHES, MIX
 
 TEXTS = "key long, tag long, n_words long, ids array<long>, body binary"
-GRAM, WINDOW, REACH = 8, 36, 64  # words of a k-gram, k-grams of a window, words compared on each side
+GRAM, WINDOW = 8, 36  # words of a k-gram, k-grams of a window
 
 
 def words_of(text: str) -> list[bytes]:
@@ -34,17 +33,23 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
+def grams(h: np.ndarray) -> np.ndarray:
+    """Hashes of the k-grams of words with hashes `h`."""
+    n = len(h) - GRAM + 1
+    g = np.zeros(n, np.uint64)
+    for i in range(GRAM):
+        g = (g ^ h[i:i + n]) * np.uint64(MIX[i % 5])
+        g ^= g >> np.uint64(29)
+    return g
+
+
 def minimisers(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Places and hashes of the k-grams that are the least of a window. Of equal hashes that follow each
     other one per window is kept, so a text of one word repeated has few."""
     n = len(words) - GRAM + 1
     if n < 1:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    h = np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
-    g = np.zeros(n, np.uint64)
-    for i in range(GRAM):
-        g = (g ^ h[i:i + n]) * np.uint64(MIX[i % 5])
-        g ^= g >> np.uint64(29)
+    g = grams(np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words)))
     w = min(WINDOW, n)
     at = np.unique(np.lib.stride_tricks.sliding_window_view(g, w).argmin(1) + np.arange(n - w + 1))
     if (g[at][1:] == g[at][:-1]).any():
@@ -94,71 +99,57 @@ def _anchors(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h), pa.int64()), pa.array(np.concatenate(tag), pa.int64())], names=["h", "tag"])
 
 
-def _suffixes(batches):
-    """(h, right, tag, pos, left) of the suffixes whose k-gram is among those of the row."""
-    for b in pieces(batches, 1 << 20):
-        cols = [[], [], [], [], []]
-        for tag, wanted, body in zip(*(b.column(i).to_pylist() for i in range(3))):
-            words, wanted = zstandard.decompress(body).split(), set(wanted)
-            for p, h in zip(*(x.tolist() for x in minimisers(words))):
-                if h in wanted:
-                    for c, v in zip(cols, (h, b" ".join(words[p:p + REACH]), tag, p, b" ".join(words[max(0, p - REACH):p]))):
-                        c.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()))],
-                                         names=["h", "right", "tag", "pos", "left"])
+def windows(h: np.ndarray, least: int) -> np.ndarray:
+    """Hashes of all stretches of `least` words, from those of stretches of 1, 2, 4, ... words."""
+    n = len(h) - least + 1
+    out, part, size, at = np.zeros(n, np.uint64), h, 1, 0
+    while True:
+        if least & size:
+            out = (out ^ part[at:at + n]) * np.uint64(MIX[0])
+            out ^= out >> np.uint64(31)
+            at += size
+        if at == least:
+            return out.view(np.int64)
+        part = (part[:-size] * np.uint64(MIX[1])) ^ (part[:-size] >> np.uint64(33)) ^ (part[size:] * np.uint64(MIX[3]))
+        part ^= part >> np.uint64(29)
+        size *= 2
 
 
-def _common(a: list, b: list) -> int:
-    n = 0
-    for x, y in zip(a, b):
-        if x != y:
-            break
-        n += 1
-    return n
+def _windows(least: int):
+    """(h, tag, pos) of the stretches of `least` words whose anchors are all among those of the row."""
+    inside = least - GRAM - WINDOW + 2  # windows of k-grams in a stretch; another copy of it has the same anchors there
 
+    def run(batches):
+        for b in pieces(batches, 1 << 20):
+            cols = [[], [], []]
+            for tag, wanted, body in zip(*(b.column(i).to_pylist() for i in range(3))):
+                words = zstandard.decompress(body).split()
+                h = np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
+                anchor = np.lib.stride_tricks.sliding_window_view(grams(h), WINDOW).min(1).view(np.int64)
+                missing = np.concatenate([[0], np.cumsum(~np.isin(anchor, np.array(wanted, np.int64)))])
+                at = np.flatnonzero(missing[inside:] == missing[:-inside])
+                for c, v in zip(cols, (windows(h, least)[at], np.full(len(at), tag), at)):
+                    c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32()))],
+                                             names=["h", "tag", "pos"])
 
-SUFFIX = "h long, right binary, tag long, pos long, left binary"
-MATCH = "tag long, start long, stop long, edge boolean, " + "h long, right binary, pos long, left binary"
+    return run
 
 
-def _neighbours(least: int, edges: bool):
-    """Compares each sorted suffix with the one before it, and with the nearest one before it that lies in
-    another text; gives the places of both where the match has at least `least` words. With `edges` also
-    the first and last suffixes of the partition, each end with one from another text."""
-    schema = pa.schema([("tag", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("edge", pa.bool_()), ("h", pa.int64()),
-                        ("right", pa.binary()), ("pos", pa.int64()), ("left", pa.binary())])
+def _stretches(least: int):
+    """Overlapping or touching stretches of `least` words as one."""
 
     def run(batches):
-        last = other = None  # the row before, and the last row before it from another text
-        first: list = []
-        rows: list = []
-
-        def put():
-            out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-            rows.clear()
-            return out
-
         for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns)):
-                h, right, tag, pos, left = row
-                if edges and (not first or (len(first) == 1 and tag != first[0][2])):
-                    first.append(row)
-                if last is not None and last[2] != tag:
-                    other = last
-                q = other
-                if q is not None and q[0] == h and q[2] != tag:
-                    r = _common(right.split(), q[1].split())
-                    k = _common(left.split()[::-1], q[4].split()[::-1])
-                    if r >= GRAM and r + k >= least:
-                        rows += [(t, p - k, p + r, False, None, None, None, None) for t, p in ((tag, pos), (q[2], q[3]))]
-                last = row
-                if len(rows) > 10_000:
-                    yield put()
-        if edges and last is not None:
-            for x in {id(x): x for x in [*first, last, other] if x is not None}.values():
-                rows.append((x[2], None, None, True, x[0], x[1], x[3], x[4]))
-        if rows:
-            yield put()
+            cols = [[], [], []]
+            for tag, at in zip(b.column(0).to_pylist(), b.column(1)):
+                at = np.unique(at.values.to_numpy())
+                cut = np.flatnonzero(np.diff(at) > least)
+                start = at[np.r_[0, cut + 1]]
+                for c, v in zip(cols, (np.full(len(start), tag), start, at[np.r_[cut, len(at) - 1]] + least)):
+                    c.append(v)
+            if cols[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in cols], names=["tag", "start", "stop"])
 
     return run
 
@@ -179,26 +170,25 @@ def _merged(spans):
 def repeated_passages(df: DataFrame, row_id: str = "doc_id", text: str = "text", least: int = 50, max_bytes: int = 32 << 20) -> DataFrame:
     """One row per repeated stretch of a row: id, start_word, stop_word (exclusive), n_words of the stretch.
 
-    A stretch is a union of overlapping passages of at least `least` words (window + k - 1 at least, so that
-    no passage slips through) that occur in another row too. Words are compared with A-Z lower-cased and
-    any white space between them. A passage ends where it differs from its neighbour in the order: words
-    beside it that also repeat, by chance, in yet another text are not added. Rows with equal words repeat
-    as a whole if long enough. Null, empty and
-    shorter texts give no rows; null ids are reported as such; an empty table gives none.
+    A stretch is a union of overlapping passages of `least` words (window + k - 1 at least, so that no
+    passage slips through) that occur in another row too, each in any row and any number of times. Words
+    are compared with A-Z lower-cased and any white space between them, passages by 64-bit hashes. Rows
+    with equal words repeat as a whole if long enough. Null, empty and shorter texts give no rows; null
+    ids are reported as such; an empty table gives none.
     """
     if least < WINDOW + GRAM - 1:
-        raise ValueError(f"passages under {WINDOW + GRAM - 1} words may hold no kept suffix")
+        raise ValueError(f"passages under {WINDOW + GRAM - 1} words may hold no anchor")
     texts = stored(columns(df, row_id, text).mapInArrow(_texts(max_bytes), TEXTS), "texts").filter(F.col("n_words") >= least)
     one = texts.groupBy("tag").agg(F.min("key").alias("key"), F.sum(F.size("ids")).alias("copies"), F.first("n_words").alias("n_words"))
     anchors = stored(texts.select("tag", "body").mapInArrow(_anchors, "h long, tag long"), "anchors")
     shared = anchors.groupBy("h").agg(F.min("tag").alias("t1"), F.max("tag").alias("t2")).filter("t1 != t2").select("h")
     wanted = anchors.join(shared, "h").groupBy("tag").agg(F.collect_set("h").alias("wanted")).join(one.select("tag", "key"), "tag")
-    suffixes = wanted.join(texts.select("key", "body"), "key").select("tag", "wanted", "body").mapInArrow(_suffixes, SUFFIX)
-    order = ["h", "right", "tag", "pos"]
-    found = stored(suffixes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours(least, True), MATCH), "matches")
-    ends = found.filter("edge").select("h", "right", "tag", "pos", "left").coalesce(1).sortWithinPartitions(*order).mapInArrow(
-        _neighbours(least, False), MATCH)
-    spans = found.filter("not edge").unionByName(ends).select("tag", F.struct("start", "stop").alias("s")).unionByName(
+    held = stored(wanted.join(texts.select("key", "body"), "key").select("tag", "wanted", "body").mapInArrow(
+        _windows(least), "h long, tag long, pos int"), "windows")
+    # written, so that the join below has shuffles of its own and Spark deals a hot window over tasks
+    twice = stored(held.groupBy("h").agg(F.min("tag").alias("t1"), F.max("tag").alias("t2")).filter("t1 != t2").select("h"), "repeats")
+    hits = held.join(twice, "h").groupBy("tag").agg(F.collect_list("pos").alias("at"))
+    spans = hits.mapInArrow(_stretches(least), "tag long, start long, stop long").select("tag", F.struct("start", "stop").alias("s")).unionByName(
         one.filter("copies > 1").select("tag", F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("stop")).alias("s")))
     merged = spans.groupBy("tag").agg(F.collect_set("s").alias("spans")).select("tag", F.explode(_merged(F.col("spans"))).alias("s"))
     rows = merged.join(texts.select("tag", "ids"), "tag")

@@ -71,6 +71,30 @@ def test_hot_passage(spark):
     assert got(spark.createDataFrame(rows, "doc_id long, text string").repartition(9)) == brute(rows)
 
 
+def test_common_tails_and_doubled_passages(spark):
+    """Passages whose last words also stand in many other texts under 50 words, and passages held twice."""
+    rng = random.Random(9)
+    own = lambda c, n: [f"{c}{rng.randrange(10**6)}" for _ in range(n)]
+    rows, notice = [], own("n", 45)
+    for head, tail in ((30, 25), (20, 35), (12, 45), (5, 45), (4, 45)):
+        for _ in range(6):
+            passage = own("p", head) + notice[:tail]
+            rows += [own("a", 40) + passage + own("b", 40) for _ in range(2)]
+    rows += [own("c", 60) + notice + own("d", 30) for _ in range(30)]
+    for n in (50, 55, 120):
+        passage = own("q", n)
+        rows += [own("e", 9) + passage + own("f", 70) + passage + own("g", 5), own("h", 30) + passage + own("i", 30),
+                 passage + own("j", 3) + passage, own("k", 20) + passage[:n // 2] + own("l", 60)]
+    rng.shuffle(rows)
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    assert got(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == brute(rows)
+
+
+def test_equal_to_brute_force_on_documents(docs):
+    """Words beside a passage that repeat in a third text belong to the stretch too."""
+    assert got(docs) == brute([(r.doc_id, r.text) for r in docs.collect()])
+
+
 def test_empty(empty):
     assert repeated_passages(empty).count() == 0
 
