@@ -3,7 +3,10 @@
 A disguised token is a lattice: a leet sign may stand for letters, a stretched letter for one or two,
 a separator for nothing or for a word break. Viterbi search finds the reading that a character
 trigram model of the whole corpus and the channel's costs make likeliest; tokens without disguise are
-left alone. Words and word beginnings of the restored text are the evidence.
+left alone. Tokens of any length and runs of three or more spaced letters are read whole, long ones in
+overlapping pieces as well, since the few readings kept of a long token differ in few places; a run
+of at most two different letters with one of them three times in succession is not taken for words.
+Words and word beginnings of the restored text are the evidence.
 
 What is learnt: the trigram counts from every document, and the evidence weights (log odds of the
 training labels, each document judged without its own count) with a small logistic model from at
@@ -15,6 +18,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -34,7 +38,8 @@ JOINTS = ".-_*~/\\ "
 EDGE = ".,;:!?\"'()[]{}<>«»„“”…*#&%_~"
 DISGUISED = re.compile(r"([^\W\d_])\1\1|[^\W\d_][0-9@$!|+(€£]+|[0-9@$|+(€£!]+[^\W\d_]|(?:[^\W_][.\-_*~/\\]){2,}[^\W_]")
 SURE = 4.5  # log odds from which one word may be enough
-KNOWN = 300_000  # tokens a worker remembers
+KNOWN, SHORT = 300_000, 200  # tokens a worker remembers, and their length at most
+PIECE = 48  # stretches of a long token that are read at once besides the whole; pieces overlap by half
 
 
 def letter_class() -> np.ndarray:
@@ -102,10 +107,11 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def restore(token: str, lm: np.ndarray, best: int = 4) -> list[str]:
-    """The likeliest readings, best first: Viterbi over the last two letters with `best` paths to each."""
-    paths = {(0, 0): [(0.0, "")]}
-    for options in [*lattice(token), [(" ", 0.0)]]:
+def likeliest(stretches: list, lm: np.ndarray, best: int = 4) -> list[str]:
+    """The likeliest readings, best first: Viterbi over the last two letters with `best` paths to each. A path
+    is a linked list of its readings, so the work is linear in the token's length."""
+    paths: dict = {(0, 0): [(0.0, None)]}
+    for options in [*stretches, [(" ", 0.0)]]:
         new: dict = {}
         for (a, b), held in paths.items():
             for reading, extra in options:
@@ -116,9 +122,31 @@ def restore(token: str, lm: np.ndarray, best: int = 4) -> list[str]:
                         continue
                     total -= lm[p, q, x]
                     p, q = q, x
-                new.setdefault((p, q), []).extend((cost + total, text + reading) for cost, text in held)
-        paths = {k: sorted(v)[:best] for k, v in new.items()}
-    return list(dict.fromkeys(t.strip() for _, t in sorted(x for v in paths.values() for x in v)))[:best]
+                new.setdefault((p, q), []).extend((cost + total, (path, reading)) for cost, path in held)
+        paths = {k: sorted(v, key=itemgetter(0))[:best] for k, v in new.items()}
+    out: dict = {}
+    for _, path in sorted((x for v in paths.values() for x in v), key=itemgetter(0)):
+        parts = []
+        while path:
+            path, reading = path
+            parts.append(reading)
+        out["".join(reversed(parts)).strip()] = None
+        if len(out) == best:
+            break
+    return list(out)
+
+
+def restore(token: str, lm: np.ndarray, best: int = 4) -> list[str]:
+    return likeliest(lattice(token), lm, best)
+
+
+def restored_words(token: str, lm: np.ndarray) -> list[str]:
+    """Words of the likeliest readings of the whole token and, if it is long, of overlapping pieces."""
+    stretches = lattice(token)
+    parts = [stretches]
+    if len(stretches) > PIECE:
+        parts += [stretches[i:i + PIECE] for i in range(0, len(stretches) - PIECE // 2, PIECE // 2)]
+    return [w for part in parts for text in likeliest(part, lm) for w in text.split()]
 
 
 def tokens(text: str) -> list[str]:
@@ -132,8 +160,8 @@ def tokens(text: str) -> list[str]:
         if len(w) == 1 and (w.isalpha() or w in LEET):
             run.append(w)
             continue
-        if len(run) > 3 and len(set(run)) > 2:
-            out += [" ".join(run[i:i + 24]) for i in range(0, len(run), 24)]
+        if len(run) > 2 and (len(set(run)) > 2 or not any(a == b == c for a, b, c in zip(run, run[1:], run[2:]))):
+            out.append(" ".join(run))
         else:
             out += run
         run = []
@@ -152,8 +180,8 @@ class Model:
     def readings(self, token: str) -> list[str]:
         spaced = " " in token
         token = token if spaced else token.lstrip(EDGE).rstrip(EDGE + "$|")
-        if spaced or (len(token) < 40 and DISGUISED.search(token)):
-            return [w for text in restore(token, self.lm) for w in text.split()]
+        if spaced or DISGUISED.search(token):
+            return restored_words(token, self.lm)
         return [token]
 
     def features(self, token: str) -> set[str]:
@@ -161,7 +189,7 @@ class Model:
         for w in self.readings(token):
             w = w.strip(EDGE)
             if len(w) > 2:
-                out.add(w[:40])
+                out.add(w)
                 out.update("^" + w[:k] for k in (4, 5, 6) if len(w) >= k)
         return out
 
@@ -173,7 +201,9 @@ class Model:
             if f is None:
                 if len(self.known) > KNOWN // 4:
                     self.known.clear()
-                f = self.known[t] = frozenset(self.features(t))
+                f = frozenset(self.features(t))
+                if len(t) <= SHORT:
+                    self.known[t] = f
             out.add(f)
         return out
 
@@ -185,7 +215,9 @@ class Model:
             if w is None:
                 if len(self.known) > KNOWN:
                     self.known.clear()
-                w = self.known[t] = max((self.weights.get(f, 0.0) for f in self.features(t)), default=0.0)
+                w = max((self.weights.get(f, 0.0) for f in self.features(t)), default=0.0)
+                if len(t) <= SHORT:
+                    self.known[t] = w
             if w > second:
                 first, second = max(first, w), min(first, w)
         return first, second, max(0.0, first - SURE)

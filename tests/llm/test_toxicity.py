@@ -58,6 +58,19 @@ def test_disguise(model):
         assert model.score(f"{clean} {word} and the {clean}") > 0.5, word
 
 
+def test_disguise_of_any_length_and_place(model):
+    words = "the of and thing with there and the thing of there with the and thing".split()
+    for join in (" ", "."):
+        assert model.score(join.join("".join(words))) < 0.5
+        for k in range(1, 14):
+            for toxic in ("moron", "worthless", "idiot"):
+                letters = "".join([*words[:k], toxic, *words[k:k + 5]])
+                assert model.score(join.join(letters)) > 0.5, (join, k, toxic)
+    assert model.score("the st" + "u" * 60 + "pid thing") > 0.5
+    assert tokens("he is b a d and b o o b too a b") == ["he", "is", "b a d", "and", "b o o b", "too", "a", "b"]
+    assert "ab" * 30 in model.features("ab" * 30)
+
+
 def test_held_out_labels(spark, big, model):
     docs, labels = big
     rows = docs.join(labels, "doc_id").filter(toxicity.held_out(docs.doc_id)).select(
