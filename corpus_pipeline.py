@@ -46,8 +46,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def blank_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows; live-looking secrets that belong to few owners are replaced in the texts, widely copied
-    examples stay. n_chars follows the text."""
+    """All rows; secrets that belong to few owners are replaced in the texts, named ones of any form, widely
+    copied examples stay. n_chars follows the text."""
     clean = secrets.redact(docs)
     return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
 

@@ -125,18 +125,26 @@ def count_kind(spans: str, kind: int) -> Column:
 
 def redact(df: DataFrame, row_id: str = "doc_id", text: str = "text", repo: Column | None = None, owner: Column | None = None,
            copied: int = 3, mark: str = "[SECRET]") -> DataFrame:
-    """The rows as they are, with the values of live-looking secrets replaced by `mark` in their texts;
-    copied examples stay. Texts without such a secret, null ones too, are left as they are."""
+    """The rows as they are, with secrets replaced by `mark` in their texts: every value that a fixed pattern
+    names, however short and with or without digits, and added ones that look like a key; copied
+    examples stay. An assigned value that does not look like a key is replaced where it is assigned, any
+    other wherever it stands. Texts without such a secret, null ones too, are left as they are."""
     owner = F.col("source") if owner is None else owner
     repo = F.concat_ws("/", "source", "lang") if repo is None else repo
     found = candidates(df, row_id, text, repo, owner).filter(F.size("base") + F.size("owned") > 0)
-    live = F.array_distinct(F.transform(F.filter("spans", _live), lambda s: s["value"]))
+    long = lambda s: _live(s) | (~s["example"] & s["kind"].isin(1, 2))
+    live = F.array_distinct(F.transform(F.filter("spans", long), lambda s: s["value"]))
     longest = F.array_sort(live, lambda a, b: F.length(b) - F.length(a))
-    marks = classified(found, copied).select(F.col("id").alias("__secret_id"), F.col("_h").alias("__secret_h"),
-                                             longest.alias("__secret_values")).filter(F.size("__secret_values") > 0)
+    here = F.filter("spans", lambda s: ~s["example"] & (s["kind"] == 0) & ~_live(s))
+    places = F.reverse(F.array_sort(F.transform(here, lambda s: F.struct(
+        (s["end"] - F.length(s["value"])).cast("int").alias("at"), F.length(s["value"]).alias("n")))))  # the last first
+    marks = classified(found, copied).select(
+        F.col("id").alias("__secret_id"), F.col("_h").alias("__secret_h"), longest.alias("__secret_values"),
+        places.alias("__secret_places")).filter((F.size("__secret_values") > 0) | (F.size("__secret_places") > 0))
     t = F.col(f"`{text}`")
     keyed = df.withColumn("__secret_t", F.xxhash64(F.coalesce(t, F.lit("")), F.length(F.coalesce(t, F.lit("")))))
     met = keyed.join(marks, F.col(f"`{row_id}`").eqNullSafe(F.col("__secret_id")) & (F.col("__secret_t") == F.col("__secret_h")), "left")
     clean = F.when(F.col("__secret_values").isNull(), t).otherwise(
-        F.aggregate("__secret_values", t, lambda acc, v: F.replace(acc, v, F.lit(mark))))
-    return met.withColumn(text, clean).drop("__secret_id", "__secret_h", "__secret_t", "__secret_values")
+        F.aggregate("__secret_values", F.aggregate("__secret_places", t, lambda acc, s: F.overlay(acc, F.lit(mark), s["at"] + 1, s["n"])),
+                    lambda acc, v: F.replace(acc, v, F.lit(mark))))
+    return met.withColumn(text, clean).drop("__secret_id", "__secret_h", "__secret_t", "__secret_values", "__secret_places")
