@@ -1,7 +1,8 @@
 """Operator 1, licence scans as an exact set-similarity join of text blocks and licence templates.
 
-A block (a line) matches a template when it holds at least ceil(threshold * |T|) of the template's
-|T| distinct words. Template words have one global order, rare in the corpus first. A match must
+A block matches a template when it holds at least ceil(threshold * |T|) of the template's |T| distinct
+words. Blocks are lines and, for notices wrapped over lines, all stretches of as many words as the
+template has; the latter are cut only from texts that pass the same filters as a whole. Template words have one global order, rare in the corpus first. A match must
 hold one of the template's |T| - o + 1 rarest words (prefix), at least o template words at all
 (length), and after the first shared word enough words on either side to reach o (position); the
 join runs over those prefix words and the few pairs left are verified by intersection.
@@ -76,11 +77,24 @@ def _phrases(rows: DataFrame, phrases) -> DataFrame:
                        most.alias("last_word"), F.array_compact(F.array(*labels)).alias("base"))
 
 
+def _wrapped(docs: DataFrame, ordered: Column, prefixes: DataFrame, fewest: int) -> DataFrame:
+    """id, _h, label, share of the templates that a stretch of their length in the words `w` matches."""
+    held = docs.withColumn("held", F.array_intersect(ordered, "w")).filter(F.size("held") >= fewest)
+    both = F.array_intersect("held", "all")
+    near = held.withColumn("word", F.explode("held")).join(prefixes, "word").withColumn("both", both).filter(
+        (F.col("both")[0] == F.col("word")) & (F.size("both") >= F.col("least")))
+    starts = F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: F.array_contains("all", F.element_at("w", i)))
+    most = F.aggregate(starts, F.lit(0), lambda acc, i: F.greatest(acc, F.size(F.array_intersect(F.slice("w", i, F.col("span")), F.col("all")))))
+    return near.withColumn("most", most).filter(F.col("most") >= F.col("least")).select(
+        "id", "_h", "label", (F.col("most") / F.size("all")).alias("share"))
+
+
 def scan(df: DataFrame, row_id: str = "doc_id", text: str = "text", phrases=PHRASES, templates=TEMPLATES,
          num: int = 8, den: int = 10) -> DataFrame:
     """One row per input row: id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    A template matches a block that holds at least num/den of its distinct words. score is the
+    A template matches a line, or a stretch of its own length over lines, that holds at least num/den of
+    its distinct words. score is the
     greatest share of a template that a matching block holds, 1 where a phrase stands, else 0.
     A null text is empty: no words, no labels, null places. Rows with equal id and text have equal
     results; null ids are kept. Template words count once however often they repeat.
@@ -90,6 +104,7 @@ def scan(df: DataFrame, row_id: str = "doc_id", text: str = "text", phrases=PHRA
     docs = docs.withColumn("_h", F.xxhash64("_t", F.length("_t")))
 
     given = [(label, sorted(set(t.replace(".", " ").lower().split()))) for label, t in templates]
+    spans = {(label, tuple(ws)): len(t.replace(".", " ").split()) for (label, ws), (_, t) in zip(given, templates)}
     vocabulary = sorted({w for _, ws in given for w in ws})
     listed = F.array(*[F.lit(w) for w in vocabulary])
     words = F.split(F.trim(spaced(F.col("_t"))), "  ")
@@ -102,7 +117,7 @@ def scan(df: DataFrame, row_id: str = "doc_id", text: str = "text", phrases=PHRA
     for label, ws in given:
         ws = sorted(ws, key=rank.__getitem__)
         least = -(-len(ws) * num // den)
-        made += [F.struct(F.lit(label).alias("label"), F.lit(w).alias("word"), F.lit(p).alias("place"), F.lit(least).alias("least"),
+        made += [F.struct(F.lit(label).alias("label"), F.lit(w).alias("word"), F.lit(p).alias("place"), F.lit(least).alias("least"), F.lit(spans[label, tuple(sorted(ws))]).alias("span"),
                           F.array(*[F.lit(x) for x in ws]).alias("all")) for p, w in enumerate(ws[:len(ws) - least + 1])]
     prefixes = F.broadcast(spark.range(1).select(F.inline(F.array(*made))))
     fewest = min(-(-len(ws) * num // den) for _, ws in given)
@@ -116,7 +131,9 @@ def scan(df: DataFrame, row_id: str = "doc_id", text: str = "text", phrases=PHRA
         1 + F.least(F.size("all") - F.col("place"), F.size("held") - F.col("at")) - 1 >= F.col("least"))
     both = F.array_intersect("held", "all")
     met = met.withColumn("both", both).filter((F.col("both")[0] == F.col("word")) & (F.size("both") >= F.col("least")))
-    found = met.groupBy("id", "_h").agg(F.collect_set("label").alias("found"), F.max(F.size("both") / F.size("all")).alias("share"))
+    met = met.select("id", "_h", "label", (F.size("both") / F.size("all")).alias("share")).unionByName(
+        _wrapped(docs.filter(F.contains("_t", F.lit("\n"))).select("id", "_h", words.alias("w")), ordered, prefixes, fewest))
+    found = met.groupBy("id", "_h").agg(F.collect_set("label").alias("found"), F.max("share").alias("share"))
 
     base = _phrases(docs.select("id", "_h", spaced(F.col("_t")).alias("_s")), phrases)
     found = found.select(F.col("id").alias("_id"), F.col("_h").alias("_g"), "found", "share")

@@ -44,6 +44,15 @@ def test_licenses(spark, odd, docs):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_wrapped_notices(spark):
+    rows = [(1, "x\n * Redistribution and use in source and binary forms, with or without\n * modification, are permitted", "bsd", 1.0),
+            (2, "# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at\n", "apache-2.0", 1.0),
+            (3, "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License", "gpl", 1.0),
+            (4, "the mit\n" + "word " * 9 + "\nlicense " + "word " * 9 + "released\nunder", "", 0.0), (5, "Released\n\nunder the\nMIT License", "mit", 1.0)]
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    assert sorted((r.id, r.labels, r.score) for r in licenses.scan(df).collect()) == [(i, la, n) for i, _, la, n in rows]
+
+
 def test_licenses_empty(empty):
     assert licenses.scan(empty).count() == 0
 
