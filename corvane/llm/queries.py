@@ -11,6 +11,7 @@ from .common import LOWER, UPPER, table
 from .exact_dedup import exact_groups
 from .ngram_join import ngram_components
 from .packing import pack
+from .periods import contract_change, periodic_runs
 from .suffixes import repeated_passages
 from .sql import licenses_sql, secrets_sql
 from .token_cache import count_tokens
@@ -95,3 +96,8 @@ def op6(spark, sf):
 @query("op7_packing")
 def op7(spark, sf):
     return pack(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json")).withColumnRenamed("id", "doc_id")
+
+
+@query("op11_periodic_runs")
+def op11(spark, sf):
+    return periodic_runs(table(spark, sf, "documents"), change=contract_change).withColumnRenamed("id", "doc_id")
