@@ -16,6 +16,7 @@ from .suffixes import repeated_passages
 from .sql import licenses_sql, secrets_sql
 from .token_cache import count_tokens
 from .vector_index import near_duplicates
+from .whitening import whiten
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -101,3 +102,8 @@ def op7(spark, sf):
 @query("op11_periodic_runs")
 def op11(spark, sf):
     return periodic_runs(table(spark, sf, "documents"), change=contract_change).withColumnRenamed("id", "doc_id")
+
+
+@query("op12_embedding_whitening")
+def op12(spark, sf):
+    return whiten(table(spark, sf, "embeddings")).withColumnRenamed("id", "vec_id")
