@@ -12,8 +12,9 @@ from .exact_dedup import exact_groups
 from .ngram_join import ngram_components
 from .packing import pack
 from .periods import contract_change, periodic_runs
+from .sharding import kd_shards
+from .sql import licenses_sql, secrets_sql, shards_sql
 from .suffixes import repeated_passages
-from .sql import licenses_sql, secrets_sql
 from .token_cache import count_tokens
 from .vector_index import near_duplicates
 from .whitening import whiten
@@ -107,3 +108,8 @@ def op11(spark, sf):
 @query("op12_embedding_whitening")
 def op12(spark, sf):
     return whiten(table(spark, sf, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+@query("op13_sharding", shards_sql())
+def op13(spark, sf):
+    return kd_shards(table(spark, sf, "documents"), shards=40).withColumnRenamed("id", "doc_id")

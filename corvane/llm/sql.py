@@ -5,6 +5,7 @@ from __future__ import annotations
 from .common import LOWER, UPPER
 from .licenses import PHRASES, TEMPLATES
 from .secrets import ACCESS, ASSIGN, HEX, OWNED
+from .sharding import GRID, SHARE
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -49,3 +50,38 @@ def secrets_sql(copied: int = 3) -> str:
 SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(c, 0)::BIGINT AS n_access, coalesce(h, 0)::BIGINT AS n_hex,
  sha256(coalesce(base, '')) AS base_sha256, coalesce(allsp, '') AS spans, coalesce(ex, 0)::BIGINT AS n_example, coalesce(lv, 0)::BIGINT AS n_live
 FROM d LEFT JOIN per USING (r)"""
+
+
+def shards_sql(shards: int = 40) -> str:
+    """Twin of operator 13 for unique ids: all atoms of a node sorted in one window per level; CRC by its table."""
+    def number(c):
+        return f"coalesce(('0x' || rpad(substr(hex(encode({c})), 1, 12), 12, '0'))::BIGINT, NULL)::DOUBLE"
+
+    dims = range(4)
+    low = [f"min(d{i}) OVER () AS lo{i}, max(d{i}) OVER () AS hi{i}" for i in dims]
+    scaled = [f"CASE WHEN lo{i} = hi{i} OR e{i} IS NULL THEN 0 ELSE floor((e{i} - lo{i}) / (hi{i} - lo{i}) * {GRID}.0::DOUBLE)::BIGINT END AS c{i}" for i in dims]
+    levels, last = [], "a0"
+    for n in range((shards - 1).bit_length()):
+        span = [f"max(c{i}) OVER (PARTITION BY node) - min(c{i}) OVER (PARTITION BY node) AS s{i}" for i in dims]
+        pick = "CASE greatest(s0, s1, s2, s3) WHEN s0 THEN c0 WHEN s1 THEN c1 WHEN s2 THEN c2 ELSE c3 END AS v"
+        levels.append(f"""w{n} AS (SELECT *, sum(size) OVER (PARTITION BY node) AS all_, {', '.join(span)} FROM {last}),
+ v{n} AS (SELECT *, {pick} FROM w{n}),
+ m{n} AS (SELECT *, sum(size) OVER (PARTITION BY node ORDER BY v, digest, tie RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
+  sum(size) OVER (PARTITION BY node, v, digest, tie) AS own FROM v{n}),
+ a{n + 1} AS (SELECT doc_id, size, crc, digest, tie, c0, c1, c2, c3, CASE WHEN k = 1 OR 2 * k * upto - k * own <= 2 * all_ * (k // 2) THEN node ELSE node + k // 2 END AS node,
+  CASE WHEN k = 1 THEN 1 WHEN 2 * k * upto - k * own <= 2 * all_ * (k // 2) THEN k // 2 ELSE k - k // 2 END AS k FROM m{n})""")
+        last = f"a{n + 1}"
+    step = "CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    return f"""WITH RECURSIVE bits(b, c, n) AS (SELECT i, i, 0 FROM range(256) t(i) UNION ALL SELECT b, {step}, n + 1 FROM bits WHERE n < 8),
+ tab AS (SELECT list(c ORDER BY b) AS tab FROM bits WHERE n = 8),
+ t AS (SELECT doc_id, source, lang, coalesce(text, '') AS x, hex(encode(coalesce(text, ''))) AS h FROM documents),
+ r AS (SELECT doc_id, (strlen(x) + 16)::BIGINT AS size, ('0x' || substr(sha256(x), 1, 15))::BIGINT AS digest,
+  xor(list_reduce(list_prepend(4294967295, list_transform(range(1, strlen(x) + 1), lambda i: ('0x' || substr(h, 2 * i - 1, 2))::BIGINT)),
+   lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295)::BIGINT AS crc,
+  {number('source')} AS d0, {number('lang')} AS d1, (strlen(x) + 16)::DOUBLE AS d2, doc_id::DOUBLE AS d3 FROM t, tab),
+ g AS (SELECT *, {', '.join(low)}, sum(size) OVER (PARTITION BY digest) > sum(size) OVER () // {shards * SHARE} AS heavy FROM r),
+ e AS (SELECT *, {', '.join(f'CASE WHEN heavy THEN d{i} ELSE min(d{i}) OVER (PARTITION BY digest) END AS e{i}' for i in dims)} FROM g),
+ a0 AS (SELECT doc_id, size, crc, digest, CASE WHEN heavy THEN doc_id ELSE 0 END AS tie, {', '.join(scaled)}, 0 AS node, {shards} AS k FROM e),
+ {', '.join(levels)}
+SELECT doc_id, size, crc AS text_crc32, 'bytes' AS law, node::INTEGER AS shard,
+ (row_number() OVER (PARTITION BY node ORDER BY doc_id) - 1)::BIGINT AS slot, NULL::INTEGER AS grown_shard FROM {last}"""
