@@ -45,7 +45,7 @@ def literal_rows(spark: SparkSession, names: list[str], rows: list[tuple]) -> Da
 
 
 def atoms(docs: DataFrame, dims: list[str], shards: int) -> DataFrame:
-    """docs with their coordinates c0.., digest, tie and row, stored: equal keys are one atom."""
+    """docs with their coordinates c0.., digest, tie, row and node (0), stored: equal keys are one atom."""
     spreads = [f(d).alias(f"{n}_{d}") for d in dims for f, n in ((F.min, "min"), (F.max, "max"))]
     whole = docs.agg(F.sum("size").alias("total"), *spreads).first()
     limit = (whole["total"] or 0) // (shards * SHARE)
@@ -64,8 +64,8 @@ def atoms(docs: DataFrame, dims: list[str], shards: int) -> DataFrame:
         return F.coalesce(F.floor((F.col(d) - F.lit(low)) / F.lit(high - low) * F.lit(float(GRID))), F.lit(0)).cast("long")
 
     rows = light.unionByName(large)
-    return stored(rows.select("id", "size", "crc", "place", "digest", "tie", "row", *[scaled(d).alias(f"c{i}") for i, d in enumerate(dims)]),
-                  "atoms")
+    return stored(rows.select("id", "size", "crc", "place", "digest", "tie", "row", F.lit(0).cast("long").alias("node"),
+                              *[scaled(d).alias(f"c{i}") for i, d in enumerate(dims)]), "atoms")
 
 
 def coordinate(n_dims: int) -> Column:
@@ -126,7 +126,7 @@ def kd_shards(df: DataFrame, row_id: str = "doc_id", text: str = "text", dims=("
                      F.conv(F.substring(F.sha2(text_, 256), 1, 15), 16, 10).cast("long").alias("digest"),
                      *[(size.cast("double") if d is None else dimension(df, d)).alias(n) for d, n in zip(dims, names)])
     docs = stored(docs.withColumn("place", F.monotonically_increasing_id()), "shard-rows")
-    rows = atoms(docs, names, shards).withColumn("node", F.lit(0).cast("long"))
+    rows = atoms(docs, names, shards)
     open_ = {0: shards}
     while active := {n: k for n, k in open_.items() if k > 1}:
         spans = [(F.max(f"c{i}") - F.min(f"c{i}")).alias(f"span{i}") for i in range(len(dims))]
