@@ -1,13 +1,14 @@
 """Queries R1-R12, C12, C13: every document is a task, the benchmark passages are the catalogue,
 and a passage is gold for a document that holds it."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from ..functions.once import once
 from ..functions.text import norm_key_plain
 from ..operators import calibrate as C
 from ..operators import retrieval as R
 from ..operators import vectors as V
+from ..session import stored
 from .base import query, spread, sql_key, table
 from .q_vectors import E_SQL, SIM, emb
 
@@ -16,12 +17,25 @@ def tasks(spark, sf):
     return spread(table(spark, sf, "documents"), "doc_id").select(F.col("doc_id").alias("id"), "lang", "text")
 
 
-def catalogue(spark, sf):
-    return R.numbered(table(spark, sf, "benchmark"), "item_id")
+def index(spark, sf):
+    return R.index_catalogue(R.numbered(table(spark, sf, "benchmark"), "item_id"), norm_key_plain)
 
 
-def sigs(spark, sf):
-    return R.signals(tasks(spark, sf), catalogue(spark, sf), norm_key_plain)
+def bm25(bm, bi, cos):
+    return bm
+
+
+def bigram(bm, bi, cos):
+    return bi
+
+
+def cosine(bm, bi, cos):
+    return cos
+
+
+def best(spark, sf, lists, **kw):
+    """The documents' best passages, per name of lists."""
+    return R.best_candidates(tasks(spark, sf), index(spark, sf), lists, **kw)
 
 
 def r9(*cols):
@@ -50,15 +64,13 @@ SIG = f"""{LEX}, {BIG}, mx AS (SELECT id, max(bm25) AS top FROM lex GROUP BY id)
 
 @query("r1_bm25", f"WITH {LEX} SELECT id, pos, round(bm25,9) AS bm25, round(cos,9) AS cos FROM lex")
 def r1(spark, sf):
-    long = R.long_form(R.lexical_scores(tasks(spark, sf), catalogue(spark, sf)), ["bm25", "cos"])
-    return long.filter("bm25 > 0").select("id", "pos", *r9("bm25", "cos"))
+    return R.pair_scores(tasks(spark, sf), index(spark, sf)).select("id", "pos", *r9("bm25", "cos"))
 
 
 @query("r2_bigram_overlap", f"WITH {SIG} SELECT id, round(max(bigram),9) AS best, round(sum(bigram),6) AS total, count_if(gold)::INT AS n_gold FROM sg GROUP BY id")
 def r2(spark, sf):
-    s = sigs(spark, sf)
-    total = F.aggregate("bigram", F.lit(0.0), lambda a, x: a + x)
-    return s.select("id", F.round(F.array_max("bigram"), 9).alias("best"), F.round(total, 6).alias("total"), F.size("gold").alias("n_gold"))
+    s = R.profiles(tasks(spark, sf), index(spark, sf))
+    return s.select("id", *r9("best"), F.round("total", 6).alias("total"), F.size("known").alias("n_gold"))
 
 
 def sql_select(src, base="0.2", wl="0.6", wb="1", extra="id"):
@@ -70,12 +82,12 @@ FUSED = f"{SIG}, fz AS ({sql_select('sg')}), se AS (SELECT * FROM fz WHERE k<=5)
 
 
 def fused(spark, sf):
-    return R.fuse_max_select(sigs(spark, sf), 0.2, 0.6, 1.0)
+    return best(spark, sf, {"selected": (R.fused_score(0.6, 1.0, 0.2), 5, 0.15)})
 
 
 @query("r3_fuse_max_select", f"WITH {FUSED} SELECT dc.id, coalesce(string_agg(pos,',' ORDER BY k),'') AS selected FROM dc LEFT JOIN se ON se.id=dc.id GROUP BY dc.id")
 def r3(spark, sf):
-    return fused(spark, sf).select("id", F.array_join(F.col("selected").cast("array<string>"), ",").alias("selected"))
+    return fused(spark, sf).select("id", F.array_join(F.transform("selected", lambda x: x["pos"].cast("string")), ",").alias("selected"))
 
 
 def sql_rank_metrics(src, by, ks):
@@ -90,9 +102,13 @@ KS = (1, 3, 5, 10, 20)
 @query("r4_fuse_alpha", f"""WITH {SIG}, fa AS (SELECT alpha, id, gold, row_number() OVER (PARTITION BY alpha, id ORDER BY round(alpha*bm25+(1-alpha)*cos,12) DESC, pos) AS k FROM sg, (SELECT unnest({ALPHAS!r}::DOUBLE[]) AS alpha)),
  fp AS (SELECT alpha, id, min(k) FILTER (gold) AS p FROM fa GROUP BY ALL) {sql_rank_metrics('fp', 'alpha', KS)}""")
 def r4(spark, sf):
-    s = sigs(spark, sf)
-    rounded = R.fuse_alpha(s, ALPHAS)
-    return R.rank_metrics(rounded, "place", ["alpha"]).select("alpha", "n", *r9(*[f"r{k}" for k in KS], "mrr"))
+    def mixed(a):
+        return lambda bm, bi, cos: np.round(a * bm + (1 - a) * cos, 12)
+
+    places = R.gold_places(tasks(spark, sf), index(spark, sf), {f"p{i}": mixed(a) for i, a in enumerate(ALPHAS)})
+    each = F.explode(F.array(*[F.struct(F.lit(a).alias("alpha"), F.col(f"p{i}").alias("place")) for i, a in enumerate(ALPHAS)]))
+    return R.rank_metrics(places.select(each.alias("x")).select("x.*"), "place", ["alpha"]).select(
+        "alpha", "n", *r9(*[f"r{k}" for k in KS], "mrr"))
 
 
 TOP20 = "t20 AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY bm25 DESC, pos) AS k0 FROM sg), c20 AS (SELECT * FROM t20 WHERE k0<=20)"
@@ -101,17 +117,17 @@ TOP20 = "t20 AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY bm25 DESC
 @query("r5_rerank_candidates", f"""WITH {SIG}, {TOP20}, rr AS (SELECT id, gold, row_number() OVER (PARTITION BY id ORDER BY (1-0.7::DOUBLE)*bm25+0.7::DOUBLE*cos DESC, pos) AS k FROM c20),
  rp AS (SELECT dc.id, dc.lang, min(k) FILTER (gold) AS p FROM dc JOIN rr USING (id) GROUP BY ALL) {sql_rank_metrics('rp', 'lang', (1, 5))}""")
 def r5(spark, sf):
-    s = R.rerank_candidates(sigs(spark, sf), "bm25", "cos", 0.7)
-    placed = once(s, p=R.first_hit(F.col("order"), F.col("gold")))
+    s = R.rerank_candidates(best(spark, sf, {"first": (bm25, 20, None)}), "first", 0.7)
+    placed = s.select("lang", R.first_gold(F.col("order")).alias("p"))
     return R.rank_metrics(placed, "p", ["lang"], (1, 5)).select("lang", "n", *r9("r1", "r5", "mrr"))
 
 
 @query("r6_rerank_by_score_table", f"""WITH {SIG}, {TOP20}, rr AS (SELECT id, gold, row_number() OVER (PARTITION BY id ORDER BY bigram DESC, pos) AS k FROM c20),
  rp AS (SELECT dc.id, dc.lang, min(k) FILTER (gold) AS p FROM dc JOIN rr USING (id) GROUP BY ALL) {sql_rank_metrics('rp', 'lang', (1, 5))}""")
 def r6(spark, sf):
-    s = sigs(spark, sf)
-    scores = s.select("id", F.posexplode("bigram").alias("pos", "score"))
-    ranked = once(R.rerank_by_score_table(s, "bm25", scores), p=R.first_hit(F.col("order"), F.col("gold")))
+    s = stored(best(spark, sf, {"first": (bm25, 20, None)}), "first-stage")
+    scores = s.select("id", F.explode("first").alias("x")).select("id", "x.pos", F.col("x.bigram").alias("score"))
+    ranked = R.rerank_by_score_table(s, "first", scores).select("lang", R.first_gold(F.col("order")).alias("p"))
     return R.rank_metrics(ranked, "p", ["lang"], (1, 5)).select("lang", "n", *r9("r1", "r5", "mrr"))
 
 
@@ -123,15 +139,14 @@ UNION = [{"k": k, "theta": float(t), "n": n} for k in (3, 5) for t in (0.3, 0.5,
  ug AS (SELECT k, theta, first_n, id, count_if(inc) AS sz, bool_or(inc AND gold) AS hit, bool_or(bigram>=0.4 AND gold) AS sh FROM (SELECT *, bigram>=0.4 OR (kh<=k AND cos>=theta) OR ka<=first_n AS inc FROM o, g) GROUP BY ALL)
  SELECT k, theta, first_n, count(*) AS n, round(avg(hit::INT),9) AS recall, round(avg(sz),9) AS mean_size, round(avg(sh::INT),9) AS scope_only FROM ug GROUP BY ALL""")
 def r7(spark, sf):
-    scope = F.filter(F.transform("bigram", lambda b, i: F.when(b >= 0.4, i)), lambda i: i.isNotNull())
-    s = once(sigs(spark, sf), scope=scope)
-    return R.union_candidates(s, UNION, "scope", "cos", "bm25").select("k", "theta", "first_n", "n", *r9("recall", "mean_size", "scope_only"))
+    s = best(spark, sf, {"head": (cosine, 5, None), "first": (bm25, 20, None)}, scope=lambda bm, bi, cos: bi >= 0.4)
+    return R.union_candidates(s, UNION, "head", "first", lambda x: x["bigram"] >= 0.4).select("k", "theta", "first_n", "n", *r9("recall", "mean_size", "scope_only"))
 
 
 @query("r8_recall_at_k_mrr", f"""WITH {SIG}, o AS (SELECT id, lang, gold, row_number() OVER (PARTITION BY id ORDER BY bm25 DESC, pos) AS k FROM sg), rp AS (SELECT id, lang, min(k) FILTER (gold) AS p FROM o GROUP BY ALL)
  {sql_rank_metrics('rp', 'lang', KS)}""")
 def r8(spark, sf):
-    s = R.with_place(sigs(spark, sf), F.col("bm25"), "p")
+    s = R.gold_places(tasks(spark, sf), index(spark, sf), {"p": bm25})
     return R.rank_metrics(s, "p", ["lang"]).select("lang", "n", *r9(*[f"r{k}" for k in KS], "mrr"))
 
 
@@ -154,23 +169,23 @@ def sql_prf(sel, by=""):
 
 @query("r10_micro_prf", f"WITH {FUSED}, al AS (SELECT sg.id, sg.lang, sg.gold, fz.k FROM sg LEFT JOIN fz ON fz.id=sg.id AND fz.pos=sg.pos) {sql_prf('al', 'lang')}")
 def r10(spark, sf):
-    return R.micro_prf(fused(spark, sf), by=["lang"]).select("lang", "n", "tp", "fp", "fn", *r9("hit1", "empty", "f1"))
+    return R.prf_of_lists(fused(spark, sf), "selected", ["lang"]).select("lang", "n", "tp", "fp", "fn", *r9("hit1", "empty", "f1"))
 
 
 @query("r11_rank_eval", f"""WITH {SIG}, o AS (SELECT id, lang, gold, row_number() OVER (PARTITION BY id ORDER BY cos DESC, pos) AS k FROM sg), rp AS (SELECT id, lang, min(k) FILTER (gold) AS p FROM o GROUP BY ALL)
  {sql_rank_metrics('rp', 'lang', (1, 5))}""")
 def r11(spark, sf):
-    return R.rank_eval(sigs(spark, sf), by=["lang"]).select("lang", "n", *r9("r1", "r5", "mrr"))
+    s = R.gold_places(tasks(spark, sf), index(spark, sf), {"p": cosine})
+    return R.rank_metrics(s, "p", ["lang"], (1, 5)).select("lang", "n", *r9("r1", "r5", "mrr"))
 
 
 @query("r12_multi_config_compare", f"""WITH {SIG}, l AS (SELECT 'bm25' AS config, id, pos, gold, bm25 AS s FROM sg UNION ALL SELECT 'bigram', id, pos, gold, bigram FROM sg UNION ALL SELECT 'cos', id, pos, gold, cos FROM sg),
  o AS (SELECT *, row_number() OVER (PARTITION BY config, id ORDER BY s DESC, pos) AS k FROM l), rp AS (SELECT config, id, min(k) FILTER (gold) AS p FROM o GROUP BY ALL), m AS ({sql_rank_metrics('rp', 'config', (1, 5))})
  SELECT *, mrr=(SELECT max(mrr) FROM m) AS best FROM m""")
 def r12(spark, sf):
-    s = sigs(spark, sf)
-    configs = F.array(*[F.struct(F.lit(c).alias("config"), F.col(c).alias("s")) for c in ("bm25", "bigram", "cos")])
-    rows = s.select("gold", F.explode(configs).alias("x")).select("gold", "x.config", "x.s")
-    m = R.rank_eval(rows, "s", ["config"]).select("config", "n", *r9("r1", "r5", "mrr"))
+    places = R.gold_places(tasks(spark, sf), index(spark, sf), {"bm25": bm25, "bigram": bigram, "cos": cosine})
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("config"), F.col(c).alias("p")) for c in ("bm25", "bigram", "cos")]))
+    m = R.rank_metrics(places.select(each.alias("x")).select("x.*"), "p", ["config"], (1, 5)).select("config", "n", *r9("r1", "r5", "mrr"))
     best = C.select_best(m, F.lit(True), [F.desc("mrr"), F.asc("config")]).select("mrr").scalar()
     return m.withColumn("best", F.col("mrr") == best)
 
@@ -181,7 +196,7 @@ BASES = [b / 100 for b in range(0, 70, 2)]
 @query("c12_baseline_sweep", f"""WITH {SIG}, gd AS (SELECT b/100 AS base FROM (SELECT unnest(range(0,70,2)) AS b)), al0 AS (SELECT sg.*, base, greatest(bm25,bigram,greatest(0::DOUBLE,cos-base)) AS s FROM sg, gd),
  al AS (SELECT base, id, gold, CASE WHEN s>=0.15::DOUBLE THEN row_number() OVER (PARTITION BY base, id ORDER BY s>=0.15::DOUBLE DESC, s DESC, pos) END AS k FROM al0) SELECT base, n, tp, fp, fn, hit1, empty, f1 FROM ({sql_prf('al', 'base')})""")
 def c12(spark, sf):
-    out = R.baseline_sweep(sigs(spark, sf), C.grid_points(wl=[1.0], wb=[1.0], base=BASES))
+    out = R.fusion_sweep(tasks(spark, sf), index(spark, sf), C.grid_points(wl=[1.0], wb=[1.0], base=BASES))
     return out.select("base", "n", "tp", "fp", "fn", *r9("hit1", "empty", "f1"))
 
 
@@ -193,6 +208,6 @@ WEIGHTS = (0.6, 0.8, 1.0, 1.2)
  al AS (SELECT wl, wb, base, id, gold, CASE WHEN s>=0.15::DOUBLE THEN row_number() OVER (PARTITION BY wl, wb, base, id ORDER BY s>=0.15::DOUBLE DESC, s DESC, pos) END AS k FROM al0), m AS ({sql_prf('al', 'wl, wb, base')})
  SELECT wl, wb, base, f1 FROM (SELECT *, row_number() OVER (PARTITION BY wl, wb ORDER BY f1 DESC, base DESC) AS z FROM m) WHERE z=1""")
 def c13(spark, sf):
-    out = R.baseline_sweep(sigs(spark, sf), C.grid_points(wl=WEIGHTS, wb=WEIGHTS, base=[b / 100 for b in range(0, 80, 2)]))
+    out = R.fusion_sweep(tasks(spark, sf), index(spark, sf), C.grid_points(wl=WEIGHTS, wb=WEIGHTS, base=[b / 100 for b in range(0, 80, 2)]))
     best = C.select_best(out.withColumn("f1", F.round("f1", 9)), F.lit(True), [F.desc("f1"), F.desc("base")], ["wl", "wb"])
     return best.select("wl", "wb", "base", "f1")
