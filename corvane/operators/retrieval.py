@@ -412,7 +412,7 @@ def signals(tasks: DataFrame, catalogue: DataFrame, key, block_rows: int = None,
     parts = score_blocks(with_profiles(tasks, index, **sizes), index, fn, f"{schema}, {arrays}", **sizes)
     if index.n_blocks > 1:
         parts = parts.groupBy(*kept).agg(F.array_sort(F.collect_list(F.struct("first", *names, "gold"))).alias("_p")).select(
-            *kept, *[F.flatten(F.transform("_p", lambda p, n=n: p[n])).alias(n) for n in (*names, "gold")])
+            *kept, *[F.flatten(F.col("_p")[n]).alias(n) for n in (*names, "gold")])
     return parts.select(*kept, "bm25", "bigram", "gold", "cos")
 
 

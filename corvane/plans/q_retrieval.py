@@ -49,12 +49,12 @@ def _grams(src, key):
 
 LEX = r"""cat AS (SELECT (row_number() OVER (ORDER BY item_id)-1)::INT AS pos, text FROM benchmark), dc AS (SELECT doc_id AS id, lang, text FROM documents),
  ct AS (SELECT pos, term, count(*) AS tf FROM (SELECT pos, unnest(regexp_split_to_array(lower(text),'[^\p{L}\p{N}]+')) AS term FROM cat) WHERE term<>'' GROUP BY ALL),
- cl AS (SELECT pos, sum(tf) AS dl, sqrt(sum(tf*tf)) AS norm FROM ct GROUP BY pos), cf AS (SELECT term, count(*) AS df FROM ct GROUP BY term),
- cw AS (SELECT ct.pos, ct.term, ln((n-df+0.5::DOUBLE)/(df+0.5::DOUBLE)+1)*tf*2.2::DOUBLE/(tf+1.2::DOUBLE*(0.25::DOUBLE+0.75::DOUBLE*dl/avgdl)) AS w, tf/norm AS u
+ cl AS (SELECT pos, sum(tf) AS dl, sum(tf*tf)::BIGINT AS sq FROM ct GROUP BY pos), cf AS (SELECT term, count(*) AS df FROM ct GROUP BY term),
+ cw AS (SELECT ct.pos, ct.term, ln((n-df+0.5::DOUBLE)/(df+0.5::DOUBLE)+1)*tf*2.2::DOUBLE/(tf+1.2::DOUBLE*(0.25::DOUBLE+0.75::DOUBLE*dl/avgdl)) AS w, tf AS ctf, cl.sq AS csq
   FROM ct JOIN cl USING (pos) JOIN cf USING (term), (SELECT count(*) AS n, avg(dl) AS avgdl FROM cl)),
  dt AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(regexp_split_to_array(lower(text),'[^\p{L}\p{N}]+')) AS term FROM dc) WHERE term<>'' GROUP BY ALL),
- dn AS (SELECT id, sqrt(sum(tf*tf)) AS norm FROM dt GROUP BY id),
- lex AS (SELECT id, pos, sum(w) AS bm25, sum(tf*u)/any_value(norm) AS cos FROM dt JOIN cw USING (term) JOIN dn USING (id) GROUP BY id, pos)"""
+ dn AS (SELECT id, sum(tf*tf)::BIGINT AS sq FROM dt GROUP BY id),
+ lex AS (SELECT id, pos, sum(w) AS bm25, sum(tf*ctf)::BIGINT/sqrt(any_value(sq)*any_value(csq)) AS cos FROM dt JOIN cw USING (term) JOIN dn USING (id) GROUP BY id, pos)"""
 BIG = f"""dg AS ({_grams('dc', 'id')}), cg AS ({_grams('cat', 'pos')}), dgn AS (SELECT id, count(*) AS n FROM dg GROUP BY id), cgn AS (SELECT pos, count(*) AS n FROM cg GROUP BY pos),
  bi AS (SELECT id, pos, count(*) AS c FROM dg JOIN cg USING (g) GROUP BY ALL)"""
 SIG = f"""{LEX}, {BIG}, mx AS (SELECT id, max(bm25) AS top FROM lex GROUP BY id),
