@@ -12,6 +12,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions.once import once
 from ..functions.vectors import cosine, dot, pair_features, softmax
+from ..session import stored
 
 
 def softmax_t(df: DataFrame, z: str, temperature: float) -> DataFrame:
@@ -42,16 +43,26 @@ def zscore_blend(df: DataFrame, a: str, b: str, w: float) -> DataFrame:
 
 @dataclass(frozen=True)
 class Head:
-    """A linear head (w1, b1), or with w2 and b2 one with a hidden ReLU layer."""
+    """A linear head (w1, b1), with w2 and b2 one with a hidden ReLU layer, with `more` (weights and biases in turn)
+    one with further hidden layers. With mean and sd the inputs are standardised first."""
 
     w1: np.ndarray
     b1: np.ndarray
     w2: np.ndarray | None = None
     b2: np.ndarray | None = None
+    more: tuple = ()
+    mean: np.ndarray | None = None
+    sd: np.ndarray | None = None
+
+    def inputs(self, x: np.ndarray) -> np.ndarray:
+        return x if self.mean is None else (x - self.mean) / self.sd
 
     def logits(self, x: np.ndarray) -> np.ndarray:
-        h = x @ self.w1 + self.b1
-        return h if self.w2 is None else np.maximum(h, 0) @ self.w2 + self.b2
+        h = self.inputs(x)
+        parts = _parts(self)
+        for i in range(0, len(parts), 2):
+            h = (np.maximum(h, 0) if i else h) @ parts[i] + parts[i + 1]
+        return h
 
 
 def head_udf(head: Head):
@@ -102,8 +113,9 @@ def pair_variant_scan(df: DataFrame, us: dict[str, Column], vs: dict[str, Column
 
 @dataclass(frozen=True)
 class Recipe:
-    """How one head is fitted. width 0 is a linear head. loss is softmax (one gold label) or
-    sigmoid (any number). Rows of the held-out fold are left out of the fit."""
+    """How one head is fitted. width 0 is a linear head, else there are `depth` hidden layers of that width. loss is
+    softmax (one gold label) or sigmoid (any number). Rows of the held-out fold are left out of the fit, and of the
+    means and deviations if it standardises. l2 is part of the loss, decay shrinks the weights beside the step."""
 
     name: str
     seed: int = 0
@@ -116,6 +128,12 @@ class Recipe:
     l2: float = 1e-3
     lr: float = 1e-3
     held_out: int | None = None
+    depth: int = 1
+    batch: int = 200
+    epochs: int = 200
+    decay: float = 0.0
+    input_dropout: float = 0.0
+    standardise: bool = False
 
 
 def _init(r: Recipe, d: int, k: int) -> Head:
@@ -127,41 +145,51 @@ def _init(r: Recipe, d: int, k: int) -> Head:
 
     if r.width == 0:
         return Head(np.zeros((d, k)), np.zeros(k))
-    return Head(glorot(d, r.width), np.zeros(r.width), glorot(r.width, k), np.zeros(k))
+    sizes = [d, *[r.width] * r.depth, k]
+    return _head([p for a, b in zip(sizes, sizes[1:]) for p in (glorot(a, b), np.zeros(b))])
 
 
 def _parts(h: Head) -> list[np.ndarray]:
-    return [p for p in (h.w1, h.b1, h.w2, h.b2) if p is not None]
+    return [p for p in (h.w1, h.b1, h.w2, h.b2, *h.more) if p is not None]
+
+
+def _head(parts: list, like: Head | None = None) -> Head:
+    scale = (like.mean, like.sd) if like else (None, None)
+    return Head(*(parts + [None, None])[:4], tuple(parts[4:]), *scale)
 
 
-def dropout_mask(r: Recipe, epoch: int, ids: np.ndarray, width: int) -> np.ndarray | None:
-    """Which hidden units of which rows stay, scaled: a hash of (seed, epoch, row id, unit), so it does not
-    depend on how rows fall into batches and tasks."""
-    if not r.dropout:
+def dropout_mask(r: Recipe, epoch: int, ids: np.ndarray, width: int, layer: int = 0) -> np.ndarray | None:
+    """Which units of which rows stay, scaled: a hash of (seed, layer, epoch, row id, unit), so it does not
+    depend on how rows fall into batches and tasks. Layer -1 is the input."""
+    share = r.input_dropout if layer < 0 else r.dropout
+    if not share:
         return None
     with np.errstate(over="ignore"):
         x = np.asarray(ids).astype(np.int64).astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
         x = x ^ (np.arange(width, dtype=np.uint64)[None, :] * np.uint64(0xC2B2AE3D27D4EB4F))
-        x = x + np.uint64((r.seed * 1_000_003 + epoch) & 0xFFFFFFFFFFFF) * np.uint64(0x165667B19E3779F9)
+        x = x + np.uint64((layer * 7_368_787 + r.seed * 1_000_003 + epoch) & 0xFFFFFFFFFFFF) * np.uint64(0x165667B19E3779F9)
         for _ in range(2):
             x = (x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
         x = x ^ (x >> np.uint64(32))
     u = (x >> np.uint64(11)).astype(np.float64) / 2 ** 53
-    return (u >= r.dropout) / (1 - r.dropout)
+    return (u >= share) / (1 - share)
 
 
 def gradient(r: Recipe, h: Head, x: np.ndarray, t: np.ndarray, w: np.ndarray, keep=None) -> np.ndarray:
     """Summed gradient of the loss over rows with targets t (one column per label) and weights
-    w (per row and label), flattened; `keep` scales the hidden units. Ends with the loss and the
+    w (per row and label), flattened; `keep` scales the hidden units (a list: of each layer). Ends with the loss and the
     row weight."""
-    k = t.shape[1]
-    hid = x
-    if h.w2 is not None:
-        pre = x @ h.w1 + h.b1
-        hid = np.maximum(pre, 0)
-        if keep is not None:
-            hid = hid * keep
-    z = hid @ (h.w1 if h.w2 is None else h.w2) + (h.b1 if h.w2 is None else h.b2)
+    k, parts = t.shape[1], _parts(h)
+    keeps = keep if isinstance(keep, list) else [keep] + [None] * len(parts)
+    held, open_, z = [], [], x
+    for i in range(0, len(parts), 2):
+        if i:
+            open_.append(z > 0)
+            z = np.maximum(z, 0)
+            if keeps[i // 2 - 1] is not None:
+                z = z * keeps[i // 2 - 1]
+        held.append(z)
+        z = z @ parts[i] + parts[i + 1]
     if r.loss == "softmax":
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
@@ -179,14 +207,14 @@ def gradient(r: Recipe, h: Head, x: np.ndarray, t: np.ndarray, w: np.ndarray, ke
         p = 1 / (1 + np.exp(-z))
         loss = -(w * (t * np.log(p + 1e-12) + (1 - t) * np.log(1 - p + 1e-12))).sum()
         dz = w * (p - t)
-    if h.w2 is None:
-        grads = [x.T @ dz, dz.sum(0)]
-    else:
-        dh = dz @ h.w2.T
-        if keep is not None:
-            dh = dh * keep
-        dh = dh * (pre > 0)
-        grads = [x.T @ dh, dh.sum(0), hid.T @ dz, dz.sum(0)]
+    grads = []
+    for i in range(len(parts) - 2, -1, -2):
+        grads = [held[i // 2].T @ dz, dz.sum(0), *grads]
+        if i:
+            dz = dz @ parts[i].T
+            if keeps[i // 2 - 1] is not None:
+                dz = dz * keeps[i // 2 - 1]
+            dz = dz * open_[i // 2 - 1]
     return np.concatenate([g.ravel() for g in grads] + [[loss, w[:, 0].sum() if r.loss == "softmax" else len(x)]])
 
 
@@ -266,7 +294,7 @@ def train_grid(df: DataFrame, recipes: list[Recipe], epochs: int, fan_in: int =
 
 
 def adam_step(r: Recipe, h: Head, g: np.ndarray, m, v, step: int, n: float):
-    """One Adam step; weights (not biases) carry the penalty l2/2 * |w|^2 / n."""
+    """One Adam step; weights (not biases) carry the penalty l2/2 * |w|^2 / n. The decay acts on all parts, outside the moments."""
     parts, out, at = _parts(h), [], 0
     m, v = m.copy(), v.copy()
     for j, p in enumerate(parts):
@@ -276,8 +304,202 @@ def adam_step(r: Recipe, h: Head, g: np.ndarray, m, v, step: int, n: float):
         m[s] = 0.9 * m[s] + 0.1 * gp
         v[s] = 0.999 * v[s] + 0.001 * gp * gp
         upd = (m[s] / (1 - 0.9 ** step)) / (np.sqrt(v[s] / (1 - 0.999 ** step)) + 1e-8)
-        out.append(p - r.lr * upd.reshape(p.shape))
-    return Head(*out), m, v
+        out.append(p * (1 - r.lr * r.decay) - r.lr * upd.reshape(p.shape))
+    return _head(out, h), m, v
+
+
+CELL = 4096  # rows that one task of a step takes
+
+
+class Cells:
+    """Training rows dealt by a hash of their ids to `steps` mini-batches, and a batch to cells of about CELL rows: one
+    partition per cell, so a step runs only the tasks of its batch. A cell holds its rows in the order of the ids and sums
+    are taken cell by cell, so nothing depends on how the table was partitioned. The cells lie in the shared folder."""
+
+    def __init__(self, df: DataFrame, batch: int | None):
+        rows = df.select("id", "vec", "target", "weight", F.coalesce("fold", F.lit(-1)).cast("int").alias("fold"))
+        per = rows.groupBy("fold").agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("d"), F.max(F.size("target")).alias("k")).collect()
+        self.rows = {r["fold"]: r["n"] for r in per}
+        n = sum(self.rows.values())
+        self.d, self.k = max((r["d"] for r in per), default=0), max((r["k"] for r in per), default=1)
+        self.steps = max(1, -(-n // batch)) if batch else 1
+        self.width = max(1, -(-n // (self.steps * CELL)))
+
+        def pack(table: pa.Table) -> pa.Table:
+            body = pa.BufferOutputStream()
+            table = table.sort_by([("id", "ascending"), ("fold", "ascending")]).combine_chunks()
+            with pa.ipc.new_stream(body, table.schema) as out:
+                out.write_table(table)
+            return pa.table({"cell": table["cell"].slice(0, 1), "body": pa.array([body.getvalue().to_pybytes()], pa.binary())})
+
+        cell = F.pmod(F.xxhash64("id"), F.lit(self.steps * self.width)).cast("int")
+        packed = stored(rows.withColumn("cell", cell).groupBy("cell").applyInArrow(pack, "cell int, body binary"), "cells")
+        parts = self.steps * self.width
+        self.sc = df.sparkSession.sparkContext
+        # one task per cell is what mini-batches need, and only the RDD interface can run chosen partitions
+        self.rdd = packed.rdd.map(lambda r: (r[0], bytes(r[1]))).partitionBy(parts, lambda c: c).values().persist()
+
+    def training(self, held_out: int | None) -> int:
+        return sum(n for f, n in self.rows.items() if held_out is None or f != held_out)
+
+    def order(self, epoch: int) -> list[int]:
+        return np.random.default_rng(epoch).permutation(self.steps).tolist()
+
+    def total(self, fn, step: int | None = None) -> np.ndarray | None:
+        """The sum of fn(ids, x, target, weight, fold) over the cells of a batch, or of all, in their order."""
+        def run(bodies):
+            for body in bodies:
+                b = pa.ipc.open_stream(body).read_all().combine_chunks().to_batches()[0]
+                yield fn(*_batch(b)).tobytes()
+
+        cells = None if step is None else range(step * self.width, (step + 1) * self.width)
+        parts = self.sc.runJob(self.rdd, run, cells)
+        return sum(np.frombuffer(p) for p in parts) if parts else None
+
+    def close(self):
+        self.rdd.unpersist()
+
+    def scales(self, folds) -> dict:
+        """For each held-out fold mean and deviation (+ 1e-6) of the other rows: one pass for the means, one for the
+        squares around them, each with a sum per fold."""
+        every = sorted(self.rows)
+
+        def per_fold(values):
+            return lambda ids, x, t, w, f: np.stack([values(x)[f == g].sum(0) for g in every])
+
+        def others(flat):
+            m = flat.reshape(len(every), -1)
+            return {h: m[[i for i, g in enumerate(every) if h is None or g != h]].sum(0) / max(1, self.training(h)) for h in folds}
+
+        means = others(self.total(per_fold(lambda x: x)))
+        centre = means[folds[0]]
+        squares = others(self.total(per_fold(lambda x: (x - centre) ** 2)))
+        return {h: (means[h], np.sqrt(np.maximum(0, squares[h] - (means[h] - centre) ** 2)) + 1e-6) for h in folds}
+
+
+def train_batches(df: DataFrame, recipes: list[Recipe]) -> list[Head]:
+    """Fits all heads of a grid together with Adam on mini-batches of about `batch` rows, `epochs` passes; the recipes of a
+    grid agree in both. Batches are fixed by hash and their order changes with the pass. A step is one small job over the
+    batch's cells that serves the whole grid; only the summed gradient reaches the driver."""
+    batch, epochs = recipes[0].batch, recipes[0].epochs
+    if any((r.batch, r.epochs) != (batch, epochs) for r in recipes):
+        raise ValueError("recipes fitted together have one batch size and number of passes")
+    cells = Cells(df, batch)
+    try:
+        heads = [_init(r, cells.d, cells.k) for r in recipes]
+        if not cells.rows:
+            return heads
+        scale = cells.scales(list(dict.fromkeys(r.held_out for r in recipes))) if any(r.standardise for r in recipes) else {}
+        heads = [replace(h, mean=scale[r.held_out][0], sd=scale[r.held_out][1]) if r.standardise else h for r, h in zip(recipes, heads)]
+        sizes = [sum(p.size for p in _parts(h)) + 2 for h in heads]
+        m, v = [np.zeros(s - 2) for s in sizes], [np.zeros(s - 2) for s in sizes]
+        step = 0
+        for epoch in range(1, epochs + 1):
+            for b in cells.order(epoch):
+                step += 1
+
+                def sums(ids, x, t, w, fold, heads=heads, epoch=epoch):
+                    each = []
+                    for r, h in zip(recipes, heads):
+                        use = slice(None) if r.held_out is None else fold != r.held_out
+                        z, n_layers = h.inputs(x[use]), len(_parts(h)) // 2 - 1
+                        into = dropout_mask(r, epoch, ids[use], z.shape[1], -1)
+                        keep = [dropout_mask(r, epoch, ids[use], r.width, i) for i in range(n_layers)]
+                        each.append(gradient(r, h, z if into is None else z * into, t[use], w[use], keep))
+                    return np.concatenate(each)
+
+                total, at = cells.total(sums, b), 0
+                if total is None:
+                    continue
+                for i, r in enumerate(recipes):
+                    piece = total[at:at + sizes[i]]
+                    at += sizes[i]
+                    if piece[-1] > 0:
+                        heads[i], m[i], v[i] = adam_step(r, heads[i], piece[:-2] / piece[-1], m[i], v[i], step, cells.training(r.held_out))
+        return heads
+    finally:
+        cells.close()
+
+
+def train_logistic(df: DataFrame, fits: list[tuple[float, int | None]], iterations: int = 1500, tolerance: float = 1e-9) -> list[Head]:
+    """Binary logistic heads with mean log-loss + lam/2n |w|^2 for each (lam, held-out fold) of `fits`, all in the same passes.
+
+    Inputs are standardised by each fit's own training rows. Nesterov steps with momentum 0.9 and step 1/L, where L comes from the
+    largest singular value of the inputs, found by power iteration over the same cells. Ends early when no parameter moves
+    by more than `tolerance`. One pass is one job; only sums of the size of the parameters reach the driver.
+    """
+    cells = Cells(df, None)
+    try:
+        d = cells.d
+        if not cells.rows:
+            return [Head(np.zeros((d, 1)), np.zeros(1)) for _ in fits]
+        folds = list(dict.fromkeys(f for _, f in fits))
+        scale = cells.scales(folds)
+
+        def inside(x, fold, h):
+            use = slice(None) if h is None else fold != h
+            return use, (x[use] - scale[h][0]) / scale[h][1]
+
+        v = np.full((len(folds), d), 1 / np.sqrt(d))
+        top = np.zeros(len(folds))
+        for _ in range(200):
+            def product(ids, x, t, w, fold, v=v):
+                out = np.zeros_like(v)
+                for i, h in enumerate(folds):
+                    z = inside(x, fold, h)[1]
+                    out[i] = z.T @ (z @ v[i])
+                return out
+
+            new = cells.total(product).reshape(v.shape)
+            size = np.linalg.norm(new, axis=1)
+            settled = np.abs(size - top) <= 1e-7 * size
+            top, v = size, new / np.where(size > 0, size, 1)[:, None]
+            if settled.all():
+                break
+        lam = np.array([x for x, _ in fits])
+        at = np.array([folds.index(f) for _, f in fits])
+        n = np.array([max(1, cells.training(f)) for _, f in fits])
+        step = 1 / (0.25 * 1.01 * top[at] / n + lam / n)
+        p, move = np.zeros((len(fits), d + 1)), np.zeros((len(fits), d + 1))
+        for _ in range(iterations):
+            ahead = p + 0.9 * move
+
+            def sums(ids, x, t, w, fold, ahead=ahead):
+                out = np.zeros_like(ahead)
+                for i, h in enumerate(folds):
+                    use, z = inside(x, fold, h)
+                    mine = np.flatnonzero(at == i)
+                    miss = 1 / (1 + np.exp(-(z @ ahead[mine, :d].T + ahead[mine, d]))) - t[use][:, :1]
+                    out[mine, :d], out[mine, d] = miss.T @ z, miss.sum(0)
+                return out
+
+            g = cells.total(sums).reshape(p.shape) / n[:, None]
+            g[:, :d] += (lam / n)[:, None] * ahead[:, :d]
+            move = 0.9 * move - step[:, None] * g
+            p = p + move
+            if np.abs(move).max() <= tolerance:
+                break
+        return [Head(w[:d, None].copy(), w[d:].copy(), mean=scale[f][0], sd=scale[f][1]) for w, (_, f) in zip(p, fits)]
+    finally:
+        cells.close()
+
+
+def choose_logistic(df: DataFrame, lams: list[float], folds: int) -> tuple[DataFrame, Head]:
+    """(lam, auc) of the pooled held-out scores of each penalty, and the head of the best one (ties: the first given)
+    fitted on all rows. `df` has one target column and folds by group."""
+    from .metrics import auc
+
+    fits = [(lam, f) for lam in lams for f in [*range(folds), None]]
+    heads = train_logistic(df, fits)
+    recipes = [Recipe(repr(float(lam)), width=0, loss="sigmoid", held_out=f) for lam, f in fits]
+    held = [(r, h) for r, h in zip(recipes, heads) if r.held_out is not None]
+    z = held_out_logits(df, [r for r, _ in held], [h for _, h in held])
+    gold = df.select("id", (F.col("target")[0] == 1).alias("y"))
+    table = auc(z.select("recipe", "id", F.col("z")[0].alias("s")).join(gold, "id"), "s", F.col("y"), ["recipe"])
+    scores = {r["recipe"]: r["auc"] for r in table.collect()}  # one row per penalty
+    best = max(range(len(lams)), key=lambda i: (scores.get(repr(float(lams[i]))) or 0.0, -i))
+    head = next(h for h, fit in zip(heads, fits) if fit == (lams[best], None))
+    return table.select(F.col("recipe").cast("double").alias("lam"), "auc"), head
 
 
 def held_out_logits(df: DataFrame, recipes: list[Recipe], heads: list[Head]) -> DataFrame:
@@ -320,10 +542,11 @@ def fold_grid(recipes: list[Recipe], folds: int) -> list[Recipe]:
     return [replace(r, held_out=f) for r in recipes for f in range(folds)]
 
 
-def fit_grid(df: DataFrame, recipes: list[Recipe], folds: int, epochs: int) -> DataFrame:
-    """All recipes x folds fitted together; the held-out logits of every row."""
+def fit_grid(df: DataFrame, recipes: list[Recipe], folds: int, epochs: int | None = None) -> DataFrame:
+    """All recipes x folds fitted together, in the recipes' mini-batches or in `epochs` full passes; the held-out
+    logits of every row."""
     grid = fold_grid(recipes, folds)
-    return held_out_logits(df, grid, train_grid(df, grid, epochs))
+    return held_out_logits(df, grid, train_grid(df, grid, epochs) if epochs else train_batches(df, grid))
 
 
 def oof_table(logits: DataFrame, gold: DataFrame, temperature: float = 1.0) -> DataFrame:
@@ -359,11 +582,11 @@ def train_ovr_balanced(df: DataFrame, tools: list[str], epochs: int, lr: float =
     down = [n / (2 * (n - p)) if n > p else 0.0 for p in pos]
     weight = F.array(*[F.when(F.col("target")[i] == 1, up[i]).otherwise(down[i] if pos[i] else 0.0) for i in range(len(tools))])
     rows = rows.withColumn("weight", weight).withColumn("fold", F.lit(None).cast("int"))
-    head, = train_grid(rows, [Recipe("ovr", width=0, loss="sigmoid", lr=lr)], epochs)
+    head, = train_batches(rows, [Recipe("ovr", width=0, loss="sigmoid", lr=lr, batch=max(1, n), epochs=epochs)])
     return Head(head.w1, np.where(np.array(pos) > 0, head.b1, NO_POSITIVES_BIAS))
 
 
-def cv_auc(df: DataFrame, recipes: list[Recipe], folds: int, epochs: int) -> DataFrame:
+def cv_auc(df: DataFrame, recipes: list[Recipe], folds: int, epochs: int | None = None) -> DataFrame:
     """AUC of a binary head per recipe, seed and held-out fold. `df` has one target column."""
     from .metrics import auc
 

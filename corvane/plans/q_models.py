@@ -1,5 +1,7 @@
 """Queries M1, M3, M4, M7-M13, M15: heads applied and fitted."""
 
+from dataclasses import replace
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -54,9 +56,9 @@ def folded(spark, sf, k=3):
     return M.training_rows(emb(spark, sf).withColumn("fold", (hash_int("mf-", F.col("id")) % k).cast("int")), K)
 
 
-EPOCHS = 12  # passes in the registered fits; the recipe default of 200 is the caller's choice
-PLAIN = M.Recipe("plain", width=16, lr=0.05)
-FULL = M.Recipe("full", width=16, lr=0.05, smoothing=0.05, sens_penalty=0.5, sensitive=META.sensitive, dropout=0.3)
+# Fixed values of the recipes: 512 hidden units, batches of 200, 200 passes, step 1e-3 (the defaults of Recipe).
+PLAIN = M.Recipe("plain")
+FULL = M.Recipe("full", smoothing=0.05, sens_penalty=0.5, sensitive=META.sensitive, dropout=0.3)
 
 
 @query("m7_train_logreg")
@@ -71,7 +73,7 @@ def m8(spark, sf):
     names = sorted({r["tool"] for r in tool_map(spark).select("tool").distinct().collect()}) + ["tool_unused"]
     gold = emb(spark, sf).join(F.broadcast(tool_map(spark)), "label").groupBy("id").agg(F.collect_set("tool").alias("gold"))
     rows = emb(spark, sf).select("id", "vec").join(gold, "id")
-    head = M.train_ovr_balanced(rows, names, EPOCHS)
+    head = M.train_ovr_balanced(rows, names, 200)
     probs = M.mlp_score(rows, head).select("gold", F.posexplode("z").alias("i", "z"))
     name = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("i") + 1)
     p = probs.select(name.alias("tool"), F.array_contains("gold", name).alias("needed"), (1 / (1 + F.exp(-F.col("z")))).alias("p"))
@@ -79,45 +81,54 @@ def m8(spark, sf):
 
 
 def pair_rows(spark, sf, blocks="dp"):
-    """Neighbour pairs with standardised pair features, folds by the left vector's label."""
+    """Neighbour pairs with pair features, folds by the left vector's label."""
     p = neighbours(spark, sf).select("id", "label", pair_features(F.col("vec"), F.col("vec2"), blocks).alias("vec"), "related")
-    std = V.apply_standardize(p, V.fit_standardize(p.select("id", "vec")))
-    return std.select("id", "vec", F.array(F.col("related").cast("double")).alias("target"), F.array(F.lit(1.0)).alias("weight"),
-                      (F.col("label") % 3).alias("fold"))
+    return p.select("id", "vec", F.array(F.col("related").cast("double")).alias("target"), F.array(F.lit(1.0)).alias("weight"),
+                    (F.col("label") % 3).alias("fold"))
 
 
 @query("m9_train_pair_logistic")
 def m9(spark, sf):
-    grid = [M.Recipe(f"lam{lam}", width=0, loss="sigmoid", lr=0.05, l2=lam) for lam in (0.1, 10.0)]
-    per = M.cv_auc(pair_rows(spark, sf), grid, 3, EPOCHS)
-    return per.groupBy("recipe").agg(F.count("*").alias("folds"), F.avg("auc").alias("auc"))
+    rows = pair_rows(spark, sf)
+    per, head = M.choose_logistic(rows, [10.0, 100.0, 1000.0], 3)
+    z = M.mlp_score(rows.select("id", "vec", (F.col("target")[0] == 1).alias("y")), head)
+    fitted = E.auc(z.select("y", F.col("z")[0].alias("s")), "s", F.col("y"), []).select("auc").scalar()
+    best = per.agg(F.max(F.struct("auc", (-F.col("lam")).alias("neg")))).scalar()
+    return per.withColumn("chosen", F.struct("auc", (-F.col("lam")).alias("neg")) == best).withColumn("fitted_auc", F.when(F.col("chosen"), fitted))
+
+
+def accuracy(rows, head):
+    z = M.softmax_t(M.mlp_score(rows, head), "z", 1.0)
+    return z.groupBy("label").agg(F.count("*").alias("n"), F.avg((F.col("pred") == F.col("label")).cast("double")).alias("acc"))
 
 
 @query("m10_train_mlp_head")
 def m10(spark, sf):
     rows = folded(spark, sf)
-    head, = M.train_grid(rows, [FULL], EPOCHS)
-    z = M.softmax_t(M.mlp_score(rows, head), "z", 1.0)
-    return z.groupBy("label").agg(F.count("*").alias("n"), F.avg((F.col("pred") == F.col("label")).cast("double")).alias("acc"))
+    one, two = M.train_batches(rows, [FULL, replace(FULL, depth=2)])
+    return accuracy(rows, one).withColumn("depth", F.lit(1)).unionByName(accuracy(rows, two).withColumn("depth", F.lit(2)))
 
 
 @query("m11_fit_grid")
 def m11(spark, sf):
-    z = M.fit_grid(folded(spark, sf), [PLAIN, FULL], 3, EPOCHS)
+    z = M.fit_grid(folded(spark, sf), [PLAIN, FULL], 3)
     return z.groupBy("recipe", "seed", "fold").agg(F.count("*").alias("n"), F.avg(F.array_max("z")).alias("mean_top"))
 
 
+# Fixed values of the pair head: 64 hidden units, batches of 128, 60 passes, a fifth of inputs and units dropped.
+PAIR = M.Recipe("mlp", width=64, loss="sigmoid", batch=128, epochs=60, dropout=0.2, input_dropout=0.2, l2=0.0, decay=1e-2, standardise=True)
+
+
 @query("m12_train_pair_mlp")
 def m12(spark, sf):
-    grid = [M.Recipe("mlp", seed=s, width=16, loss="sigmoid", lr=0.02, dropout=0.2) for s in (0, 1)]
-    per = M.cv_auc(pair_rows(spark, sf), grid, 3, EPOCHS).groupBy("recipe", "seed").agg(F.avg("auc").alias("auc"))
+    per = M.cv_auc(pair_rows(spark, sf), [replace(PAIR, seed=s) for s in (0, 1)], 3).groupBy("recipe", "seed").agg(F.avg("auc").alias("auc"))
     return E.mean_sd_over_seeds(per, "auc", ["recipe"])
 
 
 @query("m13_oof_table")
 def m13(spark, sf):
     rows = folded(spark, sf)
-    return M.oof_table(M.fit_grid(rows, [PLAIN], 3, EPOCHS), rows)
+    return M.oof_table(M.fit_grid(rows, [PLAIN], 3), rows)
 
 
 @query("m15_pair_variant_scan", f"""WITH {NEXT}, d AS (SELECT a, b, related AS y, {SIM}(CASE a WHEN 'head' THEN vec[1:32] ELSE vec[33:64] END, CASE b WHEN 'head' THEN vec2[1:32] ELSE vec2[33:64] END) AS s FROM nb, (VALUES ('head'),('tail')) x(a), (VALUES ('head'),('tail')) z(b)),
