@@ -1,5 +1,10 @@
 """Exact and near duplicates, leakage control, funnels."""
 
+import math
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -7,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.once import once
 from ..functions.ranking import exact_percentiles
 from ..functions.text import packed_ngrams, squeezed
+from ..session import stored
 from .joins import union_refs
 
 
@@ -97,45 +103,86 @@ def gram_sets(df: DataFrame, row_id: str, text: str, n: int) -> DataFrame:
     return df.select(F.col(row_id).alias("id"), packed_ngrams(squeezed(F.col(text)), n).alias("grams"))
 
 
-SHARED = 16  # grams two prefixes must share; more grams are sent, far fewer pairs are compared
+BLOCK = 2048  # gram sets of a side that meet in a task
+COLUMNS = 4096  # grams multiplied at once
 
 
-def near_dup_ngram(q: DataFrame, ref: DataFrame, row_id: str, text: str, t: float, n: int = 3) -> DataFrame:
+def near_dup_ngram(q: DataFrame, ref: DataFrame, row_id: str, text: str, t: float, n: int = 3, block: int = None) -> DataFrame:
     """For each row of `q` with a neighbour in `ref` of n-gram Jaccard > t: the greatest
     Jaccard and the nearest id (least id among equals). Exact.
 
-    Equal gram sets are collapsed to one representative on both sides first, so a mass of
-    copies costs one. Two sets can pass t only if they overlap in at least o = ceil(t|x|) grams
-    of either set x, so their rarest |x| - o + k grams share at least k for every k up to o,
-    and their sizes are within a factor t of each other. Only pairs that do are compared.
+    Equal gram sets are collapsed to one representative on both sides first, so a mass of copies costs one. A pair over t has
+    sizes within a factor t, so sets are dealt to bands of sizes 1/t apart and meet only their own and the two next bands. A
+    crowded band is cut into blocks on both sides; a pair of blocks counts the grams in common of all its pairs by products of
+    0/1 matrices, a few thousand grams at a time, and gives back one row per query set, its best partner: no pair is a row, and
+    a gram that all texts hold is a column like any other.
     """
     q_sets, q_members = _collapse(gram_sets(q, row_id, text, n))
     r_sets, r_members = _collapse(gram_sets(ref, row_id, text, n))
-    freq = (
-        q_sets.select(F.explode("grams").alias("g")).unionByName(r_sets.select(F.explode("grams").alias("g")))
-        .groupBy("g").agg(F.count("*").alias("f"))
-    )
-    qp = _prefix(q_sets, freq, t).select(F.col("rep").alias("q_rep"), "g", F.col("size").alias("q_size"))
-    rp = _prefix(r_sets, freq, t).select(F.col("rep").alias("r_rep"), "g", F.col("size").alias("r_size"))
-    least = F.least(F.lit(SHARED), F.ceil(F.lit(t) * F.col("q_size")), F.ceil(F.lit(t) * F.col("r_size")))
-    cand = (
-        qp.join(rp, "g")
-        .filter((F.col("q_size") >= t * F.col("r_size")) & (F.col("r_size") >= t * F.col("q_size")))
-        .groupBy("q_rep", "r_rep").agg(F.count("*").alias("c"), F.first(least).alias("least"))
-        .filter("c >= least").select("q_rep", "r_rep")
-    )
-    both = (
-        cand.join(q_sets.select(F.col("rep").alias("q_rep"), F.col("grams").alias("qg")), "q_rep")
-        .join(r_sets.select(F.col("rep").alias("r_rep"), F.col("grams").alias("rg")), "r_rep")
-        .select("q_rep", "r_rep", F.size("qg").alias("qn"), F.size("rg").alias("rn"), "qg", "rg")
-    )
-    sized = once(both, inter=F.size(F.array_intersect("qg", "rg"))).withColumn(
-        "jac", F.col("inter") / (F.col("qn") + F.col("rn") - F.col("inter"))).filter(F.col("jac") > t)
-    best = (
-        sized.groupBy("q_rep").agg(F.max(F.struct("jac", (-F.col("r_rep")).alias("neg"))).alias("b"))
+    q_sets, r_sets = stored(q_sets, "query-grams"), stored(r_sets, "reference-grams")
+    block = block or BLOCK
+    ratio = math.log(1 / t)
+
+    def band(grams):
+        return F.floor(F.log(F.greatest(F.lit(1), F.size(grams)).cast("double")) / ratio + 1e-9).cast("int")
+
+    left = q_sets.select("rep", "grams", band("grams").alias("band"))
+    right = r_sets.select("rep", "grams", F.explode(F.sequence(band("grams") - 1, band("grams") + 1)).alias("band"))
+    counts = {}
+    for side, df in enumerate((left, right)):
+        for r in df.groupBy("band").agg(F.count("*").alias("n")).collect():  # a few dozen bands
+            counts.setdefault(r["band"], [0, 0])[side] = -(-r["n"] // block)
+    met = [(k, a, b) for k, (a, b) in counts.items() if a and b]
+    if not met:
+        return q_members.select("id", F.lit(0.0).alias("max_jac"), F.col("id").alias("nn_jac")).limit(0)
+    plan = F.broadcast(q.sparkSession.createDataFrame(met, "band int, qn int, rn int"))
+
+    def dealt(df, own, other):
+        mine = F.pmod(F.xxhash64("rep"), F.col(own)).cast("int")
+        rows = df.join(plan, "band").select("rep", "grams", "band", mine.alias(own[0]), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other[0]))
+        return rows.groupBy("band", "q", "r")
+
+    def matrix(rows, at, size):
+        m = np.zeros((size, COLUMNS), np.float32)
+        m[rows, at] = 1
+        return m
+
+    def best(a: pa.Table, b: pa.Table) -> pa.Table:
+        sides = []
+        for side in (a, b):
+            lists = side["grams"].combine_chunks()
+            sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            sides.append((side["rep"].to_numpy(), sizes, np.repeat(np.arange(len(sizes)), sizes), lists.flatten()))
+        (qid, qn, qrow, qg), (rid, rn, rrow, rg) = sides
+        if not len(qid) or not len(rid):
+            return pa.table({"q_rep": pa.array([], pa.int64()), "jac": pa.array([], pa.float64()), "r_rep": pa.array([], pa.int64())})
+        words = pc.unique(rg)
+        places = [pc.fill_null(pc.index_in(g, value_set=words), -1).to_numpy(zero_copy_only=False) for g in (qg, rg)]
+        inter = np.zeros((len(qid), len(rid)), np.float32)
+        parts = []
+        for rows, at in zip((qrow, rrow), places):
+            keep = at >= 0
+            rows, at = rows[keep], at[keep]
+            order = np.argsort(at, kind="stable")
+            parts.append((rows[order], at[order]))
+        for lo in range(0, len(words), COLUMNS):
+            cut = [(p[0][slice(*np.searchsorted(p[1], [lo, lo + COLUMNS]))], p[1][slice(*np.searchsorted(p[1], [lo, lo + COLUMNS]))] - lo) for p in parts]
+            if len(cut[0][0]):
+                inter += matrix(*cut[0], len(qid)) @ matrix(*cut[1], len(rid)).T
+        inter = inter.astype(np.float64)  # whole numbers below 2^24
+        jac = inter / np.maximum(1, qn[:, None] + rn[None, :] - inter)
+        order = np.argsort(rid)
+        at = order[jac[:, order].argmax(1)]
+        top = jac[np.arange(len(qid)), at]
+        keep = top > t
+        return pa.table({"q_rep": qid[keep], "jac": top[keep], "r_rep": rid[at[keep]]})
+
+    parts = dealt(left, "qn", "rn").cogroup(dealt(right, "rn", "qn")).applyInArrow(best, "q_rep long, jac double, r_rep long")
+    best_ = (
+        parts.groupBy("q_rep").agg(F.max(F.struct("jac", (-F.col("r_rep")).alias("neg"))).alias("b"))
         .select(F.col("q_rep").alias("rep"), F.col("b.jac").alias("max_jac"), (-F.col("b.neg")).alias("nn_jac"))
     )
-    return best.join(q_sets.select("rep", "sign"), "rep").join(q_members, "sign").select("id", "max_jac", "nn_jac")
+    return best_.join(q_sets.select("rep", "sign"), "rep").join(q_members, "sign").select("id", "max_jac", "nn_jac")
 
 
 def _collapse(sets: DataFrame):
@@ -147,13 +194,6 @@ def _collapse(sets: DataFrame):
     return reps, keyed.select("id", "sign")
 
 
-def _prefix(sets: DataFrame, freq: DataFrame, t: float) -> DataFrame:
-    """The rarest grams of each set that a partner over t must share SHARED of."""
-    grams = sets.select("rep", F.size("grams").alias("size"), F.explode("grams").alias("g")).join(freq, "g")
-    ranked = grams.withColumn("_k", F.row_number().over(W.partitionBy("rep").orderBy("f", "g")))
-    return ranked.filter(F.col("_k") <= F.col("size") - F.ceil(F.lit(t) * F.col("size")) + SHARED)
-
-
 def near_dup_report(ids: DataFrame, cos: DataFrame, jac: DataFrame, cos_t: float, jac_t: float) -> DataFrame:
     """Why a row is removed: cosine first, then n-grams; the nearest row by that measure."""
     joined = ids.join(cos, "id", "left").join(jac, "id", "left")

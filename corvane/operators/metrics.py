@@ -1,14 +1,16 @@
 """Evaluation aggregates. Inputs carry gold and predicted labels, confidence, and the flags
 `ok` (correct under the label rules) and `sens` (a sensitive label was predicted)."""
 
+import hashlib
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.hashing import hash_unit
-from ..functions.once import let
-from ..functions.ranking import cumulate, exact_percentiles
+from ..functions.ranking import cumulate, exact_percentiles, with_cell
 from ..functions.rules import accept, count_if, ratio, share, to_bands
 
 
@@ -96,20 +98,81 @@ POISSON1_CDF = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9
                 0.999998874797402, 0.9999998885745217, 0.9999999899522336, 0.9999999991683892, 0.9999999999364022]
 
 
-def poisson_weight(u: Column) -> Column:
-    """How often a row is drawn, from a uniform number: the inverse of the Poisson(1) distribution."""
-    cdf = F.array(*[F.lit(c) for c in POISSON1_CDF])
-    return let(u, lambda x: F.size(F.filter(cdf, lambda c: c <= x)))
-
-
-def replicates(df: DataFrame, key: str, b: int, seed: str, keep: list[str]) -> DataFrame:
-    """Each row once per replicate with `w`, the times it is drawn there (rows not drawn left
-    out). Every row decides its own weights by hash, so nothing is joined or shuffled and a
-    recomputed task draws the same again; the replicate sizes vary around n as in any Poisson
-    bootstrap."""
-    rep = df.select(key, *keep, F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("rep"))
-    u = hash_unit(seed, "-", F.col("rep"), "-", F.col(key))
-    return rep.withColumn("w", poisson_weight(u)).filter("w > 0")
+class Draws:
+    """How often rows are drawn in each of b replicates: the inverse of the Poisson(1) distribution at a uniform number
+    from md5(seed-replicate-key). Every row decides its own draws, so nothing is joined and a recomputed task draws the
+    same again; replicate sizes vary around n as in any Poisson bootstrap. A kernel holds ROWS x b of them."""
+
+    ROWS = 512
+
+    def __init__(self, seed: str, b: int):
+        self.starts = [f"{seed}-{r}-".encode() for r in range(b)]
+
+    def of(self, keys: list) -> np.ndarray:
+        prefixes = [hashlib.md5(s) for s in self.starts]
+        out = np.empty((len(keys), len(prefixes)), np.uint32)
+        for i, key in enumerate(keys):
+            tail = str(key).encode()
+            row = bytearray()
+            for p in prefixes:
+                h = p.copy()
+                h.update(tail)
+                row += h.digest()[:4]
+            out[i] = np.frombuffer(row, ">u4")
+        return np.searchsorted(POISSON1_CDF, out / 2.0 ** 32, side="right").astype(np.float64)
+
+
+def replicate_sums(df: DataFrame, key: str, b: int, seed: str, sums: dict[str, Column]) -> DataFrame:
+    """(rep, sums...): for each replicate the sums of the given numbers over the drawn rows. A batch is a product of its
+    draws with its numbers, and a task sends one row per replicate, whatever the number of its rows."""
+    draws, names = Draws(seed, b), list(sums)
+    schema = pa.schema([("rep", pa.int32()), *((n, pa.float64()) for n in names)])
+
+    def run(batches):
+        total = np.zeros((b, len(names)))
+        for batch in batches:
+            for lo in range(0, batch.num_rows, Draws.ROWS):
+                part = batch.slice(lo, Draws.ROWS)
+                values = np.stack([c.to_numpy(zero_copy_only=False) for c in part.columns[1:]], 1)
+                total += draws.of(part.column(0).to_pylist()).T @ values
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(b), pa.int32()), *(pa.array(c) for c in total.T)], schema=schema)
+
+    given = df.select(F.col(key).cast("string"), *[F.coalesce(c.cast("double"), F.lit(0.0)).alias(n) for n, c in sums.items()])
+    parts = given.mapInArrow(run, "rep int, " + ", ".join(f"`{n}` double" for n in names))
+    return parts.groupBy("rep").agg(*[F.sum(n).alias(n) for n in names])
+
+
+def replicate_auc(df: DataFrame, key: str, score: str, positive: str, b: int, seed: str) -> DataFrame:
+    """(rep, auc) of the drawn rows, replicates with one class left out. Scores are cut into ranges; a range sums for all
+    replicates its positives, its negatives and the wins inside it, and the ranges are put together in order."""
+    draws = Draws(seed, b)
+
+    def inside(table: pa.Table) -> pa.Table:
+        table = table.sort_by("s").combine_chunks()
+        pos, neg, wins = np.zeros(b), np.zeros(b), np.zeros(b)
+        tied_pos, tied_neg, last = np.zeros(b), np.zeros(b), None
+        for lo in range(0, table.num_rows, Draws.ROWS):
+            part = table.slice(lo, Draws.ROWS)
+            w, y, s = draws.of(part["k"].to_pylist()), part["y"].to_numpy().astype(bool), part["s"].to_numpy()
+            start = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+            p, n = np.add.reduceat(w * y[:, None], start), np.add.reduceat(w * ~y[:, None], start)
+            if last is not None and s[0] == last:  # the chunk before ended inside a tie
+                wins -= tied_pos * (neg - tied_neg + tied_neg / 2)
+                pos, neg = pos - tied_pos, neg - tied_neg
+                p[0], n[0] = p[0] + tied_pos, n[0] + tied_neg
+            wins += (p * (neg + np.cumsum(n, 0) - n + n / 2)).sum(0)
+            pos, neg = pos + p.sum(0), neg + n.sum(0)
+            tied_pos, tied_neg, last = p[-1], n[-1], s[-1]
+        cell = np.full(b, table["_cell"][0].as_py(), np.int32)
+        return pa.table({"cell": cell, "rep": np.arange(b, dtype=np.int32), "pos": pos, "neg": neg, "wins": wins})
+
+    given = df.select(F.col(key).cast("string").alias("k"), F.col(score).cast("double").alias("s"), F.col(positive).cast("int").alias("y"))
+    given = with_cell(given.filter("s IS NOT NULL AND y IS NOT NULL"), "s")
+    cells = given.groupBy("_cell").applyInArrow(inside, "cell int, rep int, pos double, neg double, wins double")
+    before = F.coalesce(F.sum("neg").over(W.partitionBy("rep").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    whole = cells.withColumn("_b", before).groupBy("rep").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"),
+                                                             F.sum(F.col("wins") + F.col("pos") * F.col("_b")).alias("w"))
+    return whole.filter("p > 0 and n > 0").select("rep", (F.col("w") / (F.col("p") * F.col("n"))).alias("auc"))
 
 
 def percentile_interval(reps: DataFrame, value: str, lo: int, hi: int, by=()) -> DataFrame:
@@ -120,30 +183,23 @@ def percentile_interval(reps: DataFrame, value: str, lo: int, hi: int, by=()) ->
         *by, F.size("s").alias("replicates"), F.element_at("s", lo + 1).alias("lo"), F.element_at("s", hi + 1).alias("hi"))
 
 
+def bootstrap_ci(df: DataFrame, key: str, sums: dict[str, Column], metric: Column, b: int, seed: str, lo: int, hi: int) -> DataFrame:
+    """Interval of any metric made of sums over rows, an expression over their names: a mean, F1, MRR, band rates,
+    balanced accuracy, or a difference of two."""
+    return percentile_interval(replicate_sums(df, key, b, seed, sums).select(metric.alias("m")), "m", lo, hi)
+
+
 def bootstrap_mean_ci(df: DataFrame, key: str, diff: Column, b: int, seed: str, lo: int, hi: int) -> DataFrame:
     """Interval of the mean paired difference."""
-    rows = replicates(df.withColumn("_d", diff), key, b, seed, ["_d"])
-    means = rows.groupBy("rep").agg((F.sum(F.col("w") * F.col("_d")) / F.sum("w")).alias("m"))
-    return percentile_interval(means, "m", lo, hi)
+    return bootstrap_ci(df, key, {"n": F.lit(1), "d": diff}, F.col("d") / F.col("n"), b, seed, lo, hi)
 
 
 def bootstrap_auc_diff_ci(df: DataFrame, key: str, a: str, b_score: str, positive: str, b: int, seed: str, lo: int, hi: int):
     """Interval of the difference of two scores' AUC over the same rows. Replicates with one
     class only are skipped."""
-    rows = replicates(df, key, b, seed, [a, b_score, positive])
-    both = rows.select("rep", "w", positive, F.explode(F.array(
-        F.struct(F.lit("a").alias("m"), F.col(a).alias("s")), F.struct(F.lit("b").alias("m"), F.col(b_score).alias("s")))).alias("x"))
-    flat = both.select("rep", "w", F.col(positive).alias("y"), "x.m", "x.s")
-    per = auc(flat, "s", F.col("y"), ["rep", "m"], F.col("w"))
-    diff = per.groupBy("rep").agg((F.sum(F.when(F.col("m") == "a", F.col("auc")).otherwise(-F.col("auc")))).alias("d"))
-    return percentile_interval(diff, "d", lo, hi)
-
-
-def bootstrap_ci(df: DataFrame, key: str, keep: list[str], metric: Column, b: int, seed: str, lo: int, hi: int) -> DataFrame:
-    """Interval of any metric that is an aggregate over rows weighted by `w`: F1, MRR, band
-    rates, balanced accuracy, or a difference of two."""
-    per = replicates(df, key, b, seed, keep).groupBy("rep").agg(metric.alias("m"))
-    return percentile_interval(per, "m", lo, hi)
+    first, second = (replicate_auc(df, key, c, positive, b, seed) for c in (a, b_score))
+    both = first.join(second.withColumnRenamed("auc", "other"), "rep")
+    return percentile_interval(both.select((F.col("auc") - F.col("other")).alias("d")), "d", lo, hi)
 
 
 def paired_wins(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -514,14 +514,16 @@ SQL_BAL = "(sum(CASE WHEN related AND {0}>={1} THEN w ELSE 0 END)/sum(CASE WHEN
 def e11(spark, sf):
     p = pairs(spark, sf)
     auc = M.bootstrap_auc_diff_ci(p, "id", "jac", "cos", "related", BOOT, "b9", 50, 1950)
-    w, y = F.col("w"), F.col("related")
+    y = F.col("related")
 
-    def balanced(score, cut):
-        def tot(c):
-            return F.sum(F.when(c, w).otherwise(0))
-        return (tot(y & (F.col(score) >= cut)) / tot(y) + tot(~y & (F.col(score) < cut)) / tot(~y)) / 2
+    def half(name, score, cut):
+        return {f"{name}_up": y & (F.col(score) >= cut), f"{name}_down": ~y & (F.col(score) < cut)}
 
-    bal = M.bootstrap_ci(p, "id", ["jac", "cos", "related"], balanced("jac", 0.45) - balanced("cos", 0.25), BOOT, "b9", 50, 1950)
+    def rate(name):
+        return (F.col(f"{name}_up") / F.col("yes") + F.col(f"{name}_down") / F.col("no")) / 2
+
+    sums = {"yes": y, "no": ~y, **half("a", "jac", 0.45), **half("b", "cos", 0.25)}
+    bal = M.bootstrap_ci(p, "id", sums, rate("a") - rate("b"), BOOT, "b9", 50, 1950)
     both = auc.withColumn("metric", F.lit("auc")).unionByName(bal.withColumn("metric", F.lit("balanced")))
     return both.select("metric", "replicates", *r9("lo", "hi"))
 
