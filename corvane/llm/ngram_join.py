@@ -12,7 +12,10 @@ Which pairs to count:
   gives as many pairs as it has sets. Sizes and positions rule most of them out beforehand.
 * After the components of these links, only pairs of a bucket that lie in different components are
   left to compare. They are cut down by size, by position and, as 1 - Jaccard is a metric, by the
-  two distances to the pivot. Large buckets are compared in blocks.
+  two distances to the pivot. Large buckets are compared in blocks, in rounds: in the first a set gives its one most
+  alike partner of a block, then, where more were left, four, sixteen and so on; each round's links join components
+  before the next, so a large family of near copies is one component after a few rounds and gives no more pairs. The
+  rounds end when no set had more partners than were tested.
 The components are exact, though not every link inside a component is ever looked at.
 
 Hot buckets are dealt over salts, each with a pivot of its own, and the pivots meet once more.
@@ -261,10 +264,10 @@ def overlaps(pairs: DataFrame, sets: DataFrame, order, n: int, fragments: int) -
     return met.mapInArrow(_shared, "a long, b long, hits long").groupBy("a", "b").agg(F.sum("hits").alias("hits"))
 
 
-def _across(num: int, den: int):
+def _across(num: int, den: int, most: int):
     """Pairs of a block pair (gram, lo, hi, block, key, n, pos, root, pivot, hits, pivot_n, signature) that lie
     in different components and that sizes, positions, signatures and distances to the pivot don't
-    rule out."""
+    rule out: of each set the `most` whose signatures are nearest, and whether there are more."""
 
     def run(batches):
         for x in runs(batches, 3):
@@ -279,15 +282,27 @@ def _across(num: int, den: int):
                 if lo == hi:
                     ok &= p[..., 4] < q[..., 4]
                 first, second = np.nonzero(ok)
+                kept = []
                 for j in range(0, len(first), 100_000):
-                    a, b = left[i + first[j:j + 100_000]], right[second[j:j + 100_000]]
+                    at, to = first[j:j + 100_000], second[j:j + 100_000]
+                    a, b = left[i + at], right[to]
                     n = a[:, 5] + b[:, 5]
-                    near = np.bitwise_count((a[:, 11:] ^ b[:, 11:]).view(np.uint64)).sum(1) <= n - 2 * needed(n, num, num + den)
+                    differ = np.bitwise_count((a[:, 11:] ^ b[:, 11:]).view(np.uint64)).sum(1).astype(np.int64)
+                    near = differ <= n - 2 * needed(n, num, num + den)
                     far = [np.where(z[:, 9] < 0, np.nan, 1 - z[:, 9] / np.maximum(1, z[:, 5] + z[:, 10] - z[:, 9])) for z in (a, b)]
                     near &= ~((a[:, 8] == b[:, 8]) & (np.abs(far[0] - far[1]) > 1 - num / den + 1e-9))
-                    a, b = a[near, 4], b[near, 4]
-                    if len(a):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                    kept.append(np.stack([at, differ, to])[:, near])
+                if not kept or not sum(k.shape[1] for k in kept):
+                    continue
+                at, differ, to = np.concatenate(kept, 1)
+                by = np.lexsort((to, differ, at))
+                at, to = at[by], to[by]
+                start = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+                count = np.diff(np.r_[start, len(at)])
+                take = np.arange(len(at)) - np.repeat(start, count) < most
+                a, b, more = left[i + at[take], 4], right[to[take], 4], np.repeat(count > most, count)[take]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), x[0, 0])), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)),
+                                                  pa.array(more)], names=["gram", "a", "b", "more"])
 
     return run
 
@@ -346,26 +361,34 @@ def ngram_components(df: DataFrame, row_id: str = "doc_id", text: str = "text",
         "a", F.explode("all").alias("b")).filter("a != b")
     roots = stored(components(linked(star_hits).unionByName(same)), "ngram-roots")
 
-    marked = (
-        buckets.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    )
-    open_ = marked.groupBy("gram").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("rows")).filter(
-        "r1 != r2 and rows > 2")
-    left = marked.join(open_.select("gram", F.ceil(F.col("rows") / BLOCK).cast("long").alias("blocks")), "gram").join(
-        star_hits.select(F.col("a").alias("pivot"), F.col("b").alias("key"), "hits"), ["pivot", "key"], "left").join(
-        marks.select("key", "sig"), "key")
-    block = F.pmod(F.xxhash64("key"), F.col("blocks"))
-    dealt = left.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("gram", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "key", "n",
-                         "pos", "root", "pivot", F.coalesce("hits", F.lit(-1)).alias("hits"), "pivot_n",
-                         *[F.col("sig")[i].alias(f"s{i}") for i in range(16)])
-    rest = dealt.repartition("gram", "lo", "hi").sortWithinPartitions("gram", "lo", "hi").mapInArrow(_across(num, den), "a long, b long")
     known = star_pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = stored(rest.distinct().join(known, ["a", "b"], "left_anti"), "ngram-rest")
-    more = linked(overlaps(rest, full, order, n, fragments))
-    final = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
-
-    placed = full.select("key", "n", "min_id", "ids").join(final.withColumnRenamed("node", "key"), "key", "left").withColumn(
+    grams, most = buckets.select("gram").distinct(), 1
+    while True:
+        rows = buckets.join(grams, "gram", "left_semi").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn(
+            "root", F.coalesce("root", "key"))
+        open_ = rows.groupBy("gram").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("rows")).filter(
+            "r1 != r2 and rows > 2")
+        left = rows.join(open_.select("gram", F.ceil(F.col("rows") / BLOCK).cast("long").alias("blocks")), "gram").join(
+            star_hits.select(F.col("a").alias("pivot"), F.col("b").alias("key"), "hits"), ["pivot", "key"], "left").join(
+            marks.select("key", "sig"), "key")
+        block = F.pmod(F.xxhash64("key"), F.col("blocks"))
+        dealt = left.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        dealt = dealt.select("gram", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "key", "n",
+                             "pos", "root", "pivot", F.coalesce("hits", F.lit(-1)).alias("hits"), "pivot_n",
+                             *[F.col("sig")[i].alias(f"s{i}") for i in range(16)])
+        found = stored(dealt.repartition("gram", "lo", "hi").sortWithinPartitions("gram", "lo", "hi").mapInArrow(
+            _across(num, den, most), "gram long, a long, b long, more boolean"), "ngram-found")
+        rest = stored(found.select("a", "b").distinct().join(known, ["a", "b"], "left_anti"), "ngram-rest")
+        if not rest.isEmpty():
+            more = linked(overlaps(rest, full, order, n, fragments))
+            roots = stored(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "ngram-roots")
+            known = known.unionByName(rest)
+        grams = found.filter("more").select("gram").distinct()
+        if grams.isEmpty():
+            break
+        most *= 4
+
+    placed = full.select("key", "n", "min_id", "ids").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn(
         "root", F.coalesce("root", "key"))
     least = placed.groupBy("root").agg(F.min("min_id").alias("component_id"))
     linked_rows = placed.join(least, "root").select(F.explode("ids").alias("id"), F.col("n").alias("n_grams"), "component_id")
