@@ -24,7 +24,8 @@ from .components import components
 SAMPLE = 8192  # vectors that the codebooks and the number of visits are fitted on
 CENTROIDS = 512  # at most, in each codebook
 BLOCK_BYTES = 16 << 20
-PAIRS = 20_000  # linked pairs of the sample that the number of visits is fitted on
+EDGE = 2000  # pairs at the threshold that the number of visits is fitted on, beside the sample's own
+CELLS = 1 << 22  # similarities held at once
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -76,27 +77,30 @@ class Grid:
         return np.take_along_axis(ia, i[first], 1) * self.k + np.take_along_axis(ib, j[first], 1)
 
     def fit_visits(self, sample: np.ndarray, recall: float) -> int:
-        """The least number of visits that finds the target share of the sample's linked pairs from
-        either end. With few such pairs, pairs at the very threshold in random directions stand in."""
+        """The least number of visits that finds the target share of pairs from either end, both of the sample's vectors with
+        their least similar partner and of pairs at the very threshold in random directions: a vector counts
+        once, however many partners a crowd gives it, and near-equal vectors don't speak for those at the threshold."""
         a, b = [], []
         for at in range(0, len(sample), 1024):
-            i, j = np.nonzero(sample[at:at + 1024] @ sample.T >= self.cosine)
-            keep = i + at < j
-            a.append(i[keep] + at)
-            b.append(j[keep])
+            c = sample[at:at + 1024] @ sample.T
+            rows = np.arange(len(c))
+            c[rows, at + rows] = -2
+            c[c < self.cosine] = 2
+            j = c.argmin(1)
+            some = c[rows, j] < 2
+            a.append(at + rows[some])
+            b.append(j[some])
         a, b = np.concatenate(a), np.concatenate(b)
-        if len(a) > PAIRS:
-            pick = np.linspace(0, len(a) - 1, PAIRS).astype(int)
-            a, b = a[pick], b[pick]
-        x, y = sample[a], sample[b]
-        if len(a) < 200:
-            rng = np.random.default_rng(7)
-            z = sample[np.linspace(0, len(sample) - 1, 1000).astype(int)]
-            r = rng.standard_normal(z.shape)
-            r = unit(r - (r * z).sum(1, keepdims=True) * z)
-            x, y = np.concatenate([x, z]), np.concatenate([y, self.cosine * z + np.sqrt(1 - self.cosine ** 2) * r])
-        place = np.minimum(self.places(x, y), self.places(y, x))
-        return int(np.sort(place)[min(len(place) - 1, int(np.ceil(recall * len(place))))]) + 1
+        rng = np.random.default_rng(7)
+        z = sample[np.linspace(0, len(sample) - 1, EDGE).astype(int)]
+        r = rng.standard_normal(z.shape)
+        r = unit(r - (r * z).sum(1, keepdims=True) * z)
+        edge = self.cosine * z + np.sqrt(1 - self.cosine ** 2) * r
+        visits = 1
+        for x, y in ((sample[a], sample[b]), (z, edge)):
+            place = np.sort(np.minimum(self.places(x, y), self.places(y, x))) if len(x) else np.zeros(1)
+            visits = max(visits, int(place[min(len(place) - 1, int(np.ceil(recall * len(place))))]) + 1)
+        return visits
 
     def places(self, x, y) -> np.ndarray:
         """How many cells come before y's cell in x's order."""
@@ -107,17 +111,20 @@ class Grid:
             rows = np.arange(len(a))
             mine = a[rows, c // self.k] + b[rows, c % self.k]
             out.append(((a[:, :, None] + b[:, None, :]) < mine[:, None, None]).sum((1, 2)))
-        return np.concatenate(out)
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
 def vectors_of(column, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.cast(pa.binary()).to_pylist()), "<f4").reshape(-1, dim)
+    """Packed vectors as rows; 4 or 8 bytes a component, as they came."""
+    body = b"".join(column.cast(pa.binary()).to_pylist())
+    kind = "<f4" if len(body) == 4 * dim * len(column) else "<f8"
+    return np.frombuffer(body, kind).reshape(-1, dim)
 
 
-def _packed(dim: int):
+def _packed(dim: int, kind: str):
     def run(batches):
         for b in batches:
-            flat = b.column(2).flatten().to_numpy(zero_copy_only=False).astype("<f4").reshape(b.num_rows, -1)
+            flat = b.column(2).flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(b.num_rows, -1)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in flat], pa.binary())],
                                              names=["uid", "w", "vec"])
 
@@ -173,45 +180,39 @@ def _verify(grid, dim: int):
         for q in query:
             for c in np.frombuffer(visits[q], "<i4").tolist():
                 asked.setdefault(c, []).append(q)
-        n, ends = {}, []
+        ids, node = np.unique(uid, return_inverse=True)
+        root, links = np.arange(len(ids)), np.zeros(len(ids), np.int64)
+        touched = np.zeros(len(ids), bool)
         for c in np.unique(column).tolist():
             if c not in asked:
                 continue
             inside, who = index[column == c], np.array(asked[c])
-            for at in range(0, len(who), 1024):
-                part = who[at:at + 1024]
+            step = max(1, CELLS // len(inside))
+            for at in range(0, len(who), step):
+                part = who[at:at + step]
                 a, b = np.nonzero(x[part] @ x[inside].T >= g.cosine)
                 a, b = part[a], inside[b]
                 apart = uid[a] != uid[b]
                 a, b = a[apart], b[apart]
                 if not len(a):
                     continue
-                np.add.at(total := np.zeros(len(x), np.int64), a, w[b])
+                np.add.at(links, node[a], w[b])
                 hit = np.unique(b)  # those that do not come across the query themselves
                 cells = np.unique(cell[a])
                 seen = g.order(x[hit], g.visits)
                 meets = np.stack([(seen == u).any(1) for u in cells], 1)
                 alone = ~meets[np.searchsorted(hit, b), np.searchsorted(cells, cell[a])]
-                np.add.at(total, b[alone], w[a[alone]])
-                for i in np.flatnonzero(total).tolist():
-                    n[int(uid[i])] = n.get(int(uid[i]), 0) + int(total[i])
-                ends.append(np.stack([uid[a], uid[b]]))
-        if not ends:
-            return pa.table({"uid": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
-        ends = np.concatenate(ends, 1)
-        ids, flat = np.unique(ends, return_inverse=True)
-        a, b = flat.reshape(ends.shape)
-        root = np.arange(len(ids))
-        while True:  # least label over the links of this task, with shortcuts
-            new = root.copy()
-            np.minimum.at(new, a, root[b])
-            np.minimum.at(new, b, root[a])
-            new = new[new]
-            if (new == root).all():
-                break
-            root = new
-        return pa.table({"uid": pa.array(ids, pa.int64()), "n": pa.array([n.get(i, 0) for i in ids.tolist()], pa.int64()),
-                         "root": pa.array(ids[root], pa.int64())})
+                np.add.at(links, node[b[alone]], w[a[alone]])
+                a, b = node[a], node[b]
+                touched[a] = touched[b] = True
+                while len(a):  # least label over the links of this step; the pairs are not kept
+                    p, q = root[a], root[b]
+                    apart = p != q
+                    a, b, p, q = a[apart], b[apart], p[apart], q[apart]
+                    np.minimum.at(root, np.maximum(p, q), np.minimum(p, q))
+                    while (root[root] != root).any():
+                        root = root[root]
+        return pa.table({"uid": pa.array(ids[touched], pa.int64()), "n": pa.array(links[touched]), "root": pa.array(ids[root[touched]], pa.int64())})
 
     return run
 
@@ -228,7 +229,8 @@ def near_duplicates(df: DataFrame, row_id: str = "vec_id", vector: str = "embedd
     """
     spark = df.sparkSession
     e = F.col(f"`{vector}`")
-    clean = F.transform(e, lambda v: v.cast("float") + F.lit(0.0).cast("float"))
+    single = df.schema[vector].dataType.elementType.typeName() == "float"
+    clean = F.transform(e, lambda v: v.cast("float" if single else "double") + F.lit(0.0).cast("float"))
     rows = df.select(F.col(f"`{row_id}`").cast("long").alias("id"), clean.alias("e"))
     good = F.coalesce(F.col("e").isNotNull() & F.forall("e", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
                       & F.exists("e", lambda v: v != 0), F.lit(False))
@@ -242,7 +244,7 @@ def near_duplicates(df: DataFrame, row_id: str = "vec_id", vector: str = "embedd
     rows = rows.withColumn("good", F.col("good") & (F.size("e") == dim)).select("id", "good", "e", *keys)
     classes = stored(rows.filter("good").groupBy("e").agg(F.min("id").alias("low"), F.count("*").alias("w"), F.first("h1").alias("h1"),
                                                           F.first("h2").alias("h2")).withColumn("uid", F.monotonically_increasing_id()), "vectors")
-    packed = classes.select("uid", "w", "e").mapInArrow(_packed(dim), "uid long, w long, vec binary")
+    packed = classes.select("uid", "w", "e").mapInArrow(_packed(dim, "<f4" if single else "<f8"), "uid long, w long, vec binary")
     sample = packed.orderBy(F.xxhash64("uid"), "uid").limit(SAMPLE).toArrow()
     x = unit(vectors_of(sample.column("vec").combine_chunks(), dim))
     k = int(min(CENTROIDS, len(x), max(2, np.sqrt(classes.count() / 16))))

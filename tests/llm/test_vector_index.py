@@ -81,3 +81,56 @@ def test_order_is_by_growing_distance():
         a, b = g.halves(x[:20])
         total = (a[:, :, None] + b[:, None, :]).reshape(20, -1)
         assert np.allclose(np.take_along_axis(total, g.order(x[:20], visits), 1), np.sort(total, 1)[:, :visits])
+
+
+def crowd(rng, n, d=64):
+    """A third of the vectors near one centre, the others in pairs at cosine 0.91."""
+    centre = unit(rng.standard_normal((1, d)))
+    hot = unit(centre + 0.01 * rng.standard_normal((n // 3, d)))
+    a = unit(rng.standard_normal((n // 3, d)))
+    r = rng.standard_normal(a.shape)
+    r = unit(r - (r * a).sum(1, keepdims=True) * a)
+    return hot, a, 0.91 * a + np.sqrt(1 - 0.91 ** 2) * r
+
+
+def test_a_crowd_takes_no_links_from_others(spark):
+    hot, a, b = crowd(np.random.default_rng(5), 4500)
+    x = np.concatenate([hot, a, b])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(8)
+    got = {r.id: r for r in near_duplicates(df).collect()}
+    m = len(hot)
+    found = [got[m + i].n_links >= 1 and got[m + i].component_id == got[m + m + i].component_id for i in range(m)]
+    assert np.mean(found) >= 0.99
+    assert all(got[i].n_links >= 0.99 * (m - 1) and got[i].component_id == 0 for i in range(m))
+
+
+def test_a_hot_cell_in_bounded_memory():
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    x = unit(unit(rng.standard_normal((1, 64))) + 0.001 * rng.standard_normal((8000, 64)))
+    g = Grid(x[:500], 4, 0.9, 0.99)
+    vec, cell, seen = [v.tobytes() for v in x], g.cells(x), g.order(x, g.visits)
+    first = np.bincount(cell // g.k).argmax()
+    own = np.flatnonzero(cell // g.k == first)
+    asks = [i for i in range(len(x)) if (seen[i] // g.k == first).any()]
+    rows = [(0, int(i), int(cell[i]), b"", vec[i]) for i in own]
+    rows += [(1, int(i), int(cell[i]), (seen[i][seen[i] // g.k == first] % g.k).astype("<i4").tobytes(), vec[i]) for i in asks]
+    role, uid, at, visits, body = map(list, zip(*rows))
+    table = pa.table({"role": role, "uid": uid, "w": [1] * len(rows), "cell": at, "visits": visits, "vec": body})
+    tracemalloc.start()
+    out = vector_index._verify(SimpleNamespace(value=g), 64)(table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1 << 30 and out.num_rows >= len(own) and set(out["root"].to_pylist()) == {min(uid)}
+
+
+def test_doubles_stay_doubles(spark):
+    c = 0.9
+    x, y = [1.0, 0.0], [c - 1e-10, float(np.sqrt(1 - (c - 1e-10) ** 2))]
+    df = spark.createDataFrame([(1, x), (2, y), (3, [c + 1e-10, float(np.sqrt(1 - (c + 1e-10) ** 2))])], "vec_id long, embedding array<double>")
+    got = {r.id: r.n_links for r in near_duplicates(df).collect()}
+    assert got == {1: 1, 2: 1, 3: 2}
