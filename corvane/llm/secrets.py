@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.once import let
 from .common import stored
 
 # The base patterns. `hex` and `access` carry their least length in the pattern: runs
@@ -24,6 +25,7 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 KINDS = ["assign", "access", "hex", "owned"]
 OWNED = r"[A-Za-z0-9_-]{20,}"
+STEP = 256  # matches whose lengths are summed as one, so that places take no quadratic time
 SPAN = "array<struct<start:long,kind:int,end:long,value:string>>"
 
 
@@ -32,16 +34,27 @@ def _spans(text: Column, pattern: str, kind: int, group: int = 0) -> Column:
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else matches
     rows = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), matches.alias("hit"), values.alias("value"))
-    begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("out"))
 
-    def step(acc, row):
-        start = acc["at"] + F.length(row["gap"]).cast("long")
-        end = start + F.length(row["hit"]).cast("long")
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), row["value"].alias("value"))
-        return F.when(row["hit"].isNull(), acc).otherwise(
-            F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out")))
+    def total(lengths):
+        return F.aggregate(lengths, F.lit(0).cast("long"), lambda acc, n: acc + n)
 
-    found = F.aggregate(rows, begin, step, lambda acc: acc["out"])
+    def measured(r):
+        return F.struct(r.alias("rows"), F.transform(r, lambda x: (F.length(x["gap"]) + F.coalesce(F.length(x["hit"]), F.lit(0))).cast("long")).alias("n"))
+
+    def summed(m):
+        blocks = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(m["n"]) - 1) / STEP).cast("int")))
+        return F.struct(m["rows"].alias("rows"), m["n"].alias("n"), F.transform(blocks, lambda b: total(F.slice(m["n"], b * STEP + 1, STEP))).alias("sums"))
+
+    def placed(m):
+        def span(row, i):
+            block = F.floor(i / STEP).cast("int")
+            start = total(F.slice(m["sums"], F.lit(1), block)) + total(F.slice(m["n"], block * STEP + 1, i % STEP)) + F.length(row["gap"])
+            end = start + F.length(row["hit"])
+            return F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), row["value"].alias("value"))
+
+        return F.filter(F.transform(m["rows"], span), lambda s: s["end"].isNotNull())
+
+    found = let(let(let(rows, measured), summed), placed).cast(SPAN)
     return F.when(F.regexp_like(text, F.lit(pattern)), found).otherwise(F.array().cast(SPAN))
 
 
