@@ -1,13 +1,15 @@
-"""Operator 2, passages that repeat across documents, by anchored windows.
-
-Anchors are word k-grams that are the least of their window by hash (minimisers): each depends on the
-words around it alone, so two copies of a passage of window + k - 1 words have the same one. Windows
-of `least` words are hashed only where all anchors they must have stand in two different texts; a
-window is a repeat when its own hash does, whatever stands beside it and whichever text it meets.
-
-Both counts are least and greatest text by hash, aggregated in each partition first, so a window on a
-third of all documents is one row per partition. Equal texts are one text, whose copies repeat as a
-whole.
+"""Operator 2, passages that repeat across documents, by sparse suffix arrays.
+
+Suffixes are kept at minimisers, word k-grams that are the least of their window by hash: each depends on
+the words around it alone, so two copies of a passage of window + k - 1 words keep suffixes at the same
+words. Spark sorts the kept suffixes, and those of the reversed text, which end with the same k-gram; a
+suffix's nearest neighbours of another text tell how far any other text agrees with it to the right, and
+to the left. Where both together make `least` words the stretch is looked at: neighbours of the two
+sides may be different texts, so its windows are hashed and counted by least and greatest text.
+
+The sort key holds the text too, so a suffix on a third of all documents is split over tasks like any
+other; the few rows at the edges of tasks are compared once more, together. Equal texts are one text, whose
+copies repeat as a whole.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from .ngram_join import HASHES, MIX
 
 TEXTS = "key long, tag long, n_words long, ids array<long>, body binary"
 GRAM, WINDOW = 8, 36  # words of a k-gram, k-grams of a window
+SUFFIX = "tag long, ctx long, suffix binary"
+MATCH = "tag long, ctx long, side int, length int, edge binary"
 
 
 def words_of(text: str) -> list[bytes]:
@@ -115,19 +119,122 @@ def windows(h: np.ndarray, least: int) -> np.ndarray:
         size *= 2
 
 
+def places(h: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, gram hashes and context hashes of all minimisers of words with hashes `h`. The context is what a passage
+    of `least` words around the k-gram may hold; equal contexts of one text match alike, so one stands for all."""
+    g = grams(h)
+    at = np.unique(np.lib.stride_tricks.sliding_window_view(g, WINDOW).argmin(1) + np.arange(len(g) - WINDOW + 1))
+    padded = np.concatenate([np.zeros(least - GRAM, np.uint64), h, np.zeros(least, np.uint64)])
+    return at, g[at].view(np.int64), windows(padded, 2 * least - GRAM)[at]
+
+
+def _suffixes(least: int):
+    """Kept suffixes whose k-gram is among the wanted ones, to the right and reversed to the left, as 16 bits a word
+    behind a word for the side. Words are told apart again by the windows' hashes, so no more bits are needed."""
+
+    def run(batches):
+        for b in pieces(batches, 1 << 19):
+            cols = [[], [], []]
+            for tag, wanted, body in zip(*(b.column(i).to_pylist() for i in range(3))):
+                h = np.fromiter(map(HASHES.__getitem__, words := zstandard.decompress(body).split()), np.uint64, len(words))
+                at, g, ctx = places(h, least)
+                use = np.isin(g, np.array(wanted, np.int64))
+                _, first = np.unique(ctx[use], return_index=True)
+                word = (h >> np.uint64(48)).astype(">u2")
+                right, left = word.tobytes(), word[::-1].tobytes()
+                for p, c in zip(at[use][first].tolist(), ctx[use][first].tolist()):
+                    q = len(h) - p - GRAM
+                    cols[0] += [tag, tag]
+                    cols[1] += [c, c]
+                    cols[2] += [b"\0\0" + right[2 * p:2 * (p + least)], b"\0\1" + left[2 * q:2 * (q + least)]]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())],
+                                             names=["tag", "ctx", "suffix"])
+
+    return run
+
+
+def nearest(suffix: list[bytes], tag: np.ndarray, width: int) -> np.ndarray:
+    """Longest common prefix, in words, of each of the sorted suffixes with one of another text."""
+    n = len(suffix)
+    size = np.fromiter(map(len, suffix), np.int64, n) // 2
+    grid = np.frombuffer(b"".join(s.ljust(2 * width, b"\0") for s in suffix), ">u2").reshape(n, width)
+    same = np.column_stack([grid[1:] == grid[:-1], np.zeros(n - 1, bool)])
+    lcp = np.minimum(same.argmin(1), np.minimum(size[1:], size[:-1]))  # of i and i + 1
+    best = np.zeros(n, np.int64)
+    cut = np.flatnonzero(tag[1:] != tag[:-1]) + 1
+    for i, j in zip([0, *cut.tolist()], [*cut.tolist(), n]):  # a run of one text
+        if i:
+            best[i:j] = np.minimum.accumulate(lcp[i - 1:j - 1])
+        if j < n:
+            best[i:j] = np.maximum(best[i:j], np.minimum.accumulate(lcp[i:j][::-1])[::-1])
+    return best
+
+
+def _neighbours(least: int, edges: bool):
+    """(tag, ctx, side, words in common, suffix where it is at an edge) of sorted suffixes. The last run of one text and
+    the row before it wait for the next batch; the edges of a task are its first and last run and the row beside each."""
+
+    def run(batches):
+        rows, edge, told, opening = [[], [], []], [], 0, True
+
+        def out(until):
+            length = nearest(rows[2], np.array(rows[0]), least + 1)[told:until] - 1
+            keep = (np.flatnonzero((length >= GRAM) | np.array(edge[told:until])) + told).tolist()
+            return pa.RecordBatch.from_arrays([
+                pa.array([rows[0][i] for i in keep], pa.int64()), pa.array([rows[1][i] for i in keep], pa.int64()),
+                pa.array([rows[2][i][1] for i in keep], pa.int32()), pa.array([int(length[i - told]) for i in keep], pa.int32()),
+                pa.array([rows[2][i] if edge[i] else None for i in keep], pa.binary())], names=["tag", "ctx", "side", "length", "edge"])
+
+        for b in pieces(batches, 4 << 20):
+            for c, v in zip(rows, b.columns):
+                c += v.to_pylist()
+            edge += [False] * b.num_rows
+            tags = np.array(rows[0])
+            other = np.flatnonzero(tags != tags[-1])
+            if not len(other):
+                continue
+            if opening and edges:
+                n = int(np.flatnonzero(tags != tags[0])[0]) + 1
+                edge[:n] = [True] * n
+            opening = False
+            waits = int(other[-1])  # the row before the last run
+            if waits > told:
+                yield out(waits)
+                other = np.flatnonzero(tags[:waits] != tags[waits])
+                above = [int(other[-1])] if len(other) else []  # what the waiting row is compared with
+                rows, edge, told = [[c[i] for i in above] + c[waits:] for c in rows], [edge[i] for i in above] + edge[waits:], len(above)
+        if rows[0]:
+            tags = np.array(rows[0])
+            other = np.flatnonzero(tags != tags[-1])
+            if edges:
+                at = max(int(other[-1]), told) if len(other) else 0
+                edge[at:] = [True] * (len(edge) - at)
+            yield out(len(edge))
+
+    return run
+
+
 def _windows(least: int):
-    """(h, tag, pos) of the stretches of `least` words whose anchors are all among those of the row."""
-    inside = least - GRAM - WINDOW + 2  # windows of k-grams in a stretch; another copy of it has the same anchors there
+    """(h, tag, pos) of the stretches of `least` words that other texts may hold by what neighbours told."""
 
     def run(batches):
         for b in pieces(batches, 1 << 20):
             cols = [[], [], []]
-            for tag, wanted, body in zip(*(b.column(i).to_pylist() for i in range(3))):
+            for tag, found, body in zip(*(b.column(i).to_pylist() for i in range(3))):
                 words = zstandard.decompress(body).split()
                 h = np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
-                anchor = np.lib.stride_tricks.sliding_window_view(grams(h), WINDOW).min(1).view(np.int64)
-                missing = np.concatenate([[0], np.cumsum(~np.isin(anchor, np.array(wanted, np.int64)))])
-                at = np.flatnonzero(missing[inside:] == missing[:-inside])
+                reach = {}
+                for f in found:
+                    both = reach.setdefault(f["ctx"], [0, 0])
+                    both[f["side"]] = max(both[f["side"]], f["length"])
+                at, _, ctx = places(h, least)
+                right, left = np.array([reach.get(c, (0, 0)) for c in ctx.tolist()], np.int64).reshape(-1, 2).T
+                start, stop = at - (left - GRAM), at + right - least + 1
+                use = (left >= GRAM) & (right >= GRAM) & (start < stop)
+                mark = np.zeros(len(h) + 2, np.int64)
+                np.add.at(mark, start[use], 1)
+                np.add.at(mark, stop[use], -1)
+                at = np.flatnonzero(np.cumsum(mark) > 0)
                 for c, v in zip(cols, (windows(h, least)[at], np.full(len(at), tag), at)):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32()))],
@@ -183,7 +290,16 @@ def repeated_passages(df: DataFrame, row_id: str = "doc_id", text: str = "text",
     anchors = stored(texts.select("tag", "body").mapInArrow(_anchors, "h long, tag long"), "anchors")
     shared = anchors.groupBy("h").agg(F.min("tag").alias("t1"), F.max("tag").alias("t2")).filter("t1 != t2").select("h")
     wanted = anchors.join(shared, "h").groupBy("tag").agg(F.collect_set("h").alias("wanted")).join(one.select("tag", "key"), "tag")
-    held = stored(wanted.join(texts.select("key", "body"), "key").select("tag", "wanted", "body").mapInArrow(
+    suffixes = stored(wanted.join(texts.select("key", "body"), "key").select("tag", "wanted", "body").mapInArrow(
+        _suffixes(least), SUFFIX), "suffixes")
+    order = ["suffix", "tag", "ctx"]
+    told = stored(suffixes.repartitionByRange(*order).sortWithinPartitions(*order).select("tag", "ctx", "suffix").mapInArrow(
+        _neighbours(least, True), MATCH), "neighbours")
+    edges = told.filter("edge IS NOT NULL").select("tag", "ctx", F.col("edge").alias("suffix")).repartition(1).sortWithinPartitions(
+        *order).mapInArrow(_neighbours(least, False), MATCH)  # a few rows a task
+    found = told.unionByName(edges).filter(F.col("length") >= GRAM).groupBy("tag").agg(
+        F.collect_list(F.struct("ctx", "side", "length")).alias("found")).join(one.select("tag", "key"), "tag")
+    held = stored(found.join(texts.select("key", "body"), "key").select("tag", "found", "body").mapInArrow(
         _windows(least), "h long, tag long, pos int"), "windows")
     # written, so that the join below has shuffles of its own and Spark deals a hot window over tasks
     twice = stored(held.groupBy("h").agg(F.min("tag").alias("t1"), F.max("tag").alias("t2")).filter("t1 != t2").select("h"), "repeats")

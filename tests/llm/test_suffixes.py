@@ -3,9 +3,10 @@
 import random
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 
-from corvane.llm.suffixes import minimisers, repeated_passages, words_of
+from corvane.llm.suffixes import _neighbours, minimisers, repeated_passages, words_of
 
 
 def brute(rows, least=50):
@@ -105,3 +106,31 @@ def test_minimisers_depend_on_the_words_alone():
     a, b = ([f"{c}{i}".encode() for i in range(77)] + p + [f"{c}{i}".encode() for i in range(50)] for c in "ab")
     assert set(minimisers(a)[1].tolist()) & set(minimisers(b)[1].tolist())
     assert len(minimisers([b"a"] * 5000)[0]) < 200
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_neighbours_over_batches_and_tasks(seed):
+    """The nearest other text of every suffix, however the sorted rows are cut into tasks and batches."""
+    rng = random.Random(seed)
+    n, least, texts = 400, 12, rng.choice([1, 2, 5, 60])
+    word = lambda: bytes([0, rng.randrange(2)])
+    rows = sorted({(bytes([0, rng.randrange(2)]) + b"".join(word() for _ in range(rng.randrange(8, least + 1))), rng.randrange(texts), i) for i in range(n)})
+    common = lambda a, b: next((k for k in range(min(len(a), len(b)) // 2) if a[2 * k:2 * k + 2] != b[2 * k:2 * k + 2]), min(len(a), len(b)) // 2)
+    want = {c: max([common(s, t) - 1 for t, o, _ in rows if o != tag], default=-1) for s, tag, c in rows}
+
+    def cut(part):
+        while part:
+            k = rng.randrange(1, 9)
+            yield pa.RecordBatch.from_arrays([pa.array([r[1] for r in part[:k]], pa.int64()), pa.array([r[2] for r in part[:k]], pa.int64()),
+                                              pa.array([r[0] for r in part[:k]], pa.binary())], names=["tag", "ctx", "suffix"])
+            part = part[k:]
+
+    ends = sorted(rng.sample(range(n), 9)) + [n]
+    told = [r for i, j in zip([0, *ends], ends) for b in _neighbours(least, True)(cut(rows[i:j])) for r in b.to_pylist()]
+    again = sorted((r["edge"], r["tag"], r["ctx"]) for r in told if r["edge"] is not None)
+    told += [r for b in _neighbours(least, False)(cut(again)) for r in b.to_pylist()]
+    got = dict.fromkeys(want, 0)
+    for r in told:
+        got[r["ctx"]] = max(got[r["ctx"]], r["length"])
+    assert got.keys() == want.keys()
+    assert all(got[c] == want[c] if want[c] >= 8 else got[c] < 8 for c in want)
