@@ -10,8 +10,8 @@ Words and word beginnings of the restored text are the evidence.
 
 What is learnt: the trigram counts from every document, and the evidence weights (log odds of the
 training labels, each document judged without its own count) with a small logistic model from at
-most TOXIC + CLEAN labelled documents, taken in the order of a hash of their ids. The trigram table
-and the list of features have fixed bounds, so both are broadcast.
+most TOXIC + CLEAN labelled documents, taken in the order of a hash of their ids. The trigram table has a fixed
+size, and features are words of at least two of those TOXIC documents, so both are broadcast.
 """
 
 from __future__ import annotations
@@ -30,7 +30,6 @@ from .common import columns, pieces, stored
 from .ngram_join import ngrams
 
 TOXIC, CLEAN = 3000, 7000  # labelled documents learnt from, at most
-FEATURES = 20_000  # words and beginnings kept, at most
 LETTERS = 28  # a-z, any other letter, and 0 for a break
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i",
         "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
@@ -264,7 +263,7 @@ def _looks(batches):
     for b in batches:
         sets = [ngrams(t, 3) for t in b.column(0).to_pylist()]
         least = [[int((g * np.uint64(k)).view(np.int64).min()) if len(g) else 0 for g in sets] for k in (1, 0x9E3779B97F4A7C15)]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, least)], names=["text", "y", "m1", "m2"])
+        yield pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, least)], names=["text", "y", "id", "m1", "m2"])
 
 
 def _tally(model):
@@ -312,16 +311,17 @@ def _judged(model, counts, n_t, n_c):
 
 def train(df: DataFrame, labels: DataFrame, row_id: str = "doc_id", text: str = "text", label: str = "toxic", fold: int = 5) -> Model:
     """Learns from all texts of `df` (language model) and from labelled rows whose crc32(id) mod `fold` is not
-    0 (weights). Null labels and ids are passed over, of several labels of an id the greatest counts.
-    Without both kinds of labels every score is next to 0."""
+    0 (weights). Null labels and ids are passed over, of several labels of an id the greatest counts. Texts of any
+    length are read whole; repeated rows and near copies count once as evidence, each time in the language model. Without both kinds of labels every score is next to 0."""
     spark, docs = df.sparkSession, columns(df, row_id, text)
     model = Model(language_model(docs))
     known = labels.filter(F.col(f"`{label}`").isNotNull() & F.col(f"`{row_id}`").isNotNull() & ~held_out(F.col(f"`{row_id}`"), fold))
     known = known.groupBy(F.col(f"`{row_id}`").cast("long").alias("id")).agg(F.max((F.col(f"`{label}`") > 0).cast("int")).alias("y"))
     first = [known.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(n) for y, n in ((1, TOXIC), (0, CLEAN))]
     chosen = F.broadcast(first[0].unionByName(first[1]))  # TOXIC + CLEAN rows at most
-    looks = docs.join(chosen, "id").select("text", "y").mapInArrow(_looks, "text string, y int, m1 long, m2 long")
-    apart = looks.dropDuplicates(["y", "m1"]).dropDuplicates(["y", "m2"])
+    looks = docs.join(chosen, "id").select("text", "y", "id").mapInArrow(_looks, "text string, y int, id long, m1 long, m2 long")
+    order = F.struct(F.xxhash64("id").alias("h"), "id", "text", "m2")  # of near copies the same one stays in every run
+    apart = looks.groupBy("y", "m1").agg(F.min(order).alias("r")).groupBy("y", "r.m2").agg(F.min("r").alias("r")).select("r.text", "y")
     sample = stored(apart.select("text", "y").repartition(24), "toxic-sample")
     sizes = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n_t, n_c = sizes.get(1, 0), sizes.get(0, 0)
@@ -331,10 +331,11 @@ def train(df: DataFrame, labels: DataFrame, row_id: str = "doc_id", text: str =
     tally = sample.mapInArrow(_tally(shared), "feature string, t long, c long").groupBy("feature").agg(
         F.sum("t").alias("t"), F.sum("c").alias("c")).filter("t >= 2")
     odds = F.log((F.col("t") + 1) / (n_t + 1)) - F.log((F.col("c") + 1) / (n_c + 1))
-    best = tally.filter(odds > 1).orderBy((odds * F.sqrt("t")).desc(), "feature").limit(FEATURES).toArrow().to_pylist()
+    best = tally.filter(odds > 1).toArrow().to_pylist()  # words of the sample alone
     table = {r["feature"]: (r["t"], r["c"]) for r in best}
     judged = sample.mapInArrow(_judged(shared, spark.sparkContext.broadcast(table), n_t, n_c), "y long, a double, s double").toArrow()
     y, a, s = (judged.column(n).to_numpy() for n in ("y", "a", "s"))
+    y, a, s = (v[np.lexsort((s, a, y))] for v in (y, a, s))  # sums in one order
     c = rising(np.column_stack([a, s, np.maximum(0, a - SURE)]), y)
     weights = {f: float(_odds(t, n, n_t, n_c)) for f, (t, n) in table.items() if t >= 3}
     return Model(model.lm, weights, tuple(float(v) for v in c))
@@ -346,7 +347,8 @@ def held_out(row_id: Column, fold: int = 5) -> Column:
 
 
 def score_column(spark, model: Model, text: Column) -> Column:
-    """The score of each text between 0 and 1; a null text is empty, and an empty text has a score."""
+    """The score of each text between 0 and 1; a null text is empty, and an empty text has a score. Very
+    long texts are scored whole; equal texts have equal scores."""
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
