@@ -140,10 +140,10 @@ def topic_threshold_grid(df: DataFrame, cns: list[float], css: list[float], max_
 
 def knn_rescue_replay(df: DataFrame, rules: list[dict], tau: float, tau_s: float, meta: LabelMeta) -> DataFrame:
     """As the cascade, rescued by the nearest pool exemplar (nn_sim, nn_label) from c up,
-    optionally only when the head agrees."""
+    optionally only when the head agrees. A rule with a null c rescues nothing."""
     r = df.withColumn("rule", F.explode(grid_column(rules)))
     head = F.col("head_p") >= needed_conf(is_sensitive(F.col("head_label"), meta), tau, tau_s)
-    rescue = (~F.col("l2_confident") & ~head & (F.col("nn_sim") >= F.col("rule.c"))
+    rescue = (~F.col("l2_confident") & ~head & F.coalesce(F.col("nn_sim") >= F.col("rule.c"), F.lit(False))
               & ~is_sensitive(F.col("nn_label"), meta)
               & ((F.col("rule.agree") == 0) | (F.col("head_label") == F.col("nn_label"))))
     final = (F.when(F.col("l2_confident"), F.col("l2_label")).when(head, F.col("head_label"))
@@ -152,6 +152,17 @@ def knn_rescue_replay(df: DataFrame, rules: list[dict], tau: float, tau_s: float
     return _outcome_stats(rows, ["c", "agree"], meta, F.col("rescued"))
 
 
+def choose_knn_rule(stats: DataFrame, prec: float = 0.976, slack: float = 0.002) -> DataFrame:
+    """The rule of greatest accuracy (ties: greatest c, then the one that needs agreement) among those precise enough
+    whose accuracy over accepted rows falls by `slack` at most; the base, the row with a null c, if none is."""
+    sel = F.when(F.col("accepted") > 0, F.col("primary") * F.col("n") / F.col("accepted")).otherwise(0.0)
+    s = stats.withColumn("_sel", sel)
+    floor = s.filter("c IS NULL").agg(F.first("_sel")).scalar()
+    good = F.col("c").isNull() | ((F.col("resc_prec") >= prec) & (F.col("_sel") >= F.col("_floor") - slack))
+    return s.withColumn("_floor", floor).filter(good).orderBy(
+        F.col("c").isNull(), F.desc(F.round("primary", 6)), F.desc("c"), F.desc("agree")).drop("_floor", "_sel").limit(1)
+
+
 def fallback_fuse(df: DataFrame, probs: str, scores: str, tau: float, k: int = 5) -> DataFrame:
     """For rows under tau: among the head's top k labels, the choice by a second score and by
     log prior + second score. `probs` and `scores` are arrays over the labels."""

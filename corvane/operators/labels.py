@@ -40,6 +40,28 @@ def top_disagreements(joined: DataFrame, n: int) -> DataFrame:
     )
 
 
+def agreement_report(joined: DataFrame, group: list[str], label: str, top: int = 15) -> DataFrame:
+    """What an agreement step reports, as (what, key, n): rows per status, agreed and disagreeing rows per column of
+    `group`, agreed rows per combination of them, agreed rows of the rarest and the commonest label, and the `top`
+    disagreements. Null keys are shown as `?`. Everything comes from one count per combination."""
+    keys = [F.coalesce(F.col(c).cast("string"), F.lit("?")).alias(c) for c in group]
+    per = joined.groupBy("status", *keys, F.col(label).alias("_gold"), "judge_label").agg(F.count("*").alias("n"))
+    agree, dis = per.filter("status = 'agree'"), per.filter("status = 'disagree'")
+
+    def counted(df, what, key):
+        return df.groupBy(F.lit(what).alias("what"), key.alias("key")).agg(F.sum("n").alias("n"))
+
+    parts = [counted(per, "status", F.col("status")), counted(agree, "agree", F.concat_ws("/", *group))]
+    for c in group:
+        parts += [counted(agree, f"agree_{c}", F.col(c)), counted(dis, f"disagree_{c}", F.col(c))]
+    labels = agree.groupBy("_gold").agg(F.sum("n").alias("n"))
+    parts += [labels.agg(f("n").alias("n")).select(F.lit("label").alias("what"), F.lit(name).alias("key"), "n").filter("n IS NOT NULL")
+              for f, name in ((F.min, "min"), (F.max, "max"))]
+    worst = dis.groupBy("_gold", "judge_label").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "_gold", "judge_label").limit(top)
+    parts.append(worst.select(F.lit("disagreement").alias("what"), F.concat_ws("->", "_gold", "judge_label").alias("key"), "n"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def multilabel_gold(df: DataFrame, generated: str, judged: str, out: str = "gold") -> DataFrame:
     """The generator's labels the judge confirmed, in the generator's order; rows left
     without any fall away."""
@@ -62,6 +84,14 @@ def same_family_violations(df: DataFrame, family: str, judge: str) -> DataFrame:
     return df.filter(F.col(family) == F.col(judge))
 
 
+def merge_judges_of(items: DataFrame, logs: list[DataFrame], row_id: str, value: str, family: str) -> DataFrame:
+    """The items with the merged answer (`judge` and `value`, null where none answered). A row whose final judge is of the
+    family that wrote it stops the job: an answer of one's own family is no evidence. An overridden one is no fault."""
+    met = items.join(merge_judges(logs, row_id, value), row_id, "left")
+    fault = F.concat(F.lit("judged by its own family: "), F.col(row_id).cast("string"))
+    return met.withColumn("judge", F.when(F.col(family) == F.col("judge"), F.raise_error(fault)).otherwise(F.col("judge")))
+
+
 def keep_first_partial(log: DataFrame, row_id: str, order: list[str]) -> DataFrame:
     return exact_dedup(log, [row_id], order)
 

@@ -262,6 +262,25 @@ def shift_report(df: DataFrame, positive: Column, len_a: Column, len_b: Column,
     return base
 
 
+def shift_breakdown(df: DataFrame, positive: Column, lang: str, generator: str, overlap: str, cjk: Column) -> DataFrame:
+    """Where a set of pairs differs from another, as (what, key, n, value): rows and share of positives per language and
+    per generator, AUC of the overlap over all rows and per language (those with both classes), and rows without CJK
+    signs with their share. Null keys are shown as `?`."""
+
+    def counted(what, by):
+        key = F.coalesce(F.col(by).cast("string"), F.lit("?"))
+        return df.groupBy(F.lit(what).alias("what"), key.alias("key")).agg(F.count("*").alias("n"), share(positive).alias("value"))
+
+    def ranked(what, by, key):
+        return auc(df, overlap, positive, by).select(F.lit(what).alias("what"), key.alias("key"), (F.col("n_pos") + F.col("n_neg")).cast("long").alias("n"),
+                                                     F.col("auc").alias("value"))
+
+    plain = df.agg(count_if(~cjk).alias("n"), share(~cjk).alias("value")).select(F.lit("cjk").alias("what"), F.lit("none").alias("key"), "n", "value")
+    parts = [counted("lang", lang), counted("gen", generator), ranked("auc", [], F.lit("all")),
+             ranked("auc_lang", [lang], F.coalesce(F.col(lang).cast("string"), F.lit("?"))), plain]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def band_flips(a: DataFrame, b: DataFrame, key: str, score: str, hi: float, lo: float) -> DataFrame:
     """Rows that change band between two dumps, the greatest score change, and percentiles of
     the distance to the nearer band edge."""

@@ -398,18 +398,36 @@ def x7(spark, sf):
 KNN = [{"c": c, "agree": a} for c in (0.25, 0.3, 0.35, 0.4) for a in (0, 1)]
 
 
-@query("x8_knn_rescue_replay", f"""WITH {RUNS}, {E_SQL}, f AS (SELECT *, {sql_hint("'f-'||id")}%5 AS fold FROM e), kp AS (SELECT a.id, b.id AS rid, {SIM}(a.vec,b.vec) AS sim FROM f a JOIN f b ON a.fold<>b.fold),
+SQL_KNN = f"""{RUNS}, {E_SQL}, f AS (SELECT *, {sql_hint("'f-'||id")}%5 AS fold FROM e), kp AS (SELECT a.id, b.id AS rid, {SIM}(a.vec,b.vec) AS sim FROM f a JOIN f b ON a.fold<>b.fold),
  kn AS (SELECT id, max(sim) AS nn_sim, arg_min(rid,(-round(sim,12),rid)) AS nn FROM kp GROUP BY id), kr AS (SELECT r.*, nn_sim, e.label AS nn_label FROM runs r JOIN kn USING (id) JOIN e ON e.id=kn.nn),
  k0 AS (SELECT *, head_p>=CASE WHEN head_label IN (7,8,9) THEN 0.97 ELSE 0.9 END AS hs FROM kr, (VALUES (0.25::DOUBLE),(0.3::DOUBLE),(0.35::DOUBLE),(0.4::DOUBLE)) a(c), (VALUES (0),(1)) b(agree)),
  k1 AS (SELECT *, NOT l2_confident AND NOT hs AND nn_sim>=c AND nn_label NOT IN (7,8,9) AND (agree=0 OR head_label=nn_label) AS rescued FROM k0),
- k2 AS (SELECT c, agree, label, rescued, CASE WHEN l2_confident THEN l2_label WHEN hs THEN head_label WHEN rescued THEN nn_label ELSE 0 END AS final FROM k1) {sql_stats('k2', 'c, agree', RESC)}""")
+ k2 AS (SELECT c, agree, label, rescued, CASE WHEN l2_confident THEN l2_label WHEN hs THEN head_label WHEN rescued THEN nn_label ELSE 0 END AS final FROM k1)"""
+
+
+@query("x8_knn_rescue_replay", f"WITH {SQL_KNN} {sql_stats('k2', 'c, agree', RESC)}")
 def x8(spark, sf):
+    out = rescued_by_nearest(spark, sf, KNN)
+    return out.withColumnRenamed("primary", "primary_acc").select(
+        "c", "agree", "n", *r9("primary_acc"), "accepted", *r9("acc_sel"), "sens_fe", "rescued", *r9("resc_prec"))
+
+
+def rescued_by_nearest(spark, sf, rules):
     f = emb(spark, sf).withColumn("fold", hash_int("f-", F.col("id")) % 5)
     near = V.nearest(f, f, skip_same="fold").select("id", F.col("max_cos").alias("nn_sim"), "nn")
     lab = f.select(F.col("id").alias("nn"), F.col("label").alias("nn_label"))
-    out = X.knn_rescue_replay(runs(spark, sf).join(near.join(lab, "nn"), "id"), KNN, 0.9, 0.97, META)
-    return out.withColumnRenamed("primary", "primary_acc").select(
-        "c", "agree", "n", *r9("primary_acc"), "accepted", *r9("acc_sel"), "sens_fe", "rescued", *r9("resc_prec"))
+    return X.knn_rescue_replay(runs(spark, sf).join(near.join(lab, "nn"), "id"), rules, 0.9, 0.97, META)
+
+
+@query("x8_knn_rule_choice", f"""WITH {SQL_KNN}, kb AS (SELECT NULL::DOUBLE AS c, 0 AS agree, label, false AS rescued, CASE WHEN l2_confident THEN l2_label WHEN hs THEN head_label ELSE 0 END AS final FROM k0 WHERE c=0.25 AND agree=0),
+ ks AS ({sql_stats('(SELECT * FROM k2 UNION ALL SELECT * FROM kb)', 'c, agree', RESC)}), kt AS (SELECT *, CASE WHEN accepted>0 THEN primary_acc*n/accepted ELSE 0 END AS sel FROM ks),
+ kg AS (SELECT * FROM kt WHERE c IS NULL OR (resc_prec>=0.2 AND sel>=(SELECT sel FROM kt WHERE c IS NULL)-0.02) ORDER BY c IS NULL, round(primary_acc,6) DESC, c DESC, agree DESC LIMIT 1)
+ SELECT c, agree::INT AS agree, n, primary_acc, accepted, rescued, resc_prec FROM kg""")
+def x8_choice(spark, sf):
+    stats = rescued_by_nearest(spark, sf, [{"c": None, "agree": 0}, *KNN])
+    best = X.choose_knn_rule(stats, 0.2, 0.02)  # limits at which the given tables leave rules to choose from
+    return best.withColumnRenamed("primary", "primary_acc").select(
+        "c", "agree", "n", *r9("primary_acc"), "accepted", "rescued", *r9("resc_prec"))
 
 
 @query("x9_fallback_fuse", f"""WITH {SC}, j AS (SELECT a.id, a.seed, a.probs, b.z AS s, list_transform(list_sort(list_transform(range(10), lambda i: (-a.z[i+1], i)))[1:5], lambda e: e[2]) AS top FROM scored a JOIN scored b ON a.id=b.id AND a.seed=b.seed AND a.recipe='base' AND b.recipe='smooth' WHERE a.conf<0.9)
@@ -585,6 +603,17 @@ def e18(spark, sf):
     return s.select("n", *r9("pos_frac"), "len_a_med", "len_b_med", *r9("overlap_pos", "overlap_neg"))
 
 
+@query("e18_shift_breakdown", f"""WITH {PAIRS_SQL}, d AS (SELECT p.*, related AS y, d.source AS gen FROM pairs p JOIN documents d ON d.doc_id=p.conv_id)
+ SELECT 'lang' AS what, lang AS key, count(*) AS n, round(avg(y::INT),9) AS value FROM d GROUP BY lang UNION ALL SELECT 'gen', gen, count(*), round(avg(y::INT),9) FROM d GROUP BY gen
+ UNION ALL SELECT 'auc', 'all', (n_pos+n_neg)::BIGINT, round(auc,9) FROM {sql_auc('d', 'jac')} UNION ALL SELECT 'auc_lang', lang, (n_pos+n_neg)::BIGINT, round(auc,9) FROM {sql_auc('d', 'jac', 'lang')}
+ UNION ALL SELECT 'cjk', 'none', count_if(NOT regexp_matches(task||message,'[\u3400-\u9fff]'))::BIGINT, round(count_if(NOT regexp_matches(task||message,'[\u3400-\u9fff]'))/count(*),9) FROM d""")
+def e18_parts(spark, sf):
+    gen = table(spark, sf, "documents").select(F.col("doc_id").alias("conv_id"), F.col("source").alias("gen"))
+    p = pairs(spark, sf).join(gen, "conv_id")
+    cjk = F.concat("task", "message").rlike("[\u3400-\u9fff]")
+    return M.shift_breakdown(p, F.col("related"), "lang", "gen", "jac", cjk).select("what", "key", "n", *r9("value"))
+
+
 SQL_BAND = "CASE WHEN {0}>=0.9 THEN 'high' WHEN {0}<0.6 THEN 'low' ELSE 'mid' END"
 
 

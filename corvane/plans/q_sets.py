@@ -199,6 +199,16 @@ def l3(spark, sf):
     return L.agree_split(agreed(spark, sf), "fam").withColumnRenamed("fam", "grp")
 
 
+@query("l3_agreement_report", f"""WITH {AGREE}, t AS (SELECT gold, judge_label, count(*) AS n FROM j WHERE status='disagree' GROUP BY ALL ORDER BY n DESC, gold, judge_label LIMIT 15),
+ m AS (SELECT gold, count(*) AS n FROM j WHERE status='agree' GROUP BY gold)
+ SELECT 'status' AS what, status AS key, count(*) AS n FROM j GROUP BY ALL UNION ALL SELECT 'agree', fam||'/'||lang, count(*) FROM j WHERE status='agree' GROUP BY ALL
+ UNION ALL SELECT 'agree_fam', fam, count(*) FROM j WHERE status='agree' GROUP BY ALL UNION ALL SELECT 'disagree_fam', fam, count(*) FROM j WHERE status='disagree' GROUP BY ALL
+ UNION ALL SELECT 'agree_lang', lang, count(*) FROM j WHERE status='agree' GROUP BY ALL UNION ALL SELECT 'disagree_lang', lang, count(*) FROM j WHERE status='disagree' GROUP BY ALL
+ UNION ALL SELECT 'label', 'min', min(n) FROM m UNION ALL SELECT 'label', 'max', max(n) FROM m UNION ALL SELECT 'disagreement', gold||'->'||judge_label, n FROM t""")
+def l3_report(spark, sf):
+    return L.agreement_report(agreed(spark, sf), ["fam", "lang"], "gold")
+
+
 @query("l4_multilabel_gold", """WITH t AS (SELECT conv_id, turn, [role, 'long', 'short'] AS g,
  [CASE WHEN length(text)>200 THEN 'long' ELSE 'short' END, CASE WHEN role='user' THEN 'user' END] AS j FROM conversations),
  x AS (SELECT conv_id, turn, list_filter(g, lambda e: list_contains(j,e)) AS gold FROM t) SELECT conv_id, turn, array_to_string(gold,',') AS gold FROM x WHERE len(gold)>0""")
@@ -216,6 +226,16 @@ def l5(spark, sf):
     return L.merge_judges([judge_log(spark, sf, "beta"), judge_log(spark, sf, "alpha").filter("judge_label = 1")], "id", "judge_label")
 
 
+@query("l5_merge_judges_of", f"""WITH {ALPHA}, {BETA}, u AS (SELECT *, 0 AS prio FROM judge_beta UNION ALL SELECT *, 1 FROM judge_alpha WHERE judge_label=1),
+ m AS (SELECT id, arg_max(judge,(prio,pos)) AS judge, arg_max(judge_label,(prio,pos)) AS judge_label FROM u GROUP BY id)
+ SELECT d.source AS fam, judge, judge_label=1 AS positive, count(*) AS n FROM documents d LEFT JOIN m ON m.id=d.doc_id GROUP BY ALL""")
+def l5_of(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("fam"))
+    logs = [judge_log(spark, sf, "beta"), judge_log(spark, sf, "alpha").filter("judge_label = 1")]
+    out = L.merge_judges_of(d, logs, "id", "judge_label", "fam")
+    return out.groupBy("fam", "judge", (F.col("judge_label") == 1).alias("positive")).agg(F.count("*").alias("n"))
+
+
 @query("l6_keep_first_partial", f"WITH {BETA} SELECT id, arg_min(judge_label,pos)::INT AS judge_label FROM judge_beta GROUP BY id")
 def l6(spark, sf):
     return L.keep_first_partial(judge_log(spark, sf, "beta"), "id", ["pos"]).select("id", "judge_label")

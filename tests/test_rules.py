@@ -1,11 +1,13 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from corvane.functions.rules import LabelMeta, is_correct, is_sensitive
 from corvane.operators import calibrate as C
 from corvane.operators import decide as X
 from corvane.operators import labels as L
+from corvane.operators import metrics as M
 from corvane.operators import retrieval as R
 
 META = LabelMeta(unknown=0, safe_unknown=(0, 1), sensitive=(7, 8))
@@ -91,3 +93,43 @@ def test_annotators_fall_back_and_failed_batches_stay_open(spark):
 
     got = {r["id"]: (r["label"], r["annotator"]) for r in L.annotate_batches(df, [short, picky], 3).collect()}
     assert got[0] == ("0", 1) and got[5] == ("5", 1) and got[6] == (None, None)
+
+
+def test_agreement_report(spark):
+    rows = [(1, "a", "x", 1, 1, "agree"), (2, "a", "x", 1, 1, "agree"), (3, "b", None, 2, 2, "agree"), (4, "b", "y", 2, 1, "disagree"),
+            (5, "b", "y", 2, 1, "disagree"), (6, None, "y", 1, 3, "disagree"), (7, "a", "x", 1, None, "unjudged")]
+    df = spark.createDataFrame(rows, "id long, gen string, kind string, gold int, judge_label int, status string")
+    got = {(r.what, r.key): r.n for r in L.agreement_report(df, ["gen", "kind"], "gold", top=1).collect()}
+    assert got == {("status", "agree"): 3, ("status", "disagree"): 3, ("status", "unjudged"): 1, ("agree", "a/x"): 2, ("agree", "b/?"): 1,
+                   ("agree_gen", "a"): 2, ("agree_gen", "b"): 1, ("disagree_gen", "b"): 2, ("disagree_gen", "?"): 1, ("agree_kind", "x"): 2,
+                   ("agree_kind", "?"): 1, ("disagree_kind", "y"): 3, ("label", "min"): 1, ("label", "max"): 2, ("disagreement", "2->1"): 2}
+    assert L.agreement_report(df.limit(0), ["gen", "kind"], "gold").count() == 0
+
+
+def test_own_family_is_refused_unless_overridden(spark):
+    items = spark.createDataFrame([(1, "q"), (2, "z"), (3, None), (4, "q")], "id long, fam string")
+    low = spark.createDataFrame([(1, 0, "q", 5), (2, 0, "q", 6)], "id long, pos long, judge string, label int")
+    high = spark.createDataFrame([(1, 0, "c", 7)], low.schema)
+    got = {r.id: (r.judge, r.label) for r in L.merge_judges_of(items, [low, high], "id", "label", "fam").collect()}
+    assert got == {1: ("c", 7), 2: ("q", 6), 3: (None, None), 4: (None, None)}
+    with pytest.raises(Exception, match="judged by its own family: 1"):
+        L.merge_judges_of(items, [low], "id", "label", "fam").collect()
+
+
+def test_choice_of_a_knn_rule(spark):
+    cols = "c double, agree int, n long, primary double, accepted long, resc_prec double"
+    base, good = (None, 0, 100, 0.80, 90, 1.0), (0.9, 0, 100, 0.82, 92, 0.98)
+    pick = lambda *rows: tuple(X.choose_knn_rule(spark.createDataFrame(list(rows), cols)).first())
+    assert pick(base) == base
+    assert pick(base, (0.8, 0, 100, 0.9, 95, 0.97)) == base  # not precise
+    assert pick(base, (0.8, 0, 100, 0.85, 100, 0.99)) == base  # costs accuracy of accepted rows
+    assert pick(base, good, (0.88, 1, 100, 0.82, 92, 0.98)) == good  # tie: greatest c
+    assert pick(base, good, (0.9, 1, 100, 0.82, 92, 0.98))[1] == 1  # then agreement
+
+
+def test_shift_breakdown(spark):
+    rows = [("en", "g", True, 0.9, False), ("en", "g", False, 0.1, False), ("zh", "h", True, 0.5, True), (None, "h", False, 0.5, False)]
+    df = spark.createDataFrame(rows, "lang string, gen string, y boolean, jac double, cjk boolean")
+    got = {(r.what, r.key): (r.n, r.value) for r in M.shift_breakdown(df, F.col("y"), "lang", "gen", "jac", F.col("cjk")).collect()}
+    assert got == {("lang", "en"): (2, 0.5), ("lang", "zh"): (1, 1.0), ("lang", "?"): (1, 0.0), ("gen", "g"): (2, 0.5), ("gen", "h"): (2, 0.5),
+                   ("auc", "all"): (4, 0.875), ("auc_lang", "en"): (2, 1.0), ("cjk", "none"): (3, 0.75)}
