@@ -68,6 +68,20 @@ def st4(spark, sf):
     return spark.read.parquet(f"{out}/data")
 
 
+@query("st4_topic_switch_in_order", f"""WITH u AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, {SQL_TOK.format('text')} AS tm FROM conversations WHERE role='user'),
+ f AS (SELECT conv_id, list_distinct(tm) AS ta FROM u WHERE k=1), j AS (SELECT u.conv_id, turn, k, len(tm) AS words, list_distinct(tm) AS tb, ta, len(list_intersect(ta,list_distinct(tm))) AS sh FROM u JOIN f USING (conv_id) WHERE k>1),
+ s AS (SELECT *, words<4 OR k<3 AS guard, CASE WHEN 0.25*sh>=5 THEN 'same' WHEN 0.25*sh<=2 THEN 'new' ELSE 'unsure' END AS b,
+  CASE WHEN sh/sqrt(len(ta)*len(tb))>=0.35 THEN 'same' WHEN sh/sqrt(len(ta)*len(tb))<=0.2 THEN 'new' ELSE 'unsure' END AS c FROM j)
+ SELECT conv_id, turn, CASE WHEN NOT guard AND b='new' AND c='new' THEN 'new' ELSE 'same' END AS vote, NOT guard AND b<>'same' AND c<>'same' AND NOT (b='new' AND c='new') AND (b='new' OR c='new') AS escalate
+ FROM s WHERE turn<=(SELECT max(turn)-1 FROM u)""")
+def st4_ordered(spark, sf):
+    out = scratch_path(spark, "st4o")
+    stream = arriving(spark, sf, "conversations").filter("role = 'user'").withColumn("at", F.timestamp_seconds(1_700_000_000 + F.col("turn") * 60))
+    with ST.disk_state(spark):
+        ST.run_to_files(ST.topic_switch_in_order(stream, "at", "1 minute", 600_000), out)
+    return spark.read.parquet(f"{out}/data")
+
+
 @query("st5_windowed_decision_metrics", """WITH w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts::TIMESTAMP) AS s, count(*) AS n, round(avg((event_type<>'error')::INT),9) AS coverage, round(avg(value) FILTER (event_type<>'error'),6) AS mean_value FROM events GROUP BY 1)
  SELECT strftime(s,'%Y-%m-%d %H:%M') AS hour, n, coverage, mean_value FROM w WHERE s+INTERVAL 1 HOUR <= (SELECT max(ts)::TIMESTAMP-INTERVAL 10 MINUTE FROM events)""")
 def st5(spark, sf):
