@@ -7,6 +7,8 @@ result is bounded by the grid, whatever the table. The grid is then tried on the
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -110,25 +112,39 @@ def per_label_tau(df: DataFrame, base_tau: float, base_tau_s: float, taus=LOCKED
     return picked.select("pred", "n", F.when(F.col("n") < min_label, base).otherwise(own).alias("tau"))
 
 
+def _losses(steps: int):
+    """Sums of the loss at every temperature of the grid, a row per batch."""
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            z, top, own = b.column(0), b.column(1).to_numpy(), b.column(2).to_numpy()
+            size = np.diff(z.offsets.to_numpy())
+            start = np.concatenate([[0], np.cumsum(size)[:-1]])
+            shift = z.flatten().to_numpy() - np.repeat(top, size)
+            lo, hi = (b.column(i)[0].as_py() for i in (3, 4))
+            t = [lo + (hi - lo) / steps * i for i in range(steps + 1)]
+            loss = [float(-np.log(np.exp((own - top) / v) / np.add.reduceat(np.exp(shift / v), start) + 1e-12).sum()) for v in t]
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64()), pa.array([lo]), pa.array([hi]), pa.array([loss], pa.list_(pa.float64()))],
+                                             names=["n", "lo", "hi", "loss"])
+
+    return run
+
+
 def temperature_pass(df: DataFrame, z: str, y: Column, lo: Column, hi: Column, steps: int, t_min: float, t_max: float) -> DataFrame:
-    """One row (t, lo, hi): the best temperature of an even grid and the range around it."""
-    with_range = df.withColumn("_lo", lo).withColumn("_hi", hi).withColumn("_y", y)
-    width = (F.col("_hi") - F.col("_lo")) / steps
-    rows = with_range.select(z, "_y", "_lo", "_hi", F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("_i")).withColumn(
-        "_t", F.col("_lo") + width * F.col("_i"))
-    def likelihood(v):
-        top = let(F.array_max(v), lambda m: F.struct(
-            F.exp((F.element_at(v, F.col("_y") + 1) - m) / F.col("_t")).alias("y"),
-            F.aggregate(v, F.lit(0.0), lambda acc, x: acc + F.exp((x - m) / F.col("_t"))).alias("all")))
-        return let(top, lambda e: e["y"] / e["all"])
-
-    nll = -F.log(likelihood(F.col(z)) + 1e-12)
-    per = rows.groupBy("_i").agg(F.avg(nll).alias("nll"), F.first("_t").alias("t"), F.first(width).alias("w"))
-    best = F.min_by(F.struct("t", "w", "nll"), F.struct(F.round("nll", 12), "_i"))
-    return per.agg(best.alias("b")).select(
-        F.col("b.t").alias("t"), F.col("b.nll").alias("nll"),
-        F.greatest(F.lit(t_min), F.col("b.t") - F.col("b.w")).alias("lo"),
-        F.least(F.lit(t_max), F.col("b.t") + F.col("b.w")).alias("hi"))
+    """One row (t, lo, hi): the best temperature of an even grid and the range around it. Rows never meet the grid: a
+    task sums the losses of all grid points per batch. Rows with a null label or logit count for nothing."""
+    v = F.col(z).cast("array<double>")
+    whole = y.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull())
+    rows = df.filter(whole).select(v.alias("z"), F.array_max(v).alias("top"), F.element_at(v, y + 1).alias("own"), lo.alias("lo"), hi.alias("hi"))
+    sums = rows.mapInArrow(_losses(steps), "n long, lo double, hi double, loss array<double>")
+    mean = F.array(*[F.sum(F.get("loss", F.lit(i))) / F.sum("n") for i in range(steps + 1)])
+    per = sums.agg(F.first("lo").alias("lo"), ((F.first("hi") - F.first("lo")) / steps).alias("w"), mean.alias("mean"))
+    best = F.array_min(F.transform("mean", lambda m, i: F.struct(F.round(m, 12).alias("r"), i.alias("i"), m.alias("nll"))))
+    t = F.col("lo") + F.col("w") * F.col("b.i")
+    return per.withColumn("b", best).select(
+        t.alias("t"), F.col("b.nll").alias("nll"), F.greatest(F.lit(t_min), t - F.col("w")).alias("lo"), F.least(F.lit(t_max), t + F.col("w")).alias("hi"))
 
 
 def fit_temperature(df: DataFrame, z: str, y: Column, t_min=0.05, t_max=20.0, steps=20, passes=4) -> DataFrame:

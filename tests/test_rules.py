@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -133,3 +134,19 @@ def test_shift_breakdown(spark):
     got = {(r.what, r.key): (r.n, r.value) for r in M.shift_breakdown(df, F.col("y"), "lang", "gen", "jac", F.col("cjk")).collect()}
     assert got == {("lang", "en"): (2, 0.5), ("lang", "zh"): (1, 1.0), ("lang", "?"): (1, 0.0), ("gen", "g"): (2, 0.5), ("gen", "h"): (2, 0.5),
                    ("auc", "all"): (4, 0.875), ("auc_lang", "en"): (2, 1.0), ("cjk", "none"): (3, 0.75)}
+
+
+def test_temperature_by_batch_sums(spark):
+    """Against a plain loop over a fine grid; rows of any number of logits, null rows and labels left out."""
+    rng = random.Random(3)
+    rows = [([rng.gauss(0, 3) for _ in range(rng.randrange(2, 6))], rng.randrange(2)) for _ in range(300)]
+    odd = [(None, 1), ([1.0, None], 0), ([1.0, 2.0], None), ([], None)]
+    df = spark.createDataFrame(rows + odd, "z array<double>, y int").repartition(3)
+
+    def mean(t):
+        return sum(-math.log(math.exp((z[y] - max(z)) / t) / sum(math.exp((x - max(z)) / t) for x in z) + 1e-12) for z, y in rows) / len(rows)
+
+    got = C.fit_temperature(df, "z", F.col("y")).first()
+    assert abs(got["nll"] - mean(got["t"])) < 1e-9
+    assert got["nll"] <= min(mean(0.05 + 19.95 * i / 400) for i in range(401)) + 1e-6
+    assert C.fit_temperature(df.limit(0), "z", F.col("y")).first()["nll"] is None
