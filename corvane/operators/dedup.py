@@ -91,6 +91,28 @@ def funnel_counts(df: DataFrame, status: str, family: str) -> DataFrame:
     )
 
 
+def funnel_counts_by_key(df: DataFrame, key: str, row_id: str, text: str, refs, min_len: int, family: str) -> DataFrame:
+    """The counts of `funnel_status` (unique row ids) without a row per row: rows are counted per key, family and use by
+    partial aggregation first, so what meets the references and the firsts is at most one row per key and family,
+    however many copies a key has. A null text is empty, a null key equals itself but no reference, a null family is `?`."""
+    usable = F.coalesce(F.length(F.trim(text)) >= min_len, F.lit(False))
+    per = df.groupBy(F.col(key).alias("_key"), F.coalesce(F.col(family).cast("string"), F.lit("?")).alias("family"), usable.alias("_ok")).agg(
+        F.count("*").alias("n"), F.min(row_id).alias("_id"))
+    good = per.filter("_ok")
+    firsts = first_ids(good, "_key", "_id").select(F.col("_key").alias("_of"), F.col("_id").alias("_first"))
+    met = good.join(firsts, F.col("_key").eqNullSafe(F.col("_of"))).join(union_refs(refs, key).withColumnRenamed(key, "_of2"), F.col("_key") == F.col("_of2"), "left")
+    kept = (F.col("_id") == F.col("_first")).cast("long")
+
+    def some(status, n):
+        return F.struct(status.alias("status"), n.alias("n"))
+
+    new = F.array(some(F.lit("kept"), kept), some(F.lit("dup_within"), F.col("n") - kept))
+    parts = F.when(F.col("ref_tag").isNull(), new).otherwise(F.array(some(F.concat(F.lit("dup_vs_"), "ref_tag"), F.col("n"))))
+    rows = met.select("family", F.explode(parts).alias("s")).select("s.status", "family", "s.n").filter("n > 0").unionByName(
+        per.filter("NOT _ok").select(F.lit("empty").alias("status"), "family", "n"))
+    return rows.rollup("status", "family").agg(F.sum("n").alias("n")).filter("status IS NOT NULL").withColumn("family", F.coalesce("family", F.lit("*")))
+
+
 def similarity_percentiles(df: DataFrame, col: str, ps=(0.5, 0.9, 0.99)) -> DataFrame:
     names = {f"p{round(p * 100)}": p for p in ps}
     return exact_percentiles(df, col, names).select(*names)

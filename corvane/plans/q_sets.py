@@ -128,15 +128,11 @@ SQL_STATUS = CAND + """, st0 AS (SELECT c.*, r.ref_tag, length(trim(text))>=200
   WHEN s.id=f.first_id THEN 'kept' ELSE 'dup_within' END AS status FROM st0 s LEFT JOIN f ON s.key=f.key)"""
 
 
-def funnel(spark, sf):
-    cand, refs = candidates_and_refs(spark, sf)
-    return D.funnel_status(cand, "key", "id", "text", refs, 200)
-
-
 @query("d10_funnel_counts", f"""WITH {SQL_STATUS} SELECT status, fam AS family, count(*) AS n FROM st GROUP BY ALL
  UNION ALL SELECT status, '*', count(*) FROM st GROUP BY status""")
 def d10(spark, sf):
-    return D.funnel_counts(funnel(spark, sf), "status", "fam")
+    cand, refs = candidates_and_refs(spark, sf)
+    return D.funnel_counts_by_key(cand, "key", "id", "text", refs, 200, "fam")
 
 
 @query("d12_already_judged_filter", f"WITH {CAND} SELECT id FROM cand WHERE key NOT IN (SELECT i.key FROM items i JOIN labels l ON i.id=l.doc_id)")

@@ -46,6 +46,17 @@ def test_funnel_copies_of_a_reference_all_count_against_it(spark):
     assert tags == {1: "new", 2: "new", 3: "old", 4: "old", 5: None}
 
 
+def test_funnel_counts_by_key_equal_those_of_rows(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.choice(["hot", "hot", *[f"k{j}" for j in range(30)]]), rng.choice(["x", "xx", "xxx"]), rng.choice("fgh")) for i in range(500)]
+    df = spark.createDataFrame(rows + [(500, None, "xxx", "f"), (501, None, "xxx", "g"), (502, "n", None, "f")], "id long, key string, text string, fam string")
+    refs = [("r", spark.createDataFrame([("k1",), ("k2",), (None,)], "key string"))]
+    by_row = D.funnel_counts(D.funnel_status(df.fillna({"text": ""}), "key", "id", "text", refs, 2), "status", "fam")
+    by_key = D.funnel_counts_by_key(df, "key", "id", "text", refs, 2, "fam")
+    assert by_key.columns == by_row.columns and sorted(map(tuple, by_key.collect())) == sorted(map(tuple, by_row.collect()))
+    assert D.funnel_counts_by_key(df.limit(0), "key", "id", "text", refs, 2, "fam").count() == 0
+
+
 def test_exact_dedup_is_idempotent(spark):
     df = spark.createDataFrame([(i, f"k{i % 5}") for i in range(40)], "id long, key string")
     once = D.exact_dedup(df, ["key"], ["id"])
