@@ -419,15 +419,23 @@ def rescued_by_nearest(spark, sf, rules):
     return X.knn_rescue_replay(runs(spark, sf).join(near.join(lab, "nn"), "id"), rules, 0.9, 0.97, META)
 
 
+# Precision asked for and accuracy that may be lost; at the second pair the given tables leave rules to choose from.
+KNN_LIMITS = [(0.976, 0.002), (0.2, 0.1)]
+
+
+def sql_knn_choice(prec, slack):
+    return f"""(SELECT {prec}::DOUBLE AS prec, c, agree::INT AS agree, n, primary_acc, accepted, rescued, resc_prec FROM kt
+ WHERE c IS NULL OR (resc_prec>={prec} AND sel>=(SELECT sel FROM kt WHERE c IS NULL)-{slack}) ORDER BY c IS NULL, round(primary_acc,6) DESC, c DESC, agree DESC LIMIT 1)"""
+
+
 @query("x8_knn_rule_choice", f"""WITH {SQL_KNN}, kb AS (SELECT NULL::DOUBLE AS c, 0 AS agree, label, false AS rescued, CASE WHEN l2_confident THEN l2_label WHEN hs THEN head_label ELSE 0 END AS final FROM k0 WHERE c=0.25 AND agree=0),
- ks AS ({sql_stats('(SELECT * FROM k2 UNION ALL SELECT * FROM kb)', 'c, agree', RESC)}), kt AS (SELECT *, CASE WHEN accepted>0 THEN primary_acc*n/accepted ELSE 0 END AS sel FROM ks),
- kg AS (SELECT * FROM kt WHERE c IS NULL OR (resc_prec>=0.2 AND sel>=(SELECT sel FROM kt WHERE c IS NULL)-0.02) ORDER BY c IS NULL, round(primary_acc,6) DESC, c DESC, agree DESC LIMIT 1)
- SELECT c, agree::INT AS agree, n, primary_acc, accepted, rescued, resc_prec FROM kg""")
+ ks AS ({sql_stats('(SELECT * FROM k2 UNION ALL SELECT * FROM kb)', 'c, agree', RESC)}), kt AS (SELECT *, CASE WHEN accepted>0 THEN primary_acc*n/accepted ELSE 0 END AS sel FROM ks)
+ {' UNION ALL '.join(sql_knn_choice(*x) for x in KNN_LIMITS)}""")
 def x8_choice(spark, sf):
     stats = rescued_by_nearest(spark, sf, [{"c": None, "agree": 0}, *KNN])
-    best = X.choose_knn_rule(stats, 0.2, 0.02)  # limits at which the given tables leave rules to choose from
-    return best.withColumnRenamed("primary", "primary_acc").select(
-        "c", "agree", "n", *r9("primary_acc"), "accepted", "rescued", *r9("resc_prec"))
+    best = [X.choose_knn_rule(stats, *x).withColumn("prec", F.lit(x[0])) for x in KNN_LIMITS]
+    return reduce(DataFrame.unionByName, best).withColumnRenamed("primary", "primary_acc").select(
+        "prec", "c", "agree", "n", *r9("primary_acc"), "accepted", "rescued", *r9("resc_prec"))
 
 
 @query("x9_fallback_fuse", f"""WITH {SC}, j AS (SELECT a.id, a.seed, a.probs, b.z AS s, list_transform(list_sort(list_transform(range(10), lambda i: (-a.z[i+1], i)))[1:5], lambda e: e[2]) AS top FROM scored a JOIN scored b ON a.id=b.id AND a.seed=b.seed AND a.recipe='base' AND b.recipe='smooth' WHERE a.conf<0.9)
