@@ -7,6 +7,7 @@ from ..operators.joins import subset
 from ..session import scratch_path
 from ..sources import files as S
 from ..sources.keyed_f32 import read_keyed_f32, write_keyed_f32
+from ..sources.npy import read_npy, write_npy
 from .base import ITEMS, items, query, table
 
 DOC_SCHEMA = "doc_id bigint, text string, lang string, source string"
@@ -77,6 +78,13 @@ def s5(spark, sf):
     return _vec_facts(S.read_vectors(spark, path).withColumnRenamed("id", "key"))
 
 
+@query("s5_read_npy", VEC_SQL)
+def s5_npy(spark, sf):
+    path = scratch_path(spark, "s5npy")
+    write_npy(table(spark, sf, "embeddings"), path, "vec_id", "embedding")
+    return _vec_facts(read_npy(spark, path))
+
+
 @query("s6_read_keyed_f32", VEC_SQL)
 def s6(spark, sf):
     path = scratch_path(spark, "s6")
@@ -160,6 +168,47 @@ def s12(spark, sf):
     return S.verify_manifest(_manifest(later), _manifest(frozen), "fam", "checksum").select("fam", "reason")
 
 
+def _shards(spark, sf, edited: bool):
+    """The documents as text files of at most CHUNK lines, one per source and range of ids; toxic ones may be edited."""
+    it = _judged_items(spark, sf).withColumn("shard", F.concat("fam", F.lit("-"), F.floor(F.col("id") / CHUNK)))
+    if edited:
+        it = it.withColumn("text", F.when(F.col("toxic") == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    return it
+
+
+def _write_shards(spark, shards):
+    path = scratch_path(spark, "shards")
+    line = F.concat_ws("|", "id", F.coalesce("text", F.lit("")))
+    (shards.select("id", "shard", line.alias("value")).repartition("shard").sortWithinPartitions("shard", "id").drop("id")
+     .write.partitionBy("shard").text(path))
+    return S.file_checksums(spark, path, "*.txt").withColumn("shard", F.regexp_extract("path", r"shard=([^/]+)/", 1))
+
+
+SHARDS = JUDGED + f""", shards AS (SELECT j.*, fam||'-'||(id//{CHUNK}) AS shard, coalesce(l.toxic,0)=1 AS edit FROM judged j LEFT JOIN labels l ON j.id=l.doc_id)"""
+
+
+@query("s11_freeze_files", f"""WITH {SHARDS}, f AS (SELECT shard, count(*) AS n, string_agg(DISTINCT judge, ',' ORDER BY judge) AS gens,
+ string_agg(id||'|'||coalesce(text,'')||CASE WHEN edit THEN '!' ELSE '' END||chr(10), '' ORDER BY id) AS body FROM shards GROUP BY shard),
+ g AS (SELECT shard, string_agg(lang||':'||n, ',' ORDER BY lang||':'||n) AS langs FROM (SELECT shard, lang, count(*) AS n FROM shards GROUP BY ALL) GROUP BY shard)
+ SELECT shard, sha256(body) AS sha256, strlen(body)::BIGINT AS bytes, n, gens, langs FROM f JOIN g USING (shard)""")
+def s11_files(spark, sf):
+    before, after = _shards(spark, sf, False), _shards(spark, sf, True)
+    touched = after.join(after.filter("toxic = 1").select("shard").distinct(), "shard", "left_semi")
+
+    def manifest(shards):
+        return S.freeze_files(_write_shards(spark, shards), S.content_manifest(shards, "shard", "id", "text", "judge", "lang"), "shard")
+
+    return S.merge_manifest(manifest(before), manifest(touched), "shard").select("shard", "sha256", "bytes", "n", "gens", "langs")
+
+
+@query("s12_verify_files", f"""WITH {SHARDS} SELECT shard, CASE WHEN fam='src3' THEN 'missing' ELSE 'differs' END AS reason
+ FROM shards GROUP BY shard, fam HAVING fam='src3' OR bool_or(edit)""")
+def s12_files(spark, sf):
+    frozen = _write_shards(spark, _shards(spark, sf, False))
+    later = _write_shards(spark, _shards(spark, sf, True).filter("fam <> 'src3'"))
+    return S.verify_manifest(later, frozen, "shard", "sha256").select("shard", "reason")
+
+
 @query("s13_write_summary", """SELECT lang, count(*) AS n, (sum(length(text)))::BIGINT AS chars, min(doc_id) AS first_id
  FROM documents GROUP BY lang""")
 def s13(spark, sf):

@@ -1,9 +1,15 @@
 """Readers and writers for line JSON, vectors, headings and manifests."""
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .paths import open_path
+
+CHUNK_BYTES = 4 << 20   # of a file held at once while it is hashed
 
 def read_jsonl(spark: SparkSession, paths, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(paths)
@@ -83,15 +89,41 @@ def resume(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return todo.join(done.select(key).distinct(), key, "left_anti")
 
 
-def file_checksums(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
-    reader = spark.read.format("binaryFile")
+def listing(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """(path, bytes) of all files under a folder; no content is read."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    return reader.load(path).select(
-        F.element_at(F.split("path", "/"), -1).alias("file"),
-        F.sha2("content", 256).alias("sha256"),
-        F.col("length").alias("bytes"),
-    )
+    return reader.load(path).select("path", F.col("length").alias("bytes"))
+
+
+def file_checksums(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """(path, file, sha256, bytes): a file goes through the hash in chunks, so its size has no limit."""
+
+    def digest(batches):
+        for b in batches:
+            paths, sums, sizes = b.column("path").to_pylist(), [], []
+            for p in paths:
+                h, n = hashlib.sha256(), 0
+                with open_path(p, "rb") as f:
+                    while chunk := f.read(CHUNK_BYTES):
+                        h.update(chunk)
+                        n += len(chunk)
+                sums.append(h.hexdigest())
+                sizes.append(n)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(paths, pa.string()), pa.array(sums, pa.string()), pa.array(sizes, pa.int64())], names=["path", "sha256", "bytes"])
+
+    tasks = spark.sparkContext.defaultParallelism
+    files = listing(spark, path, pattern).select("path").repartition(tasks, "path")
+    return files.mapInArrow(digest, "path string, sha256 string, bytes bigint").select(
+        "path", F.element_at(F.split("path", "/"), -1).alias("file"), "sha256", "bytes")
+
+
+def freeze_files(sums: DataFrame, contents: DataFrame, key: str) -> DataFrame:
+    """Manifest entries of files: checksum and size of the bytes beside the facts of the rows in them. A file
+    without facts keeps its entry."""
+    return sums.select(key, "sha256", "bytes").join(contents.drop("checksum"), key, "left")
 
 
 def content_manifest(df: DataFrame, set_col: str, id_col: str, text_col: str, gen: str, lang: str) -> DataFrame:
