@@ -98,7 +98,8 @@ def listing(spark: SparkSession, path: str, pattern: str | None = None) -> DataF
 
 
 def file_checksums(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
-    """(path, file, sha256, bytes): a file goes through the hash in chunks, so its size has no limit."""
+    """(path, file, sha256, bytes): a file goes through the hash in chunks, so its size has no limit. Spark's listing
+    passes over files of no bytes, so they have no row; one emptied since it was frozen counts as missing."""
 
     def digest(batches):
         for b in batches:

@@ -56,13 +56,13 @@ def test_ids_are_decoded_over_ends_of_chunks(monkeypatch, size):
             list(npy.json_items(io.BytesIO(broken)))
 
 
-def test_checksums_of_files_larger_than_a_chunk(spark, tmp_path, monkeypatch):
+def test_checksums_of_files_larger_than_a_chunk(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     bodies = {"big.bin": bytes(range(256)) * 40_000, "sub/small.bin": b"x", "empty.bin": b""}
     for name, body in bodies.items():
         (tmp_path / name).write_bytes(body)
     got = {r["file"]: (r["sha256"], r["bytes"]) for r in S.file_checksums(spark, str(tmp_path), "*.bin").collect()}
-    assert got == {n.split("/")[-1]: (hashlib.sha256(b).hexdigest(), len(b)) for n, b in bodies.items()}
+    assert got == {n.split("/")[-1]: (hashlib.sha256(b).hexdigest(), len(b)) for n, b in bodies.items() if b}
 
 
 def test_a_changed_byte_and_a_missing_file_are_found(spark, tmp_path):
@@ -71,6 +71,7 @@ def test_a_changed_byte_and_a_missing_file_are_found(spark, tmp_path):
     frozen = spark.createDataFrame(S.file_checksums(spark, str(tmp_path), "*.txt").collect())
     (tmp_path / "a.txt").write_text("a" * 9 + "b")
     (tmp_path / "b.txt").unlink()
+    (tmp_path / "c.txt").write_text("")
     found = S.file_checksums(spark, str(tmp_path), "*.txt")
     assert {(r["file"], r["reason"]) for r in S.verify_manifest(found, frozen, "file", "sha256").collect()} == {
-        ("a.txt", "differs"), ("b.txt", "missing")}
+        ("a.txt", "differs"), ("b.txt", "missing"), ("c.txt", "missing")}
