@@ -342,12 +342,17 @@ def ngram_components(df: DataFrame, row_id: str = "doc_id", text: str = "text",
     sizes = full.select("key", "n")
     marks = full.select("key", "n", "sig")
 
-    def plausible(pairs):
-        both = pairs.join(marks.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), "a").join(
-            marks.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b")
-        differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, v: acc + v)
+    def not_apart(pairs, name, sig):
+        """Pairs whose signatures allow the overlap they need; only (a, b) and one signature of a pair are shuffled."""
+        left, right = (full.select(F.col("key").alias(k), F.col("n").alias(f"n{k}"), sig.alias(f"{name}{k}")) for k in "ab")
+        differ = F.aggregate(F.zip_with(f"{name}a", f"{name}b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, v: acc + v)
         least = F.ceil((F.col("na") + F.col("nb")) * num / (num + den) - 1e-9)
-        return both.filter(differ <= F.col("na") + F.col("nb") - 2 * least).select("a", "b")
+        return pairs.join(left, "a").join(right, "b").filter(differ <= F.col("na") + F.col("nb") - 2 * least).select("a", "b")
+
+    def plausible(pairs):
+        """First by 128 bits, parities of eight groups each, which settles most pairs of unlike sets; then by all 1,024."""
+        short = F.array(*[F.expr(" ^ ".join(f"sig[{i}]" for i in range(h, 16, 2))) for h in (0, 1)])
+        return not_apart(not_apart(pairs, "h", short), "s", F.col("sig"))
 
     star_pairs = stored(plausible(stars.union(heads).distinct().select(F.col("pivot").alias("a"), F.col("key").alias("b"))), "ngram-pairs")
 
