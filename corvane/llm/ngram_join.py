@@ -190,8 +190,9 @@ def runs(batches, keys: int):
 
 def _pivots(batches):
     """Marks each row of sorted (gram, salt, salts, key, n, pos) with the first row of its group and
-    drops groups of one. Holds one row between batches, whatever a group's size."""
-    names = ["gram", "salts", "key", "n", "pos", "pivot", "pivot_n", "pivot_pos"]
+    drops groups of one. Groups seen to be pairs are not `wide`: their one pair meets at the pivot, so nothing else is
+    left to compare. Holds one row between batches, whatever a group's size."""
+    names = ["gram", "salts", "key", "n", "pos", "pivot", "pivot_n", "pivot_pos", "wide"]
     last, waiting = None, False  # the open group's first row, and whether it is still alone
     for b in batches:
         if not b.num_rows:
@@ -210,14 +211,15 @@ def _pivots(batches):
         waiting_next = (size[-1] == 1) and (last is None or group[-1] > 0 or waiting)
         if waiting_next:
             keep[open_] = False
+        pair = (size[group] == 2) & (x[:, 2] == 1) & ~open_ & ((group > 0) | (last is None))
         last, waiting = first[-1].copy(), waiting_next
         y, p = x[keep], first[keep]
         if len(y):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c) for c in (y[:, 0], y[:, 2], y[:, 3], y[:, 4], y[:, 5], p[:, 3], p[:, 4], p[:, 5])], names=names)
+                [pa.array(c) for c in (y[:, 0], y[:, 2], y[:, 3], y[:, 4], y[:, 5], p[:, 3], p[:, 4], p[:, 5], ~pair[keep])], names=names)
     if waiting and last[2] > 1:
-        yield pa.RecordBatch.from_arrays([pa.array([int(v)]) for v in (
-            last[0], last[2], last[3], last[4], last[5], last[3], last[4], last[5])], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (
+            *map(int, (last[0], last[2], last[3], last[4], last[5], last[3], last[4], last[5])), True)], names=names)
 
 
 def _may_link(n1, p1, n2, p2, num: int, den: int):
@@ -332,7 +334,8 @@ def ngram_components(df: DataFrame, row_id: str = "doc_id", text: str = "text",
     prefix = full.select("key", "body").mapInArrow(
         _prefixes(order, n, num, den), "gram long, salt long, salts long, key long, n long, pos long")
     buckets = stored(prefix.repartition("gram", "salt").sortWithinPartitions("gram", "salt", "key").mapInArrow(
-        _pivots, "gram long, salts long, key long, n long, pos long, pivot long, pivot_n long, pivot_pos long"), "ngram-buckets")
+        _pivots, "gram long, salts long, key long, n long, pos long, pivot long, pivot_n long, pivot_pos long, wide boolean"),
+        "ngram-buckets")
     size = (F.col("n"), F.col("pos"), F.col("pivot_n"), F.col("pivot_pos"))
     stars = buckets.filter((F.col("key") != F.col("pivot")) & _may_link(*size, num, den)).select("pivot", "key")
     tops = buckets.filter("salts > 1 and key = pivot").select("gram", F.struct("key", "n", "pos").alias("p"))
@@ -367,13 +370,15 @@ def ngram_components(df: DataFrame, row_id: str = "doc_id", text: str = "text",
     roots = stored(components(linked(star_hits).unionByName(same)), "ngram-roots")
 
     known = star_pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    grams, most = buckets.select("gram").distinct(), 1
+    wide, most = buckets.filter("wide").select("gram", "key", "n", "pos", "pivot", "pivot_n"), 1
+
+    def rooted(rows):
+        return rows.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+
     while True:
-        rows = buckets.join(grams, "gram", "left_semi").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn(
-            "root", F.coalesce("root", "key"))
-        open_ = rows.groupBy("gram").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("rows")).filter(
-            "r1 != r2 and rows > 2")
-        left = rows.join(open_.select("gram", F.ceil(F.col("rows") / BLOCK).cast("long").alias("blocks")), "gram").join(
+        open_ = rooted(wide.select("gram", "key")).groupBy("gram").agg(
+            F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("rows")).filter("r1 != r2 and rows > 2")
+        left = rooted(wide.join(open_.select("gram", F.ceil(F.col("rows") / BLOCK).cast("long").alias("blocks")), "gram")).join(
             star_hits.select(F.col("a").alias("pivot"), F.col("b").alias("key"), "hits"), ["pivot", "key"], "left").join(
             marks.select("key", "sig"), "key")
         block = F.pmod(F.xxhash64("key"), F.col("blocks"))
@@ -391,7 +396,8 @@ def ngram_components(df: DataFrame, row_id: str = "doc_id", text: str = "text",
         grams = found.filter("more").select("gram").distinct()
         if grams.isEmpty():
             break
-        most *= 4
+        # the next round's rows alone are kept, so it does not deal all buckets again
+        wide, most = stored(wide.join(grams, "gram", "left_semi"), "ngram-wide"), most * 4
 
     placed = full.select("key", "n", "min_id", "ids").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn(
         "root", F.coalesce("root", "key"))
