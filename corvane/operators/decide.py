@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.rules import LabelMeta, count_if, grid_column, is_correct, is_sensitive, needed_conf, ratio, share
 
 
-def _outcome_stats(rows: DataFrame, by: list[str], meta: LabelMeta, rescued: Column | None = None) -> DataFrame:
-    """Accuracy, accepted rows, accuracy among them and sensitive false exposures of `final`."""
+def _outcome_stats(rows: DataFrame, by: list[str], meta: LabelMeta, rescued: Column | None = None, *more: Column) -> DataFrame:
+    """Accuracy, accepted rows, accuracy among them and sensitive false exposures of `final`, and further aggregates."""
     ok = is_correct(F.col("label"), F.col("final"), meta)
     acc = F.col("final") != F.lit(meta.unknown)
     fe = is_sensitive(F.col("final"), meta) & (F.col("final") != F.col("label"))
@@ -19,7 +19,7 @@ def _outcome_stats(rows: DataFrame, by: list[str], meta: LabelMeta, rescued: Col
             ratio(count_if(acc & ok), count_if(acc)).alias("acc_sel"), count_if(fe).alias("sens_fe")]
     if rescued is not None:
         cols += [count_if(rescued).alias("rescued"), ratio(count_if(rescued & ok), count_if(rescued), 1.0).alias("resc_prec")]
-    return rows.groupBy(*by).agg(*cols)
+    return rows.groupBy(*by).agg(*cols, *more)
 
 
 def replay_cascade(df: DataFrame, rules: list[dict], tau: float, tau_s: float, meta: LabelMeta) -> DataFrame:
@@ -64,9 +64,7 @@ def replay_veto_override(df: DataFrame, grid: list[dict], tau_s: float, meta: La
     final = F.when(third | veto, F.lit(meta.unknown)).when(over, F.col("head_label")).otherwise(F.col("pred"))
     rows = r.select("label", F.col("g.tau").alias("tau"), F.col("g.veto").alias("veto"), F.col("g.ovr").alias("ovr"),
                     final.alias("final"), over.alias("over"))
-    out = _outcome_stats(rows, ["tau", "veto", "ovr"], meta)
-    overs = rows.groupBy("tau", "veto", "ovr").agg(F.count_if("over").alias("overrides"))
-    return out.join(overs, ["tau", "veto", "ovr"])
+    return _outcome_stats(rows, ["tau", "veto", "ovr"], meta, None, F.count_if("over").alias("overrides"))
 
 
 def replay_tau(df: DataFrame, taus: list[float], tau_s: float, meta: LabelMeta) -> DataFrame:
