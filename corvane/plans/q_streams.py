@@ -21,7 +21,8 @@ def arriving(spark, sf, name):
 
 
 def _files(spark, sf, name):
-    return spark.readStream.schema(table(spark, sf, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    """A table is one file or a folder of files. The path is a pattern, since a stream takes a plain one for a folder only."""
+    return spark.readStream.schema(table(spark, sf, name).schema).parquet(f"{sf}/{name}.parque[t]")
 
 
 @query("st1_ingest_incremental", "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")

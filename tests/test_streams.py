@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from corvane.plans import q_streams
 from corvane.session import scratch_path
 from corvane.streaming import streams as ST
 
@@ -44,3 +45,18 @@ def test_turns_out_of_order_over_triggers(spark):
         ST.run_to_files(ST.topic_switch_in_order(stream, "at", "4 minutes", 3_600_000), out)
     got = {(r.conv_id, r.turn): (r.vote, r.escalate) for r in spark.read.parquet(f"{out}/data").collect()}
     assert got == want
+
+
+def test_a_table_arrives_from_a_file_or_from_a_folder_of_files(spark):
+    sf = scratch_path(spark, "tables")
+    table = spark.range(40).withColumn("v", F.col("id") % 3)
+    table.repartition(4).write.parquet(f"{sf}/folder.parquet")
+    table.coalesce(1).write.parquet(f"{sf}/_one")
+    one = spark.read.parquet(f"{sf}/_one").inputFiles()[0]
+    jvm = spark._jvm.org.apache.hadoop.fs
+    fs = jvm.Path(one).getFileSystem(spark._jsc.hadoopConfiguration())
+    assert fs.rename(jvm.Path(one), jvm.Path(f"{sf}/file.parquet"))
+    for name in ("folder", "file"):
+        out = scratch_path(spark, "arrived")
+        ST.run_to_files(q_streams.arriving(spark, sf, name), out)
+        assert sorted(r.id for r in spark.read.parquet(f"{out}/data").collect()) == list(range(40))
