@@ -17,8 +17,9 @@ from ..functions.ranking import exact_percentiles
 from ..functions.vectors import cosine
 
 BROADCAST_BYTES = 64 << 20   # largest reference side sent whole to every task
-BLOCK_ROWS = 4096            # rows per block when both sides are large
-CELLS = 1 << 22              # largest similarity matrix held at once, in entries
+BLOCK_ROWS = 32768           # rows per block when both sides are large
+CELLS = 1 << 20              # largest similarity matrix held at once, in entries
+QUERIES = 32                 # but so many queries at least: narrower products are slow
 TIE = 1e-12
 DIGITS = 12                  # similarities equal to so many digits are ties
 
@@ -38,27 +39,29 @@ def over_norm(m: np.ndarray) -> np.ndarray:
     return m / np.where(n > 0, n, 1)
 
 
-def _side(t) -> tuple[pd.DataFrame, np.ndarray]:
-    """Columns other than the vector, and the vectors, in id order. Rows without a vector are left out."""
+def _side(t, order=("id",)) -> tuple[pd.DataFrame, np.ndarray]:
+    """Columns other than the vector, and the vectors, in order of the columns named, and `by_id`, the places in id order.
+    Rows without a vector are left out."""
     t = pa.table(t) if not isinstance(t, pa.Table) else t
-    t = t.filter(t["vec"].is_valid()).sort_by("id")
-    return t.drop_columns(["vec"]).to_pandas(), unit_rows(t["vec"])
+    t = t.filter(t["vec"].is_valid()).sort_by([(c, "ascending") for c in order])
+    x = t.drop_columns(["vec"]).to_pandas()
+    return x.assign(by_id=np.argsort(x["id"].to_numpy(), kind="stable")), unit_rows(t["vec"])
 
 
 def _run_block(q, r, fn, schema: pa.Schema):
     qx, qm = q
     rx, rm = r
-    step = max(1, CELLS // max(1, len(rx)))
+    step = max(QUERIES, CELLS // max(1, len(rx)))
     for i in range(0, len(qx), step):
         part = qx.iloc[i:i + step].reset_index(drop=True)
         out = fn(part, rx, qm[i:i + step] @ rm.T)
         yield pa.Table.from_pandas(out, schema=schema, preserve_index=False)
 
 
-def block_apply(q: DataFrame, ref: DataFrame, fn, schema: str, broadcast_bytes=None, block_rows=None) -> DataFrame:
+def block_apply(q: DataFrame, ref: DataFrame, fn, schema: str, broadcast_bytes=None, block_rows=None, order=("id",)) -> DataFrame:
     """fn(query columns, reference columns, similarities) -> partial rows, over all blocks.
 
-    Both sides have `id` and `vec` and any further columns fn needs. A reference side whose
+    Both sides have `id` and `vec` and any further columns fn needs; references come in order of the columns named. A reference side whose
     size is checked to be small goes to every task and the queries stay where they are.
     Otherwise both sides are cut into hash blocks and each pair of blocks meets in its own
     task, which holds two blocks whatever the sizes of the tables.
@@ -75,7 +78,7 @@ def block_apply(q: DataFrame, ref: DataFrame, fn, schema: str, broadcast_bytes=N
         shared = spark.sparkContext.broadcast(ref.toArrow())
 
         def scan(batches):
-            r = _side(shared.value)
+            r = _side(shared.value, order)
             for b in batches:
                 if b.num_rows:
                     for t in _run_block(_side(pa.Table.from_batches([b])), r, fn, arrow):
@@ -91,26 +94,35 @@ def block_apply(q: DataFrame, ref: DataFrame, fn, schema: str, broadcast_bytes=N
             other, F.explode(F.sequence(F.lit(0), F.lit(other_n - 1))))
 
     left = place(q, "qb", nq, "rb", nr)
-    right = place(ref, "rb", nr, "qb", nq)
+    # both sides may come from one table: the aliases tell their columns apart
+    right = place(ref.select(*[F.col(c).alias(c) for c in ref.columns]), "rb", nr, "qb", nq)
 
     def meet(lt, rt):
         if lt.num_rows == 0 or rt.num_rows == 0:
             return arrow.empty_table()
-        sides = [_side(t.drop_columns(["qb", "rb"])) for t in (lt, rt)]
-        return pa.concat_tables(list(_run_block(*sides, fn, arrow)))
+        sides = _side(lt.drop_columns(["qb", "rb"])), _side(rt.drop_columns(["qb", "rb"]), order)
+        return pa.concat_tables([arrow.empty_table(), *_run_block(*sides, fn, arrow)])
 
     return left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInArrow(meet, out)
 
 
-def _ignored(qx, rx, s, skip_self, skip_same, mask_at) -> np.ndarray:
-    out = np.zeros(s.shape, bool)
-    if skip_self:
-        out |= qx["id"].to_numpy()[:, None] == rx["id"].to_numpy()[None, :]
-    if skip_same:
-        out |= qx[skip_same].to_numpy()[:, None] == rx[skip_same].to_numpy()[None, :]
+def _same(values, rx) -> tuple[np.ndarray, np.ndarray]:
+    """Places (row, column) where a row's value equals a reference's id; ids may repeat."""
+    ids, by_id, values = rx["id"].to_numpy(), rx["by_id"].to_numpy(), np.asarray(values)
+    lo, hi = (np.searchsorted(ids, values, side, sorter=by_id) for side in ("left", "right"))
+    n = np.where(values == values, hi - lo, 0)
+    at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+    return np.repeat(np.arange(len(n)), n), by_id[at]
+
+
+def _ignore(qx, rx, s, skip_self, skip_same, mask_at, value) -> None:
+    """Puts `value` where a similarity does not count."""
     if mask_at is not None:
-        out |= s >= mask_at
-    return out
+        s[s >= mask_at] = value
+    if skip_same:
+        s[qx[skip_same].to_numpy()[:, None] == rx[skip_same].to_numpy()[None, :]] = value
+    if skip_self:
+        s[_same(qx["id"], rx)] = value
 
 
 def nearest(q: DataFrame, ref: DataFrame, skip_self=False, skip_same=None, mask_at=None, **sizes) -> DataFrame:
@@ -125,7 +137,7 @@ def nearest(q: DataFrame, ref: DataFrame, skip_self=False, skip_same=None, mask_
     cols = ["id", "vec"] + ([skip_same] if skip_same else [])
 
     def fn(qx, rx, s):
-        s[_ignored(qx, rx, s, skip_self, skip_same, mask_at)] = -np.inf
+        _ignore(qx, rx, s, skip_self, skip_same, mask_at, -np.inf)
         level = np.round(s, DIGITS)
         best = level.max(axis=1)
         at = (level == best[:, None]).argmax(axis=1)
@@ -160,16 +172,14 @@ def max_sim_per_label(q: DataFrame, anchors: DataFrame, skip_self=False, mask_at
     """(id, label, sim): the greatest similarity to any anchor of each label."""
 
     def fn(qx, rx, s):
-        s[_ignored(qx, rx, s, skip_self, None, mask_at)] = -1.0
-        labels = rx["label"].to_numpy()
-        order = np.argsort(labels, kind="stable")
-        names, starts = np.unique(labels[order], return_index=True)
-        best = np.maximum.reduceat(s[:, order], starts, axis=1)
+        _ignore(qx, rx, s, skip_self, None, mask_at, -1.0)
+        names, starts = np.unique(rx["label"].to_numpy(), return_index=True)
+        best = np.maximum.reduceat(s, starts, axis=1)
         return pd.DataFrame({"id": np.repeat(qx["id"].to_numpy(), len(names)),
                              "label": np.tile(names, len(qx)), "sim": best.ravel()})
 
     parts = block_apply(q.select("id", "vec"), anchors.select("id", "vec", "label"), fn,
-                        "id bigint, label int, sim double", **sizes)
+                        "id bigint, label int, sim double", order=("label", "id"), **sizes)
     return parts.groupBy("id", "label").agg(F.max("sim").alias("sim"))
 
 
@@ -206,9 +216,9 @@ def rank_of_gold(q: DataFrame, docs: DataFrame, gold: DataFrame, **sizes) -> Dat
         "id", "vec", "gold_id", cosine(F.col("vec"), F.col("gold_vec")).alias("gold_sim"))
 
     def fn(qx, rx, s):
-        other = (qx["id"].to_numpy()[:, None] != rx["id"].to_numpy()[None, :]) & (
-            qx["gold_id"].to_numpy()[:, None] != rx["id"].to_numpy()[None, :])
-        higher = (s > qx["gold_sim"].to_numpy()[:, None] + TIE) & other
+        higher = s > qx["gold_sim"].to_numpy()[:, None] + TIE
+        for own in ("id", "gold_id"):
+            higher[_same(qx[own], rx)] = False
         return pd.DataFrame({"id": qx["id"], "higher": higher.sum(1)})
 
     parts = block_apply(scored, docs.select("id", "vec"), fn, "id bigint, higher bigint", **sizes)

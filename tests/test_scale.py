@@ -25,6 +25,24 @@ def test_near_ties_are_the_same_by_broadcast_and_by_blocks(spark):
     assert {(r.nn, round(r.max_cos, 13)) for rows in out for r in rows} == {(20, round(0.9 + 2e-11, 13))}
 
 
+def test_a_table_meets_itself_in_blocks_as_by_broadcast(spark):
+    """Both sides of one table, in blocks: the columns of the sides were taken for each other."""
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([(i, rng.normal(size=4).tolist(), i % 3, i % 4) for i in range(90)], "id long, vec array<double>, fold int, label int")
+    gold = rows.selectExpr("id", "id + 1 gold_id")
+
+    def answers(**kw):
+        per = V.max_sim_per_label(rows, rows, skip_self=True, **kw)
+        found = (V.nearest(rows, rows, skip_self=True, **kw), V.nearest(rows, rows, skip_same="fold", **kw), per, V.top1_gap(per),
+                 V.pair_similarity(rows, rows, skip_self=True, **kw), V.rank_of_gold(rows.select("id", "vec"), rows, gold, **kw),
+                 V.leak_guard(rows.filter("fold = 0"), rows.filter("fold > 0"), 0.9, **kw).select("id", "label"))
+        return [sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in f.collect()) for f in found]
+
+    whole = answers()
+    assert len(whole[0]) == 90 and len(whole[5]) == 89
+    assert answers(broadcast_bytes=0, block_rows=20) == whole
+
+
 def test_no_eligible_reference_is_null(spark):
     rows = vectors(spark, [(1, [1.0, 0.0], 7), (2, [0.0, 0.0], 7), (3, None, 7)])
     for kw in ({"skip_same": "fold"}, {"mask_at": 0.0}):
