@@ -6,6 +6,7 @@ from ..functions import vectors as VF
 from ..functions.hashing import hash_int
 from ..operators import dedup as D
 from ..operators import vectors as V
+from ..session import stored
 from .base import query, sql_hint, table
 from .q_sets import SQL_NGRAM, ngram_near
 
@@ -228,7 +229,8 @@ def _sql_top5(d, name):
 @query("v12_quantile_map", f"""WITH {E_SQL}, {_sql_top5(64, 'ta')}, {_sql_top5(32, 'tb')}, q AS (SELECT unnest((SELECT quantile_cont(sim,{QUANTILES!r}::DOUBLE[]) FROM ta)) AS a,
  unnest((SELECT quantile_cont(sim,{QUANTILES!r}::DOUBLE[]) FROM tb)) AS b) SELECT round(regr_slope(a,b),6) AS slope, round(regr_intercept(a,b),6) AS shift FROM q""")
 def v12(spark, sf):
-    a, b = _top5(label_scores(spark, sf)), _top5(label_scores(spark, sf, 32))
+    # quantiles read their scores several times, and these cost a comparison of all pairs
+    a, b = stored(_top5(label_scores(spark, sf)), "scores"), stored(_top5(label_scores(spark, sf, 32)), "scores")
     return V.quantile_map(a, b, "s", QUANTILES).select(r6("slope"), r6("shift"))
 
 

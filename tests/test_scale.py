@@ -109,3 +109,10 @@ def test_the_fit_does_not_depend_on_partitions_or_batches(spark, monkeypatch):
         assert all(np.allclose(a, b, atol=1e-12) for a, b in zip(M._parts(one), M._parts(other)))
     mask = M.dropout_mask(M.Recipe("r", width=64, dropout=0.3), 1, np.arange(4000), 64)
     assert abs((mask > 0).mean() - 0.7) < 0.01 and set(np.unique(mask)) == {0, 1 / 0.7}
+
+
+def test_quantile_map_compares_the_vectors_once(spark):
+    from corvane.plans import q_vectors
+
+    plan = q_vectors.v12(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan  # quantiles read stored scores
