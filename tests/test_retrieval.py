@@ -130,3 +130,17 @@ def test_empty_catalogue_and_tasks(spark, tables):
 def test_at_a_larger_scale(spark, name):
     ok, note = compare(spark, duck(SF), name, entry.queries()[name], entry.oracle_sql()[name], SF)
     assert ok, note
+
+
+def test_tasks_are_scored_in_small_pieces(spark, monkeypatch):
+    """However narrow the catalogue, so many tasks at once at most; the answer is that of one piece."""
+    cat = spark.createDataFrame([("a", "red fox runs"), ("b", "blue whale sings"), ("c", "")], "name string, text string")
+    tasks = spark.createDataFrame([(i, f"the red fox runs {i}" if i % 2 else "blue whale sings") for i in range(60)], "id long, text string").coalesce(1)
+    index = R.index_catalogue(R.numbered(cat, "name").withColumnRenamed("name", "item_id"), norm_key_plain)
+    answers = {}
+    for n in (7, 1000):
+        monkeypatch.setattr(R, "PIECE", n)
+        sizes = R.score_blocks(tasks, index, lambda part, s: [part["id"], [part.num_rows] * part.num_rows], "id long, n int").agg({"n": "max"}).first()[0]
+        assert sizes <= n
+        answers[n] = sorted((r.id, round(r.best, 9), len(r.known)) for r in R.profiles(tasks, index).collect())
+    assert answers[7] == answers[1000] and answers[7][0][2] == 2
