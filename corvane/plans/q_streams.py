@@ -29,7 +29,8 @@ def _files(spark, sf, name):
 def st1(spark, sf):
     src, out = scratch_path(spark, "st1-in"), scratch_path(spark, "st1-out")
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
-    S.append_log(docs.repartition(4), src)
+    # files as many as the table has splits, four at least: no task writes or reads more than a split's share
+    S.append_log(docs.repartition(max(4, docs.rdd.getNumPartitions())), src)
     stream = spark.readStream.schema(DOC_SCHEMA).option("maxFilesPerTrigger", 2).json(src)
     ST.ingest_incremental(stream, table(spark, sf, "labels"), "doc_id", out)
     return spark.read.parquet(f"{out}/data").select("doc_id", "lang")

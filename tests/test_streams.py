@@ -60,3 +60,12 @@ def test_a_table_arrives_from_a_file_or_from_a_folder_of_files(spark):
         out = scratch_path(spark, "arrived")
         ST.run_to_files(q_streams.arriving(spark, sf, name), out)
         assert sorted(r.id for r in spark.read.parquet(f"{out}/data").collect()) == list(range(40))
+
+
+def test_ingest_deals_a_large_table_to_more_files(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(q_streams.S, "append_log", lambda df, path: (made.append(df.rdd.getNumPartitions()), df.write.mode("append").json(path)))
+    many = spark.range(60).selectExpr("id doc_id", "'t' text", "'en' lang", "'s' source").repartition(9)
+    monkeypatch.setattr(q_streams, "table", lambda spark, sf, name: many if name == "documents" else many.filter("doc_id < 5").select("doc_id"))
+    assert q_streams.st1(spark, "none").count() == 55
+    assert made == [9]
