@@ -2,6 +2,7 @@
 
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -12,7 +13,8 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions.once import once
 from ..functions.vectors import cosine, dot, pair_features, softmax
-from ..session import stored
+from ..session import scratch_path, stored
+from ..sources.paths import make_folder, move, open_path
 
 
 def softmax_t(df: DataFrame, z: str, temperature: float) -> DataFrame:
@@ -298,25 +300,40 @@ def adam_step(r: Recipe, h: Head, g: np.ndarray, m, v, step: int, n: float):
     parts, out, at = _parts(h), [], 0
     m, v = m.copy(), v.copy()
     for j, p in enumerate(parts):
-        s = slice(at, at + p.size)
+        new = p.flatten()
+        for lo in range(0, p.size, 1 << 14):  # pieces that stay in the cache
+            q = new[lo:lo + (1 << 14)]
+            s = slice(at + lo, at + lo + len(q))
+            gp = g[s] + (r.l2 / n * q if j % 2 == 0 else 0)
+            m[s] = 0.9 * m[s] + 0.1 * gp
+            v[s] = 0.999 * v[s] + 0.001 * gp * gp
+            upd = (m[s] / (1 - 0.9 ** step)) / (np.sqrt(v[s] / (1 - 0.999 ** step)) + 1e-8)
+            q[:] = q * (1 - r.lr * r.decay) - r.lr * upd
         at += p.size
-        gp = g[s] + (r.l2 / n * p.ravel() if j % 2 == 0 else 0)
-        m[s] = 0.9 * m[s] + 0.1 * gp
-        v[s] = 0.999 * v[s] + 0.001 * gp * gp
-        upd = (m[s] / (1 - 0.9 ** step)) / (np.sqrt(v[s] / (1 - 0.999 ** step)) + 1e-8)
-        out.append(p * (1 - r.lr * r.decay) - r.lr * upd.reshape(p.shape))
+        out.append(new.reshape(p.shape))
     return _head(out, h), m, v
 
 
 CELL = 4096  # rows that one task of a step takes
+SEGMENT = 128  # steps that one task takes where a mini-batch is one cell
+
+
+def _saved(folder: str, cell: int) -> bytes:
+    with open_path(f"{folder}/{cell}", "rb") as f:
+        return f.read()
+
+
+def _opened(body):
+    return _batch(pa.ipc.open_stream(body).read_all().combine_chunks().to_batches()[0])
 
 
 class Cells:
     """Training rows dealt by a hash of their ids to `steps` mini-batches, and a batch to cells of about CELL rows: one
     partition per cell, so a step runs only the tasks of its batch. A cell holds its rows in the order of the ids and sums
-    are taken cell by cell, so nothing depends on how the table was partitioned. The cells lie in the shared folder."""
+    are taken cell by cell, so nothing depends on how the table was partitioned. The cells lie in the shared folder; with
+    `files` each as a file of its own, which any task may read."""
 
-    def __init__(self, df: DataFrame, batch: int | None):
+    def __init__(self, df: DataFrame, batch: int | None, files: bool = False):
         rows = df.select("id", "vec", "target", "weight", F.coalesce("fold", F.lit(-1)).cast("int").alias("fold"))
         per = rows.groupBy("fold").agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("d"), F.max(F.size("target")).alias("k")).collect()
         self.rows = {r["fold"]: r["n"] for r in per}
@@ -336,6 +353,25 @@ class Cells:
         packed = stored(rows.withColumn("cell", cell).groupBy("cell").applyInArrow(pack, "cell int, body binary"), "cells")
         parts = self.steps * self.width
         self.sc = df.sparkSession.sparkContext
+        self.folder = None
+        if files and self.width == 1:
+            self.folder = folder = scratch_path(df.sparkSession, "cells")
+
+            def save(batches):
+                from pyspark import TaskContext
+
+                make_folder(folder)
+                for b in batches:
+                    for c, body in zip(b["cell"].to_pylist(), b["body"]):
+                        part = f"{folder}/{c}-{TaskContext.get().taskAttemptId()}"
+                        with open_path(part, "wb") as f:
+                            f.write(body.as_buffer())
+                        move(part, f"{folder}/{c}")
+                    yield pa.RecordBatch.from_arrays([b["cell"]], names=["cell"])
+
+            self.filled = {r["cell"] for r in packed.mapInArrow(save, "cell int").collect()}  # numbers of the mini-batches
+            self.rdd = self.sc.parallelize(sorted(self.filled), max(1, min(len(self.filled), self.sc.defaultParallelism))).map(lambda c: _saved(folder, c))
+            return
         # one task per cell is what mini-batches need, and only the RDD interface can run chosen partitions
         self.rdd = packed.rdd.map(lambda r: (r[0], bytes(r[1]))).partitionBy(parts, lambda c: c).values().persist()
 
@@ -349,8 +385,7 @@ class Cells:
         """The sum of fn(ids, x, target, weight, fold) over the cells of a batch, or of all, in their order."""
         def run(bodies):
             for body in bodies:
-                b = pa.ipc.open_stream(body).read_all().combine_chunks().to_batches()[0]
-                yield fn(*_batch(b)).tobytes()
+                yield fn(*_opened(body)).tobytes()
 
         cells = None if step is None else range(step * self.width, (step + 1) * self.width)
         parts = self.sc.runJob(self.rdd, run, cells)
@@ -377,50 +412,86 @@ class Cells:
         return {h: (means[h], np.sqrt(np.maximum(0, squares[h] - (means[h] - centre) ** 2)) + 1e-6) for h in folds}
 
 
+def step_gradient(r: Recipe, h: Head, epoch: int, ids, x, t, w, fold) -> np.ndarray:
+    """The summed gradient of a head over the rows of a mini-batch that it learns from, with its dropout of that pass."""
+    use = slice(None) if r.held_out is None else fold != r.held_out
+    z, n_layers = h.inputs(x[use]), len(_parts(h)) // 2 - 1
+    into = dropout_mask(r, epoch, ids[use], z.shape[1], -1)
+    keep = [dropout_mask(r, epoch, ids[use], r.width, i) for i in range(n_layers)]
+    return gradient(r, h, z if into is None else z * into, t[use], w[use], keep)
+
+
 def train_batches(df: DataFrame, recipes: list[Recipe]) -> list[Head]:
     """Fits all heads of a grid together with Adam on mini-batches of about `batch` rows, `epochs` passes; the recipes of a
-    grid agree in both. Batches are fixed by hash and their order changes with the pass. A step is one small job over the
-    batch's cells that serves the whole grid; only the summed gradient reaches the driver."""
+    grid agree in both. Batches are fixed by hash and their order changes with the pass.
+
+    Where a mini-batch is one cell, steps follow each other in segments: a job has one task per head, which takes the head as it
+    stands through the next SEGMENT mini-batches, one read at a time, and gives it back. A task sees a bounded number of
+    rows, and there are passes x batches / SEGMENT jobs. Where a mini-batch is more than a cell, a step is a job over its cells
+    that serves the whole grid. Only heads or summed gradients reach the driver; both ways give the same weights."""
     batch, epochs = recipes[0].batch, recipes[0].epochs
     if any((r.batch, r.epochs) != (batch, epochs) for r in recipes):
         raise ValueError("recipes fitted together have one batch size and number of passes")
-    cells = Cells(df, batch)
+    standard = any(r.standardise for r in recipes)
+    cells = Cells(df, batch, files=True)
     try:
         heads = [_init(r, cells.d, cells.k) for r in recipes]
         if not cells.rows:
             return heads
-        scale = cells.scales(list(dict.fromkeys(r.held_out for r in recipes))) if any(r.standardise for r in recipes) else {}
+        scale = cells.scales(list(dict.fromkeys(r.held_out for r in recipes))) if standard else {}
         heads = [replace(h, mean=scale[r.held_out][0], sd=scale[r.held_out][1]) if r.standardise else h for r, h in zip(recipes, heads)]
-        sizes = [sum(p.size for p in _parts(h)) + 2 for h in heads]
-        m, v = [np.zeros(s - 2) for s in sizes], [np.zeros(s - 2) for s in sizes]
+        sizes = [sum(p.size for p in _parts(h)) for h in heads]
+        state = [(h, np.zeros(n), np.zeros(n)) for h, n in zip(heads, sizes)]
+        if cells.folder:
+            return _in_segments(cells, recipes, state, epochs)
         step = 0
         for epoch in range(1, epochs + 1):
             for b in cells.order(epoch):
                 step += 1
+                heads = [h for h, _, _ in state]
 
-                def sums(ids, x, t, w, fold, heads=heads, epoch=epoch):
-                    each = []
-                    for r, h in zip(recipes, heads):
-                        use = slice(None) if r.held_out is None else fold != r.held_out
-                        z, n_layers = h.inputs(x[use]), len(_parts(h)) // 2 - 1
-                        into = dropout_mask(r, epoch, ids[use], z.shape[1], -1)
-                        keep = [dropout_mask(r, epoch, ids[use], r.width, i) for i in range(n_layers)]
-                        each.append(gradient(r, h, z if into is None else z * into, t[use], w[use], keep))
-                    return np.concatenate(each)
+                def sums(*rows, heads=heads, epoch=epoch):
+                    return np.concatenate([step_gradient(r, h, epoch, *rows) for r, h in zip(recipes, heads)])
 
                 total, at = cells.total(sums, b), 0
                 if total is None:
                     continue
                 for i, r in enumerate(recipes):
-                    piece = total[at:at + sizes[i]]
-                    at += sizes[i]
+                    piece = total[at:at + sizes[i] + 2]
+                    at += sizes[i] + 2
                     if piece[-1] > 0:
-                        heads[i], m[i], v[i] = adam_step(r, heads[i], piece[:-2] / piece[-1], m[i], v[i], step, cells.training(r.held_out))
-        return heads
+                        state[i] = adam_step(r, state[i][0], piece[:-2] / piece[-1], *state[i][1:], step, cells.training(r.held_out))
+        return [h for h, _, _ in state]
     finally:
         cells.close()
 
 
+def _in_segments(cells: Cells, recipes: list[Recipe], state: list[tuple], epochs: int) -> list[Head]:
+    """The steps of all passes, SEGMENT at a time: one task per head and segment."""
+    folder, n = cells.folder, [cells.training(r.held_out) for r in recipes]
+
+    def steps():
+        step = 0
+        for epoch in range(1, epochs + 1):
+            for c in cells.order(epoch):
+                step += 1
+                if c in cells.filled:
+                    yield step, epoch, c
+
+    def run(one, part):
+        r, n, (h, m, v) = one
+        for step, epoch, c in part:
+            g = step_gradient(r, h, epoch, *_opened(_saved(folder, c)))
+            if g[-1] > 0:
+                h, m, v = adam_step(r, h, g[:-2] / g[-1], m, v, step, n)
+        return h, m, v
+
+    every = steps()
+    while part := list(islice(every, SEGMENT)):
+        state = cells.sc.parallelize(list(zip(recipes, n, state)), len(recipes)).map(lambda one, part=part: run(one, part)).collect()
+    return [h for h, _, _ in state]
+
+
 def train_logistic(df: DataFrame, fits: list[tuple[float, int | None]], iterations: int = 1500, tolerance: float = 1e-9) -> list[Head]:
     """Binary logistic heads with mean log-loss + lam/2n |w|^2 for each (lam, held-out fold) of `fits`, all in the same passes.
 

@@ -81,6 +81,20 @@ def test_batches_follow_the_plain_loop(spark, monkeypatch):
     assert np.allclose(head.mean, mean) and np.allclose(head.sd, sd)
 
 
+def test_segments_take_few_jobs_and_give_the_weights_of_single_steps(spark, monkeypatch):
+    _, _, df = table(spark)
+    grid = M.fold_grid([replace(BASE, batch=4), replace(BASE, batch=4, seed=1, depth=2, standardise=True, decay=0.1, input_dropout=0.2)], 2)
+    monkeypatch.setattr(M, "SEGMENT", 50)  # ends inside a pass; 38 batches, some of them empty
+    spark.sparkContext.setJobGroup("fit", "fit")
+    heads = M.train_batches(df, grid)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("fit"))
+    spark.sparkContext.setJobGroup("other", "other")
+    assert jobs < 30  # a job per step makes more than 200
+    real = M.Cells
+    monkeypatch.setattr(M, "Cells", lambda df, batch, files=False: real(df, batch))
+    assert all((a == b).all() for g, h in zip(heads, M.train_batches(df, grid)) for a, b in zip(M._parts(g), M._parts(h)))
+
+
 def test_decay_stays_outside_the_moments():
     h = M.Head(np.ones((2, 1)), np.ones(1))
     zero = np.zeros(3)
