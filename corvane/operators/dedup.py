@@ -1,6 +1,7 @@
 """Exact and near duplicates, leakage control, funnels."""
 
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,8 @@ from pyspark.sql import functions as F
 from ..functions.once import once
 from ..functions.ranking import exact_percentiles
 from ..functions.text import packed_ngrams, squeezed
-from ..session import stored
+from ..session import scratch_path, stored
+from ..sources.paths import make_folder, open_path
 from .joins import union_refs
 
 
@@ -120,100 +122,161 @@ def similarity_percentiles(df: DataFrame, col: str, ps=(0.5, 0.9, 0.99)) -> Data
 
 # --- n-gram near duplicates ------------------------------------------------------------
 
-def gram_sets(df: DataFrame, row_id: str, text: str, n: int) -> DataFrame:
-    """(id, grams) of each text."""
-    return df.select(F.col(row_id).alias("id"), packed_ngrams(squeezed(F.col(text)), n).alias("grams"))
-
-
-BLOCK = 2048  # gram sets of a side that meet in a task
-COLUMNS = 4096  # grams multiplied at once
+BLOCK = 2048  # gram sets of a side that are multiplied at once
+COLUMNS = 1024  # commonest grams that are multiplied; the others are bounded first
+MEETINGS = 4  # reference blocks that a row of the plan names
+TASKS = 4096  # that the plan is dealt to at most
+HELD = 32 << 20  # bytes of gram sets that a task holds before it writes files
 
 
 def near_dup_ngram(q: DataFrame, ref: DataFrame, row_id: str, text: str, t: float, n: int = 3, block: int = None) -> DataFrame:
     """For each row of `q` with a neighbour in `ref` of n-gram Jaccard > t: the greatest
     Jaccard and the nearest id (least id among equals). Exact.
 
-    Equal gram sets are collapsed to one representative on both sides first, so a mass of copies costs one. A pair over t has
-    sizes within a factor t, so sets are dealt to bands of sizes 1/t apart and meet only their own and the two next bands. A
-    crowded band is cut into blocks on both sides; a pair of blocks counts the grams in common of all its pairs by products of
-    0/1 matrices, a few thousand grams at a time, and gives back one row per query set, its best partner: no pair is a row, and
-    a gram that all texts hold is a column like any other.
+    Equal texts are collapsed to one representative on both sides first, so a mass of copies costs one. A pair over t has
+    sizes within a factor t, so sets are dealt to bands of sizes 1/t apart and meet only their own and the two next bands.
+    Every set is written once, to a file of its band in the shared folder; which files meet is a small plan, and a task reads
+    what its row names, a block at a time. So the disk taken is that of the sets, however many blocks meet.
+
+    A pair of blocks counts the common ones of its commonest grams by a product of 0/1 matrices. A pair of sets that stays at
+    t or below even if all of the smaller rest were common is out; the rest of the others is counted. No pair is a row: a query set gives
+    its best partner.
     """
-    q_sets, q_members = _collapse(gram_sets(q, row_id, text, n))
-    r_sets, r_members = _collapse(gram_sets(ref, row_id, text, n))
-    q_sets, r_sets = stored(q_sets, "query-grams"), stored(r_sets, "reference-grams")
-    block = block or BLOCK
-    ratio = math.log(1 / t)
-
-    def band(grams):
-        return F.floor(F.log(F.greatest(F.lit(1), F.size(grams)).cast("double")) / ratio + 1e-9).cast("int")
-
-    left = q_sets.select("rep", "grams", band("grams").alias("band"))
-    right = r_sets.select("rep", "grams", F.explode(F.sequence(band("grams") - 1, band("grams") + 1)).alias("band"))
-    counts = {}
-    for side, df in enumerate((left, right)):
-        for r in df.groupBy("band").agg(F.count("*").alias("n")).collect():  # a few dozen bands
-            counts.setdefault(r["band"], [0, 0])[side] = -(-r["n"] // block)
-    met = [(k, a, b) for k, (a, b) in counts.items() if a and b]
-    if not met:
-        return q_members.select("id", F.lit(0.0).alias("max_jac"), F.col("id").alias("nn_jac")).limit(0)
-    plan = F.broadcast(q.sparkSession.createDataFrame(met, "band int, qn int, rn int"))
-
-    def dealt(df, own, other):
-        mine = F.pmod(F.xxhash64("rep"), F.col(own)).cast("int")
-        rows = df.join(plan, "band").select("rep", "grams", "band", mine.alias(own[0]), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other[0]))
-        return rows.groupBy("band", "q", "r")
-
-    def matrix(rows, at, size):
-        m = np.zeros((size, COLUMNS), np.float32)
-        m[rows, at] = 1
-        return m
-
-    def best(a: pa.Table, b: pa.Table) -> pa.Table:
-        sides = []
-        for side in (a, b):
-            lists = side["grams"].combine_chunks()
-            sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-            sides.append((side["rep"].to_numpy(), sizes, np.repeat(np.arange(len(sizes)), sizes), lists.flatten()))
-        (qid, qn, qrow, qg), (rid, rn, rrow, rg) = sides
-        if not len(qid) or not len(rid):
-            return pa.table({"q_rep": pa.array([], pa.int64()), "jac": pa.array([], pa.float64()), "r_rep": pa.array([], pa.int64())})
-        words = pc.unique(rg)
-        places = [pc.fill_null(pc.index_in(g, value_set=words), -1).to_numpy(zero_copy_only=False) for g in (qg, rg)]
-        inter = np.zeros((len(qid), len(rid)), np.float32)
-        parts = []
-        for rows, at in zip((qrow, rrow), places):
-            keep = at >= 0
-            rows, at = rows[keep], at[keep]
-            order = np.argsort(at, kind="stable")
-            parts.append((rows[order], at[order]))
-        for lo in range(0, len(words), COLUMNS):
-            cut = [(p[0][slice(*np.searchsorted(p[1], [lo, lo + COLUMNS]))], p[1][slice(*np.searchsorted(p[1], [lo, lo + COLUMNS]))] - lo) for p in parts]
-            if len(cut[0][0]):
-                inter += matrix(*cut[0], len(qid)) @ matrix(*cut[1], len(rid)).T
-        inter = inter.astype(np.float64)  # whole numbers below 2^24
-        jac = inter / np.maximum(1, qn[:, None] + rn[None, :] - inter)
-        order = np.argsort(rid)
-        at = order[jac[:, order].argmax(1)]
-        top = jac[np.arange(len(qid)), at]
-        keep = top > t
-        return pa.table({"q_rep": qid[keep], "jac": top[keep], "r_rep": rid[at[keep]]})
-
-    parts = dealt(left, "qn", "rn").cogroup(dealt(right, "rn", "qn")).applyInArrow(best, "q_rep long, jac double, r_rep long")
-    best_ = (
+    block, spark = block or BLOCK, q.sparkSession
+    q_sets, r_sets = (_gram_files(df, row_id, text, n, t, block) for df in (q, ref))
+    files = [{}, {}]
+    for side, df in zip(files, (q_sets, r_sets)):
+        for r in df.groupBy("band", "file").agg(F.count("*").alias("n")).orderBy("band", "file").collect():  # one row per block
+            side.setdefault(r["band"], []).append((r["file"], r["n"]))
+    plan = []
+    for band, mine in files[0].items():
+        others = _blocks([f for k in (band - 1, band, band + 1) for f in files[1].get(k, [])], block)
+        plan += [(a, others[i:i + MEETINGS]) for a in _blocks(mine, block) for i in range(0, len(others), MEETINGS)]
+    if not plan:
+        return q.select(F.col(row_id).alias("id"), F.lit(0.0).alias("max_jac"), F.col(row_id).alias("nn_jac")).limit(0)
+
+    def run(batches):
+        for b in batches:
+            for mine, others in zip(b["q"].to_pylist(), b["r"].to_pylist()):
+                left = _read_sets(mine)
+                for part in others:
+                    yield from _best_partners(left, _read_sets(part), t).to_batches()
+
+    rows = spark.createDataFrame(spark.sparkContext.parallelize(plan, min(len(plan), TASKS)), "q array<string>, r array<array<string>>")
+    parts = rows.mapInArrow(run, "q_rep long, jac double, r_rep long")
+    best = (
         parts.groupBy("q_rep").agg(F.max(F.struct("jac", (-F.col("r_rep")).alias("neg"))).alias("b"))
         .select(F.col("q_rep").alias("rep"), F.col("b.jac").alias("max_jac"), (-F.col("b.neg")).alias("nn_jac"))
     )
-    return best_.join(q_sets.select("rep", "sign"), "rep").join(q_members, "sign").select("id", "max_jac", "nn_jac")
-
-
-def _collapse(sets: DataFrame):
-    """(sign, rep, grams), one per set of equal gram sets: its hash, the least row id that has
-    it, and the grams; and (id, sign) of every row."""
-    keyed = once(sets, grams=F.array_sort("grams"))
-    keyed = keyed.withColumn("sign", F.sha2(F.array_join("grams", ","), 256))
-    reps = keyed.groupBy("sign").agg(F.min("id").alias("rep"), F.first("grams").alias("grams"))
-    return reps, keyed.select("id", "sign")
+    members = _signed(q, row_id, text).select("id", "sign")
+    return best.join(q_sets.select("rep", "sign"), "rep").join(members, "sign").select("id", "max_jac", "nn_jac")
+
+
+def _signed(df: DataFrame, row_id: str, text: str) -> DataFrame:
+    rows = once(df.select(F.col(row_id).alias("id"), F.col(text).alias("s")), s=squeezed(F.col("s")))
+    return rows.filter("s IS NOT NULL").withColumn("sign", F.sha2("s", 256))
+
+
+def _gram_files(df: DataFrame, row_id: str, text: str, n: int, t: float, block: int) -> DataFrame:
+    """(rep, sign, band, file): of equal texts the least row id, with the file its gram set was written to."""
+    reps = _signed(df, row_id, text).groupBy("sign").agg(F.min("id").alias("rep"), F.first("s").alias("s"))
+    sets = reps.select("rep", "sign", packed_ngrams(F.col("s"), n).alias("grams"))
+    folder, ratio = scratch_path(df.sparkSession, "grams"), math.log(1 / t)
+
+    def save(batches):
+        make_folder(folder)
+        held, size = {}, {}
+
+        def flush(band):
+            table = pa.Table.from_batches(held.pop(band))
+            del size[band]
+            path = f"{folder}/{band}-{uuid.uuid4().hex}"
+            with open_path(path, "wb") as f, pa.ipc.new_stream(f, table.schema.remove(1), options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(table.remove_column(1))
+            file = pa.array([path] * len(table), pa.string())
+            return pa.table({"rep": table["rep"], "sign": table["sign"], "band": pa.array([band] * len(table), pa.int32()), "file": file}).to_batches()
+
+        for b in batches:
+            sizes = pc.list_value_length(b["grams"]).to_numpy(zero_copy_only=False)
+            bands = np.floor(np.log(np.maximum(1, sizes)) / ratio + 1e-9).astype(int)
+            for band in np.unique(bands).tolist():
+                part = b.take(pa.array(np.flatnonzero(bands == band)))
+                for lo in range(0, part.num_rows, block):
+                    piece = part.slice(lo, block)
+                    held.setdefault(band, []).append(piece)
+                    rows, kept = size.get(band, (0, 0))
+                    size[band] = rows + piece.num_rows, kept + 8 * int(pc.sum(pc.list_value_length(piece["grams"])).as_py())
+                    if size[band][0] >= block:
+                        yield from flush(band)
+            while sum(k for _, k in size.values()) > HELD:
+                yield from flush(max(size, key=lambda k: size[k][1]))
+        for band in list(held):
+            yield from flush(band)
+
+    return stored(sets.mapInArrow(save, "rep long, sign string, band int, file string"), "gram-files")
+
+
+def _blocks(files: list[tuple[str, int]], block: int) -> list[list[str]]:
+    """Files put together until they hold `block` sets."""
+    out, room = [], 0
+    for file, n in files:
+        if n > room:
+            out.append([])
+            room = block
+        out[-1].append(file)
+        room -= n
+    return out
+
+
+def _read_sets(files: list[str]):
+    """Ids, sizes, the row of every gram, and the grams."""
+    tables = []
+    for file in files:
+        with open_path(file, "rb") as f:
+            tables.append(pa.ipc.open_stream(f.read()).read_all())
+    table = pa.concat_tables(tables).sort_by("rep").combine_chunks()
+    lists = table["grams"].combine_chunks()
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    return table["rep"].to_numpy(), sizes, np.repeat(np.arange(len(sizes)), sizes), lists.flatten()
+
+
+def _best_partners(left, right, t: float) -> pa.Table:
+    """(q_rep, jac, r_rep): of every query set its best partner over t."""
+    (qid, qn, qrow, qg), (rid, rn, rrow, rg) = left, right
+    coded = rg.dictionary_encode()
+    codes = coded.indices.to_numpy()
+    rank = np.empty(len(coded.dictionary), np.int64)
+    rank[np.argsort(-np.bincount(codes, minlength=len(rank)), kind="stable")] = np.arange(len(rank))
+    at = pc.fill_null(pc.index_in(qg, value_set=coded.dictionary), -1).to_numpy(zero_copy_only=False)
+    sides = []
+    for rows, ranks, n in ((qrow, np.where(at < 0, -1, rank[at]), len(qid)), (rrow, rank[codes], len(rid))):
+        m = np.zeros((n, COLUMNS), np.float32)
+        top = (ranks >= 0) & (ranks < COLUMNS)
+        m[rows[top], ranks[top]] = 1
+        late = ranks >= COLUMNS
+        count = np.bincount(rows[late], minlength=n)
+        sides.append((m, ranks[late], np.r_[0, np.cumsum(count)], count))
+    (a, qlate, qstart, qrest), (b, rlate, rstart, rrest) = sides
+    inter = a @ b.T  # whole numbers below 2^24
+    share = t / (1 + t)  # of both sizes that is in common where the Jaccard is t
+    need = (share * qn)[:, None].astype(np.float32) + (share * rn).astype(np.float32)
+    need -= np.minimum(qrest[:, None].astype(np.float32), rrest.astype(np.float32))
+    open_ = inter > need - 0.05
+    top, at = np.zeros(len(qid)), np.zeros(len(qid), np.int64)
+    held = np.zeros(len(rank), bool)
+    for i in np.flatnonzero(open_.any(1)):
+        js = np.flatnonzero(open_[i])
+        mine = qlate[qstart[i]:qstart[i + 1]]
+        held[mine] = True
+        ends = np.cumsum(rrest[js])
+        found = held[np.concatenate([rlate[rstart[j]:rstart[j + 1]] for j in js])]
+        held[mine] = False
+        both = inter[i, js].astype(np.float64) + np.diff(np.r_[0, np.r_[0, np.cumsum(found)][ends]])
+        jac = both / np.maximum(1, qn[i] + rn[js] - both)
+        best = jac.argmax()  # ids are in order: the least of equals
+        top[i], at[i] = jac[best], js[best]
+    keep = top > t
+    return pa.table({"q_rep": pa.array(qid[keep], pa.int64()), "jac": pa.array(top[keep], pa.float64()), "r_rep": pa.array(rid[at[keep]], pa.int64())})
 
 
 def near_dup_report(ids: DataFrame, cos: DataFrame, jac: DataFrame, cos_t: float, jac_t: float) -> DataFrame:
