@@ -122,6 +122,12 @@ class Draws:
         return np.searchsorted(POISSON1_CDF, out / 2.0 ** 32, side="right").astype(np.float64)
 
 
+def _dealt(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt to a fixed number of tasks: they are few bytes, so Spark would join the pieces of an exchange into one or
+    two tasks, while every row costs b hashes."""
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def replicate_sums(df: DataFrame, key: str, b: int, seed: str, sums: dict[str, Column]) -> DataFrame:
     """(rep, sums...): for each replicate the sums of the given numbers over the drawn rows. A batch is a product of its
     draws with its numbers, and a task sends one row per replicate, whatever the number of its rows."""
@@ -138,7 +144,7 @@ def replicate_sums(df: DataFrame, key: str, b: int, seed: str, sums: dict[str, C
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(b), pa.int32()), *(pa.array(c) for c in total.T)], schema=schema)
 
     given = df.select(F.col(key).cast("string"), *[F.coalesce(c.cast("double"), F.lit(0.0)).alias(n) for n, c in sums.items()])
-    parts = given.mapInArrow(run, "rep int, " + ", ".join(f"`{n}` double" for n in names))
+    parts = _dealt(given, key).mapInArrow(run, "rep int, " + ", ".join(f"`{n}` double" for n in names))
     return parts.groupBy("rep").agg(*[F.sum(n).alias(n) for n in names])
 
 
@@ -168,7 +174,7 @@ def replicate_auc(df: DataFrame, key: str, score: str, positive: str, b: int, se
 
     given = df.select(F.col(key).cast("string").alias("k"), F.col(score).cast("double").alias("s"), F.col(positive).cast("int").alias("y"))
     given = with_cell(given.filter("s IS NOT NULL AND y IS NOT NULL"), "s")
-    cells = given.groupBy("_cell").applyInArrow(inside, "cell int, rep int, pos double, neg double, wins double")
+    cells = _dealt(given, "_cell").groupBy("_cell").applyInArrow(inside, "cell int, rep int, pos double, neg double, wins double")
     before = F.coalesce(F.sum("neg").over(W.partitionBy("rep").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
     whole = cells.withColumn("_b", before).groupBy("rep").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"),
                                                              F.sum(F.col("wins") + F.col("pos") * F.col("_b")).alias("w"))
