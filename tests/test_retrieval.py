@@ -4,6 +4,8 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 import __spark_entry__ as entry
@@ -144,3 +146,57 @@ def test_tasks_are_scored_in_small_pieces(spark, monkeypatch):
         assert sizes <= n
         answers[n] = sorted((r.id, round(r.best, 9), len(r.known)) for r in R.profiles(tasks, index).collect())
     assert answers[7] == answers[1000] and answers[7][0][2] == 2
+
+
+def test_counts_over_a_threshold_are_those_of_the_scores():
+    from time import perf_counter
+
+    rng = np.random.default_rng(5)
+    bm, bi, cos = (np.where(rng.random((200, 200)) < 0.3, np.round(rng.random((200, 200)), 2), 0) for _ in range(3))
+    for points, thr in [(np.array([[a, b, c / 100] for a in (0.6, 0.8, 1.0, 1.2) for b in (0.6, 0.8, 1.0, 1.2) for c in range(0, 80, 2)]), 0.15),
+                        (np.array([[0.7, 1.0, 0.3], [0.2, 0.0, -0.15], [0.7, 1.0, 0.1]]), 0.15), (np.array([[0.5, 0.5, 0.2]]), 0.0)]:
+        start = perf_counter()
+        want = np.stack([(R.fused_score(*p)(bm, bi, cos) >= thr).sum(1) for p in points], 1)
+        plain = perf_counter() - start
+        start = perf_counter()
+        got = R.Reached(points, thr)(bm, bi, cos)
+        fast = perf_counter() - start
+        assert (got == want).all()
+        assert len(points) < 100 or fast * 2 < plain
+
+
+def test_places_are_looked_for_in_tasks_with_gold_only():
+    class S:
+        first, n, bm25, bigram, cos = 0, 3, np.ones((4, 3)), np.array([[0.0, 0, 0], [1, 2, 1], [0, 0, 0], [0, 0, 0]]), np.zeros((4, 3))
+        gold_row, gold_at = np.array([1, 1]), np.array([0, 2])
+
+    class Part:
+        class schema:
+            names = ()
+
+    seen = []
+
+    def score(bm, bi, cos):
+        seen.append(np.shape(bi))
+        return bi
+
+    assert R.Known(Part, S).ahead(score).tolist() == [1, 2]
+    assert seen == [(2,), (1, 3)]
+
+
+def test_character_pairs_are_the_packed_grams(spark):
+    from pyspark.sql import functions as F
+
+    from corvane.functions.text import packed_ngrams
+
+    texts = ["abcabc", "", "x", None, "\U0001f600\U0001f600b", "é\nß", "aa", "日本語 日本", "\x00"]
+    df = spark.createDataFrame([(t,) for t in texts], "s string").coalesce(1)
+    want = [r[0] and sorted(r[0]) for r in df.select(packed_ngrams(F.lower("s"), 2)).collect()]
+    got = R._char_pairs(pa.array([t and t.lower() for t in texts])).to_pylist()
+    assert got == [w or [] for w in want]
+
+
+def test_no_expression_makes_the_pairs_of_the_tasks(spark):
+    tasks = spark.createDataFrame([(1, "en", "w1 w2")], "id long, lang string, text string")
+    index = R.index_catalogue(R.numbered(spark.createDataFrame(CAT, "name string, text string"), "name"), norm_key_plain)
+    assert "regexp_extract_all" not in R.profiles(tasks, index)._jdf.queryExecution().optimizedPlan().toString()
