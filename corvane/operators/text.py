@@ -146,18 +146,29 @@ def perturb_set(df: DataFrame, prefixes, suffixes, seed: str, wide_share: float
 
 def instruction_variants(df: DataFrame, text: str, variants: dict[str, str], keep: list[str]) -> DataFrame:
     """Each text under each instruction; the first of equal keys is kept. An empty
-    instruction leaves the text bare."""
+    instruction leaves the text bare.
+
+    Equal texts are reduced to the first before the variants are made, by their digest, so that what is sorted holds each text
+    once and not six times. Only where a name goes on another name and the bar can keys of different texts be equal; then
+    the variants are reduced as well.
+    """
+
+    def firsts(rows, value):
+        order = F.struct(F.col(keep[0]).isNull(), keep[0])
+        return rows.groupBy(F.sha2(value, 256)).agg(F.min_by(F.struct(*rows.columns), order).alias("r")).select("r.*")
+
+    texts = firsts(df.select(text, *keep), text)
     grid = F.array(*[
         F.struct(F.lit(name).alias("variant"),
                  (F.concat(F.lit(f"Instruct: {ins}\nQuery: "), F.col(text)) if ins else F.col(text)).alias("prompt"))
         for name, ins in variants.items()
     ])
-    rows = df.select(*keep, text, F.explode(grid).alias("v")).select(
+    rows = texts.select(*keep, text, F.explode(grid).alias("v")).select(
         F.concat_ws("|", "v.variant", text).alias("key"), "v.variant", "v.prompt", *keep
     )
-    return rows.groupBy("key").agg(
-        *[F.min_by(F.struct("variant", "prompt", *keep), keep[0]).alias("r")]
-    ).select("key", "r.*")
+    if any(a != b and b.startswith(f"{a}|") for a in variants for b in variants):
+        rows = firsts(rows, "key")
+    return rows
 
 
 def task_grid(labels: DataFrame, pairs: DataFrame, reps: int, doubled) -> DataFrame:

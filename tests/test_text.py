@@ -61,3 +61,20 @@ def test_typo_changes_long_texts_only(spark):
     assert all(r["t"] == r["s"] for r in rows if len(r["s"]) < 4)
     assert all(abs(len(r["t"]) - len(r["s"])) <= 1 for r in rows)
     assert {len(r["t"]) - len(r["s"]) for r in rows} == {-1, 0, 1}
+
+
+def test_instruction_variants_reduce_texts_before_they_are_multiplied(spark):
+    from corvane.operators.text import instruction_variants
+
+    df = spark.createDataFrame([(3, "x"), (1, "x"), (2, "b|x"), (4, None), (5, ""), (None, "n")], "id long, text string")
+
+    def rows(variants):
+        return sorted(((r["key"], r["variant"], r["prompt"], r["id"]) for r in instruction_variants(df, "text", variants, ["id"]).collect()), key=str)
+
+    assert rows({"a": "", "c": "Do"}) == sorted(
+        [(f"a|{t}", "a", t, i) for t, i in (("x", 1), ("b|x", 2), ("", 5), ("n", None))] + [("a", "a", None, 4), ("c", "c", None, 4)]
+        + [(f"c|{t}", "c", f"Instruct: Do\nQuery: {t}", i) for t, i in (("x", 1), ("b|x", 2), ("", 5), ("n", None))], key=str)
+    # a|b and x, a and b|x: one key, and the least id stays
+    assert [r for r in rows({"a": "", "a|b": ""}) if r[0] == "a|b|x"] == [("a|b|x", "a|b", "x", 1)]
+    plan = instruction_variants(df, "text", {"a": "", "c": "Do"}, ["id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Aggregate")  # the top of the plan comes first
