@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.once import once
+
 # The phrases of the base scan and their labels.
 PHRASES = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
 DELIMITERS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -79,7 +81,7 @@ def _phrases(rows: DataFrame, phrases) -> DataFrame:
 
 def _wrapped(docs: DataFrame, ordered: Column, prefixes: DataFrame, fewest: int) -> DataFrame:
     """id, _h, label, share of the templates that a stretch of their length in the words `w` matches."""
-    held = docs.withColumn("held", F.array_intersect(ordered, "w")).filter(F.size("held") >= fewest)
+    held = once(docs, held=F.array_intersect(ordered, "w")).filter(F.size("held") >= fewest)
     both = F.array_intersect("held", "all")
     near = held.withColumn("word", F.explode("held")).join(prefixes, "word").withColumn("both", both).filter(
         (F.col("both")[0] == F.col("word")) & (F.size("both") >= F.col("least")))
@@ -124,7 +126,7 @@ def scan(df: DataFrame, row_id: str = "doc_id", text: str = "text", phrases=PHRA
 
     ordered = F.array(*[F.lit(w) for w in order])
     lines = docs.select("id", "_h", F.explode(F.split("_t", "\n")).alias("line"))
-    held = lines.select("id", "_h", F.array_intersect(ordered, F.split(F.trim(spaced(F.col("line"))), "  ")).alias("held"))
+    held = once(lines, held=F.array_intersect(ordered, F.split(F.trim(spaced(F.col("line"))), "  "))).drop("line")
     held = held.filter(F.size("held") >= fewest)
     at = held.select("id", "_h", "held", F.posexplode("held").alias("at", "word"))
     met = at.join(prefixes, "word").filter(F.size("held") >= F.col("least")).filter(
@@ -132,7 +134,7 @@ def scan(df: DataFrame, row_id: str = "doc_id", text: str = "text", phrases=PHRA
     both = F.array_intersect("held", "all")
     met = met.withColumn("both", both).filter((F.col("both")[0] == F.col("word")) & (F.size("both") >= F.col("least")))
     met = met.select("id", "_h", "label", (F.size("both") / F.size("all")).alias("share")).unionByName(
-        _wrapped(docs.filter(F.contains("_t", F.lit("\n"))).select("id", "_h", words.alias("w")), ordered, prefixes, fewest))
+        _wrapped(once(docs.filter(F.contains("_t", F.lit("\n"))), w=words).drop("_t"), ordered, prefixes, fewest))
     found = met.groupBy("id", "_h").agg(F.collect_set("label").alias("found"), F.max("share").alias("share"))
 
     base = _phrases(docs.select("id", "_h", spaced(F.col("_t")).alias("_s")), phrases)

@@ -135,3 +135,10 @@ def test_many_secrets_in_one_text(spark):
     assert took < 30
     assert not any(w in secrets.scan(df, repo=secrets.F.lit("r"), owner=secrets.F.lit("o"))._jdf.queryExecution().toString()
                    for w in ("Python", "Arrow"))
+
+
+def test_words_are_cut_once_for_each_scan(spark):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["op1_license_scans"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") <= 6  # 14 where filters and projections each cut them again
