@@ -5,7 +5,9 @@ All distinct n-grams have one global order, rare ones first (count of the n-gram
 segments that fall into them; a pair's overlap is counted fragment by fragment and summed.
 
 Which pairs to count:
-* Equal sets meet by digest and are one set from then on within a partition.
+* Equal sets meet by digest and are one set from then on within a partition. Those of different partitions are linked by
+  digest too; pairs are of their first ones only, so no overlap of equal sets is counted.
+* No row stays in a bucket unless sizes and positions allow it some partner there.
 * No pair's sets are fetched unless the pair's parity signatures allow the overlap it needs.
 * Sets with Jaccard >= t share one of their rarest |x| - ceil(t|x|) + 1 n-grams. The sets of such an
   n-gram form a bucket, and every set of it is first compared to one pivot (its least), so a bucket
@@ -188,15 +190,42 @@ def runs(batches, keys: int):
         yield np.concatenate(held)
 
 
-def _pivots(batches):
+def _partnered(x: np.ndarray, num: int, den: int, most: int = 64) -> np.ndarray:
+    """The rows of sorted (gram, salt, salts, key, n, pos) that have a partner in their group by `_may_link`. Rows of the first
+    and the last group, which may go on in other batches, and of dealt n-grams stay, and so do rows with more than `most`
+    rows of their size beside them."""
+    group = np.cumsum(np.r_[True, (x[1:, :2] != x[:-1, :2]).any(axis=1)])
+    keep = (x[:, 2] > 1) | (group == group[0]) | (group == group[-1])
+    by = np.lexsort((x[:, 4], group))
+    g, n, left = group[by], x[by, 4], x[by, 4] - x[by, 5]
+    at = np.arange(len(x))
+    for apart in range(1, most + 2):  # rows of a group in order of size: who is too small for one is too small for all after it
+        at = at[at + apart < len(x)]
+        to = at + apart
+        near = (g[at] == g[to]) & (n[at] * den >= n[to] * num)
+        at, to = at[near], to[near]
+        if not len(at):
+            break
+        fits = (np.minimum(left[at], left[to]) * (num + den) >= (n[at] + n[to]) * num) | (apart > most)
+        keep[by[at[fits]]] = keep[by[to[fits]]] = True
+    return x[keep]
+
+
+def _pivots(num: int, den: int):
     """Marks each row of sorted (gram, salt, salts, key, n, pos) with the first row of its group and
-    drops groups of one. Holds one row between batches, whatever a group's size."""
+    drops groups of one and rows without a partner. Holds one row between batches, whatever a group's size."""
+
+    def run(batches):
+        yield from _mark_pivots(_partnered(np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns]), num, den)
+                                for b in batches if b.num_rows)
+
+    return run
+
+
+def _mark_pivots(parts):
     names = ["gram", "salts", "key", "n", "pos", "pivot", "pivot_n", "pivot_pos"]
     last, waiting = None, False  # the open group's first row, and whether it is still alone
-    for b in batches:
-        if not b.num_rows:
-            continue
-        x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns])
+    for x in parts:
         if last is not None:
             x = np.concatenate([last[None, :], x])
         new = np.r_[True, (x[1:, :2] != x[:-1, :2]).any(axis=1)]
@@ -255,12 +284,14 @@ def _shared(batches):
 
 def overlaps(pairs: DataFrame, sets: DataFrame, order, n: int, fragments: int) -> DataFrame:
     """(a, b, hits): the number of n-grams that the sets of each pair share, summed over fragments."""
-    ends = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    segs = sets.select("key", "body").join(ends, "key").mapInArrow(_segments(order, n), "key long, frag int, seg binary")
+
+    def segs(end, name):
+        ends = pairs.select(F.col(end).alias("key")).distinct()
+        cut = sets.select("key", "body").join(ends, "key").mapInArrow(_segments(order, n), "key long, frag int, seg binary")
+        return cut.select(F.col("key").alias(end), "frag", F.col("seg").alias(name))
+
     wide = pairs.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(fragments - 1))).alias("frag"))
-    left = segs.select(F.col("key").alias("a"), "frag", F.col("seg").alias("x"))
-    right = segs.select(F.col("key").alias("b"), "frag", F.col("seg").alias("y"))
-    met = wide.join(left, ["a", "frag"]).join(right, ["b", "frag"]).select("a", "b", "x", "y")
+    met = wide.join(segs("a", "x"), ["a", "frag"]).join(segs("b", "y"), ["b", "frag"]).select("a", "b", "x", "y")
     return met.mapInArrow(_shared, "a long, b long, hits long").groupBy("a", "b").agg(F.sum("hits").alias("hits"))
 
 
@@ -332,19 +363,29 @@ def ngram_components(df: DataFrame, row_id: str = "doc_id", text: str = "text",
     prefix = full.select("key", "body").mapInArrow(
         _prefixes(order, n, num, den), "gram long, salt long, salts long, key long, n long, pos long")
     buckets = stored(prefix.repartition("gram", "salt").sortWithinPartitions("gram", "salt", "key").mapInArrow(
-        _pivots, "gram long, salts long, key long, n long, pos long, pivot long, pivot_n long, pivot_pos long"), "ngram-buckets")
+        _pivots(num, den), "gram long, salts long, key long, n long, pos long, pivot long, pivot_n long, pivot_pos long"), "ngram-buckets")
     size = (F.col("n"), F.col("pos"), F.col("pivot_n"), F.col("pivot_pos"))
     stars = buckets.filter((F.col("key") != F.col("pivot")) & _may_link(*size, num, den)).select("pivot", "key")
     tops = buckets.filter("salts > 1 and key = pivot").select("gram", F.struct("key", "n", "pos").alias("p"))
     heads = tops.join(tops.groupBy("gram").agg(F.min("p").alias("top")), "gram").filter("p.key != top.key").filter(
         _may_link(F.col("p.n"), F.col("p.pos"), F.col("top.n"), F.col("top.pos"), num, den)).select(
         F.col("top.key").alias("pivot"), F.col("p.key").alias("key"))
-    sizes = full.select("key", "n")
-    marks = full.select("key", "n", "sig")
+    same = stored(full.groupBy("digest").agg(F.min("key").alias("a"), F.collect_list("key").alias("all")).select(
+        "a", F.explode("all").alias("b")).filter("a != b"), "ngram-same")
+    # only sets of buckets are ever compared
+    marks = stored(full.select("key", "n", "sig").join(buckets.select("key").distinct(), "key", "left_semi"), "ngram-marks")
+    sizes = marks.select("key", "n")
+
+    def of_first(pairs):
+        """Each end as the first of the sets equal to it, which lies in the same buckets; pairs of equal sets are left out."""
+        for end in "ab":
+            first = same.select(F.col("a").alias("first"), F.col("b").alias(end))
+            pairs = pairs.join(first, end, "left").withColumn(end, F.coalesce("first", end)).drop("first")
+        return pairs.filter("a != b").select("a", "b").distinct()
 
     def not_apart(pairs, name, sig):
         """Pairs whose signatures allow the overlap they need; only (a, b) and one signature of a pair are shuffled."""
-        left, right = (full.select(F.col("key").alias(k), F.col("n").alias(f"n{k}"), sig.alias(f"{name}{k}")) for k in "ab")
+        left, right = (marks.select(F.col("key").alias(k), F.col("n").alias(f"n{k}"), sig.alias(f"{name}{k}")) for k in "ab")
         differ = F.aggregate(F.zip_with(f"{name}a", f"{name}b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, v: acc + v)
         least = F.ceil((F.col("na") + F.col("nb")) * num / (num + den) - 1e-9)
         return pairs.join(left, "a").join(right, "b").filter(differ <= F.col("na") + F.col("nb") - 2 * least).select("a", "b")
@@ -354,7 +395,7 @@ def ngram_components(df: DataFrame, row_id: str = "doc_id", text: str = "text",
         short = F.array(*[F.expr(" ^ ".join(f"sig[{i}]" for i in range(h, 16, 2))) for h in (0, 1)])
         return not_apart(not_apart(pairs, "h", short), "s", F.col("sig"))
 
-    star_pairs = stored(plausible(stars.union(heads).distinct().select(F.col("pivot").alias("a"), F.col("key").alias("b"))), "ngram-pairs")
+    star_pairs = stored(plausible(of_first(stars.union(heads).distinct().select(F.col("pivot").alias("a"), F.col("key").alias("b")))), "ngram-pairs")
 
     def linked(hits):
         both = hits.join(sizes.select(F.col("key").alias("a"), F.col("n").alias("na")), "a").join(
@@ -362,14 +403,13 @@ def ngram_components(df: DataFrame, row_id: str = "doc_id", text: str = "text",
         return both.filter(F.col("hits") * den >= (F.col("na") + F.col("nb") - F.col("hits")) * num).select("a", "b")
 
     star_hits = stored(overlaps(star_pairs, full, order, n, fragments), "ngram-hits")
-    same = full.groupBy("digest").agg(F.min("key").alias("a"), F.collect_list("key").alias("all")).select(
-        "a", F.explode("all").alias("b")).filter("a != b")
     roots = stored(components(linked(star_hits).unionByName(same)), "ngram-roots")
 
     known = star_pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     grams, most = buckets.select("gram").distinct(), 1
     while True:
-        rows = buckets.join(grams, "gram", "left_semi").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn(
+        of_key = roots.join(same.select(F.col("b").alias("node"), F.lit(True).alias("again")), "node", "left").withColumnRenamed("node", "key")
+        rows = buckets.join(grams, "gram", "left_semi").join(of_key, "key", "left").filter("again is null").withColumn(
             "root", F.coalesce("root", "key"))
         open_ = rows.groupBy("gram").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("rows")).filter(
             "r1 != r2 and rows > 2")

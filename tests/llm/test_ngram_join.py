@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from corvane.llm import ngram_join
@@ -83,6 +84,28 @@ def test_documents(docs):
     assert got(docs) == brute(rows, 3, 90, 100)
 
 
+def test_overlaps_are_not_counted_for_equal_sets(spark, monkeypatch):
+    """Copies in several partitions were fetched and compared like different texts."""
+    texts = [" ".join(f"g{g}w{i}" for i in range(60)) for g in range(3)] + [" ".join(f"g0w{i}" for i in range(59)) + " other"]
+    rows = [(g * 100 + i, t) for g, t in enumerate(texts) for i in range(8)]
+    asked, count = [], ngram_join.overlaps
+    monkeypatch.setattr(ngram_join, "overlaps", lambda pairs, *args: asked.append(pairs.count()) or count(pairs, *args))
+    assert got(spark.createDataFrame(rows, "doc_id long, text string").repartition(8, "doc_id")) == brute(rows, 3, 90, 100)
+    assert sum(asked) == 1  # the first copies of texts 0 and 3
+
+
+@pytest.mark.parametrize("most", [1, 2, 64])
+def test_rows_without_a_partner_leave_their_bucket(most):
+    rng = np.random.default_rng(most)
+    x = np.array(sorted([int(g), 0, 2 if g == 5 else 1, i, n := int(rng.integers(10, 60)), int(rng.integers(0, n // 10 + 1))]
+                        for i, g in enumerate(rng.integers(0, 40, 300))))
+    fits = {tuple(a) for a in x for b in x if a[0] == b[0] and a[3] != b[3] and min(a[4], b[4]) * 100 >= max(a[4], b[4]) * 90
+            and min(a[4] - a[5], b[4] - b[5]) * 190 >= (a[4] + b[4]) * 90}
+    stay = {tuple(a) for a in x if a[0] in (x[0, 0], x[-1, 0]) or a[2] > 1}
+    kept = [tuple(a) for a in ngram_join._partnered(x, 90, 100, most)]
+    assert kept == sorted(kept) and fits | stay <= set(kept) and (most < 64 or set(kept) == fits | stay) and len(kept) < 300
+
+
 def test_empty(empty):
     assert ngram_components(empty).count() == 0
 
