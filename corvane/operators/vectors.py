@@ -20,6 +20,7 @@ BROADCAST_BYTES = 64 << 20   # largest reference side sent whole to every task
 BLOCK_ROWS = 32768           # rows per block when both sides are large
 CELLS = 1 << 20              # largest similarity matrix held at once, in entries
 QUERIES = 32                 # but so many queries at least: narrower products are slow
+STRETCH = 2048               # references of a label compared at once in single precision
 TIE = 1e-12
 DIGITS = 12                  # similarities equal to so many digits are ties
 
@@ -58,13 +59,13 @@ def _run_block(q, r, fn, schema: pa.Schema):
         yield pa.Table.from_pandas(out, schema=schema, preserve_index=False)
 
 
-def block_apply(q: DataFrame, ref: DataFrame, fn, schema: str, broadcast_bytes=None, block_rows=None, order=("id",)) -> DataFrame:
+def block_apply(q: DataFrame, ref: DataFrame, fn, schema: str, broadcast_bytes=None, block_rows=None, order=("id",), run=_run_block) -> DataFrame:
     """fn(query columns, reference columns, similarities) -> partial rows, over all blocks.
 
     Both sides have `id` and `vec` and any further columns fn needs; references come in order of the columns named. A reference side whose
     size is checked to be small goes to every task and the queries stay where they are.
     Otherwise both sides are cut into hash blocks and each pair of blocks meets in its own
-    task, which holds two blocks whatever the sizes of the tables.
+    task, which holds two blocks whatever the sizes of the tables. `run` makes the partial rows of two sides from fn.
     """
     limit = BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes
     rows = BLOCK_ROWS if block_rows is None else block_rows
@@ -81,7 +82,7 @@ def block_apply(q: DataFrame, ref: DataFrame, fn, schema: str, broadcast_bytes=N
             r = _side(shared.value, order)
             for b in batches:
                 if b.num_rows:
-                    for t in _run_block(_side(pa.Table.from_batches([b])), r, fn, arrow):
+                    for t in run(_side(pa.Table.from_batches([b])), r, fn, arrow):
                         yield from t.to_batches()
 
         return q.mapInArrow(scan, out)
@@ -101,7 +102,7 @@ def block_apply(q: DataFrame, ref: DataFrame, fn, schema: str, broadcast_bytes=N
         if lt.num_rows == 0 or rt.num_rows == 0:
             return arrow.empty_table()
         sides = _side(lt.drop_columns(["qb", "rb"])), _side(rt.drop_columns(["qb", "rb"]), order)
-        return pa.concat_tables([arrow.empty_table(), *_run_block(*sides, fn, arrow)])
+        return pa.concat_tables([arrow.empty_table(), *run(*sides, fn, arrow)])
 
     return left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInArrow(meet, out)
 
@@ -168,6 +169,39 @@ def pair_similarity(q: DataFrame, ref: DataFrame, skip_self=False, **sizes) -> D
                                    F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
+def _best_per_label(q, r, skip_self: bool):
+    """Labels, and each query's greatest similarity to each: -1 where a label has no other row than the query's own.
+    Products in single precision, small enough for a core's cache, say which reference of a stretch of a label can be the
+    greatest. It is compared in double, or the whole stretch is where others come too near."""
+    (qx, qm), (rx, rm) = q, r
+    names, starts = np.unique(rx["label"].to_numpy(), return_index=True)
+    cuts = np.union1d(starts, np.arange(0, len(rx), STRETCH))
+    slack = 2.1 * (rm.shape[1] + 3) * 2.0 ** -24  # twice what a single product of unit rows can be off
+    small_q, small_r = qm.astype(np.float32), rm.astype(np.float32)
+    own, at_own = _same(qx["id"], rx) if skip_self else (np.empty(0, int), np.empty(0, int))
+    best = np.empty((len(qm), len(cuts)))
+    for k, (a, z) in enumerate(zip(cuts, [*cuts[1:], len(rx)])):
+        here = (at_own >= a) & (at_own < z)
+        mine, place = own[here], at_own[here] - a
+        for i in range(0, len(qm), QUERIES * 8):
+            s = small_q[i:i + QUERIES * 8] @ small_r[a:z].T
+            masked = (mine >= i) & (mine < i + len(s))
+            s[mine[masked] - i, place[masked]] = -2
+            rows, at = np.arange(len(s)), s.argmax(1)
+            top = s[rows, at]
+            out = np.einsum("ij,ij->i", qm[i:i + len(s)], rm[a + at])
+            s[rows, at] = -2
+            near = np.flatnonzero(s.max(1) >= np.where(top < -1.5, 2, top - slack))
+            if len(near):
+                s[near, at[near]] = top[near]
+                whole = qm[i + near] @ rm[a:z].T
+                whole[s[near] < -1.5] = -1
+                out[near] = whole.max(1)
+            out[top < -1.5] = -1
+            best[i:i + len(s), k] = out
+    return names, np.maximum.reduceat(best, np.searchsorted(cuts, starts), axis=1)
+
+
 def max_sim_per_label(q: DataFrame, anchors: DataFrame, skip_self=False, mask_at=None, **sizes) -> DataFrame:
     """(id, label, sim): the greatest similarity to any anchor of each label."""
 
@@ -178,8 +212,16 @@ def max_sim_per_label(q: DataFrame, anchors: DataFrame, skip_self=False, mask_at
         return pd.DataFrame({"id": np.repeat(qx["id"].to_numpy(), len(names)),
                              "label": np.tile(names, len(qx)), "sim": best.ravel()})
 
-    parts = block_apply(q.select("id", "vec"), anchors.select("id", "vec", "label"), fn,
-                        "id bigint, label int, sim double", order=("label", "id"), **sizes)
+    def best(qs, rs, _, schema):
+        if len(qs[0]) and len(rs[0]):
+            names, sims = _best_per_label(qs, rs, skip_self)
+            yield pa.Table.from_pandas(pd.DataFrame({
+                "id": np.repeat(qs[0]["id"].to_numpy(), len(names)), "label": np.tile(names, len(sims)), "sim": sims.ravel()}),
+                schema=schema, preserve_index=False)
+
+    # a mask compares each similarity with a limit, for which single precision won't do
+    parts = block_apply(q.select("id", "vec"), anchors.select("id", "vec", "label"), fn, "id bigint, label int, sim double",
+                        order=("label", "id"), run=_run_block if mask_at is not None else best, **sizes)
     return parts.groupBy("id", "label").agg(F.max("sim").alias("sim"))
 
 

@@ -43,6 +43,28 @@ def test_a_table_meets_itself_in_blocks_as_by_broadcast(spark):
     assert answers(broadcast_bytes=0, block_rows=20) == whole
 
 
+def test_label_maxima_by_single_products_are_those_in_double(monkeypatch):
+    """All products were made in double, in matrices beyond a core's cache."""
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=(300, 8))
+    m[40:90] = m[40]  # copies
+    m[90:120] = m[90] + 1e-9 * rng.normal(size=(30, 8))  # nearer to each other than single precision tells
+    m[120], m[299, 2] = 0, np.nan
+    x = V.pd.DataFrame({"id": rng.permutation(300), "label": np.sort(rng.integers(0, 4, 300))})
+    x.loc[299, "label"], x.loc[0, "label"] = 5, -1  # alone in their labels
+    x["by_id"] = np.argsort(x["id"].to_numpy(), kind="stable")
+    u = V.over_norm(m)
+    s = u @ u.T
+    for skip_self in (True, False):
+        want = s.copy()
+        want[np.arange(300), np.arange(300)] = -1 if skip_self else s.diagonal()
+        want = np.maximum.reduceat(want, np.unique(x["label"], return_index=True)[1], axis=1)
+        for stretch in (7, 64, 2048):
+            monkeypatch.setattr(V, "STRETCH", stretch)
+            names, got = V._best_per_label((x, u), (x, u), skip_self)
+            assert list(names) == [-1, 0, 1, 2, 3, 5] and np.allclose(got, want, rtol=0, atol=1e-14, equal_nan=True)
+
+
 def test_no_eligible_reference_is_null(spark):
     rows = vectors(spark, [(1, [1.0, 0.0], 7), (2, [0.0, 0.0], 7), (3, None, 7)])
     for kw in ({"skip_same": "fold"}, {"mask_at": 0.0}):
