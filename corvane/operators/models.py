@@ -160,28 +160,62 @@ def _head(parts: list, like: Head | None = None) -> Head:
     return Head(*(parts + [None, None])[:4], tuple(parts[4:]), *scale)
 
 
-def dropout_mask(r: Recipe, epoch: int, ids: np.ndarray, width: int, layer: int = 0) -> np.ndarray | None:
+def dropout_mask(r: Recipe, epoch: int, ids: np.ndarray, width: int, layer: int = 0, out: np.ndarray | None = None) -> np.ndarray | None:
     """Which units of which rows stay, scaled: a hash of (seed, layer, epoch, row id, unit), so it does not
     depend on how rows fall into batches and tasks. Layer -1 is the input."""
     share = r.input_dropout if layer < 0 else r.dropout
     if not share:
         return None
+    ids = np.asarray(ids).astype(np.int64).astype(np.uint64)
+    out, rows = np.empty((len(ids), width)) if out is None else out, max(1, (1 << 13) // width)
+    least = np.uint64(int(np.ceil(share * 2 ** 53)) << 11)  # of a hash whose unit stays: its first 53 bits are at least the share
     with np.errstate(over="ignore"):
-        x = np.asarray(ids).astype(np.int64).astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
-        x = x ^ (np.arange(width, dtype=np.uint64)[None, :] * np.uint64(0xC2B2AE3D27D4EB4F))
-        x = x + np.uint64((layer * 7_368_787 + r.seed * 1_000_003 + epoch) & 0xFFFFFFFFFFFF) * np.uint64(0x165667B19E3779F9)
-        for _ in range(2):
-            x = (x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
-        x = x ^ (x >> np.uint64(32))
-    u = (x >> np.uint64(11)).astype(np.float64) / 2 ** 53
-    return (u >= share) / (1 - share)
+        units = np.arange(width, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        salt = np.uint64((layer * 7_368_787 + r.seed * 1_000_003 + epoch) & 0xFFFFFFFFFFFF) * np.uint64(0x165667B19E3779F9)
+        ids = ids * np.uint64(0x9E3779B97F4A7C15)
+        y = np.empty((min(rows, len(ids)), width), np.uint64)
+        for lo in range(0, len(ids), rows):  # pieces that stay in the cache
+            x = ids[lo:lo + rows, None] ^ units
+            high = y[:len(x)]
+            x += salt
+            for _ in range(2):
+                x ^= np.right_shift(x, 31, out=high)
+                x *= np.uint64(0xD6E8FEB86659FD93)
+            x ^= np.right_shift(x, 32, out=high)
+            np.multiply(x >= least, 1 / (1 - share), out=out[lo:lo + rows])
+    return out
+
+
+def output_gradient(r: Recipe, z: np.ndarray, t: np.ndarray, w: np.ndarray, loss: list | None = None) -> np.ndarray:
+    """Gradient of each row's loss by its logits; the summed loss is added to `loss`."""
+    k = t.shape[1]
+    if r.loss == "softmax":
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        soft = (1 - r.smoothing) * t + r.smoothing / k
+        dz = w * (p - soft)
+        if loss is not None:
+            loss.append(-(w * soft * np.log(p + 1e-12)).sum())
+        if r.sens_penalty:
+            bad = np.zeros_like(t)
+            bad[:, list(r.sensitive)] = 1
+            bad *= 1 - t
+            mass = (p * bad).sum(1, keepdims=True)
+            dz += w * r.sens_penalty * p * (bad - mass)
+            if loss is not None:
+                loss.append(r.sens_penalty * (w[:, :1] * mass).sum())
+        return dz
+    p = 1 / (1 + np.exp(-z))
+    if loss is not None:
+        loss.append(-(w * (t * np.log(p + 1e-12) + (1 - t) * np.log(1 - p + 1e-12))).sum())
+    return w * (p - t)
 
 
 def gradient(r: Recipe, h: Head, x: np.ndarray, t: np.ndarray, w: np.ndarray, keep=None) -> np.ndarray:
     """Summed gradient of the loss over rows with targets t (one column per label) and weights
     w (per row and label), flattened; `keep` scales the hidden units (a list: of each layer). Ends with the loss and the
     row weight."""
-    k, parts = t.shape[1], _parts(h)
+    parts = _parts(h)
     keeps = keep if isinstance(keep, list) else [keep] + [None] * len(parts)
     held, open_, z = [], [], x
     for i in range(0, len(parts), 2):
@@ -192,23 +226,8 @@ def gradient(r: Recipe, h: Head, x: np.ndarray, t: np.ndarray, w: np.ndarray, ke
                 z = z * keeps[i // 2 - 1]
         held.append(z)
         z = z @ parts[i] + parts[i + 1]
-    if r.loss == "softmax":
-        p = np.exp(z - z.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        soft = (1 - r.smoothing) * t + r.smoothing / k
-        loss = -(w * soft * np.log(p + 1e-12)).sum()
-        dz = w * (p - soft)
-        if r.sens_penalty:
-            bad = np.zeros_like(t)
-            bad[:, list(r.sensitive)] = 1
-            bad *= 1 - t
-            mass = (p * bad).sum(1, keepdims=True)
-            loss += r.sens_penalty * (w[:, :1] * mass).sum()
-            dz += w * r.sens_penalty * p * (bad - mass)
-    else:
-        p = 1 / (1 + np.exp(-z))
-        loss = -(w * (t * np.log(p + 1e-12) + (1 - t) * np.log(1 - p + 1e-12))).sum()
-        dz = w * (p - t)
+    loss = []
+    dz = output_gradient(r, z, t, w, loss)
     grads = []
     for i in range(len(parts) - 2, -1, -2):
         grads = [held[i // 2].T @ dz, dz.sum(0), *grads]
@@ -217,12 +236,12 @@ def gradient(r: Recipe, h: Head, x: np.ndarray, t: np.ndarray, w: np.ndarray, ke
             if keeps[i // 2 - 1] is not None:
                 dz = dz * keeps[i // 2 - 1]
             dz = dz * open_[i // 2 - 1]
-    return np.concatenate([g.ravel() for g in grads] + [[loss, w[:, 0].sum() if r.loss == "softmax" else len(x)]])
+    return np.concatenate([g.ravel() for g in grads] + [[sum(loss), w[:, 0].sum() if r.loss == "softmax" else len(x)]])
 
 
 def _batch(b: pa.RecordBatch):
     def matrix(name):
-        return np.asarray(b.column(name).flatten(), dtype=np.float64).reshape(b.num_rows, -1)
+        return np.asarray(b.column(name).flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(b.num_rows, -1)
 
     return b.column("id").to_numpy(), matrix("vec"), matrix("target"), matrix("weight"), b.column("fold").to_numpy()
 
@@ -304,18 +323,35 @@ def adam_step(r: Recipe, h: Head, g: np.ndarray, m, v, step: int, n: float):
         for lo in range(0, p.size, 1 << 14):  # pieces that stay in the cache
             q = new[lo:lo + (1 << 14)]
             s = slice(at + lo, at + lo + len(q))
-            gp = g[s] + (r.l2 / n * q if j % 2 == 0 else 0)
-            m[s] = 0.9 * m[s] + 0.1 * gp
-            v[s] = 0.999 * v[s] + 0.001 * gp * gp
-            upd = (m[s] / (1 - 0.9 ** step)) / (np.sqrt(v[s] / (1 - 0.999 ** step)) + 1e-8)
-            q[:] = q * (1 - r.lr * r.decay) - r.lr * upd
+            adam_piece(r, q, g[s].copy(), m[s], v[s], step, r.l2 / n if j % 2 == 0 else 0, np.empty(len(q)), np.empty(len(q)))
         at += p.size
         out.append(new.reshape(p.shape))
     return _head(out, h), m, v
 
 
+def adam_piece(r: Recipe, q, g, m, v, step: int, l2: float, a, b) -> None:
+    """The step of some parameters q in place, with gradient g, moments m and v, and two arrays to work in; g is spent."""
+    even = np.sqrt(1 - 0.999 ** step)  # takes the start out of the second moment
+    if l2:
+        g += np.multiply(q, l2, out=a)
+    m *= 0.9
+    m += np.multiply(g, 0.1, out=a)
+    v *= 0.999
+    np.multiply(g, 0.001, out=a)
+    a *= g
+    v += a
+    np.sqrt(v, out=a)
+    a += 1e-8 * even
+    np.divide(m, a, out=b)
+    b *= r.lr * even / (1 - 0.9 ** step)
+    if r.decay:
+        q *= 1 - r.lr * r.decay
+    q -= b
+
+
 CELL = 4096  # rows that one task of a step takes
-SEGMENT = 128  # steps that one task takes where a mini-batch is one cell
+SEGMENT = 1024  # steps that one task takes where a mini-batch is one cell
+PROCESSES = 4  # of such a task at most
 
 
 def _saved(folder: str, cell: int) -> bytes:
@@ -347,10 +383,10 @@ class Cells:
             table = table.sort_by([("id", "ascending"), ("fold", "ascending")]).combine_chunks()
             with pa.ipc.new_stream(body, table.schema) as out:
                 out.write_table(table)
-            return pa.table({"cell": table["cell"].slice(0, 1), "body": pa.array([body.getvalue().to_pybytes()], pa.binary())})
+            return pa.table({"cell": table["cell"].slice(0, 1), "n": pa.array([len(table)], pa.int64()), "body": pa.array([body.getvalue().to_pybytes()], pa.binary())})
 
         cell = F.pmod(F.xxhash64("id"), F.lit(self.steps * self.width)).cast("int")
-        packed = stored(rows.withColumn("cell", cell).groupBy("cell").applyInArrow(pack, "cell int, body binary"), "cells")
+        packed = stored(rows.withColumn("cell", cell).groupBy("cell").applyInArrow(pack, "cell int, n long, body binary"), "cells")
         parts = self.steps * self.width
         self.sc = df.sparkSession.sparkContext
         self.folder = None
@@ -367,13 +403,13 @@ class Cells:
                         with open_path(part, "wb") as f:
                             f.write(body.as_buffer())
                         move(part, f"{folder}/{c}")
-                    yield pa.RecordBatch.from_arrays([b["cell"]], names=["cell"])
+                    yield b.select(["cell", "n"])
 
-            self.filled = {r["cell"] for r in packed.mapInArrow(save, "cell int").collect()}  # numbers of the mini-batches
+            self.filled = {r["cell"]: r["n"] for r in packed.mapInArrow(save, "cell int, n long").collect()}  # rows of the mini-batches
             self.rdd = self.sc.parallelize(sorted(self.filled), max(1, min(len(self.filled), self.sc.defaultParallelism))).map(lambda c: _saved(folder, c))
             return
         # one task per cell is what mini-batches need, and only the RDD interface can run chosen partitions
-        self.rdd = packed.rdd.map(lambda r: (r[0], bytes(r[1]))).partitionBy(parts, lambda c: c).values().persist()
+        self.rdd = packed.rdd.map(lambda r: (r["cell"], bytes(r["body"]))).partitionBy(parts, lambda c: c).values().persist()
 
     def training(self, held_out: int | None) -> int:
         return sum(n for f, n in self.rows.items() if held_out is None or f != held_out)
@@ -426,9 +462,11 @@ def train_batches(df: DataFrame, recipes: list[Recipe]) -> list[Head]:
     grid agree in both. Batches are fixed by hash and their order changes with the pass.
 
     Where a mini-batch is one cell, steps follow each other in segments: a job has one task per head, which takes the head as it
-    stands through the next SEGMENT mini-batches, one read at a time, and gives it back. A task sees a bounded number of
+    stands through the next SEGMENT mini-batches, one read at a time, and gives it back; up to PROCESSES processes of the task
+    share the blocks of a wide head, if the job leaves cores idle. A task sees a bounded number of
     rows, and there are passes x batches / SEGMENT jobs. Where a mini-batch is more than a cell, a step is a job over its cells
-    that serves the whole grid. Only heads or summed gradients reach the driver; both ways give the same weights."""
+    that serves the whole grid. Only heads or summed gradients reach the driver; both ways give the same weights, wide heads
+    but for rounding, however many processes there are."""
     batch, epochs = recipes[0].batch, recipes[0].epochs
     if any((r.batch, r.epochs) != (batch, epochs) for r in recipes):
         raise ValueError("recipes fitted together have one batch size and number of passes")
@@ -478,13 +516,13 @@ def _in_segments(cells: Cells, recipes: list[Recipe], state: list[tuple], epochs
                 if c in cells.filled:
                     yield step, epoch, c
 
+    processes = max(1, min(PROCESSES, cells.sc.defaultParallelism // len(recipes)))  # on cores that no task takes otherwise
+    room = max(cells.filled.values())
+
     def run(one, part):
-        r, n, (h, m, v) = one
-        for step, epoch, c in part:
-            g = step_gradient(r, h, epoch, *_opened(_saved(folder, c)))
-            if g[-1] > 0:
-                h, m, v = adam_step(r, h, g[:-2] / g[-1], m, v, step, n)
-        return h, m, v
+        from .steps import follow
+
+        return follow(*one, part, lambda c: _opened(_saved(folder, c)), room, processes)
 
     every = steps()
     while part := list(islice(every, SEGMENT)):
