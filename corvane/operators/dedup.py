@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.once import once
 from ..functions.ranking import exact_percentiles
-from ..functions.text import packed_ngrams, squeezed
+from ..functions.text import char_ngrams, squeezed
 from ..session import scratch_path, stored
 from ..sources.paths import make_folder, open_path
 from .joins import union_refs
@@ -123,8 +123,15 @@ def similarity_percentiles(df: DataFrame, col: str, ps=(0.5, 0.9, 0.99)) -> Data
 # --- n-gram near duplicates ------------------------------------------------------------
 
 BLOCK = 2048  # gram sets of a side that are multiplied at once
-COLUMNS = 1024  # commonest grams that are multiplied; the others are bounded first
-MEETINGS = 4  # reference blocks that a row of the plan names
+COLUMNS = 2048  # commonest grams that are multiplied
+FEW = 768  # of them that are multiplied first
+EXTRA = 2048  # columns beyond, multiplied where more than a share MANY of a part's pairs is left
+MANY = 0.1
+BITS = 1 << 15  # grams after COLUMNS, which are compared as bits; the rest is counted one by one
+PAIRS = 2048  # pairs whose bits are compared at once
+PART = 512  # sets of a side whose other columns are multiplied together
+MEETINGS = 16  # reference blocks that a row of the plan names at most
+STEPS = 4  # bands within a factor t of sizes
 TASKS = 4096  # that the plan is dealt to at most
 HELD = 32 << 20  # bytes of gram sets that a task holds before it writes files
 
@@ -134,13 +141,14 @@ def near_dup_ngram(q: DataFrame, ref: DataFrame, row_id: str, text: str, t: floa
     Jaccard and the nearest id (least id among equals). Exact.
 
     Equal texts are collapsed to one representative on both sides first, so a mass of copies costs one. A pair over t has
-    sizes within a factor t, so sets are dealt to bands of sizes 1/t apart and meet only their own and the two next bands.
+    sizes within a factor t, so sets are dealt to bands of sizes, STEPS of them within 1/t, and meet only bands so near.
     Every set is written once, to a file of its band in the shared folder; which files meet is a small plan, and a task reads
     what its row names, a block at a time. So the disk taken is that of the sets, however many blocks meet.
 
-    A pair of blocks counts the common ones of its commonest grams by a product of 0/1 matrices. A pair of sets that stays at
-    t or below even if all of the smaller rest were common is out; the rest of the others is counted. No pair is a row: a query set gives
-    its best partner.
+    A task takes a block of query sets through several reference blocks and keeps each query's best so far: a pair is out as soon as
+    it could not beat that even if all of the smaller rest were common. The commonest grams of the query block are counted by
+    products of 0/1 matrices, a few columns for all pairs and the others where a part of the block has pairs left; what remains is
+    counted by bits. No pair is a row: a query set gives its best partner.
     """
     block, spark = block or BLOCK, q.sparkSession
     q_sets, r_sets = (_gram_files(df, row_id, text, n, t, block) for df in (q, ref))
@@ -150,17 +158,17 @@ def near_dup_ngram(q: DataFrame, ref: DataFrame, row_id: str, text: str, t: floa
             side.setdefault(r["band"], []).append((r["file"], r["n"]))
     plan = []
     for band, mine in files[0].items():
-        others = _blocks([f for k in (band - 1, band, band + 1) for f in files[1].get(k, [])], block)
-        plan += [(a, others[i:i + MEETINGS]) for a in _blocks(mine, block) for i in range(0, len(others), MEETINGS)]
+        others = _blocks([f for k in range(band - STEPS, band + STEPS + 1) for f in files[1].get(k, [])], block)
+        plan += [(a, others) for a in _blocks(mine, block)]
+    meet = max(1, min(MEETINGS, sum(len(others) for _, others in plan) // (4 * spark.sparkContext.defaultParallelism)))
+    plan = [(a, others[i:i + meet]) for a, others in plan for i in range(0, len(others), meet)]
     if not plan:
         return q.select(F.col(row_id).alias("id"), F.lit(0.0).alias("max_jac"), F.col(row_id).alias("nn_jac")).limit(0)
 
     def run(batches):
         for b in batches:
             for mine, others in zip(b["q"].to_pylist(), b["r"].to_pylist()):
-                left = _read_sets(mine)
-                for part in others:
-                    yield from _best_partners(left, _read_sets(part), t).to_batches()
+                yield from _best_partners(_read_sets(mine), map(_read_sets, others), t).to_batches()
 
     rows = spark.createDataFrame(spark.sparkContext.parallelize(plan, min(len(plan), TASKS)), "q array<string>, r array<array<string>>")
     parts = rows.mapInArrow(run, "q_rep long, jac double, r_rep long")
@@ -180,8 +188,8 @@ def _signed(df: DataFrame, row_id: str, text: str) -> DataFrame:
 def _gram_files(df: DataFrame, row_id: str, text: str, n: int, t: float, block: int) -> DataFrame:
     """(rep, sign, band, file): of equal texts the least row id, with the file its gram set was written to."""
     reps = _signed(df, row_id, text).groupBy("sign").agg(F.min("id").alias("rep"), F.first("s").alias("s"))
-    sets = reps.select("rep", "sign", packed_ngrams(F.col("s"), n).alias("grams"))
-    folder, ratio = scratch_path(df.sparkSession, "grams"), math.log(1 / t)
+    sets = reps if n <= 3 else reps.select("rep", "sign", char_ngrams(F.col("s"), n).alias("grams"))
+    folder, ratio = scratch_path(df.sparkSession, "grams"), math.log(1 / t) / STEPS
 
     def save(batches):
         make_folder(folder)
@@ -197,6 +205,8 @@ def _gram_files(df: DataFrame, row_id: str, text: str, n: int, t: float, block:
             return pa.table({"rep": table["rep"], "sign": table["sign"], "band": pa.array([band] * len(table), pa.int32()), "file": file}).to_batches()
 
         for b in batches:
+            if n <= 3:
+                b = pa.RecordBatch.from_arrays([b["rep"], b["sign"], _packed(b["s"], n)], names=["rep", "sign", "grams"])
             sizes = pc.list_value_length(b["grams"]).to_numpy(zero_copy_only=False)
             bands = np.floor(np.log(np.maximum(1, sizes)) / ratio + 1e-9).astype(int)
             for band in np.unique(bands).tolist():
@@ -216,6 +226,21 @@ def _gram_files(df: DataFrame, row_id: str, text: str, n: int, t: float, block:
     return stored(sets.mapInArrow(save, "rep long, sign string, band int, file string"), "gram-files")
 
 
+def _packed(texts: pa.Array, n: int) -> pa.Array:
+    """The distinct n-grams (n up to 3) of each text, 21 bits a character; a shorter text is its only gram."""
+    sets = []
+    for s in texts:
+        codes = np.frombuffer(s.as_py().encode("utf-32-le"), np.uint32).astype(np.int64)
+        if len(codes) < n:
+            codes = np.r_[codes, np.zeros(n - len(codes), np.int64)]
+        packed = codes[:len(codes) - n + 1]
+        for i in range(1, n):
+            packed = (packed << 21) | codes[i:len(codes) - n + 1 + i]
+        sets.append(np.unique(packed))
+    ends = np.cumsum([0, *map(len, sets)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64)))
+
+
 def _blocks(files: list[tuple[str, int]], block: int) -> list[list[str]]:
     """Files put together until they hold `block` sets."""
     out, room = [], 0
@@ -234,49 +259,108 @@ def _read_sets(files: list[str]):
     for file in files:
         with open_path(file, "rb") as f:
             tables.append(pa.ipc.open_stream(f.read()).read_all())
-    table = pa.concat_tables(tables).sort_by("rep").combine_chunks()
+    table = pa.concat_tables(tables).combine_chunks()
     lists = table["grams"].combine_chunks()
     sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     return table["rep"].to_numpy(), sizes, np.repeat(np.arange(len(sizes)), sizes), lists.flatten()
 
 
-def _best_partners(left, right, t: float) -> pa.Table:
-    """(q_rep, jac, r_rep): of every query set its best partner over t."""
-    (qid, qn, qrow, qg), (rid, rn, rrow, rg) = left, right
-    coded = rg.dictionary_encode()
-    codes = coded.indices.to_numpy()
-    rank = np.empty(len(coded.dictionary), np.int64)
-    rank[np.argsort(-np.bincount(codes, minlength=len(rank)), kind="stable")] = np.arange(len(rank))
-    at = pc.fill_null(pc.index_in(qg, value_set=coded.dictionary), -1).to_numpy(zero_copy_only=False)
-    sides = []
-    for rows, ranks, n in ((qrow, np.where(at < 0, -1, rank[at]), len(qid)), (rrow, rank[codes], len(rid))):
-        m = np.zeros((n, COLUMNS), np.float32)
-        top = (ranks >= 0) & (ranks < COLUMNS)
-        m[rows[top], ranks[top]] = 1
-        late = ranks >= COLUMNS
+class _Side:
+    """Sets of a block as columns, bits and a rest, by the ranks that the query block gave its grams. Grams that it does
+    not have are left out; they count in the sizes only. Sets lie beside those that are nearest to the same anchor."""
+
+    def __init__(self, sets, ranks: np.ndarray, anchors=None):
+        self.ids, self.sizes, rows, _ = sets
+        rows, ranks = rows[ranks >= 0], ranks[ranks >= 0]
+        n, early, late = len(self.ids), ranks < COLUMNS, ranks >= COLUMNS + BITS
+        self.cols = np.zeros((n, COLUMNS + EXTRA), np.float32)
+        wide = ranks < COLUMNS + EXTRA
+        self.cols[rows[wide], ranks[wide]] = 1
+        mid = ~(early | late)
+        words = max(1, -(-(int(ranks[mid].max(initial=COLUMNS - 1)) + 1 - COLUMNS) // 64))
+        self.bits = np.zeros((n, words), np.uint64)
+        np.add.at(self.bits, (rows[mid], (ranks[mid] - COLUMNS) // 64), np.uint64(1) << ((ranks[mid] - COLUMNS) % 64).astype(np.uint64))
         count = np.bincount(rows[late], minlength=n)
-        sides.append((m, ranks[late], np.r_[0, np.cumsum(count)], count))
-    (a, qlate, qstart, qrest), (b, rlate, rstart, rrest) = sides
-    inter = a @ b.T  # whole numbers below 2^24
-    share = t / (1 + t)  # of both sizes that is in common where the Jaccard is t
-    need = (share * qn)[:, None].astype(np.float32) + (share * rn).astype(np.float32)
-    need -= np.minimum(qrest[:, None].astype(np.float32), rrest.astype(np.float32))
-    open_ = inter > need - 0.05
-    top, at = np.zeros(len(qid)), np.zeros(len(qid), np.int64)
+        self.rest, starts = ranks[late], np.r_[0, np.cumsum(count)]
+        few = min(FEW, COLUMNS)
+        left = [np.bincount(rows[ranks >= c], minlength=n).astype(np.float32) for c in (few, COLUMNS, COLUMNS + EXTRA)]
+        self.anchors = self.cols[:: max(1, n // 8), :few].T.copy() if anchors is None else anchors
+        like = self.cols[:, :few] @ self.anchors / (self.sizes[:, None] + self.anchors.sum(0))
+        order = np.lexsort((self.sizes, like.argmax(1)))
+        self.ids, self.sizes, self.cols, self.bits = (x[order] for x in (self.ids, self.sizes, self.cols, self.bits))
+        self.left = [x[order] for x in left]  # grams after the columns of each stage
+        self.starts, self.ends = starts[:-1][order], starts[1:][order]
+
+    def tail(self, i: int) -> np.ndarray:
+        return self.rest[self.starts[i]:self.ends[i]]
+
+
+def _best_partners(left, blocks, t: float) -> pa.Table:
+    """(q_rep, jac, r_rep): of every query set its best partner over t in the reference blocks."""
+    coded = left[3].dictionary_encode()
+    codes, words = coded.indices.to_numpy(), coded.dictionary
+    rank = np.empty(len(words), np.int64)
+    rank[np.argsort(-np.bincount(codes, minlength=len(rank)), kind="stable")] = np.arange(len(rank))
+    q, first = _Side(left, rank[codes]), min(FEW, COLUMNS)
+    best, partner = np.zeros(len(q.ids)), np.full(len(q.ids), np.iinfo(np.int64).max)
     held = np.zeros(len(rank), bool)
-    for i in np.flatnonzero(open_.any(1)):
-        js = np.flatnonzero(open_[i])
-        mine = qlate[qstart[i]:qstart[i + 1]]
-        held[mine] = True
-        ends = np.cumsum(rrest[js])
-        found = held[np.concatenate([rlate[rstart[j]:rstart[j + 1]] for j in js])]
-        held[mine] = False
-        both = inter[i, js].astype(np.float64) + np.diff(np.r_[0, np.r_[0, np.cumsum(found)][ends]])
-        jac = both / np.maximum(1, qn[i] + rn[js] - both)
-        best = jac.argmax()  # ids are in order: the least of equals
-        top[i], at[i] = jac[best], js[best]
-    keep = top > t
-    return pa.table({"q_rep": pa.array(qid[keep], pa.int64()), "jac": pa.array(top[keep], pa.float64()), "r_rep": pa.array(rid[at[keep]], pa.int64())})
+
+    def keep(rows, cols, r, early, stage=1):
+        """Tries pairs, `early` of whose columns up to the stage are common."""
+        skip = EXTRA // 64 if stage > 1 else 0
+        width = min(q.bits.shape[1], r.bits.shape[1])
+        for lo in range(0, len(rows), PAIRS):
+            i, j = rows[lo:lo + PAIRS], cols[lo:lo + PAIRS]
+            both = early[lo:lo + PAIRS].astype(np.float64) + np.bitwise_count(q.bits[i, skip:width] & r.bits[j, skip:width]).sum(1)
+            if len(r.rest):
+                for at in np.flatnonzero((q.ends - q.starts)[i] * (r.ends - r.starts)[j]):
+                    both[at] += len(np.intersect1d(q.tail(i[at]), r.tail(j[at]), assume_unique=True))
+            jac = both / np.maximum(1, q.sizes[i] + r.sizes[j] - both)
+            order = np.lexsort((r.ids[j], -jac, i))
+            order = order[np.r_[True, i[order][1:] != i[order][:-1]]]  # the best of each query: of equals the least id
+            i, jac, ids = i[order], jac[order], r.ids[j[order]]
+            better = (jac >= t) & ((jac > best[i]) | (jac == best[i]) & (ids < partner[i]))
+            best[i[better]], partner[i[better]] = jac[better], ids[better]
+
+    def could(some, mine, others, r, stage):
+        """Which pairs with `some` in common up to the stage may still reach the best of their query."""
+        least = np.maximum(best[mine], t)
+        share = (least / (1 + least) * (1 - 1e-6)).astype(np.float32)  # of both sizes that is in common at that Jaccard
+        high = np.minimum(q.left[stage][mine, None], r.left[stage][others])
+        high += some
+        high -= share[:, None] * r.sizes[others].astype(np.float32)
+        return high > (share * q.sizes[mine] - 0.05)[:, None]
+
+    for block in blocks:
+        at = pc.fill_null(pc.index_in(block[3], value_set=words), -1).to_numpy(zero_copy_only=False)
+        r = _Side(block, np.where(at < 0, -1, rank[at]), q.anchors)
+        few = q.cols[:, :first] @ r.cols[:, :first].T  # whole numbers below 2^24
+        sizes = r.sizes.astype(np.float32)
+        for lo in range(0, len(q.ids), PART):
+            mine = slice(lo, lo + PART)
+            likely = (few[mine] / (sizes + q.sizes[mine, None].astype(np.float32))).argmax(1)  # tried first, so that few others are left
+            rows = np.arange(lo, lo + len(likely))
+            keep(rows, likely, r, np.einsum("ij,ij->i", q.cols[rows, :COLUMNS], r.cols[likely, :COLUMNS]))
+            for at in range(0, len(r.ids), PART):
+                others, stage = slice(at, at + PART), 1
+                part = few[mine, others]
+                if not could(part, mine, others, r, 0).any():
+                    continue
+                part = part + q.cols[mine, first:COLUMNS] @ r.cols[others, first:COLUMNS].T
+                open_ = could(part, mine, others, r, 1)
+                if open_.mean() > MANY:
+                    part += q.cols[mine, COLUMNS:] @ r.cols[others, COLUMNS:].T
+                    stage = 2
+                    open_ = could(part, mine, others, r, 2)
+                rows = np.flatnonzero(open_.any(1))
+                if open_.sum() > 2 * len(rows):
+                    likely = (part[rows] / (sizes[others] + q.sizes[mine][rows, None])).argmax(1)
+                    keep(lo + rows, at + likely, r, part[rows, likely], stage)
+                    open_ = could(part, mine, others, r, stage)
+                rows, cols = np.nonzero(open_)
+                keep(lo + rows, at + cols, r, part[rows, cols], stage)
+    found = best > t
+    return pa.table({"q_rep": pa.array(q.ids[found], pa.int64()), "jac": pa.array(best[found], pa.float64()), "r_rep": pa.array(partner[found], pa.int64())})
 
 
 def near_dup_report(ids: DataFrame, cos: DataFrame, jac: DataFrame, cos_t: float, jac_t: float) -> DataFrame:
