@@ -53,3 +53,12 @@ def test_a_failed_process_fails_the_task(fault):
 
     with pytest.raises(RuntimeError):
         S.follow(WIDE, 100, (h, np.zeros(size), np.zeros(size)), [(s + 1, 1, s) for s in range(5)], load, 40, 4)
+
+
+def test_cells_are_kept_as_plain_numbers(spark):
+    for got, want in zip(M._unflat(M._flat(*(rows := next(batches())))), rows):
+        assert (got == want).all() and got.shape == want.shape
+    df = spark.range(50).selectExpr("id", "array(id / 7D, 1D) AS vec", "array(double(id % 2)) AS target", "array(1D) AS weight", "int(id % 3) AS fold")
+    cells = M.Cells(df, 10, files=True)
+    ids = [M._unflat(M._saved(cells.folder, c))[0] for c in cells.filled]
+    assert sorted(np.concatenate(ids)) == list(range(50)) and [len(i) for i in ids] == list(cells.filled.values())
